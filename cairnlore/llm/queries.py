@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, pii, quality, simhash
+from . import bpe, chat, langid, mixing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", pii.spans(F.col("text")).alias("s"))
     of = lambda kind: F.size(F.filter("s", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
@@ -49,13 +53,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_chat_format, op4_quality, op7_personal_data, op8_simhash, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_chat_format, op4_quality, op5_toxicity, op7_personal_data, op8_simhash, op9_language, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

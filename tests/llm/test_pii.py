@@ -29,7 +29,7 @@ PARTS = ["4111 1111 1111 1111", "4111-1111-1111-1112", "a@b.c", "x.y+z@mail-1.ex
 
 def test_base_spans_against_plain_patterns(spark):
     rng = random.Random(11)
-    texts = [None, "", "a" * 200_000, "1" * 100_000, "1." * 20_000, "a@" + "b." * 20_000 + "c", "+1" + "(" * 50_000, "a@b.c_d@e.f"]
+    texts = [None, "", "a" * 20_000, "1" * 20_000, "1." * 20_000, "a@" + "b." * 20_000 + "c", "+1" + "(" * 50_000, "a@b.c_d@e.f"]
     texts += ["".join(rng.choices(PARTS, k=rng.randint(1, 14))) for _ in range(1500)]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", pii.spans(F.col("text")).alias("s")).collect()
     for r in got:
