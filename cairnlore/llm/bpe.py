@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bound of the per-worker memory of encoded pre-tokens, and the longest pre-token (in characters) kept there.
-CACHE_ENTRIES, CACHE_LENGTH = 1 << 17, 48
+CACHE_ENTRIES, CACHE_LENGTH = 1 << 18, 48
 #: Rows handled at once inside an Arrow batch; bounds the Python memory of long documents.
 SLICE_ROWS = 256
+#: Bytes up to which a fragment is merged, and cut, by plain loops.
+SHORT = 40
 
 
 def default_tokenizer() -> str:
@@ -67,6 +70,7 @@ class Codec:
                 self.single[b[0]] = i
             inside[list(b[:-1]), list(b[1:])] = True
         self.joined = inside
+        self.joins = inside.astype(np.uint8).tobytes()
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
@@ -80,8 +84,10 @@ class Codec:
 
     def cuts(self, piece: bytes) -> list[bytes]:
         """The fragments of a pre-token between certain cuts."""
-        if len(piece) < 2:
-            return [piece]
+        if len(piece) <= SHORT:
+            joins = self.joins
+            at = [i + 1 for i, (a, b) in enumerate(zip(piece, piece[1:])) if not joins[a << 8 | b]]
+            return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])] if at else [piece]
         b = np.frombuffer(piece, dtype=np.uint8)
         at = (np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()
         return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])]
@@ -90,8 +96,8 @@ class Codec:
         """Ids of one fragment: the lowest-ranked pair first, the leftmost among equals."""
         ids: list[int | None] = [self.single[b] for b in piece]
         n, merges = len(ids), self.merges
-        if n < 2:
-            return ids
+        if n <= SHORT:
+            return self._few(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -110,8 +116,23 @@ class Codec:
                 heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
         return [x for x in ids if x is not None]
 
+    def _few(self, ids: list[int]) -> list[int]:
+        """The same for few ids: each merge looks at all pairs again, which is cheaper than a heap here."""
+        rank = self.merges.get
+        found = [rank(p) for p in zip(ids, ids[1:])]
+        while best := min(filter(None, found), default=None):
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i < len(found):
+                found[i] = rank((ids[i], ids[i + 1]))
+            if i:
+                found[i - 1] = rank((ids[i - 1], ids[i]))
+        return ids
+
     def pre_token(self, word: str) -> bytes:
-        packed = np.array([i for part in self.cuts(word.encode()) for i in self.fragment(part)], dtype="<u4").tobytes()
+        ids = [i for part in self.cuts(word.encode()) for i in self.fragment(part)]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
