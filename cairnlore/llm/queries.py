@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, chat, langid, mixing, neighbours, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", pii.spans(F.col("text")).alias("s"))
     of = lambda kind: F.size(F.filter("s", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
@@ -63,7 +67,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_chat_format, op4_quality, op5_toxicity, op7_personal_data, op8_simhash, op9_language, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
