@@ -38,7 +38,8 @@ class Hashing:
 
     def __init__(self, dim: int, rows: int, tables: int = 4, width: float = 2.0, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.m = int(np.clip(round(np.log2(max(rows, 2)) / 2), 3, 14))
+        # Below 200 rows there are no projections: one bucket, an exact search.
+        self.m = int(min(round(np.log2(rows) / 2), 14)) if rows >= 200 else 0
         self.probes = 2**self.m
         self.tables, self.width = tables, width
         self.a = rng.standard_normal((tables, dim, self.m))
@@ -58,6 +59,8 @@ class Hashing:
     def order(self, inside: np.ndarray) -> np.ndarray:
         """(probes, m) steps of -1, 0 or 1, from the most to the least promising, by the shift-and-expand heap."""
         m = self.m
+        if not m:
+            return np.zeros((1, 0), dtype=np.int64)
         cost = np.concatenate([inside**2, (1 - inside) ** 2])
         rank = np.argsort(cost)
         z, dims, signs = cost[rank].tolist(), (rank % m).tolist(), np.where(rank < m, -1, 1).tolist()

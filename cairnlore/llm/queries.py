@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, neighbours, pii, quality, simhash, toxicity
+from . import bpe, chat, langid, licences, mixing, neighbours, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -67,7 +71,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
