@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, small
+from .common import cut_lineage, let, small
 
 #: Rows of a bucket that meet their queries in one part.
 PART = 8192
@@ -209,6 +209,10 @@ def nearest(df: DataFrame, query: str, k: int = 5, vec_id: str = "vec_id", embed
     found = found.withColumn("i", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).filter(F.col("i") <= 2 * k).select("query_id", "vec_id")
     pairs = found.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(index.select(F.col("id").alias("vec_id"), "v"), "vec_id")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    # Powers of two keep squares in range without changing any digit.
+    scale = lambda v: let(F.log2(F.array_max(F.transform(v, F.abs))), lambda e: F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.floor(e).cast("double"))))
+    scaled = lambda v: let(scale(v), lambda s: F.transform(v, lambda x: x * s))
+    pairs = pairs.select("query_id", "vec_id", scaled(F.col("qv")).alias("qv"), scaled(F.col("v")).alias("v"))
     dot = total(F.zip_with("qv", "v", lambda a, b: a * b))
     norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
     scored = pairs.select("query_id", "vec_id", (dot / (norm("qv") * norm("v"))).alias("score"))
