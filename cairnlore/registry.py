@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from cairnlore.plans import activity
+
+PLANS = (activity,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for p in PLANS for k, f in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: q for p in PLANS for k, q in p.SQL.items()}
