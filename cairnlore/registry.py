@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlore.plans import activity
+from cairnlore.plans import activity, text
 
-PLANS = (activity,)
+PLANS = (activity, text)
 
 
 def queries() -> dict:
