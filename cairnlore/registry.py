@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlore.plans import activity, text
+from cairnlore.plans import activity, graph, text
 
-PLANS = (activity, text)
+PLANS = (activity, text, graph)
 
 
 def queries() -> dict:
