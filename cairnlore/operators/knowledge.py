@@ -126,8 +126,7 @@ def chained_budget(lists: list[tuple[str, DataFrame]], budget: int) -> DataFrame
 def key_terms(text: Column) -> Column:
     """Words of more than 2 bytes without the punctuation around them, common ones left out."""
     words = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: F.regexp_replace(F.regexp_replace(w, r"^[,.;:!?\"'()\[\]{}]+", ""), r"[,.;:!?\"'()\[\]{}]+$", ""))
-    common = F.array(*[F.lit(w) for w in COMMON])
-    return F.filter(words, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(common, w))
+    return F.filter(words, lambda w: (F.octet_length(w) > 2) & ~w.isin(COMMON))
 
 
 def prohibited_terms(text: Column) -> Column:

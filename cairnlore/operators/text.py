@@ -27,10 +27,9 @@ def stem(w: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words of 2 bytes or more that are no stopwords, each followed by its stem and its synonym where
     they differ; then all pairs of neighbours in that list, joined by `_`."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     known = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}_]+"), lambda w: (F.octet_length(w) >= 2) & ~F.array_contains(stop, w))
-    each = F.transform(words, lambda w: F.array_compact(F.array(w, F.when(stem(w) != w, stem(w)), F.try_element_at(known, w))))
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}_]+"), lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOPWORDS))
+    each = F.transform(words, lambda w: F.array_compact(F.array(w, F.when(stem(w) != w, stem(w)), F.when(w.isin(list(SYNONYMS)), F.try_element_at(known, w)))))
 
     def with_pairs(e):
         pairs = F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))

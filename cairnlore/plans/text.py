@@ -21,6 +21,13 @@ def _vectors(s, d):
     return ops.tfidf(counts, ops.vocabulary(counts, _docs(s, d).count()))
 
 
+def _similar(s, d):
+    """Documents like the one with the most terms of the vocabulary."""
+    vectors = _vectors(s, d)
+    richest = vectors.groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").first()
+    return ops.similar_documents(vectors, richest.doc_id if richest else -1, least=0.0)
+
+
 def _found(query):
     return lambda s, d: ops.full_text(_docs(s, d), query).select("doc_id", "lang", "source")
 
@@ -30,7 +37,7 @@ QUERIES = {
     "doc_freq": lambda s, d: ops.document_frequency(_counts(s, d)).filter("df >= 5"),
     "vocab_idf": lambda s, d: ops.vocabulary(_counts(s, d), _docs(s, d).count()),
     "tfidf_vectors": lambda s, d: _vectors(s, d).select("doc_id", "idx", F.round("weight", 6).alias("weight")),
-    "tfidf_search": lambda s, d: ops.similar_documents(_vectors(s, d), 3, least=0.0),
+    "tfidf_search": _similar,
     "embedding_topk": lambda s, d: ops.vector_topk(table(s, d, "embeddings"), 0),
     "fulltext_and": _found("the license version"),
     "fulltext_or": _found("license OR \"all rights reserved\""),
@@ -69,10 +76,11 @@ SQL = {
     "doc_freq": f"WITH {_COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) >= 5",
     "vocab_idf": f"WITH {_VOCAB} SELECT * FROM vocab",
     "tfidf_vectors": f"WITH {_VECTORS} SELECT doc_id, idx, round(weight, 6) AS weight FROM vectors",
-    "tfidf_search": f"""WITH {_VECTORS}, norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY 1)
+    "tfidf_search": f"""WITH {_VECTORS}, norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY 1),
+      r AS (SELECT doc_id AS q FROM vectors GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
       SELECT v.doc_id, round(sum(v.weight * q.weight) / (any_value(a.norm) * any_value(b.norm)), 6) AS similarity
-      FROM vectors v JOIN vectors q ON v.idx = q.idx AND q.doc_id = 3 JOIN norms a ON a.doc_id = v.doc_id JOIN norms b ON b.doc_id = 3
-      WHERE v.doc_id <> 3 GROUP BY 1 HAVING similarity > 0 ORDER BY 2 DESC, 1 LIMIT 10""",
+      FROM vectors v JOIN vectors q ON v.idx = q.idx AND q.doc_id = (SELECT q FROM r) JOIN norms a ON a.doc_id = v.doc_id JOIN norms b ON b.doc_id = q.doc_id
+      WHERE v.doc_id <> q.doc_id GROUP BY 1 HAVING similarity > 0 ORDER BY 2 DESC, 1 LIMIT 10""",
     "embedding_topk": """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
       s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q WHERE vec_id <> 0)
       SELECT * FROM s WHERE similarity > 0.15 ORDER BY 2 DESC, 1 LIMIT 10""",

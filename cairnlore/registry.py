@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlore.plans import activity, graph, text
+from cairnlore.plans import activity, graph, knowledge, text
 
-PLANS = (activity, text, graph)
+PLANS = (activity, text, graph, knowledge)
 
 
 def queries() -> dict:
