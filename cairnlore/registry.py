@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlore.plans import activity, graph, knowledge, text
+from cairnlore.plans import activity, composite, graph, knowledge, text
 
-PLANS = (activity, text, graph, knowledge)
+PLANS = (activity, text, graph, knowledge, composite)
 
 
 def queries() -> dict:
