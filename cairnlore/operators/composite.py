@@ -140,7 +140,7 @@ def rules_text(project: str, decisions: DataFrame, warnings: DataFrame, most: tu
 
 def file_summary(skeletons: DataFrame) -> DataFrame:
     """path, summary from rows of skeletons: classes by name (three, then how many more), else functions, else counts."""
-    names = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("line", "name")))), lambda s: s.name)
+    names = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("line", "name")))), lambda s: s["name"])
     by = skeletons.groupBy("path").agg(names("class").alias("classes"), names("interface").alias("interfaces"), names("function").alias("functions"), F.count("*").alias("n"))
 
     def told(word, c):
