@@ -34,7 +34,7 @@ def _found(query):
 
 QUERIES = {
     "tokenize": lambda s, d: ops.document_tokens(_docs(s, d)).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest")),
-    "doc_freq": lambda s, d: ops.document_frequency(_counts(s, d)).filter("df >= 5"),
+    "doc_freq": lambda s, d: ops.document_frequency(_counts(s, d)).filter("df >= 2"),
     "vocab_idf": lambda s, d: ops.vocabulary(_counts(s, d), _docs(s, d).count()),
     "tfidf_vectors": lambda s, d: _vectors(s, d).select("doc_id", "idx", F.round("weight", 6).alias("weight")),
     "tfidf_search": _similar,
@@ -73,7 +73,7 @@ def _where(condition: str) -> str:
 
 SQL = {
     "tokenize": f"WITH {_TOKENS} SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM toks",
-    "doc_freq": f"WITH {_COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) >= 5",
+    "doc_freq": f"WITH {_COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) >= 2",
     "vocab_idf": f"WITH {_VOCAB} SELECT * FROM vocab",
     "tfidf_vectors": f"WITH {_VECTORS} SELECT doc_id, idx, round(weight, 6) AS weight FROM vectors",
     "tfidf_search": f"""WITH {_VECTORS}, norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY 1),
