@@ -45,10 +45,14 @@ def targets(sources: DataFrame) -> DataFrame:
     return found.withColumn("water", water).select("source", "source_size", "weight", F.least(F.col("water") * F.col("weight"), MOST * F.col("source_size").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
-    """doc_id, source, h (hash), size, source_size, target, copies (0 to 3) of each document."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 64 - BITS)
-    base = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), h.alias("h"), words(F.col(text)).alias("size")))
+def _hash(doc_id: str, text: str, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 64 - BITS)
+
+
+def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> tuple[DataFrame, DataFrame, int]:
+    """The small columns of all documents (doc_id, source, h, size), one row for each source (source_size, target,
+    whole copies, budget beyond these, and the hash below which a document is in it), and the number of sources."""
+    base = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _hash(doc_id, text, seed).alias("h"), words(F.col(text)).alias("size")))
     sources = cut_lineage(
         targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -69,24 +73,28 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     last = base.alias("b").join(small(edge, n).alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")) & (F.col("b.h") == F.col("e.path")))
     last = last.groupBy(F.col("e.source").alias("source"), "e.path", "e.left").agg(F.sum("size").alias("size"))
     thresholds = last.select("source", (F.col("path") + F.when(F.col("left") * 2 >= F.col("size"), 1).otherwise(0)).alias("below"))
-    plan = sources.alias("s").join(small(thresholds, n).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
-    plan = plan.select("s.source", "source_size", "target", "whole", "budget", "below")
+    found = sources.alias("s").join(small(thresholds, n).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
+    return base, cut_lineage(found.select("s.source", "source_size", "target", "whole", "budget", "below")), n
+
+
+def _copies() -> Column:
     more = F.when(F.col("budget") <= 0, 0).otherwise((F.col("h") < F.coalesce(F.col("below"), F.lit(1 << BITS))).cast("int"))
-    return (
-        base.alias("b")
-        .join(small(plan, n).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        .select("b.doc_id", "b.source", "h", "size", "source_size", "target", F.least(F.col("whole") + more, F.lit(MOST)).cast("int").alias("copies"))
-    )
+    return F.least(F.col("whole") + more, F.lit(MOST)).cast("int")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
+    """doc_id, source, h (hash), size, source_size, target, copies (0 to 3) of each document."""
+    base, by_source, n = plan(docs, doc_id, source, text, seed)
+    joined = base.alias("b").join(small(by_source, n).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
+    return joined.select("b.doc_id", "b.source", "h", "size", "source_size", "target", _copies().alias("copies"))
 
 
-def take(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> DataFrame:
+def take(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
     """The documents the mix takes, each as many times as it has copies, with their own columns only.
 
-    Rows meet their decision by source and hash, so repeated ids are no matter.
+    A row meets the plan of its source and compares its own hash, so texts are not shuffled.
     """
-    names = docs.columns
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 64 - BITS)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), h.alias("h"), F.col("source").alias("src"))
-    plan = mixed.groupBy("source", "h").agg(F.first("copies").alias("copies")).filter("copies > 0")
-    found = rows.join(plan, rows.src.eqNullSafe(plan.source) & (rows.h == plan.h))
+    _, by_source, n = plan(docs, doc_id, source, text, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(doc_id, text, seed).alias("h"), F.col(source).alias("src"))
+    found = rows.join(small(by_source, n), F.col("src").eqNullSafe(F.col("source"))).select("row", _copies().alias("copies")).filter("copies > 0")
     return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -49,7 +49,7 @@ def test_take_repeats_rows_and_keeps_their_columns(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "q", None), (3, None, "t"), (4, "d " * 30, "t")]
     docs = frame(spark, rows).withColumnRenamed("size", "copies")
     mixed = mixing.mix(docs)
-    got = mixing.take(docs, mixed)
+    got = mixing.take(docs)
     assert got.columns == docs.columns
     want = sum(r.copies for r in mixed.collect())
     assert got.count() == want
