@@ -48,7 +48,7 @@ def signature(text: str | None) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, penalty: float = 3e-5) -> tuple[np.ndarray, float]:
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.1, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias from 0/1 rows of positives p and unlabelled u, by Adam with a proximal L1 step."""
     n = p.shape[1]
     w, m, v = (np.zeros(n + 1, dtype=np.float32) for _ in range(3))
