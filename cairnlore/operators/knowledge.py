@@ -214,6 +214,13 @@ def message_warnings(commits: DataFrame, key: str = "commit", message: str = "me
     return plain.unionByName(hard).filter("title IS NOT NULL")
 
 
+def pull_request_items(bodies: DataFrame, key: str = "id", body: str = "body") -> DataFrame:
+    """key, section (decisions, warnings), item: bullet lines below these headers, up to the next header."""
+    parts = bodies.select(F.col(key), F.explode(F.split(body, r"(?m)^(?=##+[ \t])")).alias("p"))
+    parts = parts.select(key, F.lower(F.regexp_extract("p", r"^##+[ \t]+(\w+)", 1)).alias("section"), "p").filter(F.col("section").isin("decisions", "warnings"))
+    return parts.select(key, "section", F.explode(F.regexp_extract_all("p", F.lit(r"(?m)^[ \t]*[-*][ \t]+(\S.*)$"), F.lit(1))).alias("item")).withColumn("item", F.trim("item"))
+
+
 #: Dependency manifests and names of configuration files.
 MANIFESTS = ["package.json", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock", "requirements.txt", "Pipfile", "pyproject.toml", "Gemfile", "Gemfile.lock", "pom.xml", "build.gradle", "composer.json", "pubspec.yaml"]
 CONFIGURATION = [".env", "Dockerfile", "docker-compose", ".yml", ".yaml", "tsconfig", "webpack", "vite.config", "next.config", ".eslintrc", "Makefile", "CMakeLists"]

@@ -123,6 +123,12 @@ def test_commit_messages(spark):
     assert sorted((r.title, r.severity) for r in knowledge.message_warnings(df).collect()) == [("gone", "critical"), ("hot", "critical"), ("slow", "warning"), ("small", "info")]
 
 
+def test_pull_request_items(spark):
+    body = "intro\n- no\n## Decisions\n- use one parser \n* keep it\ntext\n### Notes\n- not this\n## warnings\n  - slow start\n"
+    got = knowledge.pull_request_items(spark.createDataFrame([(1, body), (2, None)], "id long, body string")).collect()
+    assert sorted((r.section, r["item"]) for r in got) == [("decisions", "keep it"), ("decisions", "use one parser"), ("warnings", "slow start")]
+
+
 FILES = [
     ("a/user.ts", "import { X } from './x';\nimport React from \"react\";\nconst y = require('../y');\n@Controller('users')\nexport class UserController {\n  @Get(':id')\n  async find(id: string): Promise<User> {\n    return process.env.DB_URL;\n  }\n}\nexport interface User {\n  id: string;\n  name?: string;\n}\nexport enum Role { Admin, Guest = 'g' }\nexport const add = (a: number) => a + 1;\nthis.bus.emit('user.created', u);\n"),
     ("b/main.go", "package main\nimport (\n\t\"fmt\"\n\t\"os\"\n)\ntype Store struct {\n\tName string `gorm:\"column:name\"`\n}\nfunc (s *Store) Save(x int) error {\n\treturn nil\n}\nfunc main() {\n\tr.GET(\"/ping\", h)\n\tos.Getenv(\"PORT\")\n}\n"),
