@@ -27,6 +27,9 @@ CACHE_ENTRIES, CACHE_LENGTH = 1 << 18, 48
 SLICE_ROWS = 256
 #: Bytes up to which a fragment is merged, and cut, by plain loops.
 SHORT = 40
+#: Packing of merges; NONE sorts behind all of them.
+ID_BITS, NONE = 24, 1 << 60
+ID_MASK = (1 << ID_BITS) - 1
 
 
 def default_tokenizer() -> str:
@@ -71,10 +74,11 @@ class Codec:
             inside[list(b[:-1]), list(b[1:])] = True
         self.joined = inside
         self.joins = inside.astype(np.uint8).tobytes()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Of each pair of ids: its rank, then the id it becomes, in one number that sorts by rank.
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.merges.setdefault((vocab[left], vocab[right]), rank << ID_BITS | vocab[left + right])
         self.find = regex.compile(self.PATTERN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
         self.cache: dict[str, bytes] = {}
@@ -99,35 +103,35 @@ class Codec:
         if n <= SHORT:
             return self._few(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right, new = heapq.heappop(heap)
-            j = after[i]
+            m, i, left, right = heapq.heappop(heap)
+            j, new = after[i], m & ID_MASK
             if ids[i] != left or j >= n or ids[j] != right:
                 continue
             ids[i], ids[j] = new, None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                if (m := merges.get((new, ids[k]))) is not None:
+                    heapq.heappush(heap, (m, i, new, ids[k]))
+            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))) is not None:
+                heapq.heappush(heap, (m, h, ids[h], new))
         return [x for x in ids if x is not None]
 
     def _few(self, ids: list[int]) -> list[int]:
         """The same for few ids: each merge looks at all pairs again, which is cheaper than a heap here."""
         rank = self.merges.get
-        found = [rank(p) for p in zip(ids, ids[1:])]
-        while best := min(filter(None, found), default=None):
+        found = [rank(p, NONE) for p in zip(ids, ids[1:])]
+        while found and (best := min(found)) != NONE:
             i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+            ids[i : i + 2] = [best & ID_MASK]
             del found[i]
             if i < len(found):
-                found[i] = rank((ids[i], ids[i + 1]))
+                found[i] = rank((ids[i], ids[i + 1]), NONE)
             if i:
-                found[i - 1] = rank((ids[i - 1], ids[i]))
+                found[i - 1] = rank((ids[i - 1], ids[i]), NONE)
         return ids
 
     def pre_token(self, word: str) -> bytes:
