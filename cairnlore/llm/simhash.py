@@ -301,13 +301,13 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
     return docs.join(whole, docs.fingerprint == whole.fp).select("doc_id", "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=classes, mark=fingerprint) -> DataFrame:
     """The documents that give their component its id, one row each, with all their columns.
 
     Of rows that share this id the one with the smallest hash of all columns stays. Rows with a null id stay only
-    where a whole component has none.
+    where a whole component has none. find gives doc_id, fingerprint and component_id; mark the fingerprints alone.
     """
-    found = classes(docs, doc_id, text, radius)
+    found = find(docs, doc_id, text)
     kept = cut_lineage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")).agg(F.count("*").alias("__n")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__doc"))
     ids = kept.groupBy("__id").agg(F.sum("__n").alias("__n"))
@@ -317,7 +317,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
         return single
     # Ids on several rows: the fingerprint tells which rows belong to the component, and one of them stays.
     again = rows.join(many, rows["__doc"].eqNullSafe(many["__id"]), "left_semi")
-    again = fingerprint(again.select("__row", F.col("__row." + text).alias("__text")).select("__row", "__text"), ["__row"], "__text")
+    again = mark(again.select("__row", F.col("__row." + text).alias("__text")).select("__row", "__text"), ["__row"], "__text")
     again = again.withColumn("__doc", F.col("__row." + doc_id)).join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__fp")), "left_semi")
     first = W.partitionBy("__doc").orderBy(F.xxhash64("__row"), F.to_json("__row"))
     return single.unionByName(again.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select("__row.*"))
