@@ -76,37 +76,57 @@ def mod97(compact: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    """array<struct<match, before, after, start>> of a pattern's matches, leftmost and non-overlapping."""
+    """array<struct<match, start>> of a pattern's matches, leftmost and non-overlapping."""
     pattern, test = PATTERNS[kind]
-    empty = F.array().cast("array<struct<match:string,before:string,after:string,start:bigint>>")
+    empty = F.array().cast("array<struct<match:string,start:bigint>>")
 
     def placed(s):
         m, p = s.m, s.p
         starts = prefix_sums(F.zip_with(p, m, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0))))
         return F.transform(
-            F.arrays_zip(m.alias("m"), F.slice(p, F.lit(1), F.size(m)).alias("b"), F.slice(p, F.lit(2), F.size(m)).alias("a"), F.slice(starts, F.lit(1), F.size(m)).alias("s")),
-            lambda z: F.struct(z.m.alias("match"), F.right(z.b, F.lit(NEAR)).alias("before"), F.left(z.a, F.lit(NEAR)).alias("after"), (z.s + F.length(z.b)).alias("start")),
+            F.arrays_zip(m.alias("m"), F.slice(p, F.lit(1), F.size(m)).alias("b"), F.slice(starts, F.lit(1), F.size(m)).alias("s")),
+            lambda z: F.struct(z.m.alias("match"), (z.s + F.length(z.b)).alias("start")),
         )
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     return F.when(text.rlike(test), let(parts, placed)).otherwise(empty)
 
 
-def _span(kind: str, x: Column, length: Column) -> Column:
-    near = F.lower(F.concat(x.before, F.lit(" \n "), x.after))
-    score = F.lit(PRIOR[kind]) + F.when(near.rlike(RAISE[kind]), UP).otherwise(0.0)
-    if kind in LOWER:
-        score = score - F.when(near.rlike(LOWER[kind]), DOWN).otherwise(0.0)
-    return F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), (x.start + length).alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+def _cut(wide: Column, start: Column, n: Column) -> Column:
+    """n code points from start of a text in UTF-32, where any place is reached at once."""
+    first = F.encode(F.lit("x"), "UTF-32")  # see chat.masked_texts
+    return F.substr(F.decode(F.concat(first, F.substr(wide, (start * 4 + 1).cast("int"), (n * 4).cast("int"))), "UTF-32"), F.lit(2))
 
 
-def _iban(x: Column) -> Column:
-    """The span of a confirmed IBAN, of its country's length: what the pattern takes behind it is left. Else null."""
-    compact = F.regexp_replace(x.match, " ", "")
-    size = F.try_element_at(F.create_map(*[F.lit(v) for kv in IBAN_LENGTH.items() for v in kv]), F.substring(x.match, 1, 2))
-    own = F.get(F.regexp_extract_all(x.match, F.concat(F.lit(r"^(?:\x20?[A-Z0-9]){"), size.cast("string"), F.lit("}")), F.lit(0)), 0)
-    ok = size.isNotNull() & (F.length(compact) >= size) & mod97(F.substr(compact, F.lit(1), size))
-    return F.when(F.coalesce(ok, F.lit(False)), _span("iban", x, F.length(own)))
+def _placed(text: Column, kind: str, hits: Column, length) -> Column:
+    """The spans of confirmed hits, scored by the words within NEAR code points of the whole text on either side."""
+
+    def span(wide, x):
+        low, end = F.greatest(x.start - NEAR, F.lit(0)), x.start + length(x)
+        near = F.lower(F.concat(_cut(wide, low, x.start - low), F.lit(" \n "), _cut(wide, end, F.lit(NEAR))))
+        score = F.lit(PRIOR[kind]) + F.when(near.rlike(RAISE[kind]), UP).otherwise(0.0)
+        if kind in LOWER:
+            score = score - F.when(near.rlike(LOWER[kind]), DOWN).otherwise(0.0)
+        return F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), end.alias("end"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
+
+    def placed(hits):
+        parts = F.struct(hits.alias("hits"), F.when(F.size(hits) > 0, F.encode(text, "UTF-32")).alias("wide"))
+        return let(parts, lambda s: F.transform(s.hits, lambda x: span(s.wide, x)))
+
+    return let(hits, placed)
+
+
+def _ibans(hits: Column) -> Column:
+    """Confirmed IBANs as struct<match, start>, of their country's length: what the pattern takes behind is left."""
+
+    def own(x):
+        compact = F.regexp_replace(x.match, " ", "")
+        size = F.try_element_at(F.create_map(*[F.lit(v) for kv in IBAN_LENGTH.items() for v in kv]), F.substring(x.match, 1, 2))
+        match = F.get(F.regexp_extract_all(x.match, F.concat(F.lit(r"^(?:\x20?[A-Z0-9]){"), size.cast("string"), F.lit("}")), F.lit(0)), 0)
+        ok = size.isNotNull() & (F.length(compact) >= size) & mod97(F.substr(compact, F.lit(1), size))
+        return F.when(F.coalesce(ok, F.lit(False)), F.struct(match.alias("match"), x.start.alias("start")))
+
+    return F.filter(F.transform(hits, own), lambda x: x.isNotNull())
 
 
 def spans(text: Column) -> Column:
@@ -121,15 +141,14 @@ def spans(text: Column) -> Column:
     }
 
     def plain(kind):
-        hits = F.filter(_found(whole, kind), lambda x: valid[kind](x.match))
-        return F.transform(hits, lambda x: _span(kind, x, F.length(x.match)))
+        return _placed(whole, kind, F.filter(_found(whole, kind), lambda x: valid[kind](x.match)), lambda x: F.length(x.match))
 
     def cards(low, high, kind, hits):
         good = F.filter(hits, lambda x: F.when(F.length(_digits(x.match)).between(low, high), luhn(_digits(x.match))).otherwise(False))
-        return F.transform(good, lambda x: _span(kind, x, F.length(x.match)))
+        return _placed(whole, kind, good, lambda x: F.length(x.match))
 
     both = let(_found(whole, "card"), lambda hits: F.struct(cards(16, 19, "card", hits).alias("card"), cards(13, 15, "short_card", hits).alias("short")))
-    ibans = F.filter(F.transform(_found(whole, "iban"), _iban), lambda x: x.isNotNull())
+    ibans = _placed(whole, "iban", _ibans(_found(whole, "iban")), lambda x: F.length(x.match))
     likely = lambda xs: F.filter(xs, lambda x: x.score >= THRESHOLD)
     return let(both, lambda c: F.concat(plain("email"), plain("ip"), c.card, plain("phone"), likely(ibans), likely(plain("ssn")), likely(c.short)))
 
@@ -152,8 +171,7 @@ def masked(text: Column, found: Column) -> Column:
         return F.zip_with(starts, ends, lambda s, e: F.struct(s.at.alias("start"), e.at.alias("end"), s.kind.alias("kind")))
 
     def rebuilt(s):
-        first = F.encode(F.lit("x"), "UTF-32")  # see chat.masked_texts
-        cut = lambda a, n: F.substr(F.decode(F.concat(first, F.substr(s.wide, (a * 4 + 1).cast("int"), (n * 4).cast("int"))), "UTF-32"), F.lit(2))
+        cut = lambda a, n: _cut(s.wide, a, n)
         before = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(s.regions, lambda r: r.end))
         pieces = F.zip_with(s.regions, F.slice(before, F.lit(1), F.size(s.regions)), lambda r, b: F.concat(cut(b, r.start - b), F.lit("["), F.upper(r.kind), F.lit("]")))
         tail = F.element_at(before, -1)

@@ -71,3 +71,20 @@ def test_query_digests(spark, sf_dir):
 
 def test_empty(spark):
     assert pii.mask(spark.createDataFrame([], "text string")).count() == 0
+
+
+def found(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.spans(F.col("text")).alias("s")).collect()
+    return {r.text: [(s.kind, r.text[s.start : s.end]) for s in r.s] for r in rows}
+
+
+def test_context_is_read_across_other_matches(spark):
+    cases = {
+        "SSN 123-45-6789, 234-56-7890": [("ssn", "123-45-6789"), ("ssn", "234-56-7890")],
+        "é🙂 123-45-6789; 234-56-7890; SSN": [("ssn", "123-45-6789"), ("ssn", "234-56-7890")],
+        "amex card valid 2027: 378282246310005": [("short_card", "378282246310005")],
+        "378282246310005 12 34 (amex)": [],
+        "378282246310005, 12, 34 (amex)": [("short_card", "378282246310005")],
+        "SSN" + " " * 49 + "123-45-6789": [],
+    }
+    assert found(spark, cases) == cases
