@@ -3,7 +3,8 @@
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for IBANs, number ranges for
 addresses), and words nearby adjust a score. Spans of the four plain kinds stay whenever they are valid; the other
 kinds stay if their score reaches the threshold. Patterns are possessive and anchored at the start of a run, so
-that long runs of digits or letters are passed once; they match what the plain forms beside them match.
+that long runs of digits or letters are passed once; they match what the plain forms beside them match. An IBAN is
+tried at every possible start, whatever was tried before it.
 
 Positions come from splitting the text at the matches and summing lengths, in code points, end exclusive.
 
@@ -27,7 +28,7 @@ PATTERNS = {
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]++\.[0-9]"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
+    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
 }
 BASE = ["email", "ip", "card", "phone"]
@@ -46,11 +47,17 @@ RAISE = {
 }
 LOWER = {"ip": r"version|release", "iban": r"\b(?:serial|part) ", "ssn": r"\b(?:order|part|invoice) ", "short_card": r"\b(?:order|invoice|isbn|serial) "}
 UP, DOWN, THRESHOLD, NEAR = 0.3, 0.3, 0.6, 48
-#: Lengths of IBANs by country.
+#: Lengths of IBANs by country, from the IBAN registry.
 IBAN_LENGTH = {
-    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
-    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20,
-    "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+    "YE": 30,
 }
 
 
@@ -76,19 +83,21 @@ def mod97(compact: Column) -> Column:
 
 
 def _found(text: Column, kind: str) -> Column:
-    """array<struct<match, start>> of a pattern's matches, leftmost and non-overlapping."""
+    """array<struct<match, start>> of a pattern's matches, leftmost and non-overlapping. An IBAN's pattern takes the first
+    four characters only and looks ahead for the others (group 1), so that each possible start is a match of its own."""
     pattern, test = PATTERNS[kind]
+    ahead = kind == "iban"
     empty = F.array().cast("array<struct<match:string,start:bigint>>")
 
     def placed(s):
         m, p = s.m, s.p
-        starts = prefix_sums(F.zip_with(p, m, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0))))
+        starts = prefix_sums(F.zip_with(p, m, lambda a, b: F.length(a) + F.coalesce(F.lit(4) if ahead else F.length(b), F.lit(0))))
         return F.transform(
             F.arrays_zip(m.alias("m"), F.slice(p, F.lit(1), F.size(m)).alias("b"), F.slice(starts, F.lit(1), F.size(m)).alias("s")),
             lambda z: F.struct(z.m.alias("match"), (z.s + F.length(z.b)).alias("start")),
         )
 
-    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(int(ahead))).alias("m"), F.split(text, pattern, -1).alias("p"))
     return F.when(text.rlike(test), let(parts, placed)).otherwise(empty)
 
 
@@ -117,7 +126,7 @@ def _placed(text: Column, kind: str, hits: Column, length) -> Column:
 
 
 def _ibans(hits: Column) -> Column:
-    """Confirmed IBANs as struct<match, start>, of their country's length: what the pattern takes behind is left."""
+    """Confirmed IBANs as struct<match, start>, of their country's length: leftmost and non-overlapping ones."""
 
     def own(x):
         compact = F.regexp_replace(x.match, " ", "")
@@ -126,7 +135,13 @@ def _ibans(hits: Column) -> Column:
         ok = size.isNotNull() & (F.length(compact) >= size) & mod97(F.substr(compact, F.lit(1), size))
         return F.when(F.coalesce(ok, F.lit(False)), F.struct(match.alias("match"), x.start.alias("start")))
 
-    return F.filter(F.transform(hits, own), lambda x: x.isNotNull())
+    def apart(good):
+        end = lambda x: x.start + F.length(x.match)
+        empty = F.slice(good, F.lit(1), F.lit(0))
+        kept = F.aggregate(good, empty, lambda acc, x: F.when((F.size(acc) == 0) | (end(F.element_at(acc, -1)) <= x.start), F.concat(acc, F.array(x))).otherwise(acc))
+        return F.when(F.size(good) > 1, kept).otherwise(good)
+
+    return let(F.filter(F.transform(hits, own), lambda x: x.isNotNull()), apart)
 
 
 def spans(text: Column) -> Column:

@@ -88,3 +88,24 @@ def test_context_is_read_across_other_matches(spark):
         "SSN" + " " * 49 + "123-45-6789": [],
     }
     assert found(spark, cases) == cases
+
+
+def iban(country, bban):
+    number = int("".join(str(int(c, 36)) for c in bban + country + "00"))
+    return f"{country}{98 - number % 97:02d}{bban}"
+
+
+def test_ibans_at_every_start(spark):
+    de, fr = "DE89370400440532013000", "FR1420041010050500013M02606"
+    more = [iban("TR", "0006100519786457841326"), iban("SA", "80000000608010167519"), iban("AE", "0331234567890123456"), iban("BR", "00360305000010009795493C1"), iban("UA", "3223130000026007233566001"), iban("RU", "0445252254070281041234567890P")]
+    cases = {
+        f"{de} {fr}": [("iban", de), ("iban", fr)],
+        f"AB12 {de}": [("iban", de)],
+        f"é AB12 CD34 EF56 {de} X {de}": [("iban", de), ("iban", de)],
+        f"{fr} THE {de} END": [("iban", fr), ("iban", de)],
+        **{x: [("iban", x)] for x in more},
+        f"TR34{more[0][4:]}": [],
+        "AB12 " * 20_000: [],
+    }
+    got = found(spark, cases)
+    assert {t: [x for x in s if x[0] == "iban"] for t, s in got.items()} == cases
