@@ -11,8 +11,9 @@ the one that completes the support form the subset, so nothing is sorted or gath
 Statistics are integers in units of 1/1024, so sums are exact and do not depend on partitioning.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources form groups of their
-own; a group with fewer than `least` rows past the base rules has no estimate and rejects none of them; repeated
-rows get equal verdicts; an empty table gives no rows.
+own; a group with fewer than `least` rows past the base rules is tested by the estimate of its language over all
+sources, or of all rows where the language has too few; `distance` is the one to a group's own estimate, null
+where there is none; repeated rows get equal verdicts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -120,13 +121,13 @@ def _distance(v: Column, mu: Column, precision: Column) -> Column:
     return let(d, lambda d: F.aggregate(F.transform(precision, lambda q, k: q * F.get(d, F.floor(k / P).cast("int")) * F.get(d, F.pmod(k, F.lit(P)).cast("int"))), F.lit(0.0), lambda a, x: a + x))
 
 
-def _params(key: tuple, n: int, mu: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    cov = cov + np.diag(np.square(FLOOR))
+def _params(key: tuple, n: int, mu: np.ndarray, cov: np.ndarray, floor: float = 1.0) -> pd.DataFrame:
+    cov = cov + floor * np.diag(np.square(FLOOR))
     return pd.DataFrame([[*key, int(n), mu.tolist(), np.linalg.inv(cov).ravel().tolist()]], columns=["lang", "source", "n", "mu", "precision"])
 
 
-def robust_estimates(rows: DataFrame, support: float = 0.6, steps: int = 4, least: int = 40) -> DataFrame:
-    """lang, source, n, mu, precision by MCD over rows of lang, source, v; groups under `least` rows are left out.
+def robust_estimates(rows: DataFrame, support: float = 0.6, steps: int = 4, floor: float = 1.0) -> DataFrame:
+    """lang, source, n, mu, precision by MCD over rows of lang, source, v, for groups of any size. n counts a group's rows.
 
     Start: medians and quartile spreads, from exact histograms of each coordinate. Then `steps` concentration steps.
     """
@@ -137,7 +138,7 @@ def robust_estimates(rows: DataFrame, support: float = 0.6, steps: int = 4, leas
             upto, n = own["count"].cumsum().to_numpy(), int(own["count"].sum())
             low, mid, high = (own["value"].iloc[int(np.searchsorted(upto, q * n))] * 16.0 / UNIT for q in (0.25, 0.5, 0.75))
             mu[k], sd[k] = mid, (high - low) / 1.35
-        return _params(key, n, mu, np.diag(sd**2))
+        return _params(key, n, mu, np.diag(sd**2), floor)
 
     bins = rows.select("lang", "source", F.posexplode("v").alias("k", "x")).groupBy("lang", "source", "k", F.floor(F.col("x") / 16).alias("value")).count()
     found = bins.groupBy("lang", "source").applyInPandas(start, _PARAMS)
@@ -156,12 +157,50 @@ def robust_estimates(rows: DataFrame, support: float = 0.6, steps: int = 4, leas
         cov = np.zeros((P, P))
         for (i, j), q in zip(_PAIRS, total[P:]):
             cov[i, j] = cov[j, i] = q / m / UNIT**2 - mu[i] * mu[j]
-        return _params(key, int(upto[-1]), mu, cov / _shrinkage(support))
+        return _params(key, int(upto[-1]), mu, cov / _shrinkage(support), floor)
 
     for _ in range(steps):
         near = _with(rows, found, groups).select("lang", "source", "v", F.floor(16 * F.log1p(_distance(F.col("v"), F.col("mu"), F.col("precision")))).cast("int").alias("bin"))
         found = near.groupBy("lang", "source", "bin").agg(F.count("*").alias("count"), *sums).groupBy("lang", "source").applyInPandas(step, _PARAMS)
-    return found.filter(F.col("n") >= least)
+    return found
+
+
+def estimates(rows: DataFrame, least: int = 40) -> DataFrame:
+    """lang, source, mu, precision, own of every group of rows (lang, source, v): by MCD over the group, over its
+    language if it has fewer than `least` rows, over all rows if the language has fewer too.
+
+    If there are fewer than `least` rows in all, the floors are widened in proportion, so that few texts reject none
+    but the grossest of them.
+    """
+    groups = cut_lineage(rows.groupBy("lang", "source").agg(F.count("*").alias("n")))
+    languages = groups.groupBy("lang").agg(F.sum("n").alias("rows"), F.min("n").alias("fewest"))
+    counted = languages.agg(F.sum("rows").alias("rows"), F.min("rows").alias("fewest_rows"), F.min("fewest").alias("fewest")).first()
+    columns = ["lang", "source", "mu", "precision", "own"]
+    large = groups.filter(F.col("n") >= least)
+    if counted.rows is None or counted.fewest >= least:
+        return robust_estimates(rows).withColumn("own", F.lit(True)).select(columns)
+    found = robust_estimates(_of(rows, large, ["lang", "source"])).withColumn("own", F.lit(True)).select(columns)
+    small_groups = groups.filter(F.col("n") < least).select("lang", "source")
+    nothing = F.lit(None).cast("string")
+    # Languages with a small group and enough rows of all sources.
+    able = languages.filter((F.col("fewest") < least) & (F.col("rows") >= least)).select("lang")
+    pooled = robust_estimates(_of(rows, able, ["lang"]).withColumn("source", nothing)).select(F.col("lang").alias("p_lang"), "mu", "precision")
+    by_language = small_groups.join(pooled, F.col("lang").eqNullSafe(F.col("p_lang"))).withColumn("own", F.lit(False)).select(columns)
+    found = found.union(by_language)
+    if counted.fewest_rows < least:
+        rare = small_groups.join(languages.filter(F.col("rows") < least).select(F.col("lang").alias("p_lang")), F.col("lang").eqNullSafe(F.col("p_lang")), "left_semi")
+        every = robust_estimates(rows.withColumn("lang", nothing).withColumn("source", nothing), floor=max(1.0, least / counted.rows)).select("mu", "precision")
+        found = found.union(rare.crossJoin(every).withColumn("own", F.lit(False)).select(columns))
+    return found
+
+
+def _of(rows: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of the groups, null names included."""
+    g = groups.select(*[F.col(c).alias(f"g_{c}") for c in names])
+    on = F.lit(True)
+    for c in names:
+        on = on & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    return rows.join(g, on, "left_semi")
 
 
 def _shrinkage(support: float) -> float:
@@ -178,15 +217,15 @@ def _with(rows: DataFrame, params: DataFrame, groups: int) -> DataFrame:
 
 
 def verdicts(df: DataFrame, keep: list[str], text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 40.0) -> DataFrame:
-    """keep, the counts, base_failed, distance (null where there is no estimate) and kept."""
+    """keep, the counts, base_failed, distance (null where the group has no estimate of its own) and kept."""
     named = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("t"))
     own = [f"k{i}" for i in range(len(keep))]
     rows = cut_lineage(with_counts(named, [*own, "lang", "source"], "t").withColumn("base_failed", base_failed()).withColumn("v", _features()))
     good = rows.filter(~F.col("base_failed")).select("lang", "source", "v")
-    found = cut_lineage(robust_estimates(good))
+    found = cut_lineage(estimates(good))
     out = _with(rows, found, found.count()).withColumn("distance", _distance(F.col("v"), F.col("mu"), F.col("precision")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *COUNTS, "base_failed", F.when(~F.col("base_failed"), F.col("distance")).alias("distance"), kept.alias("kept"))
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], *COUNTS, "base_failed", F.when(~F.col("base_failed") & F.col("own"), F.col("distance")).alias("distance"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = 40.0) -> DataFrame:
@@ -194,6 +233,6 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__t"), F.col(lang).alias("__l"), F.col(source).alias("__s"))
     rows = with_counts(whole, ["__row", "__l", "__s"], "__t").withColumn("base_failed", base_failed()).filter(~F.col("base_failed")).withColumn("v", _features())
     rows = rows.select("__row", F.col("__l").alias("lang"), F.col("__s").alias("source"), "v")
-    found = cut_lineage(robust_estimates(cut_lineage(rows.select("lang", "source", "v"))))
+    found = cut_lineage(estimates(cut_lineage(rows.select("lang", "source", "v"))))
     out = _with(rows, found, found.count())
     return out.filter(F.coalesce(_distance(F.col("v"), F.col("mu"), F.col("precision")), F.lit(0.0)) <= cutoff).select("__row.*")

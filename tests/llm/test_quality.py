@@ -80,3 +80,17 @@ def test_keep_good_agrees_and_keeps_columns(spark):
     kept = sorted(r.doc_id for r in quality.verdicts(df, ["doc_id"]).filter("kept").collect())
     assert sorted(r.doc_id for r in good.collect()) == kept
     assert quality.keep_good(df.limit(0)).count() == quality.verdicts(df.limit(0), ["doc_id"]).count() == 0
+
+
+def test_small_groups_are_tested_too(spark):
+    rng = random.Random(10)
+    junk = lambda n: " ".join(w + "###" for w in prose(rng, n).split())
+    big = [(i, prose(rng, rng.randint(30, 200)), "en", f"s{i % 2}") for i in range(120)]
+    few = [(1000 + i, prose(rng, 60), lang, source) for i, (lang, source) in enumerate([("en", "rare"), ("xx", "s0"), (None, None), ("en", None)] * 3)]
+    bad = [(2000 + i, junk(60), lang, source) for i, (lang, source) in enumerate([("en", "rare"), ("xx", "s0"), (None, None), ("en", None)])]
+    small = [(i, prose(rng, 60), f"l{i % 5}", "s") for i in range(12)] + [(2000, junk(60), "l1", "s")]
+    for rows in (big + few + bad, small):
+        df = spark.createDataFrame(rows, SCHEMA)
+        kept = {r.doc_id for r in quality.verdicts(df, ["doc_id"]).filter("kept").collect()}
+        assert kept == {r[0] for r in rows if r[0] < 2000}
+        assert {r.doc_id for r in quality.keep_good(df).collect()} == kept
