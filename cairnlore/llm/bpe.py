@@ -14,12 +14,13 @@ import functools
 import heapq
 import json
 import struct
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from .common import mapped
 
 #: Bound of the per-worker memory of encoded pre-tokens, and the longest pre-token (in characters) kept there.
 CACHE_ENTRIES, CACHE_LENGTH = 1 << 18, 48
@@ -170,22 +171,8 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _each(df: DataFrame, column: str, keep: list[str], fields: dict[str, str], of) -> DataFrame:
-    """keep and the fields that of(value) gives for each value of the column; of gets a codec by closure."""
-    kept = df.select(*keep, column) if column not in keep else df.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), *(f"`{n}` {t}" for n, t in fields.items())])
-    types = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
-                found = [of(x) for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-                columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                columns += [pa.array([f[i] for f in found], type=types[t]) for i, t in enumerate(fields.values())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *fields])
-
-    return kept.mapInArrow(run, schema)
+def _columns(rows, n: int) -> list:
+    return [list(c) for c in zip(*rows)] or [[]] * n
 
 
 def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
@@ -196,13 +183,13 @@ def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None
         ids = codec(path).encode(x or "")
         return len(ids) // 4, ids
 
-    return _each(df, text, keep, {"n_tokens": "bigint", "ids": "binary"}, of)
+    return mapped(df, keep, text, {"n_tokens": T.LongType(), "ids": T.BinaryType()}, lambda xs: _columns(map(of, xs), 2), SLICE_ROWS)
 
 
 def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
     """keep and the decoded text of packed ids (null: none)."""
     path = path or default_tokenizer()
-    return _each(df, ids, keep, {"decoded": "string"}, lambda x: (codec(path).decode(x or b""),))
+    return mapped(df, keep, ids, {"decoded": T.StringType()}, lambda xs: [[codec(path).decode(x or b"") for x in xs]], SLICE_ROWS)
 
 
 def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
@@ -213,4 +200,4 @@ def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | N
         ids = codec(path).encode(x or "")
         return len(ids) // 4, ids, codec(path).decode(ids)
 
-    return _each(df, text, keep, {"n_tokens": "bigint", "ids": "binary", "decoded": "string"}, of)
+    return mapped(df, keep, text, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType()}, lambda xs: _columns(map(of, xs), 3), SLICE_ROWS)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Words are runs of anything but ASCII blanks: bytes.split() in Python, this pattern in Java.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, one in the warehouse, which
+    they share too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnlore-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -29,16 +34,68 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared checkpoint folder and read again, so that later passes read the columns
+    they need only."""
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df in one struct."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def mapped(df: DataFrame, keep: list[str], column: str, fields: dict[str, T.DataType], made: Callable[[list], list], rows: int = 256) -> DataFrame:
+    """keep and new fields: made gets the values of `column` of at most `rows` rows and gives a list of values, or an
+    array, for each field. Columns are told apart by place, so that names may clash."""
+    kept = df.select(*[F.col(quoted(k)) for k in keep], F.col(quoted(column)).alias("__value"))
+    schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields.items())])
+    types = [to_arrow_type(t) for t in fields.values()]
+    n, names = len(keep), [*keep, *fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                found = [pa.array(x, type=t) for x, t in zip(made(batch.column(n).to_pylist()), types)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *found], names=names)
+
+    return kept.mapInArrow(run, schema)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once per row: a lambda variable, which Catalyst can't inline again."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def small(df: DataFrame, rows: int, bound: int = 50_000) -> DataFrame:
+#: Rows up to which a counted table of small columns is broadcast.
+BROADCAST = 50_000
+
+
+def small(df: DataFrame, rows: int, bound: int = BROADCAST) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= bound else df
 
 
+#: A key is heavy if it has more than one of so many rows; there are never more heavy keys than this.
+HEAVY = 1000
+
+
+def meet(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined with right, which has one row for each key and, in column n, how many of left's `total` rows have it.
+    The heavy keys, at most HEAVY of them, are broadcast; so no task of the other, shuffled join gets a hot key."""
+    heavy = F.broadcast(right.filter(F.col(n) * HEAVY > total).drop(n))
+    rest = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(n) * HEAVY <= total).drop(n), key)
+    return left.join(heavy, key).unionByName(rest)
+
+
 def prefix_sums(values: Column, block: int = 128) -> Column:
     """Sums of the elements before each element. Two levels of blocks keep the array copies well below quadratic."""
     zero = F.lit(0).cast("bigint")

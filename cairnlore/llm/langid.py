@@ -20,6 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut_lineage, mapped, small
 
 UNDETERMINED = "und"
 WIDTHS, FILTERS, EMBEDDING, WINDOW = (2, 3, 4), 12, 8, 96
@@ -135,17 +138,13 @@ class Tables:
 def sample(df: DataFrame, key: str, text: str = "text", lang: str = "lang", per_class: int = 800, per_text: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Training windows, class numbers and classes from labelled rows.
 
-    About per_class rows of each language, chosen by hash of their key (never more than twice as many in all), give
-    at most per_text windows each, spread over their whole text.
+    About per_class rows of each language, drawn by hash of key and text, give at most per_text windows each, spread
+    over their whole text. Every language is a class, however rare.
     """
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()}
-    classes = sorted(sizes)
-    if not classes:
-        return np.zeros((0, WINDOW), dtype=np.uint8), np.zeros(0, dtype=np.int64), []
-    chance = F.create_map(*[F.lit(v) for c in classes for v in (c, min(1.0, per_class / sizes[c]))])
-    u = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = rows.filter(u < F.try_element_at(chance, F.col("lang"))).select("lang", "text")
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    u = F.pmod(F.xxhash64("key", "text", F.lit(seed)), F.lit(1 << 20))
+    chosen = rows.join(small(sizes, sizes.count()), "lang").filter(u * F.col("n") < (per_class << 20)).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +156,8 @@ def sample(df: DataFrame, key: str, text: str = "text", lang: str = "lang", per_
                     found.append(x[i].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(found, type=pa.binary())], names=["lang", "w"])
 
-    got = chosen.mapInArrow(cut, "lang string, w binary").limit(2 * per_class * per_text * len(classes)).toPandas().sort_values(["lang", "w"])
+    got = chosen.mapInArrow(cut, "lang string, w binary").toPandas().sort_values(["lang", "w"])
+    classes = sorted(got["lang"].unique().tolist())
     x = np.frombuffer(b"".join(bytes(w) for w in got["w"]), dtype=np.uint8).reshape(-1, WINDOW)
     number = {c: i for i, c in enumerate(classes)}
     return x, got["lang"].map(number).to_numpy(dtype=np.int64), classes
@@ -165,30 +165,25 @@ def sample(df: DataFrame, key: str, text: str = "text", lang: str = "lang", per_
 
 def predict(df: DataFrame, keep: list[str], net: Network | None, text: str = "text") -> DataFrame:
     """keep, lang_pred and score of every whole text."""
-    kept = df.select(*keep, text) if text not in keep else df.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "lang_pred string", "score double"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = Tables(net) if net else None
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-                use = [i for i, t in enumerate(texts) if tables and t and any(map(str.isalpha, t))]
-                if use:
-                    cut = [windows(texts[i]) for i in use]
-                    ends = np.cumsum([len(c) for c in cut])
-                    z = np.add.reduceat(tables.log_odds(np.concatenate(cut)).astype(np.float64), np.concatenate([[0], ends[:-1]]), axis=0)
-                    z /= np.diff(np.concatenate([[0], ends]))[:, None]
-                    p = np.exp(z - z.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    for i, row in zip(use, p):
-                        langs[i], scores[i] = net.classes[int(row.argmax())], float(row.max())
-                columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, type=pa.string()), pa.array(scores, type=pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    return kept.mapInArrow(run, schema)
+    held: list[Tables] = []
+
+    def made(texts: list) -> list:
+        if net and not held:  # once in a task
+            held.append(Tables(net))
+        langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        use = [i for i, t in enumerate(texts) if held and t and any(map(str.isalpha, t))]
+        if use:
+            cut = [windows(texts[i]) for i in use]
+            ends = np.cumsum([len(c) for c in cut])
+            z = np.add.reduceat(held[0].log_odds(np.concatenate(cut)).astype(np.float64), np.concatenate([[0], ends[:-1]]), axis=0)
+            z /= np.diff(np.concatenate([[0], ends]))[:, None]
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for i, row in zip(use, p):
+                langs[i], scores[i] = net.classes[int(row.argmax())], float(row.max())
+        return [langs, scores]
+
+    return mapped(df, keep, text, {"lang_pred": T.StringType(), "score": T.DoubleType()}, made)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fold: int = 0, folds: int = 5) -> DataFrame:

@@ -9,8 +9,8 @@ stops at 3 times its source's words and the excess is shared again by weight, un
 the source's words takes whole copies first, and the threshold selects the rest.
 
 Defined results: a null text has size 0; a null source is a source of its own; documents of size 0 are counted in
-their source and take 0 words; repeated rows (equal id and text) have equal hashes and are taken together; a null
-id hashes as null does; an empty table gives no rows.
+their source and take 0 words; repeated rows (equal id and text) have equal hashes, and of those at a boundary as many
+are taken as the target wants; a null id hashes as null does; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut_lineage, small
+from .common import WORD, cut_lineage, quoted, row_of, small
 
 #: Fixed values of the mix: weights by rank of the source, and the most copies of a document.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -46,13 +46,13 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def _hash(doc_id: str, text: str, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), 64 - BITS)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(quoted(doc_id)), F.col(quoted(text))), 64 - BITS)
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> tuple[DataFrame, DataFrame, int]:
     """The small columns of all documents (doc_id, source, h, size), one row for each source (source_size, target,
     whole copies, budget beyond these, and the hash below which a document is in it), and the number of sources."""
-    base = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _hash(doc_id, text, seed).alias("h"), words(F.col(text)).alias("size")))
+    base = cut_lineage(docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("source"), _hash(doc_id, text, seed).alias("h"), words(F.col(quoted(text))).alias("size")))
     sources = cut_lineage(
         targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -68,25 +68,49 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
         before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         crossed = sums.withColumn("before", before).filter(F.col("before") + F.col("size") > F.col("left"))
         edge = cut_lineage(crossed.groupBy("source").agg(F.min_by(F.struct("path", (F.col("left") - F.col("before")).alias("left")), "path").alias("m")).select("source", "m.*"))
-    # The last bucket holds documents of one hash: taken too where that comes nearer to the budget. Sources whose
-    # budget was never crossed (the whole source fits) have no edge.
+    # The last bucket holds rows of one hash, the copies of one row: as many of them are taken as come nearest to the
+    # budget. Sources whose budget was never crossed (the whole source fits) have no edge.
     last = base.alias("b").join(small(edge, n).alias("e"), F.col("b.source").eqNullSafe(F.col("e.source")) & (F.col("b.h") == F.col("e.path")))
-    last = last.groupBy(F.col("e.source").alias("source"), "e.path", "e.left").agg(F.sum("size").alias("size"))
-    thresholds = last.select("source", (F.col("path") + F.when(F.col("left") * 2 >= F.col("size"), 1).otherwise(0)).alias("below"))
+    last = last.groupBy(F.col("e.source").alias("source"), "e.path", "e.left").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    thresholds = last.select("source", F.col("path").alias("below"), "rows", F.round(F.col("left") / F.col("size") * F.col("rows")).cast("bigint").alias("first"))
     found = sources.alias("s").join(small(thresholds, n).alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")), "left")
-    return base, cut_lineage(found.select("s.source", "source_size", "target", "whole", "budget", "below")), n
+    return base, cut_lineage(found.select("s.source", "source_size", "target", "whole", "budget", "below", "rows", "first")), n
 
 
-def _copies() -> Column:
-    more = F.when(F.col("budget") <= 0, 0).otherwise((F.col("h") < F.coalesce(F.col("below"), F.lit(1 << BITS))).cast("int"))
-    return F.least(F.col("whole") + more, F.lit(MOST)).cast("int")
+#: Copies of one row that one task writes.
+BLOCK = 1 << 16
+
+
+def _with_copies(rows: DataFrame, columns: list[str], several: bool) -> DataFrame:
+    """columns and copies (0 to 3) of rows that have met the plan of their source. several: whether at any boundary
+    there is more than one row.
+
+    Rows below the boundary hash are taken once more. Those at the boundary are copies of one row, nothing tells them
+    apart: they are counted and written anew, `first` of them with one copy more.
+    """
+    whole, at = F.col("whole"), F.coalesce(F.col("h") == F.col("below"), F.lit(False)) & (F.col("budget") > 0)
+    copies = lambda more: F.least(whole + more, F.lit(MOST)).cast("int").alias("copies")
+    split = at & (F.col("rows") > 1)
+    alone = F.when(F.col("budget") <= 0, 0).when(at, F.col("first")).otherwise((F.col("h") < F.coalesce(F.col("below"), F.lit(1 << BITS))).cast("int"))
+    if not several:
+        return rows.select(*columns, copies(alone))
+    plain = rows.filter(~split).select(*columns, copies(alone))
+    same = rows.filter(split).groupBy(*columns, "whole", "first", "rows").agg(F.count("*").alias("n"))
+    blocks = same.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(BLOCK).cast("bigint")))).repartition("start")
+    each = blocks.withColumn("i", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + BLOCK, F.col("n")) - 1)))
+    # If different rows share the hash, each gets its part of the copies.
+    return plain.unionByName(each.select(*columns, copies((F.col("i") < F.round(F.col("first") * F.col("n") / F.col("rows"))).cast("int"))))
+
+
+def _several(by_source: DataFrame) -> bool:
+    return not by_source.filter("rows > 1").isEmpty()
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
     """doc_id, source, h (hash), size, source_size, target, copies (0 to 3) of each document."""
     base, by_source, n = plan(docs, doc_id, source, text, seed)
-    joined = base.alias("b").join(small(by_source, n).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-    return joined.select("b.doc_id", "b.source", "h", "size", "source_size", "target", _copies().alias("copies"))
+    joined = base.join(small(by_source.withColumnRenamed("source", "p_source"), n), F.col("source").eqNullSafe(F.col("p_source")))
+    return _with_copies(joined, ["doc_id", "source", "h", "size", "source_size", "target"], _several(by_source))
 
 
 def take(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
@@ -95,6 +119,6 @@ def take(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     A row meets the plan of its source and compares its own hash, so texts are not shuffled.
     """
     _, by_source, n = plan(docs, doc_id, source, text, seed)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _hash(doc_id, text, seed).alias("h"), F.col(source).alias("src"))
-    found = rows.join(small(by_source, n), F.col("src").eqNullSafe(F.col("source"))).select("row", _copies().alias("copies")).filter("copies > 0")
+    rows = docs.select(row_of(docs).alias("row"), _hash(doc_id, text, seed).alias("h"), F.col(quoted(source)).alias("src"))
+    found = _with_copies(rows.join(small(by_source, n), F.col("src").eqNullSafe(F.col("source"))), ["row"], _several(by_source)).filter("copies > 0")
     return found.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -1,19 +1,24 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-A table hashes a unit vector x to the cells floor((a_k . x + b_k) / w) of several Gaussian projections (2-stable:
-their differences are spread as the distance is). A query visits its own bucket and perturbed ones, in the order of
-their estimated success: the squared distances from its projections to the borders crossed, summed, least first.
-Candidates of all tables are merged and reranked by exact cosine in double precision on the original vectors.
+A table hashes a unit vector x to the cells floor((a_k . x + b_k) / w) of m Gaussian projections (2-stable: their
+differences are spread as the distance is). A query visits its own bucket and perturbed ones, in the order of their
+estimated success: the squared distances from its projections to the borders crossed, summed, least first. Candidates
+of all tables are merged and ranked by exact cosine in double precision on the original vectors.
 
-The number of projections grows with the logarithm of the rows and the number of probes with it, so that buckets
-stay small and recall holds. Buckets meet the queries that probe them in Spark partitions by bucket; a bucket of
-many rows is split by vector id and met in each part. A part returns the best k for each query, never all pairs.
-Equal vectors only differ by id, so a query needs no more than the k + 1 smallest ids of each: the others are left
-out before hashing, exactly.
+m and the number of probes are fitted: for a bounded sample of queries the true neighbours are found by a scan in
+blocks; of all m, with as many probes as reach `recall` for these, the one with the least work is taken. The work is
+the share of a bounded background sample that is visited, times the rows, and the probes themselves. Every row is
+indexed, whatever the sample.
+
+A bucket of many rows is split by vector id and met in each part. Spark partitions hold whole bucket parts; a task
+keeps the rows of one shard (about SHARD) in memory and passes the queries that come to it in batches, so its memory
+depends neither on the rows nor on the queries. A shard returns the best k for each query, never all pairs, in order of
+the exact score and the id: ties are settled before anything is left out. A query that found fewer than k takes all
+rows, in parts.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components
 take no part; repeated rows (equal id and vector) count once; ids null take no part; ties go to the smaller id; a
-query without any candidate has no row; an empty table gives no rows.
+query without any other row has no result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,29 +31,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut_lineage, let, small
+from .common import cut_lineage, quoted, small
 
-#: Rows of a bucket that meet their queries in one part.
-PART = 8192
+#: Rows of a bucket that meet their queries in one part, and bucket rows of a shard (on average).
+PART, SHARD = 8192, 32768
+#: The tables, the width of their cells (unit vectors lie at most 2 apart), and most probes of a table.
+TABLES, WIDTH, MOST_PROBES = 8, 3.0, 256
+#: Bounds of the samples that m and the probes are fitted on, and the recall they are fitted for.
+SAMPLE_QUERIES, SAMPLE_ROWS, RECALL = 64, 4096, 0.95
+#: Work of a probe in compared rows.
+PROBE_COST = 4
+#: Queries of a step against a shard.
+STEP = 256
 
 
 class Hashing:
-    """The tables of one dimension and size, the same wherever they are made."""
-
-    def __init__(self, dim: int, rows: int, tables: int = 4, width: float = 2.0, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        # Below 200 rows there are no projections: one bucket, an exact search.
-        self.m = int(min(round(np.log2(rows) / 2), 14)) if rows >= 200 else 0
-        self.probes = 2**self.m
-        self.tables, self.width = tables, width
-        self.a = rng.standard_normal((tables, dim, self.m))
-        self.b = rng.random((tables, self.m)) * width
-        self.mix = rng.integers(1, 2**62, self.m, dtype=np.int64) | 1
+    """The tables of one dimension, the same wherever they are made. Without projections (m = 0) all is one bucket."""
+
+    def __init__(self, dim: int, m: int, probes: int = 1, tables: int = TABLES, seed: int = 11):
+        rng = np.random.default_rng(seed + m)
+        self.m, self.probes, self.tables = m, probes, tables
+        self.a = rng.standard_normal((tables, dim, m))
+        self.b = rng.random((tables, m)) * WIDTH
+        self.mix = rng.integers(1, 2**62, m, dtype=np.int64) | 1
 
     def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tables, n, m) cells and where in them, from 0 to 1, the unit vectors lie."""
-        at = (np.einsum("nd,tdm->tnm", x, self.a) + self.b[:, None, :]) / self.width
+        at = (np.einsum("nd,tdm->tnm", x, self.a, optimize=True) + self.b[:, None, :]) / WIDTH
         cell = np.floor(at).astype(np.int64)
         return cell, at - cell
 
@@ -78,83 +89,219 @@ class Hashing:
                 n += 1
         return out[:n]
 
+    def first_probe(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """(queries, rows): the earliest probe, over all tables, that meets each of a query's rows (queries, rows, dim);
+        `probes` where none does."""
+        out = np.full(rows.shape[:2], self.probes)
+        cells, inside = self.cells(queries)
+        there = self.cells(rows.reshape(-1, rows.shape[-1]))[0].reshape(self.tables, *rows.shape[:2], self.m)
+        power = 3 ** np.arange(self.m)
+        for t in range(self.tables):
+            for i in range(len(queries)):
+                code = ((self.order(inside[t, i]) + 1) * power).sum(axis=1)
+                by = np.argsort(code)
+                step = there[t, i] - cells[t, i]
+                near = (np.abs(step) <= 1).all(axis=1)
+                want = ((np.clip(step, -1, 1) + 1) * power).sum(axis=1)
+                place = np.minimum(np.searchsorted(code[by], want), len(by) - 1)
+                hit = near & (code[by][place] == want)
+                out[i] = np.minimum(out[i], np.where(hit, by[place], self.probes))
+        return out
+
+
+def fitted(queries: np.ndarray, neighbours: np.ndarray, background: np.ndarray, rows: int, recall: float = RECALL) -> tuple[Hashing, float]:
+    """The hashing with the least work, and the share of the rows that it visits. queries (q, d), their true neighbours
+    (q, k, d) and background (n, d) are units. Each query is compared with its part of the background."""
+    best = None
+    each = background[: len(background) // len(queries) * len(queries)].reshape(len(queries), -1, background.shape[1])
+    k = neighbours.shape[1]
+    for m in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20, 24):
+        most = min(3**m, MOST_PROBES)
+        first = Hashing(queries.shape[1], m, most)
+        first = first.first_probe(queries, np.concatenate([neighbours, each], axis=1))
+        reached = np.sort(first[:, :k].ravel())
+        need = int(reached[int(np.ceil(recall * reached.size)) - 1]) + 1
+        if need > most and m < 8:
+            continue
+        share = float((first[:, k:] < need).mean()) if each.shape[1] else 1.0
+        work = share * rows + PROBE_COST * need * TABLES
+        if best and (need > most or work > 1.2 * best[0]):
+            break  # more projections need still more probes
+        if need <= most and (best is None or work < best[0]):
+            best = work, Hashing(queries.shape[1], m, need), share
+    return best[1:] if best else (Hashing(queries.shape[1], 0, tables=1), 1.0)
+
+
+def _vectors(column: pa.Array, dim: int) -> np.ndarray:
+    """(n, dim) doubles of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Powers of two bring the largest components near 1 without changing any digit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _sums(products) -> np.ndarray:
+    """Summed from the first to the last, so that a score is the same in every task."""
+    total = 0.0
+    for p in products:
+        total = total + p
+    return total
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The cosines of a scaled vector with scaled rows, in double precision."""
+    dot = _sums(q[j] * x[:, j] for j in range(len(q)))
+    return dot / (np.sqrt(_sums(c * c for c in q)) * np.sqrt(_sums(x[:, j] * x[:, j] for j in range(len(q)))))
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """id, v of the vectors that take part, each once."""
-    v = F.col(embedding).cast("array<double>")
+    v = F.col(quoted(embedding))
     inf = float("inf")
-    fine = F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists(v, lambda x: x != 0)
-    good = df.filter(F.coalesce(fine, F.lit(False))).select(F.col(vec_id).alias("id"), v.alias("v"))
+    fine = F.col(quoted(vec_id)).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists(v, lambda x: x != 0)
+    good = df.filter(F.coalesce(fine, F.lit(False))).select(F.col(quoted(vec_id)).alias("id"), v.alias("v"))
     lengths = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return good.filter(F.size("v") == (lengths[0].d if lengths else 0)).dropDuplicates(["id", "v"])
 
 
-def nearest(df: DataFrame, query: str, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", part: int = PART) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row of df for which `query` (SQL over id) holds."""
-    vectors = cut_lineage(usable(df, vec_id, embedding))
-    rows = vectors.count()
-    dim = len(vectors.first().v) if rows else 1
-    hashing = Hashing(dim, rows)
-    same = W.partitionBy("v").orderBy("id")
-    # k + 1 rows with the smallest ids of each vector: one of them may be the query itself.
-    members = vectors.withColumn("i", F.row_number().over(same)).filter(F.col("i") <= k + 1).select("id", "v")
+_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def _batch(q: list, i: list, s: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
+class _Best:
+    """The best k of each query of a step: near scores find what may be among them, exact ones decide."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.scaled, self.unit, self.k = ids, _scaled(vectors), _unit(vectors), k
+        self.found: list[dict[int, float]] = [{} for _ in ids]
+        self.floor = np.full(len(ids), -np.inf)
+
+    def meet(self, who: np.ndarray, ids: np.ndarray, scaled: np.ndarray, unit: np.ndarray) -> None:
+        near = self.unit[who] @ unit.T
+        near[self.ids[who][:, None] == ids[None, :]] = -np.inf
+        if near.shape[1] > self.k:
+            # Only what is within rounding of the k-th of these rows can be among the best.
+            bar = np.maximum(self.floor[who], np.partition(near, -self.k, axis=1)[:, -self.k])
+        else:
+            bar = self.floor[who]
+        for w, line, low in zip(who.tolist(), near, bar):
+            picks = np.flatnonzero((line >= low - 1e-9) & (line > -np.inf))
+            if not len(picks):
+                continue
+            score = exact(self.scaled[w], scaled[picks])
+            keep = np.lexsort((ids[picks], -score))[: self.k]
+            self.found[w] |= dict(zip(ids[picks][keep].tolist(), score[keep].tolist()))
+            if len(self.found[w]) > self.k:
+                self.found[w] = dict(sorted(self.found[w].items(), key=lambda x: (-x[1], x[0]))[: self.k])
+            if len(self.found[w]) == self.k:
+                self.floor[w] = min(self.found[w].values())
+
+    def rows(self) -> pa.RecordBatch:
+        rows = [(int(q), v, s) for q, found in zip(self.ids, self.found) for v, s in found.items()]
+        return _batch(*(list(c) for c in zip(*rows))) if rows else _batch([], [], [])
+
+
+def scan(members: DataFrame, queries: list[tuple[int, list]], k: int) -> DataFrame:
+    """query_id, vec_id, score: the exact k nearest of a few queries (in the task's code), in blocks of rows."""
+    dim = len(queries[0][1]) if queries else 1
+    own_ids = np.array([q for q, _ in queries], dtype=np.int64)
+    own = np.array([v for _, v in queries], dtype=np.float64).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(own_ids, own, k)
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(batch.column(1), dim)
+                best.meet(np.arange(len(own_ids)), batch.column(0).to_numpy(), _scaled(x), _unit(x))
+        yield best.rows()
+
+    return members.select("id", "v").mapInArrow(run, _FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best k of each query, each row once; different parts give a pair the same score."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+
+
+def fit(vectors: DataFrame, members: DataFrame, query: str, rows: int, dim: int, k: int) -> Hashing:
+    """The hashing for these rows, from samples of bounded size drawn by hash."""
+    sample = lambda df, n, seed: df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    queries = [(r.id, r.v) for r in sample(vectors.filter(query), SAMPLE_QUERIES, 1).collect()]
+    if not queries:
+        return Hashing(dim, 0, tables=1)
+    background = np.array([r.v for r in sample(members, SAMPLE_ROWS, 2).select("v").collect()], dtype=np.float64)
+    near = _ranked(scan(members, queries, k), k).select("query_id", "vec_id").collect()  # at most k for each sampled query
+    ids = members.filter(F.col("id").isin(sorted({r.vec_id for r in near}))).dropDuplicates(["id"]).collect() if near else []
+    of = {r.id: r.v for r in ids}
+    by: dict[int, list] = {}
+    for r in near:
+        by.setdefault(r.query_id, []).append(of[r.vec_id])
+    full = [(v, by[q]) for q, v in queries if len(by.get(q, ())) == k]
+    if not full:
+        return Hashing(dim, 0, tables=1)
+    unit = lambda x: _unit(np.array(x, dtype=np.float64))
+    return fitted(unit([v for v, _ in full]), unit([n for _, n in full]), _unit(background), rows)[0]
+
+
+def search(members: DataFrame, queries: DataFrame, hashing: Hashing, rows: int, dim: int, k: int, part: int = PART, shard_rows: int = SHARD) -> DataFrame:
+    """query_id, vec_id, score: the best k of each shard that a query (id, v) visits."""
+    vector = members.schema["v"].dataType
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = hashing.codes(hashing.cells(_unit(batch.column(1).to_pylist()))[0])
+                codes = hashing.codes(hashing.cells(_unit(_vectors(batch.column(1), dim)))[0])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes.T.tolist(), type=pa.list_(pa.int64()))], names=["id", "v", "codes"])
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
-                cells, inside = hashing.cells(_unit(batch.column(1).to_pylist()))
+                cells, inside = hashing.cells(_unit(_vectors(batch.column(1), dim)))
                 codes = [[hashing.codes(cells[t, i] + hashing.order(inside[t, i])).tolist() for t in range(hashing.tables)] for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, type=pa.list_(pa.list_(pa.int64())))], names=["id", "v", "codes"])
 
-    index = cut_lineage(members.mapInArrow(hashed, "id bigint, v array<double>, codes array<bigint>"))
+    longs = T.ArrayType(T.LongType())
+    schema = lambda codes: T.StructType([T.StructField("id", T.LongType()), T.StructField("v", vector), T.StructField("codes", codes)])
+    index = cut_lineage(members.select("id", "v").mapInArrow(hashed, schema(longs)))
     placed = index.select("id", "v", F.posexplode("codes").alias("t", "code"))
     heavy = cut_lineage(placed.groupBy("t", "code").count().filter(F.col("count") > part).select("t", "code", F.ceil(F.col("count") / part).cast("int").alias("parts")))
     n_heavy = heavy.count()
-    asked = cut_lineage(vectors.filter(query).mapInArrow(probed, "id bigint, v array<double>, codes array<array<bigint>>"))
+    asked = cut_lineage(queries.select("id", "v").mapInArrow(probed, schema(T.ArrayType(longs))))
     visits = asked.select("id", F.posexplode("codes").alias("t", "codes")).select("id", "t", F.explode("codes").alias("code"))
     parts = F.lit(1)
     if n_heavy:
         placed, visits = (x.join(small(heavy, n_heavy), ["t", "code"], "left") for x in (placed, visits))
         parts = F.coalesce("parts", F.lit(1))
-    # A shard holds whole bucket parts. A query comes to a shard once, with the codes of all buckets it visits there.
-    shards = max(1, -(-rows * hashing.tables // (4 * part)))
+    # A query comes to a shard once, with the codes of all buckets it visits there.
+    shards = max(1, -(-rows * hashing.tables // shard_rows))
     shard = lambda salt: F.pmod(F.xxhash64("t", "code", salt), F.lit(shards)).cast("int").alias("shard")
-    side = placed.withColumn("s", F.pmod(F.xxhash64("id"), parts).cast("int")).select(shard(F.col("s")), F.lit(1).alias("kind"), "id", "v", F.array(F.xxhash64("t", "code", "s")).alias("codes"))
+    side = placed.withColumn("s", F.pmod(F.xxhash64("id"), parts).cast("int")).select(shard(F.col("s")), F.lit(0).alias("kind"), "id", "v", F.array(F.xxhash64("t", "code", "s")).alias("codes"))
     visits = visits.withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1))).select("id", shard(F.col("s")), F.xxhash64("t", "code", "s").alias("b"))
     visits = visits.groupBy("id", "shard").agg(F.collect_list("b").alias("codes"))
-    ask = visits.join(asked.select("id", "v"), "id").select("shard", F.lit(0).alias("kind"), "id", "v", "codes")
+    ask = visits.join(asked.select("id", "v"), "id").select("shard", F.lit(1).alias("kind"), "id", "v", "codes")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries of a shard come first, then its members; each batch of members is scored bucket by bucket."""
-        now, qids, qv, qcodes, ready = None, [], [], [], None
-        best: dict[int, list] = {}
+        """The rows of a shard come first, then its queries, which are answered step by step."""
+        now, held, ready = None, [], None
 
         def prepare():
-            lengths = [len(c) for c in qcodes]
-            codes, owner = np.concatenate(qcodes), np.repeat(np.arange(len(qids)), lengths)
-            order = np.argsort(codes, kind="stable")
-            return np.array(qids), _unit(qv), codes[order], owner[order]
-
-        def flush():
-            q, i, s = [], [], []
-            for query_id, found in best.items():
-                for score, vid in found:
-                    q.append(query_id), i.append(vid), s.append(score)
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "near"])
+            """The shard's rows by bucket: codes, where each begins, ids and vectors."""
+            ids, x, codes = (np.concatenate(c) for c in zip(*held))
+            by = np.argsort(codes, kind="stable")
+            codes, starts = np.unique(codes[by], return_index=True)
+            return codes, np.append(starts, len(by)), ids[by], _scaled(x[by]), _unit(x[by])
 
         for batch in batches:
             shard_of, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -163,59 +310,48 @@ def nearest(df: DataFrame, query: str, k: int = 5, vec_id: str = "vec_id", embed
                 if a == b:
                     continue
                 if shard_of[a] != now:
-                    if best:
-                        yield flush()
-                    now, qids, qv, qcodes, ready = shard_of[a], [], [], [], None
-                ids = batch.column(2).slice(a, b - a).to_pylist()
-                vs = batch.column(3).slice(a, b - a).to_pylist()
-                codes = batch.column(4).slice(a, b - a).to_pylist()
+                    now, held, ready = shard_of[a], [], None
                 if kinds[a] == 0:
-                    qids += ids
-                    qv += vs
-                    qcodes += [np.array(c, dtype=np.int64) for c in codes]
+                    own = batch.slice(a, b - a)
+                    held.append((own.column(2).to_numpy(), _vectors(own.column(3), dim), own.column(4).flatten().to_numpy()))
                     continue
-                if not qids:
+                if not held:
                     continue
                 ready = ready or prepare()
-                own, queries, sorted_codes, owner = ready
-                x, vid, code = _unit(vs), np.array(ids), np.array([c[0] for c in codes])
-                order = np.argsort(code, kind="stable")
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(code[order])) + 1, [len(order)]])
-                for lo, hi in zip(starts[:-1], starts[1:]):
-                    rows_here = order[lo:hi]
-                    c = code[rows_here[0]]
-                    left, right = np.searchsorted(sorted_codes, c, "left"), np.searchsorted(sorted_codes, c, "right")
-                    if left == right:
-                        continue
-                    who = owner[left:right]
-                    near = queries[who] @ x[rows_here].T
-                    near[own[who][:, None] == vid[rows_here][None, :]] = -np.inf
-                    for w, line in zip(who, near):
-                        found = best.setdefault(int(own[w]), [])
-                        floor = found[-1][0] if len(found) >= 2 * k else -np.inf
-                        picks = np.flatnonzero(line > floor) if floor > -np.inf else np.flatnonzero(line > -np.inf)
-                        if not len(picks):
-                            continue
-                        if len(picks) > 2 * k:
-                            picks = picks[np.argpartition(-line[picks], 2 * k)[: 2 * k]]
-                        merged = {v: s for s, v in found} | {int(vid[rows_here[p]]): float(line[p]) for p in picks}
-                        best[int(own[w])] = sorted(((s, v) for v, s in merged.items()), key=lambda y: (-y[0], y[1]))[: 2 * k]
-        if best:
-            yield flush()
+                codes, starts, ids, scaled, unit = ready
+                for at in range(a, b, STEP):
+                    own = batch.slice(at, min(STEP, b - at))
+                    best = _Best(own.column(2).to_numpy(), _vectors(own.column(3), dim), k)
+                    asked_for = own.column(4).flatten().to_numpy()
+                    owner = np.repeat(np.arange(own.num_rows), np.diff(own.column(4).offsets.to_numpy()))
+                    where = np.searchsorted(codes, asked_for)
+                    hit = where < len(codes)
+                    hit[hit] = codes[where[hit]] == asked_for[hit]
+                    pairs = np.unique(np.stack([where[hit], owner[hit]], axis=1), axis=0)
+                    for group in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else []:
+                        lo, hi = starts[group[0, 0]], starts[group[0, 0] + 1]
+                        best.meet(group[:, 1], ids[lo:hi], scaled[lo:hi], unit[lo:hi])
+                    yield best.rows()
 
     both = side.unionByName(ask).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = both.mapInArrow(met, "query_id bigint, vec_id bigint, near double").groupBy("query_id", "vec_id").agg(F.max("near").alias("near"))
-    # The best 2k by the tasks' sums are reranked by the exact measure.
-    found = found.withColumn("i", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "vec_id"))).filter(F.col("i") <= 2 * k).select("query_id", "vec_id")
-    pairs = found.join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").join(index.select(F.col("id").alias("vec_id"), "v"), "vec_id")
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    # Powers of two keep squares in range without changing any digit.
-    scale = lambda v: let(F.log2(F.array_max(F.transform(v, F.abs))), lambda e: F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.floor(e).cast("double"))))
-    scaled = lambda v: let(scale(v), lambda s: F.transform(v, lambda x: x * s))
-    pairs = pairs.select("query_id", "vec_id", scaled(F.col("qv")).alias("qv"), scaled(F.col("v")).alias("v"))
-    dot = total(F.zip_with("qv", "v", lambda a, b: a * b))
-    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)))
-    scored = pairs.select("query_id", "vec_id", (dot / (norm("qv") * norm("v"))).alias("score"))
-    scored = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return both.mapInArrow(met, _FOUND)
+
+
+def nearest(df: DataFrame, query: str, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", part: int = PART) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row of df for which `query` (SQL over id) holds."""
+    vectors = cut_lineage(usable(df, vec_id, embedding))
+    rows = vectors.count()
+    dim = len(vectors.first().v) if rows else 1
+    # Equal vectors differ by id only: no query needs more than the k + 1 smallest ids of each, one of them its own.
+    members = cut_lineage(vectors.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("i") <= k + 1).select("id", "v"))
+    n = members.count()
+    queries = vectors.filter(query)
+    hashing = fit(vectors, members, query, n, dim, k)
+    found = cut_lineage(_ranked(search(members, queries, hashing, n, dim, k, part), k))
+    # Whoever found fewer than there are takes all rows.
+    enough = found.groupBy(F.col("query_id").alias("id")).count().filter(F.col("count") >= min(k, max(0, n - 1)))
+    short = cut_lineage(queries.join(enough, "id", "left_anti")) if hashing.m else queries.limit(0)
+    if not short.isEmpty():
+        rest = _ranked(search(members, short, Hashing(dim, 0, tables=1), n, dim, k, part), k)
+        found = found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
+    return found.select("query_id", "rank", "vec_id", "score")

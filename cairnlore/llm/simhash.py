@@ -22,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import BROADCAST, cut_lineage, mapped, meet, quoted, row_of
 
 #: Rows of a bucket block; a larger bucket is split.
 BLOCK = 4096
@@ -84,18 +84,7 @@ def fingerprints(texts: list[str | None], n: int = 4, seed: int = 42) -> np.ndar
 
 def fingerprint(df: DataFrame, keep: list[str], text: str = "text", n: int = 4, seed: int = 42) -> DataFrame:
     """keep and fingerprint (bigint) of every whole text."""
-    kept = df.select(*keep, text) if text not in keep else df.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "fingerprint bigint"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(fingerprints(texts, n, seed))], names=[*keep, "fingerprint"])
-
-    return kept.mapInArrow(run, schema)
+    return mapped(df, keep, text, {"fingerprint": T.LongType()}, lambda texts: [fingerprints(texts, n, seed)], 512)
 
 
 # -- bit-sliced comparison ------------------------------------------------------------------------------------
@@ -273,14 +262,15 @@ def stars(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    least_of = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     e = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(e)
     while True:
+        # A node of many edges is a hot key of these joins.
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = least_of(both).select("u", F.least("u", "m").alias("m"), "n")
+        large = cut_lineage(meet(both, least, "u", "n", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = meet(large, least_of(large), "u", "n", before[0]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         e = cut_lineage(small.select("e.u", "e.v").filter("u <> v").distinct())
         now = state(e)
         if now == before:
@@ -288,17 +278,22 @@ def stars(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def labelled(docs: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id of each row of docs (doc_id, fingerprint), from its nodes (fp, first, rows:
+    the smallest doc_id and the count of rows) and the stars over these."""
+    linked = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(star.select("v", "v").distinct())
+    known = cut_lineage(linked.join(nodes.select("fp", "first"), "fp"))
+    roots = known.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    found = meet(known, roots, "root", "n", known.count()).select("fp", "component_id")
+    whole = nodes.join(found, "fp", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component_id", "first").alias("component_id"), "rows")
+    return meet(docs.select("doc_id", "fingerprint"), whole, "fingerprint", "rows", docs.count()).select("doc_id", "fingerprint", "component_id")
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id (the smallest doc_id reachable over links) of each row."""
-    docs = cut_lineage(fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"]))
-    nodes = cut_lineage(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
-    star = stars(links(nodes.select("fp"), radius))
-    linked = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(star.select("v", "v").distinct())
-    known = cut_lineage(linked.join(nodes, "fp"))
-    smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = known.join(smallest, "root").select("fp", "component_id")
-    whole = nodes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return docs.join(whole, docs.fingerprint == whole.fp).select("doc_id", "fingerprint", "component_id")
+    docs = cut_lineage(fingerprint(df.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text")), ["doc_id"]))
+    nodes = cut_lineage(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
+    return labelled(docs, nodes, stars(links(nodes.select("fp"), radius)))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=classes, mark=fingerprint) -> DataFrame:
@@ -306,18 +301,23 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fin
 
     Of rows that share this id the one with the smallest hash of all columns stays. Rows with a null id stay only
     where a whole component has none. find gives doc_id, fingerprint and component_id; mark the fingerprints alone.
+    Texts are not shuffled as long as the ids to leave out are few enough for a broadcast.
     """
-    found = find(docs, doc_id, text)
-    kept = cut_lineage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")).agg(F.count("*").alias("__n")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__doc"))
-    ids = kept.groupBy("__id").agg(F.sum("__n").alias("__n"))
-    single = rows.join(ids.filter("__n = 1"), rows["__doc"].eqNullSafe(ids["__id"]), "left_semi").select("__row.*")
-    many = ids.filter("__n > 1")
+    found = cut_lineage(find(docs, doc_id, text).withColumn("__kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    ids = cut_lineage(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.sum(F.col("__kept").cast("int")).alias("__k")))
+    rows = docs.select(row_of(docs).alias("__row"), F.col(quoted(doc_id)).alias("__doc"))
+    on = lambda df: rows["__doc"].eqNullSafe(df["__id"])
+    single, others = ids.filter("__n = 1 AND __k = 1").select("__id"), ids.filter("__n > 1 OR __k = 0").select("__id")
+    out = others.count()
+    single = rows.join(F.broadcast(others), on(others), "left_anti") if out <= BROADCAST else rows.join(single, on(single), "left_semi")
+    single = single.select("__row.*")
+    many = ids.filter("__n > 1 AND __k > 0").select("__id")
     if many.isEmpty():
         return single
     # Ids on several rows: the fingerprint tells which rows belong to the component, and one of them stays.
-    again = rows.join(many, rows["__doc"].eqNullSafe(many["__id"]), "left_semi")
-    again = mark(again.select("__row", F.col("__row." + text).alias("__text")).select("__row", "__text"), ["__row"], "__text")
-    again = again.withColumn("__doc", F.col("__row." + doc_id)).join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__fp")), "left_semi")
-    first = W.partitionBy("__doc").orderBy(F.xxhash64("__row"), F.to_json("__row"))
-    return single.unionByName(again.withColumn("__k", F.row_number().over(first)).filter("__k = 1").select("__row.*"))
+    kept = found.filter("__kept").select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
+    again = rows.join(many, on(many), "left_semi").select("__row", F.col("__row." + quoted(text)).alias("__text"))
+    again = mark(again, ["__row"], "__text").withColumn("__doc", F.col("__row." + quoted(doc_id)))
+    again = again.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__fp")), "left_semi")
+    best = again.groupBy("__doc").agg(F.min_by("__row", F.struct(F.xxhash64("__row"), F.to_json("__row"))).alias("__row"))
+    return single.unionByName(best.select("__row.*"))

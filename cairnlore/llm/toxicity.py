@@ -14,17 +14,16 @@ is the prior, or 0 without labels; repeated rows get equal scores; an empty tabl
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import cut_lineage, mapped, quoted
 
 #: Words whose shares in P and U bound the class prior.
 ANCHORS = 10
@@ -45,7 +44,7 @@ def vocabulary_of(text: str | None) -> set[str]:
 def signature(text: str | None) -> int:
     """The smallest hash of a text's runs of three words: near copies mostly share it, other texts don't."""
     words = (text or "").lower().split()
-    return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
+    return min(xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))) - 2**63
 
 
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 3000, rate: float = 0.1, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -76,9 +75,9 @@ def train(
 ) -> Model:
     """A model from docs and labels, both already without held-out rows.
 
-    positives: most confirmed toxic rows in use, by hash of their key. unlabelled: about so many rows of docs, drawn
-    by hash (never more than twice as many). vocabulary: words that set positives apart most, by the
-    z score of their shares, of those in at least 5 positives and a fiftieth of them.
+    positives: most confirmed toxic keys in use, by hash. unlabelled: about so many rows of docs, drawn by hash of key
+    and text. Of distinct texts at most about twice these numbers go on, by hash too. vocabulary: words that set
+    positives apart most, by the z score of their shares, of those in at least 5 positives and a fiftieth of them.
     """
     told = labels.filter(F.col(toxic).isNotNull())
     prior = told.agg(F.avg(F.col(toxic).cast("double"))).first()[0]
@@ -87,20 +86,19 @@ def train(
     prior = min(max(prior, 0.001), 0.5)
     chosen = told.filter(F.col(toxic) == 1).select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k", F.lit(seed)), "k").limit(positives)
     total = max(1, docs.count())
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, unlabelled / total))
+    u = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(seed + 1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, unlabelled / total))
     # At most `positives` keys are broadcast.
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(u, F.lit(False)).alias("u"))
-    rows = rows.join(F.broadcast(chosen), rows.id == chosen.k, "left").withColumn("p", F.col("k").isNotNull()).filter("p or u").limit(positives * 2 + unlabelled * 2)
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [sorted(vocabulary_of(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(signature, texts), type=pa.int64()), pa.array(found, type=pa.list_(pa.string()))], names=["p", "u", "sig", "words"])
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), u.alias("u"))
+    rows = rows.join(F.broadcast(chosen), rows.id == chosen.k, "left").withColumn("p", F.col("k").isNotNull()).filter("p or u")
 
     # Copies count once: their words would stand for the class.
-    drawn = rows.select("p", "u", "text").mapInArrow(words, "p boolean, u boolean, sig bigint, words array<string>")
-    drawn = cut_lineage(drawn.groupBy("p", "sig").agg(F.max("u").alias("u"), F.min("words").alias("words")).select("p", "u", "words"))
+    told_words = {"sig": T.LongType(), "words": T.ArrayType(T.StringType())}
+    drawn = mapped(rows, ["p", "u"], "text", told_words, lambda texts: [list(map(signature, texts)), [sorted(vocabulary_of(t)) for t in texts]])
+    drawn = cut_lineage(drawn.groupBy("p", "sig").agg(F.max("u").alias("u"), F.min("words").alias("words")))
+    several = {r.p: r.n for r in drawn.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    rate = lambda p, most: min(1.0, 2 * most / max(1, several.get(p, 0)))
+    bound = F.when(F.col("p"), rate(True, positives)).otherwise(rate(False, unlabelled))
+    drawn = drawn.filter(F.pmod(F.xxhash64("sig", F.lit(seed)), F.lit(1 << 30)) < bound * (1 << 30)).select("p", "u", "words")
     sizes = drawn.agg(F.sum(F.col("p").cast("int")), F.sum(F.col("u").cast("int"))).first()
     if not sizes[0] or not sizes[1]:
         return Model([], np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -129,21 +127,15 @@ def train(
 
 def score(df: DataFrame, keep: list[str], model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """keep, score and predicted of every whole text."""
-    kept = df.select(*keep, text) if text not in keep else df.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "score double", "predicted int"])
-    weight = dict(zip(model.words, model.weights.tolist()))
+    weight, bias = dict(zip(model.words, model.weights.tolist())), model.bias
     known = frozenset(weight)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                z = np.array([model.bias + sum(weight[w] for w in sorted(known.intersection(LETTERS((t or "").lower())))) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-                s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                columns = [batch.column(batch.schema.get_field_index(k)) for k in keep]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+    def made(texts: list) -> list:
+        z = np.array([bias + sum(weight[w] for w in sorted(known.intersection(LETTERS((t or "").lower())))) for t in texts])
+        s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return [s, (s >= threshold).astype(np.int32)]
 
-    return kept.mapInArrow(run, schema)
+    return mapped(df, keep, text, {"score": T.DoubleType(), "predicted": T.IntegerType()}, made)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", fold: int = 1, folds: int = 3) -> DataFrame:

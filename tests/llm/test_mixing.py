@@ -55,5 +55,15 @@ def test_take_repeats_rows_and_keeps_their_columns(spark):
     assert got.count() == want
 
 
+def test_copies_of_one_row_are_taken_in_part(spark):
+    rows = [(7, "w w", "big")] * 900 + [(i, "w " * 10, "small") for i in range(100, 110)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for source in ("big", "small"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= max(r.size for r in own)
+    assert mixing.take(frame(spark, rows)).count() == sum(r.copies for r in got)
+
+
 def test_empty(spark):
     assert mixing.mix(frame(spark, [])).count() == 0

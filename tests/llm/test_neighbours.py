@@ -1,5 +1,5 @@
 import numpy as np
-from cairnlore.llm import neighbours
+from cairnlore.llm import neighbours, queries
 
 
 def brute(data, queries, k=5):
@@ -12,7 +12,7 @@ def brute(data, queries, k=5):
 
 
 def test_probe_order_is_by_cost():
-    h = neighbours.Hashing(8, 2**10)
+    h = neighbours.Hashing(8, 5, 100)
     inside = np.random.default_rng(0).random(h.m)
     steps = h.order(inside)
     cost = np.where(steps == -1, inside**2, np.where(steps == 1, (1 - inside) ** 2, 0)).sum(axis=1)
@@ -21,13 +21,23 @@ def test_probe_order_is_by_cost():
     assert np.allclose(cost, every[: len(cost)])
 
 
+def test_fit_takes_narrow_tables_where_neighbours_are_near():
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    q = unit(rng.standard_normal((32, 32)))
+    near, far = unit(q[:, None] + 0.05 * rng.standard_normal((32, 5, 32))), unit(rng.standard_normal((640, 32)))
+    hashing, share = neighbours.fitted(q, near, far, 100_000)
+    reached = hashing.first_probe(q, near) < hashing.probes
+    assert hashing.m >= 6 and share < 0.2 and reached.mean() >= 0.95
+
+
 def test_recall_order_scores_and_copies(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((1200, 24))
     x[300:420] = x[0]  # copies of a query
     x[420:700] = x[5] + 0.01 * rng.standard_normal((280, 24))  # a hot bucket
     data = [(i, v.tolist()) for i, v in enumerate(x)]
-    df = spark.createDataFrame([(i, v, 1) for i, v in data], "vec_id long, embedding array<double>, rank int")
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in data], "vec_id long, embedding array<double>, rank int, `a.b c` string")
     got = {}
     for r in neighbours.nearest(df, "id % 50 = 0", part=64).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
@@ -48,3 +58,31 @@ def test_odd_rows(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(df, "id % 50 = 0").orderBy("query_id", "rank").collect()]
     assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 50), (0, 3, 8), (50, 1, 0), (50, 2, 1), (50, 3, 8)]
     assert neighbours.nearest(df.limit(0), "id % 50 = 0").count() == 0
+
+
+def test_ties_of_many_unequal_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(16)
+    rows = [(50, x.tolist())] + [(1000 - i, (x * 2.0**(i % 40)).tolist()) for i in range(300)] + [(2000 + i, rng.standard_normal(16).tolist()) for i in range(300)]
+    for part in (64, neighbours.PART):
+        got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id = 50", part=part).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [701, 702, 703, 704, 705] and len({r.score for r in got}) == 1
+
+
+def test_a_query_that_finds_too_few_takes_all_rows(spark):
+    e = np.eye(12)
+    rows = [(i, (e[i % 12] * (1 + i)).tolist()) for i in range(12)] + [(50, (-e[0]).tolist())]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id = 50").orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.0)]
+
+
+def test_query(spark, sf_dir):
+    """Recall on the embeddings table, exact scores and order."""
+    got = {}
+    for r in queries.op6_nearest(spark, sf_dir).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    rows = [(r.vec_id, np.array(r.embedding, dtype=np.float64)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect() if r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    want = brute(rows, {i for i, _ in rows if i % 50 == 0})
+    hits = sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want)
+    assert set(got) == set(want) and hits >= 0.9 * sum(map(len, want.values()))
+    assert all(found == sorted(found) and len(found) == 5 for found in got.values())

@@ -7,7 +7,28 @@ from cairnlore.llm import bpe, pii, quality
 from pyspark.sql import functions as F
 
 from tests.llm.test_pii import plain_base
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+
+
+def near_components(ids, texts):
+    """The smallest id reachable over pairs whose sets of five-word shingles have a similarity of 0.8 or more, by all pairs."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(ids)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, d in enumerate(ids):
+        least[top(i)] = min(d, least.get(top(i), d))
+    return [least[top(i)] for i in range(len(ids))]
 
 
 def stages(spark, docs, sf_dir):
@@ -23,7 +44,7 @@ def test_stages_on_the_documents(spark, sf_dir):
     kept = {r.doc_id for r in quality.verdicts(docs, ["doc_id"]).filter("kept").collect()}
     assert {r.doc_id for r in good} == kept and len(good) < len(start) and set(good) <= set(start)
     ids = [r.doc_id for r in good]
-    classes = slow_components(ids, [slow_fingerprint(r.text) for r in good])
+    classes = near_components(ids, [r.text for r in good])
     assert sorted(r.doc_id for r in single) == sorted(set(classes)) and set(single) <= set(good)
     text = {r.doc_id: r.text for r in single}
     assert [r.doc_id for r in clean] and {r.doc_id for r in clean} == set(text)
@@ -52,7 +73,7 @@ def test_odd_documents(spark, sf_dir):
     words = [f"alpha{i}" for i in range(40)]
     long = " ".join(words)
     rows = [(1, long, "en", "s", 3), (1, long, "en", "s", 3), (2, None, None, None, None), (3, "", "en", "s", 0), (None, " ".join(words[::-1]) + " a@b.cd", None, None, None), (5, "x y z " * 60_000, "en", None, 1)]
-    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, copies string, h int")
+    docs = spark.createDataFrame([(*r, "x", 7, "y", 1, 2.0, "z") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, copies string, h int, `my-col` string, `a b` int, `q.r` double, __row string")
     out = stages(spark, docs, sf_dir)
     assert all(x.columns == docs.columns for x in out[:-1])
     assert sorted((r.doc_id for r in out[2].collect()), key=str) == [1, None]
