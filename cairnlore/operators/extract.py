@@ -153,3 +153,26 @@ def parameters(text: Column) -> Column:
             F.trim(F.regexp_extract(p, r"=\s*(.+)$", 1)).alias("default"),
         ),
     )
+
+
+def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, href, n: the targets of a page's links."""
+    found = F.regexp_extract_all(F.col(html), F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    return pages.select(F.col(key), F.explode(found).alias("href")).groupBy(key, "href").agg(F.count("*").alias("n"))
+
+
+def page_outline(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, tag, content of titles and headings without markup inside."""
+    def of(t):
+        contents = F.regexp_extract_all(F.col(html), F.lit(rf"<{t}(?:\s[^>]*)?>([^<]*)</{t}>"), F.lit(1))
+        return F.transform(contents, lambda x: F.struct(F.lit(t).alias("tag"), F.trim(x).alias("content")))
+
+    found = F.concat(*map(of, ("title", "h1", "h2", "h3")))
+    return pages.select(F.col(key), F.explode(found).alias("x")).select(key, "x.*")
+
+
+def script_variables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, name, n: variables that a page's scripts declare with a value."""
+    bodies = F.array_join(F.regexp_extract_all(F.col(html), F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
+    names = F.regexp_extract_all(bodies, F.lit(r"\b(?:var|let|const)\s+(\w+)\s*="), F.lit(1))
+    return pages.select(F.col(key), F.explode(names).alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))

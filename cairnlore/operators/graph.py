@@ -10,6 +10,8 @@ from cairnlore.functions.lineage import cut_lineage
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Nodes up to which a frontier is broadcast.
+FRONTIER = 200_000
 EDGE = ["from_type", "from_id", "to_type", "to_id", "relation"]
 
 
@@ -30,11 +32,12 @@ def _steps(edges: DataFrame, both_ways: bool) -> DataFrame:
 def _levels(edges: DataFrame, node_type: str, node_id: str, depth: int, both_ways: bool):
     """For each level the steps taken from nodes first reached at that depth."""
     spark = edges.sparkSession
-    steps = _steps(edges, both_ways)
+    steps = cut_lineage(_steps(edges, both_ways))
     frontier = spark.range(1).select(F.lit(node_type).alias("t"), F.lit(node_id).alias("i"))
     seen = frontier
     for level in range(depth):
-        taken = cut_lineage(steps.join(frontier, ["t", "i"]))
+        # A small frontier is broadcast, so the edges aren't shuffled at every level and no node is a hot key.
+        taken = cut_lineage(steps.join(F.broadcast(frontier) if frontier.count() <= FRONTIER else frontier, ["t", "i"]))
         yield level + 1, taken
         frontier = cut_lineage(taken.select(F.col("nt").alias("t"), F.col("ni").alias("i")).distinct().join(seen, ["t", "i"], "left_anti"))
         if frontier.isEmpty():
@@ -80,6 +83,9 @@ def ancestors(parents: DataFrame, depth: int = 5) -> DataFrame:
     level = parents.select("id", F.col("parent").alias("ancestor"), F.array("id").alias("path"))
     out = level.select("id", "ancestor", F.lit(1).cast("bigint").alias("depth"))
     for d in range(2, depth + 1):
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
         level = level.filter(~F.array_contains("path", F.col("ancestor"))).join(step, "ancestor").select("id", F.col("next").alias("ancestor"), F.concat("path", F.array("ancestor")).alias("path"))
         out = out.union(level.select("id", "ancestor", F.lit(d).cast("bigint")))
     return out

@@ -6,6 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 from cairnlore.functions.columns import basename, token_estimate
+from cairnlore.functions.lineage import cut_lineage
 from cairnlore.functions.words import COMMON, PROHIBITIONS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,10 +100,19 @@ def latest_turns(turns: DataFrame, k: int = 3) -> DataFrame:
     return turns.withColumn("r", back).filter(F.col("r") <= k).select("conv_id", "turn", "role", (F.col("r") == 1).alias("is_latest"))
 
 
+def fitting_prefix(ranked: DataFrame, budget: int, group: list[str], order: list[Column], cost: Column) -> DataFrame:
+    """The rows that a budget needs to see: of each group's share in each input partition those up to the first, itself
+    included, with which its own costs pass the budget. Costs are not negative, so whatever comes later is beyond the
+    budget in the whole group too; the rest is small, whatever a group's size."""
+    before = W.partitionBy("__part", *group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    own = ranked.withColumn("__part", F.spark_partition_id()).withColumn("__before", F.coalesce(F.sum(cost).over(before), F.lit(0)))
+    return own.filter(F.col("__before") <= budget).drop("__part", "__before")
+
+
 def within_budget(ranked: DataFrame, budget: int, group: list[str], order: list[Column], cost: Column) -> DataFrame:
     """The rows of each group that come before the first that no longer fits; later ones that would fit are left too."""
     so_far = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = ranked.withColumn("used", F.sum(cost).over(so_far))
+    out = fitting_prefix(ranked, budget, group, order, cost).withColumn("used", F.sum(cost).over(so_far))
     # Costs are not negative, so the running sum passes the budget once and stays above.
     return out.filter(F.col("used") <= budget)
 
@@ -110,10 +120,11 @@ def within_budget(ranked: DataFrame, budget: int, group: list[str], order: list[
 def chained_budget(lists: list[tuple[str, DataFrame]], budget: int) -> DataFrame:
     """kind, id, score, used: ranked lists (id, score, cost) filled one after another from a common budget."""
     start, out = None, None
+    order = [F.desc("score"), F.col("id")]
     for kind, df in lists:
-        base = df.withColumn("g", F.lit(kind))
+        base = fitting_prefix(df.withColumn("g", F.lit(kind)), budget, ["g"], order, F.col("cost"))
         base = base.crossJoin(F.broadcast(start)) if start is not None else base.withColumn("base", F.lit(0).cast("bigint"))  # one row
-        so_far = W.partitionBy("g").orderBy(F.desc("score"), "id").rowsBetween(W.unboundedPreceding, 0)
+        so_far = W.partitionBy("g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         kept = base.withColumn("used", F.col("base") + F.sum("cost").over(so_far)).filter(F.col("used") <= budget)
         total = kept.agg(F.max("used").alias("m"))
         start = total.select(F.col("m").alias("base")) if start is None else total.crossJoin(F.broadcast(start)).select(F.coalesce("m", "base").alias("base"))
@@ -142,21 +153,69 @@ def prohibited_terms(text: Column) -> Column:
     return F.concat(*[after(p) for p in PROHIBITIONS])
 
 
-def compliance(code: DataFrame, rules: DataFrame, most_rules: int = 10_000) -> DataFrame:
+#: Letters of the pieces by which terms find the words that hold them.
+GRAM = 3
+
+
+def _pieces(word: Column) -> Column:
+    """All pieces of a word of up to GRAM letters."""
+    of = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substr(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
+
+
+def _first_piece(term: Column) -> Column:
+    return F.substr(term, F.lit(1), F.lit(GRAM))
+
+
+#: Rows up to which a counted table is broadcast.
+BROADCAST = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def terms_in(code: DataFrame, terms: DataFrame) -> DataFrame:
+    """id, term: terms (column term, without blanks) that occur in a text (id, text), case aside, also inside words.
+
+    A term without blanks lies within one blank-separated word. The distinct words of all texts meet the terms by the
+    terms' first letters, and the words of a text meet the pairs found; nothing is compared all with all.
+    """
+    words = code.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).filter("word <> ''")
+    vocabulary = words.select("word").distinct().select("word", F.explode(_pieces(F.col("word"))).alias("piece"))
+    wanted = cut_lineage(terms.filter("term <> ''").select("term").distinct())
+    pairs = vocabulary.join(_small(wanted.select(_first_piece(F.col("term")).alias("piece"), "term")), "piece").filter(F.contains("word", F.col("term"))).select("word", "term")
+    return words.join(_small(cut_lineage(pairs)), "word").select("id", "term").distinct()
+
+
+def compliance(code: DataFrame, rules: DataFrame) -> DataFrame:
     """id, rule_id, severity, terms: rules that a text breaks, each once.
 
-    rules: rule_id, severity, terms, need; a rule is broken if `need` of its terms occur in the text. The rules are
-    one broadcast row as long as there are at most most_rules of them; beyond, rules and words meet in a join.
+    rules: rule_id, severity, terms, need; a rule is broken if `need` of its distinct terms occur in the text.
     """
-    n = rules.count()
-    if n <= most_rules:
-        packed = rules.agg(F.collect_list(F.struct("rule_id", "severity", "terms", "need")).alias("rules"))
-        low = F.lower("text")
-        tested = F.transform("rules", lambda r: F.struct(r.rule_id.alias("rule_id"), r.severity.alias("severity"), r.need.alias("need"), F.array_sort(F.filter(r.terms, lambda t: F.contains(low, t))).alias("terms")))
-        hits = code.crossJoin(F.broadcast(packed)).select("id", F.explode(F.filter(tested, lambda r: (r.need > 0) & (F.size(r.terms) >= r.need))).alias("h"))
-        return hits.select("id", "h.rule_id", "h.severity", F.size("h.terms").cast("bigint").alias("terms"))
-    terms = rules.select("rule_id", "severity", "need", F.explode(F.array_distinct("terms")).alias("t"))
-    return code.join(terms, F.contains(F.lower("text"), F.col("t"))).groupBy("id", "rule_id", "severity", "need").agg(F.count("*").alias("terms")).filter("terms >= need").drop("need")
+    each = rules.filter("need > 0").select("rule_id", "severity", "need", F.explode(F.array_distinct("terms")).alias("term"))
+    hits = terms_in(code, each).join(_small(each), "term")
+    return hits.groupBy("id", "rule_id", "severity", "need").agg(F.count("*").alias("terms")).filter("terms >= need").drop("need")
+
+
+def related_by_path(code: DataFrame, records: DataFrame) -> DataFrame:
+    """id, rule_id: records (rule_id, related_files) with a file whose path holds a code's path (id, path) or lies in
+    it. Both find each other by the first letters of the contained one."""
+    theirs = records.select("rule_id", F.explode("related_files").alias("file")).filter("file <> ''")
+    ours = code.select("id", "path").filter("path <> ''")
+    a, b = ours.select("path").distinct(), theirs.select("file").distinct()
+    holds = lambda x, y, c, t: x.select(c, F.explode(_pieces(F.col(c))).alias("piece")).join(y.select(t, _first_piece(F.col(t)).alias("piece")), "piece").filter(F.contains(c, F.col(t))).select("path", "file")
+    pairs = holds(a, b, "path", "file").unionByName(holds(b, a, "file", "path")).distinct()
+    return ours.join(pairs, "path").join(theirs, "file").select("id", "rule_id").distinct()
+
+
+def violations(parts: list[DataFrame]) -> DataFrame:
+    """kind, id, rule_id, severity of several checks, each once; the first check that finds one wins."""
+    out = None
+    for i, p in enumerate(parts):
+        one = p.select("kind", "id", "rule_id", "severity", F.lit(i).alias("__check"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("kind", "id", "rule_id", "severity").agg(F.min("__check")).select("kind", "id", "rule_id", "severity")
 
 
 def marked_lines(docs: DataFrame, prefixes: list[str], key: str, text: str, any_case: bool = True) -> DataFrame:
@@ -229,7 +288,7 @@ CONFIGURATION = [".env", "Dockerfile", "docker-compose", ".yml", ".yaml", "tscon
 def change_detectors(changed: DataFrame, path: str = "path") -> DataFrame:
     """path, finding of changed dependency manifests and configuration files."""
     base = basename(F.col(path))
-    config = F.exists(F.array(*[F.lit(c) for c in CONFIGURATION]), lambda c: F.contains(F.lower(base), c))
+    config = F.exists(F.array(*[F.lit(c.lower()) for c in CONFIGURATION]), lambda c: F.contains(F.lower(base), c))
     finding = F.array_compact(F.array(F.when(base.isin(MANIFESTS), F.lit("dependency")), F.when(config, F.lit("config"))))
     return changed.select(path, F.explode(finding).alias("finding"))
 

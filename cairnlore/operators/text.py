@@ -42,25 +42,24 @@ def document_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(key).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
 
 
-def term_counts(tokenised: DataFrame) -> DataFrame:
-    """doc_id, term, n, size (all tokens of the document)."""
-    return tokenised.select("doc_id", F.size("tokens").cast("bigint").alias("size"), F.explode("tokens").alias("term")).groupBy("doc_id", "size", "term").agg(F.count("*").alias("n"))
+def document_frequency(tokenised: DataFrame) -> DataFrame:
+    """term, df: each document's distinct terms are counted before the only shuffle."""
+    return tokenised.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def vocabulary(counts: DataFrame, documents: int, cap: int = 5000) -> DataFrame:
+def vocabulary(tokenised: DataFrame, documents: int, cap: int = 5000) -> DataFrame:
     """term, idf, idx: the cap terms of 2 or more documents with the largest idf, ties by term."""
-    df = document_frequency(counts).filter(F.col("df") >= 2)
+    df = document_frequency(tokenised).filter(F.col("df") >= 2)
     top = df.select("term", "df", F.round(F.log(F.lit(float(documents)) / F.col("df")) + 1, 6).alias("idf")).orderBy("df", "term").limit(cap)
     return top.select("term", "idf", (F.row_number().over(W.orderBy("df", "term")) - 1).cast("bigint").alias("idx"))
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """doc_id, idx, weight. The vocabulary has at most its cap of rows, so it is broadcast."""
-    return counts.join(F.broadcast(vocab), "term").select("doc_id", "idx", (F.col("n") / F.col("size") * F.col("idf")).alias("weight"))
+def tfidf(tokenised: DataFrame, vocab: DataFrame) -> DataFrame:
+    """doc_id, idx, weight. The vocabulary has at most its cap of rows, so it is broadcast, and only its terms are
+    counted."""
+    terms = tokenised.select("doc_id", F.size("tokens").cast("bigint").alias("size"), F.explode("tokens").alias("term"))
+    counts = terms.join(F.broadcast(vocab), "term").groupBy("doc_id", "size", "idx", "idf").agg(F.count("*").alias("n"))
+    return counts.select("doc_id", "idx", (F.col("n") / F.col("size") * F.col("idf")).alias("weight"))
 
 
 def similar_documents(vectors: DataFrame, doc_id: int, least: float = 0.15, k: int = 10) -> DataFrame:

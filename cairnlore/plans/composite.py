@@ -13,10 +13,10 @@ QUESTION = "trash license version"
 
 
 def _kinds(s, d):
-    docs = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    docs = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
     record = lambda df: df.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.col("n_chars").alias("ts"))
     patterns = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("passage").alias("title"), "text", F.length("text").cast("bigint").alias("ts"))
-    return {"decision": record(docs.filter("toxic = 0")), "warning": record(docs.filter("toxic = 1")), "pattern": patterns}
+    return {"decision": record(docs.filter("coalesce(toxic, 0) = 0")), "warning": record(docs.filter("toxic = 1")), "pattern": patterns}
 
 
 def _context(s, d):
@@ -65,7 +65,7 @@ def _top(hits: str) -> str:
       WHERE r <= CASE kind WHEN 'decision' THEN 10 WHEN 'warning' THEN 5 ELSE 3 END"""
 
 
-_KINDS = """kinds AS (SELECT CASE toxic WHEN 1 THEN 'warning' ELSE 'decision' END AS kind, CAST(doc_id AS VARCHAR) AS id, source AS title, text, n_chars AS ts FROM documents JOIN labels USING (doc_id)
+_KINDS = """kinds AS (SELECT CASE toxic WHEN 1 THEN 'warning' ELSE 'decision' END AS kind, CAST(doc_id AS VARCHAR) AS id, source AS title, text, n_chars AS ts FROM documents LEFT JOIN labels USING (doc_id)
   UNION ALL SELECT 'pattern', CAST(item_id AS VARCHAR), 'passage', text, length(text) FROM benchmark)"""
 _DIR = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
 SQL = {

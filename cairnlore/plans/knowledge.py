@@ -28,12 +28,13 @@ def _feed(s, d):
 
 def _scored(s, d, condition):
     hit = F.when(contains_any(F.coalesce("text", F.lit("")), F.lit(QUERY)), 0.5).otherwise(0.0)
-    rows = _docs(s, d).join(_labels(s, d).filter(condition), "doc_id")
+    rows = _docs(s, d).join(_labels(s, d), "doc_id", "left").filter(condition)
     return rows.select(F.col("doc_id").alias("id"), (hit + F.when(F.col("lang") == "en", 0.25).otherwise(0.0)).alias("score"), token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
 
 
 def _rules(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.lit("blocker").alias("severity"), F.slice(F.array_sort(F.array_distinct(F.filter(ops.key_terms(F.lower("text")), lambda w: F.octet_length(w) > 8))), 1, 6).alias("terms"), F.lit(2).alias("need"))
+    terms = F.array_distinct(F.filter(ops.key_terms(F.lower("text")), lambda w: F.octet_length(w) > 3))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.lit("blocker").alias("severity"), terms.alias("terms"), F.lit(2).alias("need"))
 
 
 def _paths(s, d):
@@ -53,7 +54,7 @@ def _config(s, d):
 
 QUERIES = {
     "dedup_latest": lambda s, d: ops.latest(_events(s, d), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type"),
-    "not_indexed_anti": lambda s, d: ops.missing(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), table(s, d, "orders"), "o_custkey"),
+    "not_indexed_anti": lambda s, d: ops.missing(_docs(s, d).select("doc_id", "source"), _labels(s, d), "doc_id"),
     "feed_union": _feed,
     "timeline": lambda s, d: _events(s, d).filter("event_type = 'purchase'").orderBy("ts", "event_id").limit(50).select("event_id", "user_id", "value"),
     "stats_counts": lambda s, d: ops.counts({n: table(s, d, n) for n in ("documents", "labels", "conversations", "events", "pages", "benchmark", "embeddings", "orders")}),
@@ -63,13 +64,12 @@ QUERIES = {
     "resume_latest": lambda s, d: ops.resume(_turns(s, d)),
     "latest_turns": lambda s, d: ops.latest_turns(_turns(s, d)),
     "token_budget": lambda s, d: ops.within_budget(_docs(s, d).select("doc_id", "source", "n_chars", token_estimate(F.coalesce("text", F.lit(""))).alias("cost")), BUDGET, ["source"], [F.desc("n_chars"), F.col("doc_id")], F.col("cost")).select("doc_id", "source", "cost", "used"),
-    "context_budget": lambda s, d: ops.chained_budget([("warning", _scored(s, d, "toxic = 1")), ("decision", _scored(s, d, "quality = 0 AND toxic = 0"))], BUDGET),
+    "context_budget": lambda s, d: ops.chained_budget([("warning", _scored(s, d, "toxic = 1")), ("decision", _scored(s, d, "coalesce(toxic, 0) = 0"))], BUDGET),
     "keyword_search": lambda s, d: _docs(s, d).filter(contains_any(F.col("text"), F.lit(QUERY))).select("doc_id", "source"),
     "key_terms": lambda s, d: _docs(s, d).select("doc_id", ops.key_terms(F.lower("text")).alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("digest")),
     "prohibited_terms": lambda s, d: _docs(s, d).select("doc_id", F.explode(ops.prohibited_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n")),
     "compliance_blockers": lambda s, d: ops.compliance(_docs(s, d).select(F.col("doc_id").alias("id"), "text"), _rules(s, d)),
     "decision_markers": lambda s, d: ops.marked_lines(_docs(s, d), ["licensed under", "released under", *ops.DECISION], "doc_id", "text"),
-    "change_detectors": lambda s, d: ops.change_detectors(_paths(s, d).select(F.concat("path", F.when(F.length("path") % 3 == 0, F.lit("/go.mod")).when(F.length("path") % 3 == 1, F.lit("/app.yml")).otherwise(F.lit(""))).alias("path"))).groupBy("path", "finding").agg(F.count("*").alias("n")),
     "tree_rollup": lambda s, d: ops.tree(_paths(s, d)),
     "config_vars": _config,
     "age_labels": lambda s, d: _events(s, d).groupBy(age_label(F.col("ts"), F.to_timestamp(F.lit(EVENTS_AS_OF))).alias("age")).agg(F.count("*").alias("n")),
@@ -96,11 +96,11 @@ def _prohibited(p: str) -> str:
 
 
 _PATHS = "paths AS (SELECT regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages)"
-_SCORED = f"""scored AS (SELECT doc_id AS id, CASE WHEN {_HIT} THEN 0.5 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.25 ELSE 0 END AS score, strlen(coalesce(text, '')) // 4 AS cost, quality, toxic FROM documents JOIN labels USING (doc_id))"""
+_SCORED = f"""scored AS (SELECT doc_id AS id, CASE WHEN {_HIT} THEN 0.5 ELSE 0 END + CASE WHEN lang = 'en' THEN 0.25 ELSE 0 END AS score, strlen(coalesce(text, '')) // 4 AS cost, toxic FROM documents LEFT JOIN labels USING (doc_id))"""
 _TOOL = "CASE event_type WHEN 'purchase' THEN 'add_decision' WHEN 'signup' THEN 'start_feature' ELSE event_type END"
 SQL = {
     "dedup_latest": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-    "not_indexed_anti": "SELECT c_custkey AS o_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "not_indexed_anti": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "feed_union": f"""WITH u AS (SELECT 'event' AS kind, CAST(event_id AS VARCHAR) AS id, event_type AS title, CAST(user_id AS VARCHAR) AS author, ts FROM events
         UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), o_orderpriority, CAST(o_custkey AS VARCHAR), o_orderdate FROM orders)
       SELECT kind, id, title, author, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM u WHERE ts >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 2 DAY ORDER BY u.ts DESC, kind, id LIMIT 500""",
@@ -113,19 +113,18 @@ SQL = {
     "latest_turns": "SELECT conv_id, turn, role, r = 1 AS is_latest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3",
     "token_budget": f"SELECT * FROM (SELECT doc_id, source, CAST(strlen(coalesce(text, '')) // 4 AS BIGINT) AS cost, (sum(strlen(coalesce(text, '')) // 4) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM documents) WHERE used <= {BUDGET}",
     "context_budget": f"""WITH {_SCORED}, w AS (SELECT 'warning' AS kind, id, score, (sum(cost) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM scored WHERE toxic = 1 QUALIFY used <= {BUDGET}),
-      d AS (SELECT 'decision' AS kind, id, score, (coalesce((SELECT max(used) FROM w), 0) + sum(cost) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM scored WHERE quality = 0 AND toxic = 0 QUALIFY used <= {BUDGET})
+      d AS (SELECT 'decision' AS kind, id, score, (coalesce((SELECT max(used) FROM w), 0) + sum(cost) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING))::BIGINT AS used FROM scored WHERE coalesce(toxic, 0) = 0 QUALIFY used <= {BUDGET})
       SELECT kind, id, score::DOUBLE AS score, used FROM w UNION ALL SELECT kind, id, score::DOUBLE, used FROM d""",
     "keyword_search": f"SELECT doc_id, source FROM documents WHERE {_HIT}",
     "key_terms": f"WITH k AS (SELECT doc_id, {_KEY} AS t FROM documents) SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM k",
     "prohibited_terms": "SELECT doc_id, term, count(*) AS n FROM (" + " UNION ALL ".join(_prohibited(p) for p in PROHIBITIONS) + ") WHERE term <> '' GROUP BY 1, 2",
-    "compliance_blockers": f"""WITH rules AS (SELECT item_id AS rule_id, list_slice(list_sort(list_distinct(list_filter({_KEY}, lambda w: strlen(w) > 8))), 1, 6) AS terms FROM benchmark),
-      hits AS (SELECT doc_id AS id, rule_id, len(list_filter(terms, lambda t: contains(lower(text), t))) AS terms FROM documents, rules)
-      SELECT id, rule_id, 'blocker' AS severity, terms FROM hits WHERE terms >= 2""",
+    "compliance_blockers": rf"""WITH rules AS (SELECT item_id AS rule_id, list_distinct(list_filter({_KEY}, lambda w: strlen(w) > 3)) AS terms FROM benchmark),
+      t AS (SELECT DISTINCT unnest(terms) AS term FROM rules), w AS (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents),
+      v AS (SELECT DISTINCT word FROM w), p AS (SELECT word, term FROM v, t WHERE contains(word, term)),
+      hits AS (SELECT DISTINCT id, term FROM w JOIN p USING (word)), each_ AS (SELECT rule_id, unnest(terms) AS term FROM rules)
+      SELECT id, rule_id, 'blocker' AS severity, count(*) AS terms FROM hits JOIN each_ USING (term) GROUP BY 1, 2 HAVING count(*) >= 2""",
     "decision_markers": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
       SELECT doc_id, line, trim(regexp_extract(trim(content), '(?i)^(?:architectural decision:|released under|licensed under|design decision:|arch decision:|tech decision:|switched to:|we decided:|going with:|decision:|decided:|chose:|using:)\s*(\S.*)$', 1)) AS title FROM l WHERE title <> ''""",
-    "change_detectors": f"""WITH {_PATHS}, p AS (SELECT path || CASE length(path) % 3 WHEN 0 THEN '/go.mod' WHEN 1 THEN '/app.yml' ELSE '' END AS path FROM paths), b AS (SELECT path, string_split(path, '/')[-1] AS base FROM p),
-      f AS (SELECT path, 'dependency' AS finding FROM b WHERE list_contains({_list(ops.MANIFESTS)}, base) UNION ALL SELECT path, 'config' FROM b WHERE len(list_filter({_list(ops.CONFIGURATION)}, lambda c: contains(lower(base), c))) > 0)
-      SELECT path, finding, count(*) AS n FROM f GROUP BY 1, 2""",
     "tree_rollup": f"""WITH {_PATHS}, parts AS (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM paths)
       SELECT array_to_string(p[1:i], '/') AS folder, CAST(i AS BIGINT) AS depth, count(*) AS files FROM parts, (SELECT unnest([1, 2, 3]) AS i) WHERE i <= len(p) - 1 GROUP BY 1, 2""",
     "config_vars": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairnlore.functions.lineage import cut_lineage
 from cairnlore.functions.words import ACCENTED, BASE, STOPWORDS, SUFFIXES, SYNONYMS
 from cairnlore.operators import text as ops
 from cairnlore.sources.tables import table
@@ -12,18 +13,18 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
-def _counts(s, d):
-    return ops.term_counts(ops.document_tokens(_docs(s, d)))
+def _tokens(s, d):
+    return ops.document_tokens(_docs(s, d))
 
 
 def _vectors(s, d):
-    counts = _counts(s, d)
-    return ops.tfidf(counts, ops.vocabulary(counts, _docs(s, d).count()))
+    tokenised = cut_lineage(_tokens(s, d))
+    return ops.tfidf(tokenised, ops.vocabulary(tokenised, _docs(s, d).count()))
 
 
 def _similar(s, d):
     """Documents like the one with the most terms of the vocabulary."""
-    vectors = _vectors(s, d)
+    vectors = cut_lineage(_vectors(s, d))
     richest = vectors.groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").first()
     return ops.similar_documents(vectors, richest.doc_id if richest else -1, least=0.0)
 
@@ -34,8 +35,8 @@ def _found(query):
 
 QUERIES = {
     "tokenize": lambda s, d: ops.document_tokens(_docs(s, d)).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest")),
-    "doc_freq": lambda s, d: ops.document_frequency(_counts(s, d)).filter("df >= 2"),
-    "vocab_idf": lambda s, d: ops.vocabulary(_counts(s, d), _docs(s, d).count()),
+    "doc_freq": lambda s, d: ops.document_frequency(_tokens(s, d)).filter("df >= 2"),
+    "vocab_idf": lambda s, d: ops.vocabulary(_tokens(s, d), _docs(s, d).count()),
     "tfidf_vectors": lambda s, d: _vectors(s, d).select("doc_id", "idx", F.round("weight", 6).alias("weight")),
     "tfidf_search": _similar,
     "embedding_topk": lambda s, d: ops.vector_topk(table(s, d, "embeddings"), 0),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cairnlore.plans import activity, composite, graph, knowledge, text
+from cairnlore.plans import activity, answers, composite, graph, knowledge, text
 
-PLANS = (activity, text, graph, knowledge, composite)
+PLANS = (activity, text, graph, knowledge, composite, answers)
 
 
 def queries() -> dict:
