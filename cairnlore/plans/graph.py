@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cairnlore.operators import graph as ops
+from cairnlore.operators.project import ranked_trace
 from cairnlore.sources.tables import EDGES_SQL, edges, table
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ QUERIES = {
     "related_nodes": lambda s, d: ops.related(edges(s, d), "order", "1", 2),
     "dependency_tree": lambda s, d: ops.dependency_tree(edges(s, d), "order", "1", 4),
     "flow_trace": lambda s, d: ops.flow_trace(edges(s, d), "order", "1", 5),
+    "ranked_trace": lambda s, d: ranked_trace(ops.flow_trace(edges(s, d), "order", "1", 4), ["nation", "supplier:1"]),
     "ancestors": lambda s, d: ops.ancestors(_parents(s, d)),
     "edge_derivation": lambda s, d: ops.derive_edges(_records(s, d), "decision"),
 }
@@ -57,6 +59,8 @@ SQL = {
       SELECT node_type, count(*) AS nodes FROM ends WHERE NOT (node_type = 'order' AND id = '1') GROUP BY 1""",
     "dependency_tree": _down(4) + " SELECT DISTINCT l.t || ':' || l.i AS parent, e.to_type || ':' || e.to_id AS child, CAST(l.d + 1 AS BIGINT) AS depth FROM least_ l JOIN edges e ON e.from_type = l.t AND e.from_id = l.i WHERE l.d < 4",
     "flow_trace": _down(5) + " SELECT t || ':' || i AS node, CAST(d AS BIGINT) AS depth FROM least_ WHERE d > 0",
+    "ranked_trace": _down(4) + """, n AS (SELECT t || ':' || i AS node, CAST(d AS BIGINT) AS depth FROM least_ WHERE d > 0)
+      SELECT node, depth, CAST(CASE WHEN contains(node, 'nation') OR contains(node, 'supplier:1') THEN 1.0 ELSE round(0.5::DOUBLE / depth, 6) END AS DOUBLE) AS relevance FROM n ORDER BY 3 DESC, 2, 1""",
     "ancestors": """WITH RECURSIVE parents AS (SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS parent FROM customer
         UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
       up AS (SELECT id, parent AS ancestor, 1 AS depth FROM parents UNION ALL SELECT u.id, p.parent, u.depth + 1 FROM up u JOIN parents p ON p.id = u.ancestor WHERE u.depth < 5)

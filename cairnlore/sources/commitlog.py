@@ -59,3 +59,8 @@ def status(lines: DataFrame, line: str = "value") -> DataFrame:
     moved = F.split(rest, " -> ")
     renamed = (kind == "renamed") & (F.size(moved) == 2)
     return lines.filter(F.length(line) > 3).select(F.when(renamed, F.get(moved, 1)).otherwise(rest).alias("path"), F.when(renamed, F.get(moved, 0)).alias("old_path"), kind.alias("status"))
+
+
+def newest(parsed: DataFrame, most: int = 2000) -> DataFrame:
+    """The newest commits, as many as a scan reads."""
+    return parsed.orderBy(F.desc("ts"), "hash").limit(most)

@@ -44,3 +44,36 @@ def project_files(spark: SparkSession, root: str) -> DataFrame:
 def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """A JSON collection (one document holding a list) with its fixed schema."""
     return spark.read.schema(SCHEMAS[kind]).option("multiLine", True).json(path)
+
+
+def feature_records(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """The records of all features: one file kind.json in each folder below root/features, with the folder's name as
+    folder; files that can't be read are left out."""
+    found = spark.read.schema(SCHEMAS[kind]).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{root}/features/*/{kind}.json")
+    return found.withColumn("folder", F.regexp_extract("_metadata.file_path", "/features/([^/]+)/", 1))
+
+
+def pruned(df: DataFrame, kind: str) -> DataFrame:
+    """df with the columns of its kind only; missing ones are null."""
+    fields = T._parse_datatype_string(SCHEMAS[kind]).fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def replace_collection(df: DataFrame, path: str, kind: str) -> None:
+    """Writes a collection whole; readers see the old one or the new one, as the committer moves files at the end."""
+    pruned(df, kind).write.mode("overwrite").parquet(path)
+
+
+def report(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stored report or derived table."""
+    return spark.read.parquet(f"{folder}/{name}")
+
+
+def append_log(entries: DataFrame, folder: str) -> None:
+    """Adds entries (at, level, message) to a log of JSON lines."""
+    entries.write.mode("append").json(folder)
+
+
+def log_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """level, entries, last of a log."""
+    return spark.read.schema("at timestamp, level string, message string").json(folder).groupBy("level").agg(F.count("*").alias("entries"), F.max("at").alias("last"))
