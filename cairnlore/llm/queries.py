@@ -70,12 +70,30 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_quality's base rules see, without the method's verdict."""
+    return quality.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("base_failed", quality.base_failed()).drop(*quality.MORE)
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op10_mix's sources."""
+    sizes = table(spark, sf_dir, "documents").select("source", mixing.words(F.col("text")).alias("size"))
+    out = mixing.targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return out.select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7_personal_data's spans of the plain kinds, counted."""
+    found = table(spark, sf_dir, "documents").select("doc_id", pii.spans(F.col("text")).alias("s"))
+    return found.select("doc_id", *[F.size(F.filter("s", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}") for kind in pii.BASE])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, quality_counts, mix_targets, base_span_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL}
+    return {"op3_chat_format": OP3_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
 
 
 OP3_SQL = r"""
@@ -96,3 +114,41 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(safe) + CASE WHEN before = role THEN 8 ELSE 24 + length(who) END) AS BIGINT) AS formatted_chars
 FROM written GROUP BY conv_id
 """
+
+QUALITY_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT r, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS win FROM w),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(8) AS t(k) GROUP BY r),
+lines AS (SELECT r, unnest(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))) AS line FROM w),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+  len(ws) < 20 OR 100 * coalesce(covered.n, 0) > 30 * len(ws) AS base_failed
+FROM w LEFT JOIN dup USING (r) LEFT JOIN covered USING (r)
+"""
+
+#: Each pass shares what is left among the open sources and closes those above three times their size; no more passes
+#: than sources are needed.
+MIX_SQL = r"""
+WITH RECURSIVE s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::DOUBLE AS size FROM documents GROUP BY 1),
+k AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM s),
+a AS (SELECT list({'source': source, 'size': size, 'weight': weight, 'capped': false}) AS xs FROM k),
+pass AS (SELECT 0 AS n, xs, (SELECT sum(size) FROM s) / list_sum(list_transform(xs, lambda x: x.weight)) AS level FROM a
+  UNION ALL SELECT n + 1, ys, ((SELECT sum(size) FROM s) - coalesce(list_sum(list_transform(list_filter(ys, lambda y: y.capped), lambda y: 3 * y.size)), 0)) / nullif(coalesce(list_sum(list_transform(list_filter(ys, lambda y: NOT y.capped), lambda y: y.weight)), 0), 0)
+  FROM (SELECT n, list_transform(xs, lambda x: {'source': x.source, 'size': x.size, 'weight': x.weight, 'capped': x.capped OR level * x.weight > 3 * x.size}) AS ys FROM pass WHERE n < 200 AND level IS NOT NULL)),
+last AS (SELECT xs, level FROM pass ORDER BY n DESC LIMIT 1),
+x AS (SELECT unnest(xs) AS x, level FROM last)
+SELECT x.source AS source, CAST(x.size AS BIGINT) AS source_size, round(CASE WHEN x.capped THEN 3 * x.size ELSE level * x.weight END, 3) AS target FROM x
+"""
+
+SPANS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ip, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE CAST('0' || ltrim(p, '0') AS INTEGER) END)) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(card, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(x)), lambda i: (ascii(reverse(x)[i + 1]) - 48) * (i % 2 + 1) - CASE WHEN (ascii(reverse(x)[i + 1]) - 48) * (i % 2 + 1) > 9 THEN 9 ELSE 0 END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
+FROM m
+"""
