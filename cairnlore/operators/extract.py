@@ -6,6 +6,7 @@ the name as its first group) for each language; a member belongs to the nearest
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,13 +41,24 @@ def skeleton(files: DataFrame) -> DataFrame:
         for kind, pattern in reversed(patterns):
             hit = F.when((F.col("language") == lang) & F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", pattern, 1).alias("name"))).otherwise(hit)
     found = source_lines(files).withColumn("h", hit).filter("h IS NOT NULL").select("path", "language", "line", "text", "h.kind", "h.name", F.length(F.regexp_extract("text", r"^(\s*)", 1)).alias("indent"))
-    # Of the types above, the nearest one that is indented less; a map by indent keeps one for each depth.
-    order = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    holders = F.collect_list(F.when(F.col("kind").isin(HOLDERS), F.struct("line", "indent", "name"))).over(order)
-    above = F.element_at(F.filter(F.col("above"), lambda h: h.indent < F.col("indent")), -1)
-    receiver = F.regexp_extract("text", r"^func\s+\(\s*\w*\s*\*?(\w+)", 1)
-    container = F.when((F.col("language") == "go") & (F.col("kind") == "method"), receiver).when(F.size(F.filter("above", lambda h: h.indent < F.col("indent"))) > 0, above["name"]).otherwise("")
-    return found.withColumn("above", holders).select("path", "language", "line", "kind", "name", container.alias("container"), F.trim(F.regexp_replace("text", r"\s*\{\s*$", "")).alias("signature"))
+    receiver = F.when((F.col("language") == "go") & (F.col("kind") == "method"), F.regexp_extract("text", r"^func\s+\(\s*\w*\s*\*?(\w+)", 1))
+    signature = F.trim(F.regexp_replace("text", r"\s*\{\s*$", ""))
+    rows = found.select("path", "language", "line", "kind", "name", receiver.alias("container"), signature.alias("signature"), "indent")
+    return rows.groupBy("path").applyInPandas(_contained, "path string, language string, line bigint, kind string, name string, container string, signature string")
+
+
+def _contained(declarations: pd.DataFrame) -> pd.DataFrame:
+    """One file's declarations with the nearest type above that is indented less as their container: a stack of the open
+    types, so that a file costs as much as it has lines."""
+    rows, stack, containers = declarations.sort_values("line"), [], []
+    for indent, kind, name in zip(rows["indent"], rows["kind"], rows["name"]):
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        containers.append(stack[-1][1] if stack else "")
+        if kind in HOLDERS:
+            stack.append((indent, name))
+    rows = rows.assign(container=rows["container"].where(rows["container"].notna(), pd.Series(containers, index=rows.index)))
+    return rows.drop(columns="indent")
 
 
 def skeleton_savings(original: Column, skeleton_size: Column) -> Column:

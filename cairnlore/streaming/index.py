@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 def upsert_into(target: str, key: str, order: str):
     """A foreachBatch function: version n of the table is version n - 1 with the batch's newest rows in place.
 
-    Versions are folders, so a repeated batch writes the same version again, and readers never see half of one.
+    Versions are folders, so a repeated batch writes the same version again, and readers never see half of one. The
+    version before the last is removed, as no batch can need it again.
     """
 
     def write(batch: DataFrame, n: int) -> None:
@@ -21,13 +22,16 @@ def upsert_into(target: str, key: str, order: str):
             old = spark.read.parquet(f"{target}/version={n - 1}")
             new = latest(old.unionByName(new), [key], [F.desc(order)])
         new.write.mode("overwrite").parquet(f"{target}/version={n}")
+        if n > 1:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version={n - 2}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return write
 
 
-def watch(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "path", order: str = "indexed_at") -> StreamingQuery:
-    """Indexes all files that a folder has got since the last run. The stream's checkpoint knows the seen ones."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+def watch(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "path", order: str = "indexed_at", files: int = 100) -> StreamingQuery:
+    """Indexes all files that a folder has got since the last run, so many in a batch. The stream's checkpoint knows the seen ones."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return stream.writeStream.foreachBatch(upsert_into(target, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
