@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 from cairnlore.llm import langid, queries, toxicity
+from pyspark.sql import functions as F
 
 
 def texts_of(rng, words, n):
@@ -89,3 +91,37 @@ def test_nnpu_risk_stays_bounded():
     u = (rng.random((500, 4)) < [0.15, 0.1, 0.5, 0.5]).astype(np.float32)
     w, b = toxicity.fit_nnpu(p, u, 0.08)
     assert (w >= 0).all() and w[0] > 3 * w[1:].max() and b < 0
+
+
+def crc_mod(column, n):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def test_language_query_against_the_plain_network(spark, sf_dir):
+    """All windows of each whole text through the network itself, without tables or batches."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    x, y, classes = langid.sample(docs.filter(crc_mod("doc_id", 5) != 0), "doc_id")
+    net = langid.fit(x, y, classes)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op9_language(spark, sf_dir).collect():
+        t = text[r.doc_id]
+        if not t or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        raw = t.encode().lower()
+        w = np.stack([np.frombuffer(raw[i : i + langid.WINDOW].ljust(langid.WINDOW), dtype=np.uint8) for i in range(0, len(raw), langid.WINDOW)])
+        z = (langid._forward(net, w)[1] @ net.dense + net.offset).astype(np.float64).mean(axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(p.max() - r.score) < 1e-3 and (classes[int(p.argmax())] == r.lang_pred or abs(np.sort(p)[-1] - np.sort(p)[-2]) < 1e-3)
+
+
+def test_toxicity_query_against_plain_scores(spark, sf_dir):
+    """The words of each whole text looked up one by one in the learned weights."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs.filter(crc_mod("doc_id", 3) != 1).select("doc_id", "text"), labels.filter(crc_mod("doc_id", 3) != 1).select("doc_id", "toxic"))
+    weight = dict(zip(model.words, model.weights))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op5_toxicity(spark, sf_dir).collect():
+        words = set(re.findall(r"[^\W\d_]+", (text[r.doc_id] or "").lower()))
+        z = model.bias + sum(weight.get(w, 0.0) for w in words)
+        assert abs(1 / (1 + np.exp(-np.clip(z, -40, 40))) - r.score) < 1e-9

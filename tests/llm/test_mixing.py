@@ -67,3 +67,10 @@ def test_copies_of_one_row_are_taken_in_part(spark):
 
 def test_empty(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_very_long_text_counts_whole(spark):
+    rows = [(1, "word " * 200_000, "a"), (2, "x y", "b"), (3, "x y z", "b")]
+    got = {r.doc_id: r for r in mixing.mix(frame(spark, rows)).collect()}
+    assert got[1].size == 200_000 and all(r.copies <= 3 for r in got.values())
+    assert got[2].target == got[2].source_size * 3  # the small source stops at three times its size

@@ -94,3 +94,10 @@ def test_one_of_each_keeps_columns_and_single_rows(spark):
 
 def test_empty(spark):
     assert simhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = "alpha beta gamma delta epsilon " * 30_000
+    rows = [(3, long), (2, long + "end"), (9, "short one")]
+    got = {r.doc_id: (np.uint64(np.int64(r.fingerprint)), r.component_id) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {3: 2, 2: 2, 9: 9} and int(got[3][0]) == slow_fingerprint(long)
