@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnlore.functions.columns import dirname, last_activity
+from cairnlore.functions.columns import contains_any, dirname, last_activity
 from cairnlore.functions.lineage import cut_lineage
 from cairnlore.operators.activity import file_expertise
 from cairnlore.operators.composite import union_all
@@ -203,3 +203,33 @@ def within_characters(df: DataFrame, text: str, order: list[Column], most: int)
     from cairnlore.operators.knowledge import within_budget
 
     return within_budget(df.withColumn("__g", F.lit(0)), most, ["__g"], order, F.length(text)).drop("__g")
+
+
+def query_bundle(decisions: DataFrame, warnings: DataFrame, patterns: DataFrame, files: DataFrame, experts: DataFrame, hits: DataFrame, conversations: DataFrame, question: str, limits: dict[str, int]) -> DataFrame:
+    """section, rank, id: the whole answer to a question.
+
+    Decisions and warnings (id, text) hold one of its words, up to their limits; patterns (id) come all; files (id) are
+    full-text hits; experts (dir, author, ownership) know a folder whose name holds a word of 3 bytes or more; semantic
+    hits (id, similarity) that the words have not found follow by similarity, and conversations (id) are those of hits.
+    """
+    match = lambda df: df.filter(contains_any(F.coalesce("text", F.lit("")), F.lit(question)))
+    placed = lambda df, section, *order: df.select(F.lit(section).alias("section"), F.row_number().over(W.orderBy(*order)).alias("rank"), F.col("id").cast("string").alias("id"))
+    first = lambda df, section, *order: df.orderBy(*order).limit(limits[section])
+    words = [w for w in question.lower().split() if len(w.encode()) > 2]
+    known = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower("dir"), w)) if words else F.lit(False)
+    told = experts.filter(known).select(F.concat_ws("@", F.col("author").cast("string"), "dir").alias("id"), "ownership").distinct()
+    found_d, found_w = (first(match(df), section, "id") for df, section in ((decisions, "decision"), (warnings, "warning")))
+    new = hits.join(union_all([found_d.select("id"), found_w.select("id")]).distinct(), "id", "left_anti")
+    talks = conversations.join(hits.select("id"), "id", "left_semi").select("id").distinct()
+    # All but patterns are cut before they are numbered; patterns keep their stored order.
+    return union_all(
+        [
+            placed(found_d, "decision", "id"),
+            placed(found_w, "warning", "id"),
+            patterns.select(F.lit("pattern").alias("section"), F.lit(0).alias("rank"), F.col("id").cast("string").alias("id")),
+            placed(first(files, "file", "id"), "file", "id"),
+            placed(first(told, "expert", F.desc("ownership"), "id"), "expert", F.desc("ownership"), "id"),
+            placed(first(new, "semantic", F.desc("similarity"), "id"), "semantic", F.desc("similarity"), "id"),
+            placed(first(talks, "conversation", "id"), "conversation", "id"),
+        ]
+    )

@@ -149,7 +149,19 @@ def _task(s, d):
     return ops.task_context(parts, "bugfix", match, {"warning": 5, "pattern": 5, "decision": 10}).select("section", "rank", F.md5("text").alias("digest"))
 
 
+def _bundled(s, d):
+    own = lambda kind: _records(s, d).filter(F.col("kind") == kind).select("id", "text")
+    files = text.full_text(_docs(s, d), "license OR rights").select(F.col("doc_id").alias("id"))
+    hits = text.vector_topk(table(s, d, "embeddings"), 0, 0.1, 50).select(F.col("vec_id").alias("id"), "similarity")
+    patterns = table(s, d, "benchmark").select(F.col("item_id").alias("id"))
+    talks = _turns(s, d).select(F.col("conv_id").alias("id"))
+    return ops.query_bundle(own("decision"), own("warning"), patterns, files, activity.directory_experts(changes(s, d), ORDERS_AS_OF), hits, talks, QUESTION + " brand#1", QUERY_LIMITS)
+
+
+QUERY_LIMITS = {"decision": 10, "warning": 5, "file": 10, "expert": 20, "semantic": 10, "conversation": 10}
+
 QUERIES = {
+    "query_bundle": _bundled,
     "semantic_merge": _new_hits,
     "hit_conversations": _hit_conversations,
     "endpoint_records": _endpoints,
@@ -215,6 +227,18 @@ _MESSAGES = "o AS (SELECT o_orderkey AS commit, o_orderpriority AS p, o_ordersta
 _NAMES = "['go.mod', 'package.json', 'Dockerfile', 'Makefile', 'app.yml', 'main.go', 'index.ts', 'tsconfig.json', 'notes.md', '.env']"
 _FILES = f"f AS (SELECT p_brand || '/' || p_partkey || '/' || ({_NAMES})[p_partkey % 10 + 1] AS path, ({_NAMES})[p_partkey % 10 + 1] AS base FROM part)"
 SQL = {
+    "query_bundle": f"""WITH {_REC}, {_near(0, 0.1, 50)}, {CHANGES_SQL}, own_ AS (SELECT {_DIR} AS dir, author, count(*) AS touches FROM changes GROUP BY ALL),
+      experts AS (SELECT dir, author, round(touches::DOUBLE / sum(touches) OVER (PARTITION BY dir), 6) AS ownership FROM own_ QUALIFY row_number() OVER (PARTITION BY dir ORDER BY touches DESC, author) <= 5),
+      d AS (SELECT id FROM rec WHERE kind = 'decision' AND ({_MATCH} OR contains(lower(coalesce(text, '')), 'brand#1')) ORDER BY id LIMIT 10),
+      w AS (SELECT id FROM rec WHERE kind = 'warning' AND ({_MATCH} OR contains(lower(coalesce(text, '')), 'brand#1')) ORDER BY id LIMIT 5),
+      f AS (SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{{L}}\\p{{N}}])(license|rights)([^\\p{{L}}\\p{{N}}]|$)') ORDER BY 1 LIMIT 10),
+      e AS (SELECT DISTINCT author || '@' || dir AS id, ownership FROM experts WHERE contains(lower(dir), 'brand#1') OR contains(lower(dir), 'trash') OR contains(lower(dir), 'license') OR contains(lower(dir), 'version') ORDER BY ownership DESC, id LIMIT 20),
+      n AS (SELECT * FROM near WHERE id NOT IN (SELECT id FROM d UNION SELECT id FROM w) ORDER BY similarity DESC, id LIMIT 10),
+      c AS (SELECT DISTINCT conv_id AS id FROM conversations WHERE conv_id IN (SELECT id FROM near) ORDER BY 1 LIMIT 10)
+      SELECT 'decision' AS section, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS rank, CAST(id AS VARCHAR) AS id FROM d UNION ALL SELECT 'warning', CAST(row_number() OVER (ORDER BY id) AS INTEGER), CAST(id AS VARCHAR) FROM w
+      UNION ALL SELECT 'pattern', 0, CAST(item_id AS VARCHAR) FROM benchmark UNION ALL SELECT 'file', CAST(row_number() OVER (ORDER BY id) AS INTEGER), CAST(id AS VARCHAR) FROM f
+      UNION ALL SELECT 'expert', CAST(row_number() OVER (ORDER BY ownership DESC, id) AS INTEGER), id FROM e UNION ALL SELECT 'semantic', CAST(row_number() OVER (ORDER BY similarity DESC, id) AS INTEGER), CAST(id AS VARCHAR) FROM n
+      UNION ALL SELECT 'conversation', CAST(row_number() OVER (ORDER BY id) AS INTEGER), CAST(id AS VARCHAR) FROM c""",
     "semantic_merge": f"WITH {_near(0, 0.1, 200)} SELECT id, source, similarity FROM near JOIN documents ON doc_id = id WHERE NOT regexp_matches(lower(coalesce(text, '')), '(^|[^\\p{{L}}\\p{{N}}])(license|rights)([^\\p{{L}}\\p{{N}}]|$)')",
     "hit_conversations": f"WITH {_near(1, 0.0, 100)} SELECT conv_id, count(*) AS turns FROM conversations WHERE conv_id IN (SELECT id FROM near) GROUP BY 1",
     "endpoint_records": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus FROM orders WHERE o_custkey = 1 OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 7)",

@@ -29,7 +29,19 @@ def _context(s, d):
 
 def _sections(s, d):
     row = lambda df, seq, text: df.select(F.col(seq).cast("bigint").alias("seq"), F.col(text).cast("string").alias("text"))
-    return {"people": (row(table(s, d, "customer"), "c_custkey", "c_name"), 15), "parts": (row(table(s, d, "part"), "p_partkey", "p_name"), 10), "regions": (row(table(s, d, "region"), "r_regionkey", "r_name"), 3)}
+    cut = lambda df, seq, text: df.select(F.col(seq).cast("bigint").alias("seq"), F.substring(F.coalesce(text, F.lit("")), 1, 40).alias("text"))
+    labelled = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
+    return {
+        "people": (row(table(s, d, "customer"), "c_custkey", "c_name"), 15),
+        "parts": (row(table(s, d, "part"), "p_partkey", "p_name"), 10),
+        "regions": (row(table(s, d, "region"), "r_regionkey", "r_name"), 3),
+        "features": (row(table(s, d, "nation"), "n_nationkey", "n_name"), 10),
+        "decisions": (cut(labelled.filter("coalesce(toxic, 0) = 0"), "doc_id", "text"), 30),
+        "warnings": (cut(labelled.filter("toxic = 1"), "doc_id", "text"), 20),
+        "patterns": (cut(table(s, d, "benchmark"), "item_id", "text"), 15),
+        "events": (row(table(s, d, "events"), "event_id", "event_type"), 10),
+        "conversations": (cut(table(s, d, "conversations").filter("turn = 0"), "conv_id", "text"), 5),
+    }
 
 
 def _features(s, d):
@@ -77,7 +89,9 @@ SQL = {
       why AS (SELECT id, 1.0::DOUBLE AS score, 'file' AS why FROM rec WHERE common UNION ALL SELECT id, CASE WHEN critical THEN 1.0 ELSE 0.5 END, 'word' FROM rec WHERE contains(lower(text), 'urgent')
         UNION ALL SELECT id, 0.7, 'graph' FROM rec WHERE id IN (SELECT id FROM near) UNION ALL SELECT id, 0.6, 'ancestor' FROM rec WHERE feature = 'P')
       SELECT CAST(id AS VARCHAR) AS id, score, why FROM why QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, why DESC) = 1""",
-    "onboard": """WITH r AS (SELECT 'people' AS section, c_custkey AS seq, c_name AS text, 15 AS cap FROM customer UNION ALL SELECT 'parts', p_partkey, p_name, 10 FROM part UNION ALL SELECT 'regions', r_regionkey, r_name, 3 FROM region)
+    "onboard": """WITH l AS (SELECT documents.doc_id, text, toxic FROM documents LEFT JOIN labels USING (doc_id)), r AS (SELECT 'people' AS section, c_custkey AS seq, c_name AS text, 15 AS cap FROM customer UNION ALL SELECT 'parts', p_partkey, p_name, 10 FROM part UNION ALL SELECT 'regions', r_regionkey, r_name, 3 FROM region
+        UNION ALL SELECT 'features', n_nationkey, n_name, 10 FROM nation UNION ALL SELECT 'decisions', doc_id, left(coalesce(text, ''), 40), 30 FROM l WHERE coalesce(toxic, 0) = 0 UNION ALL SELECT 'warnings', doc_id, left(coalesce(text, ''), 40), 20 FROM l WHERE toxic = 1
+        UNION ALL SELECT 'patterns', item_id, left(coalesce(text, ''), 40), 15 FROM benchmark UNION ALL SELECT 'events', event_id, event_type, 10 FROM events UNION ALL SELECT 'conversations', conv_id, left(coalesce(text, ''), 40), 5 FROM conversations WHERE turn = 0)
       SELECT section, r AS rank, text FROM (SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY seq, text) AS INTEGER) AS r FROM r) WHERE r <= cap""",
     "experts_page": "SELECT s_suppkey, s_name, s_acctbal, (SELECT count(*) FROM supplier) AS total_count, (SELECT count(*) FROM supplier) > 30 AS truncated FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 30",
     "expert_areas": f"""WITH {TEAM_SQL}, own AS (SELECT {_DIR} AS dir, author, count(*) AS touches, max(ts) > TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 3 MONTH AS active FROM changes GROUP BY 1, 2),
