@@ -6,6 +6,7 @@ from cairnlore.functions.columns import contains_any, dirname, last_activity
 from cairnlore.functions.lineage import cut_lineage
 from cairnlore.operators.activity import file_expertise
 from cairnlore.operators.composite import union_all
+from cairnlore.operators.knowledge import chained_budget, within_budget
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -200,8 +201,6 @@ def rebuilt(log: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def within_characters(df: DataFrame, text: str, order: list[Column], most: int) -> DataFrame:
     """Rows in order up to the one with which the texts pass a number of characters, which is left out."""
-    from cairnlore.operators.knowledge import within_budget
-
     return within_budget(df.withColumn("__g", F.lit(0)), most, ["__g"], order, F.length(text)).drop("__g")
 
 
@@ -233,3 +232,16 @@ def query_bundle(decisions: DataFrame, warnings: DataFrame, patterns: DataFrame,
             placed(first(talks, "conversation", "id"), "conversation", "id"),
         ]
     )
+
+
+def context_bundle(scored: dict[str, DataFrame], hits: DataFrame, budget: int) -> DataFrame:
+    """kind, id, score, used: what fits a budget of tokens, kinds in the order given.
+
+    scored: for each kind rows of id, score (null where nothing but meaning may tell) and cost. Records without a score
+    take the similarity of a semantic hit (id, similarity). Each kind stops at its first record that no longer fits.
+    """
+    lists = []
+    for kind, df in scored.items():
+        met = df.join(hits, "id", "left").withColumn("score", F.coalesce("score", "similarity")).filter("score IS NOT NULL")
+        lists.append((kind, met.select("id", "score", "cost")))
+    return chained_budget(lists, budget)

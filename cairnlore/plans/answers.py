@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairnlore.functions.columns import contains_any
+from cairnlore.functions.columns import contains_any, token_estimate
 from cairnlore.operators import activity, graph, knowledge, text
 from cairnlore.operators import answers as ops
 from cairnlore.operators import extract
@@ -158,10 +158,21 @@ def _bundled(s, d):
     return ops.query_bundle(own("decision"), own("warning"), patterns, files, activity.directory_experts(changes(s, d), ORDERS_AS_OF), hits, talks, QUESTION + " brand#1", QUERY_LIMITS)
 
 
+def _context(s, d):
+    """Warnings, decisions and patterns for a question; a toxic text counts as critical."""
+    word = contains_any(F.coalesce("text", F.lit("")), F.lit(QUESTION))
+    rows = _records(s, d).select("id", "kind", F.when(word, F.when(F.col("kind") == "warning", 1.0).otherwise(0.5)).alias("score"), token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
+    patterns = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.when(word, 0.5).alias("score"), token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
+    hits = text.vector_topk(table(s, d, "embeddings"), 0, 0.1, 50).select(F.col("vec_id").alias("id"), "similarity")
+    own = lambda kind: rows.filter(F.col("kind") == kind).select("id", "score", "cost")
+    return ops.context_bundle({"warning": own("warning"), "decision": own("decision"), "pattern": patterns}, hits, 30_000)
+
+
 QUERY_LIMITS = {"decision": 10, "warning": 5, "file": 10, "expert": 20, "semantic": 10, "conversation": 10}
 
 QUERIES = {
     "query_bundle": _bundled,
+    "context_bundle": _context,
     "semantic_merge": _new_hits,
     "hit_conversations": _hit_conversations,
     "endpoint_records": _endpoints,
@@ -227,6 +238,15 @@ _MESSAGES = "o AS (SELECT o_orderkey AS commit, o_orderpriority AS p, o_ordersta
 _NAMES = "['go.mod', 'package.json', 'Dockerfile', 'Makefile', 'app.yml', 'main.go', 'index.ts', 'tsconfig.json', 'notes.md', '.env']"
 _FILES = f"f AS (SELECT p_brand || '/' || p_partkey || '/' || ({_NAMES})[p_partkey % 10 + 1] AS path, ({_NAMES})[p_partkey % 10 + 1] AS base FROM part)"
 SQL = {
+    "context_bundle": f"""WITH {_REC}, {_near(0, 0.1, 50)},
+      r AS (SELECT kind, id, CASE WHEN {_MATCH} THEN CASE kind WHEN 'warning' THEN 1.0 ELSE 0.5 END END AS score, strlen(coalesce(text, '')) // 4 AS cost FROM rec
+        UNION ALL SELECT 'pattern', item_id, CASE WHEN {_MATCH} THEN 0.5 END, strlen(coalesce(text, '')) // 4 FROM benchmark),
+      m AS (SELECT kind, r.id, coalesce(score::DOUBLE, similarity) AS score, cost FROM r LEFT JOIN near ON near.id = r.id WHERE coalesce(score::DOUBLE, similarity) IS NOT NULL),
+      c AS (SELECT *, sum(cost) OVER (PARTITION BY kind ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS run FROM m),
+      w AS (SELECT *, run AS used FROM c WHERE kind = 'warning' AND run <= 30000), sw AS (SELECT coalesce(max(used), 0) AS base FROM w),
+      d AS (SELECT c.*, base + run AS used FROM c, sw WHERE kind = 'decision' AND base + run <= 30000), sd AS (SELECT coalesce(max(used), (SELECT base FROM sw)) AS base FROM d),
+      p AS (SELECT c.*, base + run AS used FROM c, sd WHERE kind = 'pattern' AND base + run <= 30000)
+      SELECT kind, id, score, CAST(used AS BIGINT) AS used FROM w UNION ALL SELECT kind, id, score, CAST(used AS BIGINT) FROM d UNION ALL SELECT kind, id, score, CAST(used AS BIGINT) FROM p""",
     "query_bundle": f"""WITH {_REC}, {_near(0, 0.1, 50)}, {CHANGES_SQL}, own_ AS (SELECT {_DIR} AS dir, author, count(*) AS touches FROM changes GROUP BY ALL),
       experts AS (SELECT dir, author, round(touches::DOUBLE / sum(touches) OVER (PARTITION BY dir), 6) AS ownership FROM own_ QUALIFY row_number() OVER (PARTITION BY dir ORDER BY touches DESC, author) <= 5),
       d AS (SELECT id FROM rec WHERE kind = 'decision' AND ({_MATCH} OR contains(lower(coalesce(text, '')), 'brand#1')) ORDER BY id LIMIT 10),
