@@ -293,6 +293,20 @@ def change_detectors(changed: DataFrame, path: str = "path") -> DataFrame:
     return changed.select(path, F.explode(finding).alias("finding"))
 
 
+def commit_findings(commits: DataFrame) -> DataFrame:
+    """commit, findings, impact of commits (commit, subject, removed, paths, added_lines): a revert, more than 100 lines
+    removed, each changed manifest and configuration file, and the first open task on an added line."""
+    config = lambda p: F.exists(F.array(*[F.lit(c.lower()) for c in CONFIGURATION]), lambda c: F.contains(F.lower(basename(p)), c))
+    task = F.filter("added_lines", lambda x: x.rlike(r"\b(?:TODO|FIXME|HACK)\b"))
+    told = F.concat(
+        F.array(F.when(F.lower("subject").rlike(r"^revert\b"), "Revert"), F.when(F.col("removed") > 100, "Large deletion")),
+        F.transform(F.filter("paths", lambda p: basename(p).isin(MANIFESTS)), lambda p: F.concat(F.lit("dependency: "), p)),
+        F.transform(F.filter("paths", config), lambda p: F.concat(F.lit("config: "), p)),
+        F.array(F.when(F.size(task) > 0, F.concat(F.lit("task: "), F.trim(F.get(task, 0))))),
+    )
+    return commits.select("commit", F.array_compact(told).alias("findings")).withColumn("impact", impact_of(F.col("findings")))
+
+
 def impact_of(findings: Column) -> Column:
     """Of an array of finding texts."""
     grave = F.exists(findings, lambda f: F.contains(f, F.lit("Revert")) | F.contains(f, F.lit("Large deletion")))

@@ -126,6 +126,15 @@ def _changed_paths(s, d):
     return table(s, d, "part").select(F.concat_ws("/", F.col("p_brand"), F.col("p_partkey").cast("string"), name).alias("path"))
 
 
+def _commits(s, d):
+    """Orders as commits: lines removed are its quantities, files and added lines come from its parts."""
+    k = F.col("o_orderkey")
+    names = F.array(*[F.lit(n) for n in ("go.mod", "app.yml", "main.go", "notes.md", "Makefile")])
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("removed"), F.array_sort(F.collect_set(F.get(names, (F.col("l_partkey") % 5).cast("int")))).alias("paths"))
+    added = F.array(F.concat(F.lit("x = "), k.cast("string")), F.when(k % 13 == 0, F.concat(F.lit("  # TODO: "), k.cast("string"))).otherwise("y"))
+    return _orders(s, d).join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(k.alias("commit"), F.when(k % 11 == 0, "Revert \"x\"").otherwise("fix: x").alias("subject"), "removed", "paths", added.alias("added_lines"))
+
+
 def _writes(s, d):
     records = _orders(s, d).select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("feature"), F.col("o_orderpriority").alias("text"), F.lit(None).cast("string").alias("supersedes"), F.array(F.col("o_custkey").cast("string")).alias("related_files"), F.array().cast("array<string>").alias("related_decisions"))
     return ops.knowledge_writes(records, "decision", graph.derive_edges(records, "decision"), ORDERS_AS_OF).groupBy("collection").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
@@ -196,6 +205,7 @@ QUERIES = {
     "message_warnings": lambda s, d: knowledge.message_warnings(_messages(s, d)).select("commit", "title", "severity"),
     "pull_request_items": lambda s, d: knowledge.pull_request_items(_bodies(s, d)),
     "change_detectors": lambda s, d: knowledge.change_detectors(_changed_paths(s, d)),
+    "commit_findings": lambda s, d: knowledge.commit_findings(_commits(s, d)).select("commit", F.array_join("findings", "; ").alias("findings"), "impact"),
     "page_links": lambda s, d: extract.page_links(_pages(s, d)),
     "page_outline": lambda s, d: extract.page_outline(_pages(s, d)).select("page_id", "tag", F.md5("content").alias("digest")).groupBy("page_id", "tag", "digest").agg(F.count("*").alias("n")),
     "script_variables": lambda s, d: extract.script_variables(_pages(s, d)),
@@ -309,6 +319,10 @@ SQL = {
     "message_warnings": f"""WITH {_MESSAGES} SELECT commit, CASE WHEN commit % 4 = 0 THEN 'watch ' || st ELSE 'late' END AS title, CASE WHEN commit % 4 = 0 THEN 'warning' ELSE 'critical' END AS severity FROM o WHERE commit % 4 = 0 OR commit % 7 = 0""",
     "pull_request_items": """SELECT o_orderkey AS id, 'decisions' AS section, 'keep ' || o_orderpriority AS item FROM orders UNION ALL SELECT o_orderkey, 'decisions', 'and ' || o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'warnings', 'late' FROM orders""",
     "change_detectors": f"""WITH {_FILES} SELECT path, 'dependency' AS finding FROM f WHERE base IN ('go.mod', 'package.json') UNION ALL SELECT path, 'config' FROM f WHERE base IN ('Dockerfile', 'Makefile', 'app.yml', 'tsconfig.json', '.env')""",
+    "commit_findings": """WITH l AS (SELECT l_orderkey AS k, sum(CAST(l_quantity AS BIGINT)) AS removed, list_sort(list_distinct(list((['go.mod', 'app.yml', 'main.go', 'notes.md', 'Makefile'])[l_partkey % 5 + 1]))) AS paths FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1),
+      f AS (SELECT k, list_concat(CASE WHEN k % 11 = 0 THEN ['Revert'] ELSE [] END, CASE WHEN removed > 100 THEN ['Large deletion'] ELSE [] END, CASE WHEN list_contains(paths, 'go.mod') THEN ['dependency: go.mod'] ELSE [] END,
+        list_transform(list_filter(paths, lambda p: p IN ('app.yml', 'Makefile')), lambda p: 'config: ' || p), CASE WHEN k % 13 = 0 THEN ['task: # TODO: ' || k] ELSE [] END) AS fs FROM l)
+      SELECT k AS commit, array_to_string(fs, '; ') AS findings, CASE WHEN list_contains(fs, 'Revert') OR list_contains(fs, 'Large deletion') THEN 'high' WHEN len(fs) > 3 THEN 'medium' ELSE 'low' END AS impact FROM f""",
     "page_links": "SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2",
     "page_outline": "WITH " + ", ".join(f"{t} AS (SELECT page_id, '{t}' AS tag, unnest(regexp_extract_all(html, '<{t}(?:\\s[^>]*)?>([^<]*)</{t}>', 1)) AS content FROM pages)" for t in ("title", "h1", "h2", "h3")) + " SELECT page_id, tag, md5(trim(content)) AS digest, count(*) AS n FROM (SELECT * FROM title UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY 1, 2, 3",
     "script_variables": """WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages)

@@ -74,6 +74,7 @@ QUERIES = {
     "config_vars": _config,
     "age_labels": lambda s, d: _events(s, d).groupBy(age_label(F.col("ts"), F.to_timestamp(F.lit(EVENTS_AS_OF))).alias("age")).agg(F.count("*").alias("n")),
     "session_checkpoints": lambda s, d: sessions.captures(_calls(s, d)),
+    "session_ends": lambda s, d: sessions.ends(_calls(s, d)),
     "session_summary": lambda s, d: sessions.session_summary(_calls(s, d)),
     "activity_windows": lambda s, d: sessions.activity_windows(_events(s, d)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"),
     "gap_sessions": lambda s, d: sessions.gap_sessions(_events(s, d)),
@@ -137,6 +138,12 @@ SQL = {
           SELECT c.session, c.k, c.seq, c.tool, r.n + 1 AS calls, CASE WHEN c.tool = 'start_feature' AND r.n + 1 >= 3 THEN 'lifecycle' WHEN c.tool = 'add_decision' AND r.n + 1 >= 5 THEN 'knowledge_created' WHEN r.n + 1 >= 25 THEN 'checkpoint' END AS reason
           FROM run r JOIN calls c ON c.session = r.session AND c.k = r.k + 1))
       SELECT session, seq, tool, reason, calls FROM run WHERE reason IS NOT NULL""",
+    "session_ends": f"""WITH RECURSIVE calls AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, {_TOOL} AS tool, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+      run AS (SELECT session, 0::BIGINT AS k, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS tool, NULL::VARCHAR AS reason, 0::BIGINT AS calls FROM calls WHERE k = 1
+        UNION ALL SELECT session, k, CASE WHEN reason IS NULL THEN calls ELSE 0 END, seq, tool, reason, calls FROM (
+          SELECT c.session, c.k, c.seq, c.tool, r.n + 1 AS calls, CASE WHEN c.tool = 'start_feature' AND r.n + 1 >= 3 THEN 'lifecycle' WHEN c.tool = 'add_decision' AND r.n + 1 >= 5 THEN 'knowledge_created' WHEN r.n + 1 >= 25 THEN 'checkpoint' END AS reason
+          FROM run r JOIN calls c ON c.session = r.session AND c.k = r.k + 1))
+      SELECT session, seq, tool, 'end' AS reason, n AS calls FROM (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY session ORDER BY k DESC) = 1) WHERE n >= 5""",
     "session_summary": f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS session, {_TOOL} AS tool, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT session, sum(n)::BIGINT AS calls, count(*) AS tools, first(tool ORDER BY n DESC, tool) AS most_used FROM c GROUP BY 1""",
     "activity_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CALLS, KNOWLEDGE, LIFECYCLE = 25, 5, 3
+CALLS, KNOWLEDGE, LIFECYCLE, ENDING = 25, 5, 3, 5
 KNOWLEDGE_TOOLS, LIFECYCLE_TOOLS = ("add_decision", "add_warning"), ("start_feature", "archive_feature")
 _OUT = "session string, seq bigint, tool string, reason string, calls bigint"
 
@@ -48,6 +48,16 @@ def captures(calls: DataFrame) -> DataFrame:
     return rows.repartition("session").sortWithinPartitions("session", "seq").mapInPandas(run, _OUT)
 
 
+def ends(calls: DataFrame) -> DataFrame:
+    """session, seq, tool, reason, calls: what the end of a session captures, if ENDING or more calls came after the
+    last capture."""
+    rows = calls.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("bigint").alias("seq"), "tool")
+    saved = captures(calls).groupBy("session").agg(F.max("seq").alias("saved"))
+    rest = rows.join(saved, "session", "left").filter(F.col("saved").isNull() | (F.col("seq") > F.col("saved")))
+    by = rest.groupBy("session").agg(F.max_by(F.struct("seq", "tool"), "seq").alias("last"), F.count("*").alias("calls"))
+    return by.filter(F.col("calls") >= ENDING).select("session", "last.seq", "last.tool", F.lit("end").alias("reason"), "calls")
+
+
 def capture_stream(calls: DataFrame) -> DataFrame:
     """The same over a stream, with the counter of each session as its state; calls of a batch are taken by seq."""
 
