@@ -96,7 +96,10 @@ HEAVY = 1000
 
 def meet(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """left joined with right, which has one row for each key and, in column n, how many of left's `total` rows have it.
-    The heavy keys, at most HEAVY of them, are broadcast; so no task of the other, shuffled join gets a hot key."""
+    If these are few, right is broadcast, which can't have more. Else only the heavy keys are, at most HEAVY of them; so no
+    task of the other, shuffled join gets a hot key."""
+    if total <= BROADCAST:
+        return left.join(F.broadcast(right.drop(n)), key)
     heavy = F.broadcast(right.filter(F.col(n) * HEAVY > total).drop(n))
     rest = left.join(heavy.select(key), key, "left_anti").join(right.filter(F.col(n) * HEAVY <= total).drop(n), key)
     return left.join(heavy, key).unionByName(rest)

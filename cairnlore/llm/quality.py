@@ -225,16 +225,21 @@ def _of_level(rows: DataFrame, level: int) -> DataFrame:
 
 
 def _meet(rows: DataFrame, params: DataFrame, sizes: list[int]) -> DataFrame:
-    """Every row of every level with the estimates of its group, which are broadcast where the counted groups are few."""
-    out = None
+    """Every row with each estimate of each of its groups, in one pass over the rows. The estimates of a group are
+    packed into one row; these are broadcast where the counted groups of a level are few."""
+    out = rows
     for level, names in enumerate(LEVELS):
-        own = params.filter(F.col("level") == level).select(F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), "start", "mu", "lower")
+        key = [F.col(c).alias(f"p_{c}") for c in names]
+        packed = params.filter(F.col("level") == level).groupBy(*key).agg(F.collect_list(F.struct("level", F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "start", "mu", "lower")).alias(f"e{level}"))
+        if not names:
+            out = out.crossJoin(F.broadcast(packed))  # one row
+            continue
         on = F.lit(True)
         for c in names:
             on = on & F.col(c).eqNullSafe(F.col(f"p_{c}"))
-        part = _of_level(rows, level).join(small(own, sizes[level]), on).drop("p_lang", "p_source")
-        out = part if out is None else out.unionByName(part)
-    return out
+        out = out.join(small(packed, sizes[level]), on).drop(*(f"p_{c}" for c in names))
+    each = out.select("w", *X, F.explode(F.concat(*(f"e{level}" for level in range(len(LEVELS))))).alias("e"))
+    return each.select("e.level", F.col("e.g_lang").alias("lang"), F.col("e.g_source").alias("source"), "e.start", "w", *X, "e.mu", "e.lower")
 
 
 #: Bins of log1p(distance).
