@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licences, mixing, neighbours, pii, quality, simhash, toxicity
+from . import bpe, chat, langid, licences, linededup, mixing, neighbours, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -70,6 +70,12 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linededup.dedup(docs, documents=10, least=1, keep_first=False)
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4_quality's base rules see, without the method's verdict."""
     return quality.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("base_failed", quality.base_failed()).drop(*quality.MORE)
@@ -89,11 +95,11 @@ def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, quality_counts, mix_targets, base_span_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, op11_line_dedup, quality_counts, mix_targets, base_span_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
+    return {"op3_chat_format": OP3_SQL, "op11_line_dedup": OP11_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
 
 
 OP3_SQL = r"""
@@ -152,3 +158,13 @@ SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
   CAST(len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15)) AS BIGINT) AS n_phone
 FROM m
 """
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT r, doc_id, line, i, key IN (SELECT key FROM common) AS gone FROM k)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
