@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licences, linededup, mixing, neighbours, pii, quality, simhash, toxicity
+from . import bpe, chat, langid, licences, linededup, mixing, neighbours, phrases, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -76,6 +77,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    found = phrases.collocations(table(spark, sf_dir, "documents"), longest=5, at_least=100, subsumed=100)
+    best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter("rank <= 2000")
+    return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4_quality's base rules see, without the method's verdict."""
     return quality.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("base_failed", quality.base_failed()).drop(*quality.MORE)
@@ -95,11 +104,11 @@ def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, op11_line_dedup, quality_counts, mix_targets, base_span_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, op11_line_dedup, op12_phrases, quality_counts, mix_targets, base_span_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op11_line_dedup": OP11_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
+    return {"op3_chat_format": OP3_SQL, "op11_line_dedup": OP11_SQL, "op12_phrases": OP12_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
 
 
 OP3_SQL = r"""
@@ -168,3 +177,22 @@ m AS (SELECT r, doc_id, line, i, key IN (SELECT key FROM common) AS gone FROM k)
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r, doc_id
 """
+
+#: Every piece's phrases, counted one by one; a longer phrase is looked up in all its parts.
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS words FROM w, range(1, 6) AS t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, words, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+inner_ AS (SELECT lang, c, words[i:j] AS part FROM f, range(1, 6) AS s(i), range(1, 6) AS e(j) WHERE j > i AND j <= len(words) AND j - i + 1 < len(words)),
+around AS (SELECT lang, part, max(c) AS most FROM inner_ GROUP BY ALL),
+kept AS (SELECT f.lang, f.words, f.c AS a FROM f LEFT JOIN around AS o ON f.lang = o.lang AND f.words = o.part WHERE len(f.words) >= 2 AND (most IS NULL OR 100 * most < 100 * f.c)),
+cuts AS (SELECT lang, words, a, k, words[1:k] AS head, words[k + 1:] AS tail FROM kept, range(1, 5) AS t(k) WHERE k < len(words)),
+scored AS (SELECT c.lang, c.words, a, k, x.c AS l, y.c AS r, n, (1000::HUGEINT * a * n) // (x.c::HUGEINT * y.c) AS score
+  FROM cuts AS c JOIN f AS x ON c.lang = x.lang AND c.head = x.words JOIN f AS y ON c.lang = y.lang AND c.tail = y.words JOIN n ON c.lang = n.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+ranked AS (SELECT *, array_to_string(words, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
