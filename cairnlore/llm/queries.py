@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, licences, linededup, mixing, neighbours, phrases, pii, quality, simhash, toxicity
+from . import bpe, chat, langid, licences, linededup, mixing, neighbours, phrases, pii, quality, simhash, toxicity, trie
 from .common import table
 
 
@@ -85,6 +85,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.forked(trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
 def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4_quality's base rules see, without the method's verdict."""
     return quality.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("base_failed", quality.base_failed()).drop(*quality.MORE)
@@ -104,11 +108,11 @@ def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, op11_line_dedup, op12_phrases, quality_counts, mix_targets, base_span_counts)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_chat_format, op4_quality, op5_toxicity, op6_nearest, op7_personal_data, op8_simhash, op9_language, op10_mix, op11_line_dedup, op12_phrases, op13_prefix_trie, quality_counts, mix_targets, base_span_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op11_line_dedup": OP11_SQL, "op12_phrases": OP12_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
+    return {"op3_chat_format": OP3_SQL, "op11_line_dedup": OP11_SQL, "op12_phrases": OP12_SQL, "op13_prefix_trie": OP13_SQL, "quality_counts": QUALITY_SQL, "mix_targets": MIX_SQL, "base_span_counts": SPANS_SQL}
 
 
 OP3_SQL = r"""
@@ -196,3 +200,22 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, word
 ranked AS (SELECT *, array_to_string(words, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM best)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
 """
+
+#: crc32 is taken bit by bit, as SQL has none; prefixes are compared as lists of turns.
+OP13_SQL = r"""
+WITH RECURSIVE rows_ AS (SELECT conv_id AS c, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(t ORDER BY turn NULLS FIRST, t.role, t.text) AS ts FROM rows_ GROUP BY c),
+bytes_ AS (SELECT c, list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: ascii(CAST(c AS VARCHAR)[i])) AS bs FROM own),
+crc AS (SELECT c, bs, 0 AS k, 4294967295::BIGINT AS v FROM bytes_
+  UNION ALL SELECT c, bs, k + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(v, bs[k // 8 + 1]::BIGINT) ELSE v END AS x FROM crc WHERE k < 8 * len(bs))),
+h AS (SELECT c, CAST(xor(v, 4294967295) % 6 AS INTEGER) AS h FROM crc WHERE k = 8 * len(bs)),
+built AS (SELECT o.c, list_concat(coalesce(b.ts[1:h.h], []), o.ts[h.h + 1:]) AS ts FROM own AS o JOIN h ON o.c = h.c LEFT JOIN own AS b ON b.c = o.c - o.c % 100),
+member AS (SELECT c, d, ts[1:d] AS prefix, ts, len(ts) AS n FROM built, range(0, 100000) AS r(d) WHERE d <= len(ts)),
+node AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256 FROM member GROUP BY d, prefix),
+kids AS (SELECT p.d, p.prefix, count(*) AS n_children FROM node AS p JOIN node AS k ON k.d = p.d + 1 AND k.prefix[1:p.d] = p.prefix GROUP BY p.d, p.prefix),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(prefix[d].text) ELSE 0 END AS saved FROM node LEFT JOIN kids USING (d, prefix)),
+above AS (SELECT a.d, f.prefix[1:a.d] AS prefix, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves FROM full_ AS f, range(0, 100000) AS a(d) WHERE a.d <= f.d GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_ AS f JOIN above AS a ON a.d = f.d AND a.prefix = f.prefix LEFT JOIN node AS p ON p.d = f.d - 1 AND p.prefix = f.prefix[1:f.d - 1]
+"""
