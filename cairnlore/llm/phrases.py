@@ -1,13 +1,15 @@
 """Phrase collocations by vertical partitioning of word prefixes and depth-truncated suffix subtrees.
 
-Every position of a text opens a suffix of up to `longest` words within its piece. Two scans count words and pairs of
-frequent words; a pair that is rare ends every suffix that it lies in, as no phrase across it can be frequent. What is
-frequent enough is looked up in a bit filter of at most 64 MB, whatever the corpus; a wrong "yes" of it costs work,
-never a count. The third scan deals the suffixes out by prefix: by their first word, by two words where more
-occurrences than a group's memory budget begin with that word, else by all their words. Each group sorts its own
-suffixes and builds their subtrees, one branch at a time, from what neighbouring suffixes share; the total of the
-leaves below a node counts its phrase. Nodes that several groups share (a prefix beyond the budget, of which there are
-few) are added up.
+Every position of a text opens a suffix of up to `longest` words within its piece. Scans of the texts count prefixes:
+words exactly, then pairs of frequent words and triples of frequent pairs by buckets of their hashes. A bucket's total
+is never less than a count in it, so a pair or triple in a bucket below the threshold ends every suffix that it lies
+in: no phrase across it can be frequent. Buckets are packed by blocks, two to three bytes a pair; the filter made of
+them has at most 64 MB, whatever the corpus. A wrong "yes" of it costs work, never a count.
+
+The last scan deals the suffixes out by prefix: by their first word, by two words where more occurrences than a
+group's memory budget begin with that word, else by all their words. Each group sorts its own suffixes and builds their
+subtrees, one branch at a time, from what neighbouring suffixes share; the total of the leaves below a node counts its
+phrase. Nodes that several groups share (a prefix beyond the budget, of which there are few) are added up.
 
 Every scan adds equal words, pairs and suffixes up in numpy within a task before anything is shuffled.
 
@@ -40,6 +42,8 @@ STEP, KNOWN = 1 << 21, 1 << 20
 GROUPS = 2048
 #: Bits of a filter: at least, and at most (64 MB).
 FEWEST_BITS, MOST_BITS, PROBES = 1 << 18, 1 << 29, 4
+#: Buckets of a block.
+BLOCK = 1 << 16
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -51,8 +55,9 @@ def _hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang.encode(), 42))
 
 
-def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a ^ (b << np.uint64(17) | b >> np.uint64(47))
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of sequences from those of their parts."""
+    return (a ^ (b << np.uint64(17) | b >> np.uint64(47))) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Filter:
@@ -111,8 +116,8 @@ class _Texts:
     def sequence(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the hash of each word."""
         seq = np.concatenate(self.parts)
-        hashes = np.fromiter((_hash(self.lang, w) for w in self.words), dtype=np.uint64, count=len(self.words)) if self.known else np.zeros(len(self.words), dtype=np.uint64)
-        if self.known and len(self.words):
+        hashes = np.fromiter((_hash(self.lang, w) for w in self.words), dtype=np.uint64, count=len(self.words)) if self.known else np.zeros(0, dtype=np.uint64)
+        if len(hashes):
             lives = np.append(self.known.has(hashes), False)  # the last one is that of -1
             seq = np.where(lives[seq], seq, -1)
         return seq, hashes
@@ -148,42 +153,112 @@ def _count_words(t: _Texts) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([t.lang] * len(n)), pa.array(t.words, type=pa.binary()), pa.array(n)], names=["lang", "word", "n"])
 
 
-def _count_pairs(t: _Texts) -> Iterator[pa.RecordBatch]:
-    seq, _ = t.sequence()
-    both = (seq[:-1] >= 0) & (seq[1:] >= 0)
-    keys, n = np.unique(seq[:-1][both] << 32 | seq[1:][both], return_counts=True)
-    words = pa.array(t.words, type=pa.binary())
-    for at in range(0, len(keys), STEP // 16):
-        k = keys[at : at + STEP // 16]
-        yield pa.RecordBatch.from_arrays([pa.array([t.lang] * len(k)), words.take(pa.array(k >> 32)), words.take(pa.array(k & 0xFFFFFFFF)), pa.array(n[at : at + STEP // 16])], names=["lang", "a", "b", "n"])
+class Buckets:
+    """Which of 2^bits buckets hold at least the threshold, and which are beyond a group's budget."""
 
+    def __init__(self, bits: int, data: bytes, heavy: frozenset[int]):
+        self.shift, self.data, self.heavy = np.uint64(64 - bits), np.frombuffer(data, dtype=np.uint8), heavy
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> self.shift
+        return (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+    def beyond(self, h: np.ndarray) -> np.ndarray:
+        return np.isin((h >> self.shift).astype(np.int64), list(self.heavy)) if self.heavy else np.zeros(len(h), dtype=bool)
+
+
+def _chains(t: _Texts, levels: list[Buckets]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The ids of a language's words, and for 2, 3, ... words: where so many may be frequent, and their hashes. The last
+    level, which has no buckets yet, takes all that the one before leaves."""
+    seq, hashes = t.sequence()
+    at = np.flatnonzero(seq >= 0)
+    h, out = hashes[seq[at]], []
+    for k in range(len(levels) + 1):
+        # k + 2 words may be frequent if those but the last and those but the first are
+        follows = np.flatnonzero(at[1:] == at[:-1] + 1)
+        at, h = at[follows], _joined(h[follows], hashes[seq[at[follows] + k + 1]])
+        if k < len(levels):
+            keep = levels[k].has(h)
+            at, h = at[keep], h[keep]
+        out.append((at, h))
+    return seq, out
+
+
+def _count_buckets(bits: int, most: int, levels: list) -> Callable[[_Texts], Iterator[pa.RecordBatch]]:
+    """block, places, counts of the sequences of len(levels) + 2 words: for each block of buckets, those that are not
+    empty (16 bits each) and their counts, `most` at most."""
+    kind = np.dtype(np.min_scalar_type(most)).newbyteorder("<")
 
-def _count_suffixes(longest: int, pairs, heavy) -> Callable[[_Texts], Iterator[pa.RecordBatch]]:
-    """lang, cut (words of the prefix that names the group), words, n of the distinct suffixes."""
+    def counted(t: _Texts) -> Iterator[pa.RecordBatch]:
+        _, chains = _chains(t, [Buckets(*x.value) for x in levels])
+        at, n = np.unique((chains[-1][1] >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+        blocks, starts = np.unique(at >> np.uint32(16), return_index=True)
+        places, n = (at & np.uint32(BLOCK - 1)).astype("<u2"), np.minimum(n, most).astype(kind)
+        ends = [*starts[1:].tolist(), len(at)]
+        cut = lambda xs: pa.array([xs[a:b].tobytes() for a, b in zip(starts.tolist(), ends)], type=pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), cut(places), cut(n)], names=["block", "places", "counts"])
+
+    return counted
+
+
+def _buckets(texts: DataFrame, known, levels: list, rows: int, at_least: int, budget: int):
+    """A broadcast Buckets of the sequences of len(levels) + 2 words, for about `rows` occurrences."""
+    bits = (min(max(rows // 8, BLOCK), MOST_BITS) - 1).bit_length()
+    most = max(at_least, budget) + 1
+    kind = np.dtype(np.min_scalar_type(most)).newbyteorder("<")
+    packed = _scan(texts, "block int, places binary, counts binary", known, _count_buckets(bits, most, levels))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, np.zeros(BLOCK, dtype=np.int64)
+
+        def out() -> pa.RecordBatch:
+            data = np.packbits(total >= at_least, bitorder="little").tobytes()
+            heavy = (np.flatnonzero(total > budget) + block * BLOCK).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([block], type=pa.int32()), pa.array([data], type=pa.binary()), pa.array([heavy], type=pa.list_(pa.int64()))], names=["block", "data", "heavy"])
+
+        for batch in batches:
+            for b, places, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b != block:
+                    if block is not None:
+                        yield out()
+                    block = b
+                    total[:] = 0
+                total[np.frombuffer(places.as_buffer(), dtype="<u2")] += np.frombuffer(counts.as_buffer(), dtype=kind)
+        if block is not None:
+            yield out()
+
+    summed = packed.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, data binary, heavy array<bigint>")
+    data, heavy = bytearray((1 << bits) // 8), []
+    for r in summed.toLocalIterator():  # at most MOST_BITS / BLOCK rows of 8 KB; at most GROUPS heavy buckets
+        data[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = bytes(r.data)
+        heavy += r.heavy
+    return texts.sparkSession.sparkContext.broadcast((bits, bytes(data), frozenset(heavy)))
+
+
+def _count_suffixes(longest: int, levels: list, heavy) -> Callable[[_Texts], Iterator[pa.RecordBatch]]:
+    """lang, cut (words of the prefix that names the group), words, n of the distinct suffixes of two words or more."""
 
     def counted(t: _Texts) -> Iterator[pa.RecordBatch]:
-        seq, hashes = t.sequence()
-        alive = np.flatnonzero(seq >= 0)
-        if not len(alive):
-            return
-        goes_on = np.zeros(len(seq), dtype=bool)  # whether the pair that opens here is frequent
-        both = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-        if len(both):
-            keys, back = np.unique(seq[both] << 32 | seq[both + 1], return_inverse=True)
-            goes_on[both] = Filter(*pairs.value).has(_pair_hash(hashes[keys >> 32], hashes[keys & 0xFFFFFFFF]))[back]
-        length = np.zeros(len(seq) + longest, dtype=np.int8)
-        for k in range(1, longest):  # words from a position on, at most `longest`
-            reaches = np.ones(len(seq), dtype=bool)
-            for j in range(k):
-                reaches[: len(seq) - j] &= goes_on[j:]
-                reaches[len(seq) - j :] = False
-            length[: len(seq)] += reaches
-        length = length[: len(seq)] + 1
+        # The last list of chains has no buckets: it says where one word more than the levels follows at all.
+        seq, chains = _chains(t, [Buckets(*x.value) for x in levels])
+        length = np.ones(len(seq) + longest, dtype=np.int8)
+        for k, (at, _) in enumerate(chains[:-1], 2):
+            length[at] = k
+        deepest = len(levels) + 1
+        for k in range(deepest + 1, longest + 1):  # longer ones are chains of these
+            at = np.flatnonzero((length[:-1] == k - 1) & (length[1:] >= k - 1))
+            longer = length.copy()
+            longer[at] = k
+            length = longer
+        pair_at, pair_hash = chains[0]
+        beyond = np.zeros(len(seq), dtype=bool)
+        beyond[pair_at] = Buckets(*levels[0].value).beyond(pair_hash)
         words = pa.array(t.words, type=pa.binary())
-        first, second = heavy.value.get(t.lang, ((), ()))
+        first = heavy.value.get(t.lang, ())
         is_heavy = np.array([w in first for w in t.words], dtype=bool)
-        for k in range(1, longest + 1):
-            at = alive[length[alive] == k]
+        length = length[: len(seq)]
+        for k in range(2, longest + 1):
+            at = np.flatnonzero(length == k)
             key, parts = seq[at], [seq[at]]
             for j in range(1, k):  # equal suffixes get equal keys, one word at a time
                 key = np.unique(key, return_inverse=True)[1].astype(np.int64) << 32 | seq[at + j]
@@ -192,9 +267,7 @@ def _count_suffixes(longest: int, pairs, heavy) -> Callable[[_Texts], Iterator[p
             for lo in range(0, len(where), STEP // 16):
                 some = where[lo : lo + STEP // 16]
                 ids = np.stack([p[some] for p in parts], axis=1)
-                cut = np.ones(len(some), dtype=np.int32)
-                for i in np.flatnonzero(is_heavy[ids[:, 0]]).tolist():
-                    cut[i] = longest if k > 1 and (t.words[ids[i, 0]], t.words[ids[i, 1]]) in second else 2
+                cut = np.where(is_heavy[ids[:, 0]], np.where(beyond[at[some]], longest, 2), 1).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, k, dtype=np.int32)), words.take(pa.array(ids.ravel())))
                 yield pa.RecordBatch.from_arrays([pa.array([t.lang] * len(some)), pa.array(cut), lists, pa.array(n[lo : lo + STEP // 16])], names=["lang", "cut", "words", "n"])
 
@@ -202,14 +275,14 @@ def _count_suffixes(longest: int, pairs, heavy) -> Callable[[_Texts], Iterator[p
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """lang, phrase (array), n of the nodes of a task's suffixes (lang, cut, words, n), which come sorted. Only the branch
+    """lang, phrase (array of two words or more), n of the nodes of a task's suffixes (lang, cut, words, n), which come sorted. Only the branch
     to the last leaf is held: a node is done when the next suffix leaves it."""
     lang, path, totals, shared = None, [], [], []
     out: list[tuple] = []
 
     def close(depth: int) -> None:
         while len(path) > depth:
-            if totals[-1] >= least or shared[-1]:
+            if len(path) > 1 and (totals[-1] >= least or shared[-1]):
                 out.append((lang, list(path), totals[-1]))
             total = totals.pop()
             shared.pop()
@@ -253,24 +326,20 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", longest: i
 
     often = words.filter(F.col("n") >= at_least)
     known = _filter(often.select(F.xxhash64("lang", "word").alias("h")), often.count())
-    pairs = _scan(texts, "lang string, a binary, b binary, n bigint", known, _count_pairs).groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
-    pairs = cut_lineage(pairs.filter(F.col("n") >= at_least))
-    a, b = F.xxhash64("lang", "a"), F.xxhash64("lang", "b")
-    crossed = a.bitwiseXOR(F.shiftleft(b, 17).bitwiseOR(F.shiftrightunsigned(b, 47)))
-    twice = _filter(pairs.select(crossed.alias("h")), pairs.count())
-
-    # At most GROUPS words and GROUPS pairs are beyond the budget.
-    heavy: dict[str, tuple[set, set]] = {}
+    levels = []
+    for _ in range(min(longest, 3) - 1):
+        levels.append(_buckets(texts, known, levels, everything, at_least, budget))
+    # At most GROUPS words are beyond the budget.
+    heavy: dict[str, set] = {}
     for r in words.filter(F.col("n") > budget).select("lang", "word").collect():
-        heavy.setdefault(r.lang, (set(), set()))[0].add(bytes(r.word))
-    for r in pairs.filter(F.col("n") > budget).select("lang", "a", "b").collect():
-        heavy.setdefault(r.lang, (set(), set()))[1].add((bytes(r.a), bytes(r.b)))
+        heavy.setdefault(r.lang, set()).add(bytes(r.word))
     beyond = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    suffixes = _scan(texts, "lang string, cut int, words array<binary>, n bigint", known, _count_suffixes(longest, twice, beyond))
+    suffixes = _scan(texts, "lang string, cut int, words array<binary>, n bigint", known, _count_suffixes(longest, levels, beyond))
     dealt = suffixes.repartition("lang", F.slice("words", F.lit(1), F.col("cut"))).sortWithinPartitions("lang", "words")
     nodes = dealt.mapInArrow(lambda batches: _subtrees(batches, at_least), "lang string, phrase array<binary>, n bigint")
-    found = cut_lineage(nodes.groupBy("lang", F.col("phrase").alias("words")).agg(F.sum("n").alias("a")).filter(F.col("a") >= at_least))
+    several = nodes.groupBy("lang", F.col("phrase").alias("words")).agg(F.sum("n").alias("a")).filter(F.col("a") >= at_least)
+    found = cut_lineage(several.unionByName(often.select("lang", F.array("word").alias("words"), F.col("n").alias("a"))))
     per = found.groupBy("lang").agg(F.count("*").alias("phrases"))
     return found, totals.join(per, "lang"), found.count()
 

@@ -61,7 +61,8 @@ def test_empty_table(spark):
 
 def test_full_filter_costs_no_count(spark, monkeypatch):
     monkeypatch.setattr(phrases, "FEWEST_BITS", 64)
-    monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    monkeypatch.setattr(phrases, "MOST_BITS", phrases.BLOCK)
+    monkeypatch.setattr(phrases, "_joined", lambda a, b: a & (b | phrases.np.uint64(0xFF)))  # most pairs in few buckets
     rows = cases()
     assert fast(spark, rows, longest=4, at_least=3, subsumed=100) == slow(rows, 4, 3, 100)
 
