@@ -7,6 +7,7 @@ from cairnlore.functions.lineage import cut_lineage
 from cairnlore.operators.activity import file_expertise
 from cairnlore.operators.composite import union_all
 from cairnlore.operators.knowledge import chained_budget, within_budget
+from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,10 +186,10 @@ def by_extension(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def write_reports(reports: dict[str, DataFrame], folder: str) -> list[str]:
-    """Each report as a Parquet table of its name, replaced whole; returns their paths."""
+    """Each report as a table of its name in a new version; returns their paths."""
     paths = []
     for name, df in reports.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        VersionedTable(df.sparkSession, f"{folder}/{name}").replace(df)
         paths.append(f"{folder}/{name}")
     return paths
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,13 +61,24 @@ def pruned(df: DataFrame, kind: str) -> DataFrame:
 
 
 def replace_collection(df: DataFrame, path: str, kind: str) -> None:
-    """Writes a collection whole; readers see the old one or the new one, as the committer moves files at the end."""
-    pruned(df, kind).write.mode("overwrite").parquet(path)
+    """Writes a collection whole, as a new version of its table: readers see the old one or the new one, and df may
+    come from the old one."""
+    VersionedTable(df.sparkSession, path).replace(pruned(df, kind))
+
+
+def append_records(df: DataFrame, path: str, kind: str) -> None:
+    """Adds records to a collection; what is there isn't written again."""
+    VersionedTable(df.sparkSession, path).append(pruned(df, kind))
+
+
+def collection(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a collection that was written by these functions."""
+    return VersionedTable(spark, path).read()
 
 
 def report(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A stored report or derived table."""
-    return spark.read.parquet(f"{folder}/{name}")
+    return VersionedTable(spark, f"{folder}/{name}").read()
 
 
 def append_log(entries: DataFrame, folder: str) -> None:

@@ -1,42 +1,32 @@
-"""Incremental indexing: a file stream of records upserted into a Parquet table, batch by batch."""
+"""Incremental indexing: a file stream of records upserted into a versioned table, batch by batch."""
 
 from __future__ import annotations
 
-from cairnlore.operators.knowledge import latest
+from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def upsert_into(target: str, key: str, order: str):
-    """A foreachBatch function: version n of the table is version n - 1 with the batch's newest rows in place.
+def upsert_into(target: str, key: str, order: str, stream: str, buckets: int = 64):
+    """A foreachBatch function: each batch is one new version of the table, with its newest rows in place.
 
-    Versions are folders, so a repeated batch writes the same version again, and readers never see half of one. The
-    version before the last is removed, as no batch can need it again.
+    Only the buckets that the batch touches are read and written. The table knows the last batch of the stream, so a
+    batch that is repeated after a crash is left out.
     """
 
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = latest(batch, [key], [F.desc(order)])
-        if n:
-            old = spark.read.parquet(f"{target}/version={n - 1}")
-            new = latest(old.unionByName(new), [key], [F.desc(order)])
-        new.write.mode("overwrite").parquet(f"{target}/version={n}")
-        if n > 1:
-            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/version={n - 2}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        VersionedTable(batch.sparkSession, target, [key], buckets).upsert(batch, order, stream, n)
 
     return write
 
 
-def watch(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "path", order: str = "indexed_at", files: int = 100) -> StreamingQuery:
-    """Indexes all files that a folder has got since the last run, so many in a batch. The stream's checkpoint knows the seen ones."""
+def watch(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str = "path", order: str = "indexed_at", files: int = 100, buckets: int = 64) -> StreamingQuery:
+    """Indexes all files that a folder has got since the last run, so many in a batch. The stream's checkpoint knows the
+    seen ones, and names the stream."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    return stream.writeStream.foreachBatch(upsert_into(target, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(upsert_into(target, key, order, checkpoint, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
     """The newest version of an indexed table."""
-    versions = spark.read.parquet(target)
-    newest = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+    return VersionedTable(spark, target).read()

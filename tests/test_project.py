@@ -122,7 +122,7 @@ def test_collections_and_reports(spark, tmp_path):
     assert [(r.id, r.folder) for r in found] == [("d1", "one")]
     df = spark.createDataFrame([("d9", "c", 1)], "id string, content string, other int")
     files.replace_collection(df, str(tmp_path / "d"), "decisions")
-    back = spark.read.parquet(str(tmp_path / "d"))
+    back = files.collection(spark, str(tmp_path / "d"))
     assert "other" not in back.columns and back.first().id == "d9"
     answers.write_reports({"risks": df, "experts": df}, str(tmp_path / "r"))
     assert files.report(spark, str(tmp_path / "r"), "risks").count() == 1
