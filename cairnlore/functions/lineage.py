@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, one in the warehouse, which
+    they share too. A warehouse on a local disk is refused on a cluster, as executors don't share that."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+            if folder.startswith(("file:", "/")) and not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df materialised in the folder of spark.checkpoint.dir; where that is unset, in one of the warehouse, which all
-    executors share too."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    """df materialised in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()

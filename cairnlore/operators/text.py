@@ -93,7 +93,7 @@ def search_form(text: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
 
 
-def _normal(words: str) -> str:
+def normal_words(words: str) -> str:
     import re
 
     return " ".join(re.findall(r"[^\W_]+", words.lower().translate(str.maketrans(ACCENTED, BASE))))
@@ -112,7 +112,7 @@ def matches(form: Column, query: str) -> Column:
             current = []
         elif item == "NOT":
             negate = True
-        elif item != "AND" and (words := _normal(item)):
+        elif item != "AND" and (words := normal_words(item)):
             test = F.contains(form, F.lit(f" {words}" if item.endswith("*") else f" {words} "))
             current.append(~test if negate else test)
             negate = False

@@ -8,6 +8,7 @@ from cairnlore.operators import answers as ops
 from cairnlore.operators import extract
 from cairnlore.plans.activity import _DIR, _EXPERTISE
 from cairnlore.plans.knowledge import _KEY, _list
+from cairnlore.plans.text import text_index
 from cairnlore.sources.tables import CHANGES_SQL, EDGES_SQL, ORDERS_AS_OF, TEAM_SQL, changes, edges, table, team_changes
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def _records(s, d):
 
 def _new_hits(s, d):
     hits = text.vector_topk(table(s, d, "embeddings"), 0, 0.1, 200).select(F.col("vec_id").alias("id"), "similarity")
-    found = text.full_text(_docs(s, d), "license OR rights").select(F.col("doc_id").alias("id"))
+    found = text_index(s, d).search("license OR rights").select(F.col("key").alias("id"))
     return ops.new_hits(_docs(s, d).select(F.col("doc_id").alias("id"), "source"), hits, found)
 
 
@@ -160,7 +161,7 @@ def _task(s, d):
 
 def _bundled(s, d):
     own = lambda kind: _records(s, d).filter(F.col("kind") == kind).select("id", "text")
-    files = text.full_text(_docs(s, d), "license OR rights").select(F.col("doc_id").alias("id"))
+    files = text_index(s, d).search("license OR rights").select(F.col("key").alias("id"))
     hits = text.vector_topk(table(s, d, "embeddings"), 0, 0.1, 50).select(F.col("vec_id").alias("id"), "similarity")
     patterns = table(s, d, "benchmark").select(F.col("item_id").alias("id"))
     talks = _turns(s, d).select(F.col("conv_id").alias("id"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from cairnlore.functions.lineage import cut_lineage
+import hashlib
+
+from cairnlore.functions.lineage import checkpoint_folder, cut_lineage
 from cairnlore.functions.words import ACCENTED, BASE, STOPWORDS, SUFFIXES, SYNONYMS
 from cairnlore.operators import text as ops
+from cairnlore.operators.inverted import InvertedIndex
 from cairnlore.sources.tables import table
 from pyspark.sql import functions as F
 
@@ -29,8 +32,17 @@ def _similar(s, d):
     return ops.similar_documents(vectors, richest.doc_id if richest else -1, least=0.0)
 
 
+def text_index(s, d) -> InvertedIndex:
+    """The full-text index of documents, built by the session's first query and again if the table is another one."""
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    state = f"{d} {fs.getFileStatus(path).getModificationTime()} {fs.getContentSummary(path).getLength()}"
+    index = InvertedIndex(s, f"{checkpoint_folder(s)}/fulltext-{hashlib.md5(state.encode()).hexdigest()}")
+    return index if index.documents.manifest() else index.build(_docs(s, d))
+
+
 def _found(query):
-    return lambda s, d: ops.full_text(_docs(s, d), query).select("doc_id", "lang", "source")
+    return lambda s, d: _docs(s, d).select("doc_id", "lang", "source").join(text_index(s, d).search(query).select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
 
 
 QUERIES = {
@@ -44,6 +56,7 @@ QUERIES = {
     "fulltext_or": _found("license OR \"all rights reserved\""),
     "fulltext_not": _found("the NOT license"),
     "fulltext_prefix": _found("licens* public"),
+    "fulltext_phrase": _found('"permission is hereby gran"* OR "of the" NOT license OR NOT a*'),
     "regex_lines": lambda s, d: ops.grep(_docs(s, d), "(?i)licen[sc]e|[0-9]+@").select("doc_id", F.col("line").cast("bigint").alias("line"), "content"),
     "line_chunks": lambda s, d: ops.line_chunks(_docs(s, d), 10).select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.md5("content").alias("digest")),
     "snippet_windows": lambda s, d: ops.snippet_windows(_docs(s, d), "Licen[sc]e", 5, 10).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("line", "first", "last")], F.md5("snippet").alias("digest"), "tokens"),
@@ -89,6 +102,7 @@ SQL = {
     "fulltext_or": _where("contains(f, ' license ') OR contains(f, ' all rights reserved ')"),
     "fulltext_not": _where("contains(f, ' the ') AND NOT contains(f, ' license ')"),
     "fulltext_prefix": _where("contains(f, ' licens') AND contains(f, ' public ')"),
+    "fulltext_phrase": _where("contains(f, ' permission is hereby gran') OR (contains(f, ' of the ') AND NOT contains(f, ' license ')) OR NOT contains(f, ' a')"),
     "regex_lines": f"WITH {_LINES} SELECT doc_id, line, trim(content) AS content FROM lines WHERE regexp_matches(content, '(?i)licen[sc]e|[0-9]+@')",
     "line_chunks": f"""WITH {_LINES}, c AS (SELECT doc_id, (line - 1) // 10 AS k, min(line) AS start, max(line) AS "end", string_agg(content, chr(10) ORDER BY line) AS content FROM lines GROUP BY 1, 2)
       SELECT doc_id, start, "end", md5(content) AS digest FROM c WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> ''""".replace("\\\\", "\\"),
