@@ -5,7 +5,7 @@ from __future__ import annotations
 from cairnlore.functions.columns import contains_any, dirname, last_activity
 from cairnlore.functions.lineage import cut_lineage
 from cairnlore.operators.activity import file_expertise
-from cairnlore.operators.composite import union_all
+from cairnlore.operators.composite import top_of_each, union_all
 from cairnlore.operators.knowledge import chained_budget, within_budget
 from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import Column, DataFrame
@@ -83,16 +83,45 @@ def changed_between(changes: DataFrame, first: str, last: str, most: int = 50) -
     return inside.join(F.broadcast(commits.select("commit")), "commit", "left_semi").select("path").distinct()  # at most `most` rows
 
 
-def file_history(changes: DataFrame, renames: DataFrame, path: str, k: int = 10, most_names: int = 20) -> DataFrame:
-    """The newest k commits of a file under its name and the ones it had before (renames: old, new)."""
-    spark = changes.sparkSession
-    names = frontier = spark.range(1).select(F.lit(path).alias("path"))
-    for _ in range(most_names):
-        frontier = cut_lineage(renames.join(frontier, renames["new"] == frontier["path"]).select(renames["old"].alias("path")).distinct().join(names, "path", "left_anti"))
-        if frontier.isEmpty():
-            break
-        names = cut_lineage(names.union(frontier))
-    own = changes.join(F.broadcast(names), "path", "left_semi")  # at most most_names rows in a chain
+def stints(renames: DataFrame) -> DataFrame:
+    """path, since, moved_in, until, moved_out, file: what file a path named at what time, from renames (old, new, ts).
+
+    A name changes hands at each rename into it (moved_in begins a stint) and out of it (moved_out ends one). file is
+    the last name of the file, or the name with the time at which another file took it over, as `name@time`. Stints are
+    linked to the ones that follow them, and each round doubles the links, so n renames of one file take log n rounds.
+    """
+    moves = renames.filter("old <> new AND ts IS NOT NULL").select("old", "new", "ts").distinct()
+    marks = moves.select(F.col("old").alias("path"), "ts", F.lit(0).alias("inward"), F.col("new").alias("goes")).unionByName(moves.select(F.col("new").alias("path"), "ts", F.lit(1).alias("inward"), F.lit(None).cast("string").alias("goes")))
+    # Of several marks of a path at one time, moving out comes before moving in.
+    by = W.partitionBy("path").orderBy("ts", "inward", "goes")
+    begins = marks.select("path", F.col("ts").alias("since"), (F.col("inward") == 1).alias("moved_in"), F.lead("ts").over(by).alias("until"), (F.lead("inward").over(by) == 0).alias("moved_out"), F.lead("goes").over(by).alias("goes"))
+    first = marks.groupBy("path").agg(F.min(F.struct("ts", "inward", "goes")).alias("m")).select("path", F.lit(None).cast("timestamp").alias("since"), F.lit(False).alias("moved_in"), F.col("m.ts").alias("until"), (F.col("m.inward") == 0).alias("moved_out"), F.col("m.goes").alias("goes"))
+    all_ = begins.unionByName(first).withColumn("moved_out", F.coalesce("moved_out", F.lit(False)))
+    name = F.when(F.col("until").isNull(), F.col("path")).otherwise(F.concat_ws("@", "path", F.date_format("until", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    # A stint is known by its path and the time at which it begins; one that moves out leads to the one that it begins.
+    found = cut_lineage(all_.select("path", "since", "moved_in", "until", "moved_out", F.struct("path", "since", "moved_in").alias("key"), F.when(F.col("moved_out"), F.struct(F.col("goes").alias("path"), F.col("until").alias("since"), F.lit(True).alias("moved_in"))).alias("next"), name.alias("file")))
+    while not found.filter("next IS NOT NULL").isEmpty():
+        ahead = found.select(F.col("key").alias("a_key"), F.col("next").alias("a_next"), F.col("file").alias("a_file"))
+        met = found.join(ahead, found["next"].eqNullSafe(ahead["a_key"]) & found["next"].isNotNull(), "left")
+        found = cut_lineage(met.select("path", "since", "moved_in", "until", "moved_out", "key", F.when(F.col("a_key").isNotNull(), F.col("a_next")).alias("next"), F.when(F.col("next").isNotNull() & F.col("a_key").isNotNull(), F.col("a_file")).otherwise(F.col("file")).alias("file")))
+    return found.select("path", "since", "moved_in", "until", "moved_out", "file")
+
+
+def followed(changes: DataFrame, renames: DataFrame) -> DataFrame:
+    """changes with file: the last name of the file that each path named at the time of the change.
+
+    A change at the very time of a rename belongs to the file that moves: under its old name to the stint that ends,
+    under its new one to the stint that begins."""
+    names = stints(renames).withColumnRenamed("path", "s_path")
+    after = F.col("since").isNull() | F.when(F.col("moved_in"), F.col("ts") >= F.col("since")).otherwise(F.col("ts") > F.col("since"))
+    before = F.col("until").isNull() | F.when(F.col("moved_out"), F.col("ts") <= F.col("until")).otherwise(F.col("ts") < F.col("until"))
+    met = changes.join(names, (F.col("path") == F.col("s_path")) & after & before, "left")
+    return met.select(*changes.columns, F.coalesce("file", "path").alias("file"))
+
+
+def file_history(changes: DataFrame, renames: DataFrame, path: str, k: int = 10) -> DataFrame:
+    """The newest k commits of the file that has a path now, under all names that it had, each at its time only."""
+    own = followed(changes, renames).filter(F.col("file") == path)
     return own.groupBy("commit", "author", "ts").agg(F.max("path").alias("path")).orderBy(F.desc("ts"), F.desc("commit")).limit(k)
 
 
@@ -131,8 +160,7 @@ def task_context(parts: dict[str, DataFrame], task: str, match: Column, limits:
     """section, rank, text: records (id, text) of each part that match, up to its limit, and the task's checklist."""
     spark = next(iter(parts.values())).sparkSession
     rows = union_all([df.filter(match).select(F.lit(k).alias("section"), F.col("id").cast("string").alias("id"), "text") for k, df in parts.items()])
-    caps = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("section").orderBy("id"))).filter(F.col("rank") <= F.try_element_at(caps, F.col("section")))
+    ranked = top_of_each(rows, "section", [F.col("id")], limits)
     steps = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in CHECKLISTS[task]])).alias("i", "text")).select(F.lit("checklist").alias("section"), (F.col("i") + 1).alias("rank"), "text")
     return ranked.select("section", "rank", "text").unionByName(steps)
 

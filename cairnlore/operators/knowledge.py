@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from cairnlore.functions.columns import basename, token_estimate
 from cairnlore.functions.lineage import cut_lineage
+from cairnlore.operators.containment import contained
 from cairnlore.functions.words import COMMON, PROHIBITIONS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,20 +154,6 @@ def prohibited_terms(text: Column) -> Column:
     return F.concat(*[after(p) for p in PROHIBITIONS])
 
 
-#: Letters of the pieces by which terms find the words that hold them.
-GRAM = 3
-
-
-def _pieces(word: Column) -> Column:
-    """All pieces of a word of up to GRAM letters."""
-    of = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substr(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
-
-
-def _first_piece(term: Column) -> Column:
-    return F.substr(term, F.lit(1), F.lit(GRAM))
-
-
 #: Rows up to which a counted table is broadcast.
 BROADCAST = 200_000
 
@@ -178,13 +165,12 @@ def _small(df: DataFrame) -> DataFrame:
 def terms_in(code: DataFrame, terms: DataFrame) -> DataFrame:
     """id, term: terms (column term, without blanks) that occur in a text (id, text), case aside, also inside words.
 
-    A term without blanks lies within one blank-separated word. The distinct words of all texts meet the terms by the
-    terms' first letters, and the words of a text meet the pairs found; nothing is compared all with all.
+    A term without blanks and line ends lies within one word between these. The distinct words of all texts meet the terms by the
+    terms' rarest pieces, and the words of a text meet the pairs found; nothing is compared all with all.
     """
-    words = code.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).filter("word <> ''")
-    vocabulary = words.select("word").distinct().select("word", F.explode(_pieces(F.col("word"))).alias("piece"))
-    wanted = cut_lineage(terms.filter("term <> ''").select("term").distinct())
-    pairs = vocabulary.join(_small(wanted.select(_first_piece(F.col("term")).alias("piece"), "term")), "piece").filter(F.contains("word", F.col("term"))).select("word", "term")
+    words = code.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[ \n]+"))).alias("word")).filter("word <> ''")
+    wanted = cut_lineage(terms.filter("term <> ''").select(F.col("term").alias("short")).distinct())
+    pairs = contained(words.select(F.col("word").alias("long")).distinct(), wanted).select(F.col("long").alias("word"), F.col("short").alias("term"))
     return words.join(_small(cut_lineage(pairs)), "word").select("id", "term").distinct()
 
 
@@ -200,13 +186,36 @@ def compliance(code: DataFrame, rules: DataFrame) -> DataFrame:
 
 def related_by_path(code: DataFrame, records: DataFrame) -> DataFrame:
     """id, rule_id: records (rule_id, related_files) with a file whose path holds a code's path (id, path) or lies in
-    it. Both find each other by the first letters of the contained one."""
+    it. Each side's distinct paths find the others by the contained one's rarest piece."""
     theirs = records.select("rule_id", F.explode("related_files").alias("file")).filter("file <> ''")
     ours = code.select("id", "path").filter("path <> ''")
-    a, b = ours.select("path").distinct(), theirs.select("file").distinct()
-    holds = lambda x, y, c, t: x.select(c, F.explode(_pieces(F.col(c))).alias("piece")).join(y.select(t, _first_piece(F.col(t)).alias("piece")), "piece").filter(F.contains(c, F.col(t))).select("path", "file")
-    pairs = holds(a, b, "path", "file").unionByName(holds(b, a, "file", "path")).distinct()
-    return ours.join(pairs, "path").join(theirs, "file").select("id", "rule_id").distinct()
+    a, b = cut_lineage(ours.select("path").distinct()), cut_lineage(theirs.select("file").distinct())
+    inside = contained(a.select(F.col("path").alias("long")), b.select(F.col("file").alias("short"))).select(F.col("long").alias("path"), F.col("short").alias("file"))
+    around = contained(b.select(F.col("file").alias("long")), a.select(F.col("path").alias("short"))).select(F.col("short").alias("path"), F.col("long").alias("file"))
+    return ours.join(inside.unionByName(around).distinct(), "path").join(theirs, "file").select("id", "rule_id").distinct()
+
+
+def compliance_report(code: DataFrame, decisions: DataFrame, warnings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """kind, id, rule_id, severity of everything that texts (id, path, text) break, each once.
+
+    Active decisions (rule_id, status, text, related_files): a term that they prohibit, of more than 2 bytes, occurs
+    (blocker); the text's path holds a related file or lies in one (info; texts without a path are in none). Critical
+    and plain warnings (rule_id, severity, text): two of their key terms of more than 3 bytes occur (blocker if
+    critical). Patterns (rule_id, anti_patterns): two such terms of one anti-pattern occur (warning).
+    """
+    active = decisions.filter(F.coalesce("status", F.lit("")).isin("", "active"))
+    keys = lambda text: F.array_distinct(F.filter(key_terms(F.lower(text)), lambda w: F.octet_length(w) > 3))
+    banned = F.array_distinct(F.filter(prohibited_terms(F.col("text")), lambda w: F.octet_length(w) > 2))
+    rule = lambda df, kind, severity, terms, need: df.select(F.struct(F.lit(kind).alias("kind"), "rule_id", "part").alias("rule_id"), severity.alias("severity"), terms.alias("terms"), F.lit(need).alias("need"))
+    whole = lambda df: df.filter("text IS NOT NULL").withColumn("part", F.lit(0))
+    counted = warnings.filter(F.col("severity").isin("critical", "warning"))
+    anti = patterns.select("rule_id", F.posexplode("anti_patterns").alias("part", "text")).filter("text IS NOT NULL")
+    rules = rule(whole(active), "decision", F.lit("blocker"), banned, 1)
+    rules = rules.unionByName(rule(whole(counted), "warning", F.when(F.col("severity") == "critical", F.lit("blocker")).otherwise(F.lit("warning")), keys(F.col("text")), 2))
+    rules = rules.unionByName(rule(anti, "pattern", F.lit("warning"), keys(F.col("text")), 2))
+    broken = compliance(code.select("id", "text"), rules).select("rule_id.kind", "id", "rule_id.rule_id", "severity")
+    governed = related_by_path(code, active).select(F.lit("decision").alias("kind"), "id", "rule_id", F.lit("info").alias("severity"))
+    return violations([broken, governed])
 
 
 def violations(parts: list[DataFrame]) -> DataFrame:

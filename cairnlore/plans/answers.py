@@ -55,16 +55,18 @@ def _related(s, d):
 
 
 def _compliance(s, d):
-    """Passages as code: terms that documents prohibit, and warnings of which two key terms occur."""
-    code = table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    records = _records(s, d)
-    banned = F.array_distinct(F.filter(knowledge.prohibited_terms(F.col("text")), lambda w: F.length(w) > 2))
-    one_word = lambda c: F.filter(c, lambda w: ~w.rlike(r"\s"))
-    rule = lambda df, severity, terms, need: df.select(F.col("id").alias("rule_id"), F.lit(severity).alias("severity"), one_word(terms).alias("terms"), F.lit(need).alias("need"))
-    decisions = rule(records.filter("kind = 'decision' AND text IS NOT NULL"), "blocker", banned, 1)
-    warnings = rule(records.filter("kind = 'warning' AND text IS NOT NULL"), "warning", F.array_distinct(F.filter(knowledge.key_terms(F.lower("text")), lambda w: F.octet_length(w) > 9)), 2)
-    told = lambda rules, kind: knowledge.compliance(code, rules).withColumn("kind", F.lit(kind))
-    return knowledge.violations([told(decisions, "decision"), told(warnings, "warning")])
+    """Passages as code, with the path of the page of their number. Documents are decisions (of quality 0: superseded)
+    that name their page's place, or warnings (English ones critical); what a system says in conversations are
+    anti-patterns."""
+    path, place = F.regexp_extract("url", "^https?://([^?#]*)", 1), F.regexp_extract("url", r"^https?://[^./]+\.([^?#]*)/[^/]*$", 1)
+    pages = _pages(s, d).select("page_id", path.alias("path"), place.alias("place"))
+    code = table(s, d, "benchmark").join(pages, F.col("item_id") == F.col("page_id"), "left").select(F.col("item_id").alias("id"), "path", "text")
+    records = _docs(s, d).join(_labels(s, d), "doc_id", "left").withColumnRenamed("doc_id", "rule_id")
+    status = F.when(F.col("quality") == 0, "superseded").otherwise("active")
+    decisions = records.filter("coalesce(toxic, 0) <> 1").join(pages, F.col("rule_id") == F.col("page_id"), "left").select("rule_id", status.alias("status"), "text", F.array_compact(F.array(F.when(F.length("place") >= 3, F.col("place")))).alias("related_files"))
+    warnings = records.filter("toxic = 1").select("rule_id", F.when(F.col("lang") == "en", "critical").otherwise("warning").alias("severity"), "text")
+    patterns = _turns(s, d).filter("role = 'system'").groupBy(F.col("conv_id").alias("rule_id")).agg(F.array_sort(F.collect_list("text")).alias("anti_patterns"))
+    return knowledge.compliance_report(code, decisions, warnings, patterns)
 
 
 def _corpus(s, d):
@@ -101,8 +103,10 @@ def _bundle(s, d):
 
 def _history(s, d):
     log = table(s, d, "events").select(F.col("event_id").alias("commit"), F.col("user_id").alias("author"), "ts", F.col("event_type").alias("path"))
-    renames = s.createDataFrame([("view", "click"), ("signup", "view"), ("click", "signup")], "old string, new string")
-    return ops.file_history(log, renames, "click").select("commit", "author", "path")
+    # Until the 5th, `click` was another file, which is `error` now.
+    moves = [("click", "error", 5), ("signup", "view", 10), ("view", "click", 20)]
+    renames = s.createDataFrame([(a, b, f"2024-01-{day:02} 00:00:00") for a, b, day in moves], "old string, new string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    return ops.file_history(log, renames, "click", 3000).select("commit", "author", "path")
 
 
 def _messages(s, d):
@@ -278,13 +282,21 @@ SQL = {
     "file_experts": f"WITH {CHANGES_SQL}, {_EXPERTS} SELECT path, dir, author, ownership FROM (SELECT DISTINCT path FROM changes) JOIN experts ON starts_with(path, dir || '/')",
     "related_by_path": rf"""WITH {_PATH}, r AS (SELECT DISTINCT regexp_extract(url, '/([a-z]{{2}})/', 1) AS rule_id, regexp_extract(url, '^https?://[^./]+\.([^?#]*)/[^/]*$', 1) AS file FROM pages WHERE regexp_extract(url, '/([a-z]{{2}})/', 1) <> '' AND length(regexp_extract(url, '^https?://[^./]+\.([^?#]*)/[^/]*$', 1)) >= 3)
       SELECT DISTINCT page_id AS id, rule_id FROM paths JOIN r ON contains(path, file) OR contains(file, path)""",
-    "compliance_report": rf"""WITH {_REC}, code AS (SELECT item_id AS id, lower(text) AS t FROM benchmark), dec AS (SELECT id, text FROM rec WHERE kind = 'decision' AND text IS NOT NULL),
-      banned AS (SELECT DISTINCT id AS rule_id, term FROM ({_prohibited_words('dec')}) WHERE length(term) > 2 AND NOT regexp_matches(term, '\s')),
-      keys AS (SELECT DISTINCT id AS rule_id, unnest({_KEY}) AS term FROM rec WHERE kind = 'warning' AND text IS NOT NULL),
-      words AS (SELECT DISTINCT id, unnest(regexp_split_to_array(t, '\s+')) AS word FROM code), v AS (SELECT DISTINCT word FROM words), t AS (SELECT term FROM banned UNION SELECT term FROM keys WHERE strlen(term) > 9),
-      p AS (SELECT word, term FROM v, t WHERE contains(word, term)), hits AS (SELECT DISTINCT id, term FROM words JOIN p USING (word))
+    "compliance_report": rf"""WITH page AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path, regexp_extract(url, '^https?://[^./]+\.([^?#]*)/[^/]*$', 1) AS place FROM pages),
+      code AS (SELECT item_id AS id, path, lower(text) AS t FROM benchmark LEFT JOIN page ON item_id = page_id),
+      r AS (SELECT doc_id AS id, text, lang, quality, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)),
+      dec AS (SELECT id, text FROM r WHERE toxic <> 1 AND coalesce(quality, 1) <> 0 AND text IS NOT NULL),
+      banned AS (SELECT DISTINCT id AS rule_id, term FROM ({_prohibited_words('dec')}) WHERE strlen(term) > 2),
+      warned AS (SELECT DISTINCT 'warning' AS kind, id AS rule_id, 0 AS part, CASE WHEN lang = 'en' THEN 'blocker' ELSE 'warning' END AS severity, unnest({_KEY}) AS term FROM r WHERE toxic = 1 AND text IS NOT NULL),
+      said AS (SELECT conv_id, text, row_number() OVER () AS part FROM conversations WHERE role = 'system' AND text IS NOT NULL),
+      contra AS (SELECT DISTINCT 'pattern' AS kind, conv_id AS rule_id, part, 'warning' AS severity, unnest({_KEY}) AS term FROM said),
+      keys AS (SELECT * FROM (SELECT * FROM warned UNION ALL SELECT * FROM contra) WHERE strlen(term) > 3),
+      words AS (SELECT DISTINCT id, unnest(regexp_split_to_array(t, '[ \n]+')) AS word FROM code), v AS (SELECT DISTINCT word FROM words), t AS (SELECT term FROM banned UNION SELECT term FROM keys),
+      p AS (SELECT word, term FROM v, t WHERE contains(word, term)), hits AS (SELECT DISTINCT id, term FROM words JOIN p USING (word)),
+      active AS (SELECT id AS rule_id, place FROM r JOIN page ON r.id = page_id WHERE toxic <> 1 AND coalesce(quality, 1) <> 0 AND length(place) >= 3)
       SELECT DISTINCT 'decision' AS kind, id, rule_id, 'blocker' AS severity FROM hits JOIN banned USING (term)
-      UNION ALL SELECT 'warning', id, rule_id, 'warning' FROM hits JOIN (SELECT * FROM keys WHERE strlen(term) > 9) USING (term) GROUP BY id, rule_id HAVING count(*) >= 2""",
+      UNION ALL SELECT DISTINCT kind, id, rule_id, severity FROM (SELECT kind, id, rule_id, part, severity FROM hits JOIN keys USING (term) GROUP BY ALL HAVING count(*) >= 2)
+      UNION ALL SELECT DISTINCT 'decision', c.id, rule_id, 'info' FROM code AS c, active WHERE c.path <> '' AND (contains(c.path, place) OR contains(place, c.path))""",
     "corpus_union": f"""WITH {_REC}, {_PATH}, {CHANGES_SQL}, {_EXPERTS}, {_LIVE},
       links AS (SELECT page_id, path, len(regexp_extract_all(html, '<a href=')) + CASE WHEN contains('/' || path, '/en/') OR contains('/' || path, '/de/') THEN 5 ELSE 0 END AS weight FROM paths JOIN pages USING (page_id)),
       top AS (SELECT * FROM links ORDER BY weight DESC, path LIMIT 500),
@@ -298,7 +310,8 @@ SQL = {
     "live_risk": f"WITH {TEAM_SQL}, {_LIVE} SELECT * FROM live ORDER BY array_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'], level), dir",
     "changed_between": f"""WITH {CHANGES_SQL}, c AS (SELECT commit, max(ts) AS at FROM changes WHERE ts BETWEEN TIMESTAMP '2001-06-01' AND TIMESTAMP '2001-08-02' GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 50)
       SELECT DISTINCT path FROM changes WHERE commit IN (SELECT commit FROM c)""",
-    "file_history": "SELECT event_id AS commit, user_id AS author, event_type AS path FROM events WHERE event_type IN ('click', 'view', 'signup') ORDER BY ts DESC, event_id DESC LIMIT 10",
+    "file_history": """SELECT event_id AS commit, user_id AS author, event_type AS path FROM events
+      WHERE event_type = 'click' AND ts >= '2024-01-20' OR event_type = 'view' AND ts >= '2024-01-10' AND ts <= '2024-01-20' OR event_type = 'signup' AND ts <= '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 3000""",
     "feature_bundle": """WITH c AS (SELECT c_nationkey AS k, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS ids FROM customer GROUP BY 1),
       s AS (SELECT s_nationkey AS k, count(*) AS n, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY CAST(s_suppkey AS VARCHAR)) AS ids FROM supplier GROUP BY 1)
       SELECT CAST(n_nationkey AS VARCHAR) AS feature, coalesce(c.n, 0) AS n_decisions, coalesce(s.n, 0) AS n_conversations, md5(coalesce(c.ids, '') || ';' || coalesce(s.ids, '')) AS digest

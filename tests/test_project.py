@@ -140,5 +140,5 @@ def test_risk_levels_by_hand(spark):
     risks = answers.live_risk(df, "2024-01-01 00:00:00")
     got = [(r.dir, r.level) for r in risks.orderBy(*answers.by_level(risks)).collect()]
     assert got == [("old", "CRITICAL"), ("mix", "HIGH"), ("new", "MEDIUM")]
-    renames = spark.createDataFrame([("old/a", "mix/a"), ("new/a", "old/a")], "old string, new string")
-    assert [r.commit for r in answers.file_history(df, renames, "mix/a").collect()] == ["c1", "c4", "c2"]
+    renames = spark.createDataFrame([("new/a", "old/a", t(2019, 1)), ("old/a", "mix/a", t(2022, 1))], "old string, new string, ts timestamp")
+    assert [r.commit for r in answers.file_history(df, renames, "mix/a").collect()] == ["c4", "c2"]
