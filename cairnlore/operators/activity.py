@@ -8,7 +8,8 @@ bounds the pairs of each.
 from __future__ import annotations
 
 from cairnlore.functions.columns import dirname, last_activity, ratio
-from pyspark.sql import DataFrame
+from cairnlore.sources.versions import VersionedTable
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,20 +78,28 @@ def risk_counts(risks: DataFrame) -> DataFrame:
     return risks.groupBy("level").agg(F.count("*").alias("dirs"))
 
 
+def _correlated(pairs: DataFrame, sizes: DataFrame, least_share: float) -> DataFrame:
+    """Pairs (path_a, path_b, together) with their share of the rarer path's commits (sizes: path, n)."""
+    pairs = pairs.join(sizes.select(F.col("path").alias("path_a"), F.col("n").alias("na")), "path_a").join(sizes.select(F.col("path").alias("path_b"), F.col("n").alias("nb")), "path_b")
+    out = pairs.withColumn("share", ratio(F.col("together"), F.least("na", "nb"))).filter(F.col("share") >= least_share)
+    out = out.select("path_a", "path_b", "together", "share", F.when(F.col("together") > 15, "high").when(F.col("together") > 8, "medium").otherwise("low").alias("confidence"))
+    return out
+
+
 def cochange(changes: DataFrame, most_files: int = 30, least_together: int = 9, least_share: float = 0.5, k: int | None = 50) -> DataFrame:
     """path_a < path_b, together, share, confidence of files that change together.
 
-    share: commits of both over the commits of the rarer one. Commits of more than most_files files are left out.
+    share: commits of both over the commits of the rarer one. Commits of more than most_files files are left out, and
+    before any are paired, files of fewer than least_together of the others: no pair of theirs can be enough.
     """
     touched = changes.select("commit", "path").distinct()
     usable = touched.groupBy("commit").agg(F.count("*").alias("files")).filter(F.col("files") <= most_files)
     kept = touched.join(usable, "commit", "left_semi")
-    sizes = kept.groupBy("path").agg(F.count("*").alias("n"))
+    sizes = kept.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") >= least_together)
+    kept = kept.join(sizes.select("path"), "path", "left_semi")
     a, b = kept.select("commit", F.col("path").alias("path_a")), kept.select("commit", F.col("path").alias("path_b"))
     pairs = a.join(b, "commit").filter("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("together")).filter(F.col("together") >= least_together)
-    pairs = pairs.join(sizes.select(F.col("path").alias("path_a"), F.col("n").alias("na")), "path_a").join(sizes.select(F.col("path").alias("path_b"), F.col("n").alias("nb")), "path_b")
-    out = pairs.withColumn("share", ratio(F.col("together"), F.least("na", "nb"))).filter(F.col("share") >= least_share)
-    out = out.select("path_a", "path_b", "together", "share", F.when(F.col("together") > 15, "high").when(F.col("together") > 8, "medium").otherwise("low").alias("confidence"))
+    out = _correlated(pairs, sizes, least_share)
     return out.orderBy(F.desc("share"), F.desc("together"), "path_a", "path_b").limit(k) if k else out
 
 
@@ -108,6 +117,11 @@ def file_correlations(changes: DataFrame, path: str, least: float = 0.3, k: int
 def file_expertise(changes: DataFrame, as_of: str) -> DataFrame:
     """path, author, commits, added, removed, ownership, active, and of the path: total_commits, total_lines, churn."""
     own = changes.groupBy("path", "author").agg(F.countDistinct("commit").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return expertise_of(own, as_of)
+
+
+def expertise_of(own: DataFrame, as_of: str) -> DataFrame:
+    """The same from commits, added, removed, first_ts and last_ts of each path and author."""
     all_ = W.partitionBy("path")
     own = own.withColumn("total_commits", F.sum("commits").over(all_)).withColumn("total_lines", F.sum("added").over(all_))
     churn = F.when(F.col("total_commits") > 20, "high").when(F.col("total_commits") > 5, "medium").otherwise("low")
@@ -165,3 +179,35 @@ def linked_activity(own: DataFrame, linked: list[tuple[str, DataFrame]], as_of:
     mine = contributors(own, as_of).join(first, "author", "left")
     via = F.when(~F.col("active"), F.col("repo"))
     return mine.select("author", "commits", (F.col("active") | via.isNotNull()).alias("active"), F.coalesce(via, F.lit("")).alias("active_in"))
+
+
+class ActivityTables:
+    """Shares of files and pairs of files, kept up by batches of new commits: what is stored adds up, so a batch is
+    aggregated alone and merged into the buckets it touches. A commit's changes come in one batch."""
+
+    OWN = {"commits": F.sum, "added": F.sum, "removed": F.sum, "first_ts": F.min, "last_ts": F.max}
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, most_files: int = 30):
+        self.own = VersionedTable(spark, f"{folder}/own", ["path", "author"], buckets)
+        self.files = VersionedTable(spark, f"{folder}/files", ["path"], buckets)
+        self.pairs = VersionedTable(spark, f"{folder}/pairs", ["path_a", "path_b"], buckets)
+        self.most_files = most_files
+
+    def add(self, changes: DataFrame, stream: str, batch: int) -> None:
+        """A batch of changes; one that is in the tables already changes nothing."""
+        own = changes.groupBy("path", "author").agg(F.countDistinct("commit").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        self.own.merge(own, self.OWN, stream, batch)
+        touched = changes.select("commit", "path").distinct()
+        usable = touched.groupBy("commit").agg(F.count("*").alias("files")).filter(F.col("files") <= self.most_files)
+        kept = touched.join(usable, "commit", "left_semi")
+        self.files.merge(kept.groupBy("path").agg(F.count("*").alias("n")), {"n": F.sum}, stream, batch)
+        a, b = kept.select("commit", F.col("path").alias("path_a")), kept.select("commit", F.col("path").alias("path_b"))
+        self.pairs.merge(a.join(b, "commit").filter("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("together")), {"together": F.sum}, stream, batch)
+
+    def expertise(self, as_of: str) -> DataFrame:
+        """As file_expertise of all changes."""
+        return expertise_of(self.own.read(), as_of)
+
+    def cochange(self, least_together: int = 9, least_share: float = 0.5) -> DataFrame:
+        """As cochange of all changes, without its limit."""
+        return _correlated(self.pairs.read().filter(F.col("together") >= least_together), self.files.read(), least_share)

@@ -148,6 +148,16 @@ def conversations_listed(turns: DataFrame, k: int = 20) -> DataFrame:
     return by.orderBy(F.desc("turns"), "conv_id").limit(k)
 
 
+def newest_conversations(conversations: DataFrame, feature: str | None = None, since: str | None = None, k: int = 20) -> DataFrame:
+    """The newest k conversations (id, feature, created_at, ...), of one feature or all, created after a time."""
+    out = conversations
+    if feature:
+        out = out.filter(F.col("feature") == feature)
+    if since:
+        out = out.filter(F.col("created_at") > F.to_timestamp(F.lit(since)))
+    return out.orderBy(F.desc("created_at"), "id").limit(k if k > 0 else 20)
+
+
 #: What to look at for a kind of task.
 CHECKLISTS = {
     "feature": ["Read related decisions", "Check warnings of the area", "Follow existing patterns", "Add tests"],

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from cairnlore.functions.columns import contains_any, token_estimate
-from cairnlore.operators import activity, graph, knowledge, text
+from cairnlore.functions.lineage import checkpoint_folder
+from cairnlore.operators import activity, graph, knowledge, text, tree
 from cairnlore.operators import answers as ops
 from cairnlore.operators import extract
 from cairnlore.plans.activity import _DIR, _EXPERTISE
@@ -109,6 +112,22 @@ def _history(s, d):
     return ops.file_history(log, renames, "click", 3000).select("commit", "author", "path")
 
 
+def _newest(s, d):
+    """Events as conversations of the feature that their type names."""
+    talks = table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("feature"), F.col("ts").alias("created_at"))
+    return ops.newest_conversations(talks, "purchase", "2024-01-20 00:00:00", 50).select("id", "feature")
+
+
+def _increments(s, d):
+    """Expertise from tables that three batches of commits filled, the second one twice."""
+    log, name = changes(s, d), uuid.uuid4().hex
+    kept = activity.ActivityTables(s, f"{checkpoint_folder(s)}/activity-{name}", buckets=16)
+    bounds = ["1900-01-01", "1997-01-01", "1999-01-01", "2100-01-01"]
+    for batch in (0, 1, 1, 2):
+        kept.add(log.filter(F.col("ts").between(F.to_timestamp(F.lit(bounds[batch])), F.to_timestamp(F.lit(bounds[batch + 1])) - F.expr("INTERVAL 1 MICROSECOND"))), name, batch)
+    return kept.expertise(ORDERS_AS_OF)
+
+
 def _messages(s, d):
     """Orders as commit messages: a headline, then decisions, reasons and warnings by status and priority."""
     k = F.col("o_orderkey")
@@ -198,6 +217,10 @@ QUERIES = {
     "live_risk": _risks,
     "changed_between": lambda s, d: ops.changed_between(changes(s, d), "2001-06-01 00:00:00", "2001-08-02 00:00:00"),
     "file_history": _history,
+    "newest_conversations": _newest,
+    "activity_increments": _increments,
+    "tree_lines": lambda s, d: tree.tree_lines(_paths(s, d)),
+    "tree_view": lambda s, d: tree.tree_view(tree.tree_lines(_paths(s, d)), depth=3),
     "feature_bundle": _bundle,
     "tagged_messages": lambda s, d: ops.tagged(_docs(s, d), ["license", "rights", "token"]).groupBy("related_feature").agg(F.count("*").alias("n")),
     "conversation_list": lambda s, d: ops.conversations_listed(_turns(s, d)),
@@ -223,6 +246,22 @@ _MATCH = " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in QUES
 _PATH = "paths AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages)"
 
 
+#: A folder is visited from its parent, as one would write the tree by hand; folders that are merged hand on their label.
+_TREE = f"""{_PATH}, f AS (SELECT DISTINCT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM paths),
+  d AS (SELECT p[1:len(p) - 1] AS dir, p[len(p)] AS name FROM f WHERE len(p) > 0),
+  a AS (SELECT dir[1:i] AS dir, CAST(count(*) AS BIGINT) AS below, CAST(count(*) FILTER (i = len(dir)) AS BIGINT) AS n FROM d, range(0, 1000) AS t(i) WHERE i <= len(dir) GROUP BY 1),
+  k AS (SELECT a.*, coalesce(c.dirs, 0) = 1 AND n = 0 AS merged FROM a LEFT JOIN (SELECT dir[1:len(dir) - 1] AS up, count(*) AS dirs FROM a WHERE len(dir) > 0 GROUP BY 1) AS c ON a.dir = c.up),
+  walk AS (SELECT dir, below, n, merged, '' AS label, 0 AS named, CAST(NULL AS VARCHAR) AS why FROM k WHERE len(dir) = 0
+    UNION ALL SELECT c.dir, c.below, c.n, c.merged, CASE WHEN w.merged AND w.label <> '' THEN w.label || '/' ELSE '' END || c.dir[len(c.dir)],
+      w.named + CASE WHEN w.merged OR len(w.dir) = 0 THEN 0 ELSE 1 END,
+      CASE WHEN w.merged THEN NULL WHEN lower(c.dir[len(c.dir)]) IN ('gen', 'codegen', 'generated', 'build', 'dist', 'node_modules') THEN 'generated' WHEN starts_with(c.dir[len(c.dir)], '.') AND c.dir[len(c.dir)] NOT IN ('.', '..') THEN 'hidden' END
+    FROM walk AS w JOIN k AS c ON len(c.dir) = len(w.dir) + 1 AND c.dir[1:len(w.dir)] = w.dir WHERE w.why IS NULL),
+  lines AS (SELECT list_transform(dir, lambda x: '0' || x) AS key, named + 1 AS indent, CASE WHEN why IS NULL THEN label || ':' ELSE dir[len(dir)] || ': [' || below || ' ' || why || ' files]' END AS label, array_to_string(dir, '/') AS folder, CASE WHEN why IS NULL THEN 'folder' ELSE 'collapsed' END AS kind
+      FROM walk WHERE len(dir) > 0 AND (why IS NOT NULL OR NOT merged)
+    UNION ALL SELECT list_append(list_transform(dir, lambda x: '0' || x), '1'), named + 1 + CASE WHEN len(dir) > 0 THEN 1 ELSE 0 END, '- [' || n || ' files...]', array_to_string(dir, '/'), 'files' FROM walk WHERE why IS NULL AND n > 12
+    UNION ALL SELECT list_append(list_transform(w.dir, lambda x: '0' || x), '1' || name), named + 1 + CASE WHEN len(w.dir) > 0 THEN 1 ELSE 0 END, '- ' || name, array_to_string(w.dir, '/'), 'file' FROM walk AS w JOIN d ON w.dir = d.dir WHERE why IS NULL AND n <= 12)"""
+
+
 def _near(vec: int, least: float, k: int) -> str:
     return f"""near AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {vec})), 6) AS similarity
       FROM embeddings WHERE vec_id <> {vec} QUALIFY similarity > {least} AND row_number() OVER (ORDER BY similarity DESC, vec_id) <= {k})"""
@@ -312,6 +351,11 @@ SQL = {
       SELECT DISTINCT path FROM changes WHERE commit IN (SELECT commit FROM c)""",
     "file_history": """SELECT event_id AS commit, user_id AS author, event_type AS path FROM events
       WHERE event_type = 'click' AND ts >= '2024-01-20' OR event_type = 'view' AND ts >= '2024-01-10' AND ts <= '2024-01-20' OR event_type = 'signup' AND ts <= '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 3000""",
+    "newest_conversations": "SELECT event_id AS id, event_type AS feature FROM events WHERE event_type = 'purchase' AND ts > '2024-01-20' ORDER BY ts DESC, event_id LIMIT 50",
+    "activity_increments": f"WITH {CHANGES_SQL}, {_EXPERTISE} SELECT *, CASE WHEN total_commits > 20 THEN 'high' WHEN total_commits > 5 THEN 'medium' ELSE 'low' END AS churn FROM expertise",
+    "tree_lines": f"WITH RECURSIVE {_TREE} SELECT row_number() OVER (ORDER BY key) AS number, indent, label, folder, kind FROM lines",
+    "tree_view": f"""WITH RECURSIVE {_TREE}, n AS (SELECT row_number() OVER (ORDER BY key) AS number, * FROM lines)
+      SELECT number, repeat('  ', indent) || label || CASE WHEN indent = 3 THEN ' [...]' ELSE '' END AS text FROM n WHERE indent < 3 OR indent = 3 AND kind = 'folder'""",
     "feature_bundle": """WITH c AS (SELECT c_nationkey AS k, count(*) AS n, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR)) AS ids FROM customer GROUP BY 1),
       s AS (SELECT s_nationkey AS k, count(*) AS n, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY CAST(s_suppkey AS VARCHAR)) AS ids FROM supplier GROUP BY 1)
       SELECT CAST(n_nationkey AS VARCHAR) AS feature, coalesce(c.n, 0) AS n_decisions, coalesce(s.n, 0) AS n_conversations, md5(coalesce(c.ids, '') || ';' || coalesce(s.ids, '')) AS digest

@@ -23,6 +23,7 @@ SCHEMAS = {
     "insights": "id string, content string, context string, feature string, author string, related_files array<string>, tags array<string>, created_at timestamp",
     "patterns": "id string, name string, description string, examples array<string>, rules array<string>, anti_patterns array<string>, confidence double, source string, created_at timestamp",
     "features": "id string, status string, description string, branch string, extends string, owner string, current_state string, relevant_files array<string>, decisions array<string>, warnings array<string>, contributors array<string>, created_at timestamp, last_accessed timestamp, archived_at timestamp",
+    "conversations": "id string, feature string, summary string, key_points array<string>, files_discussed array<string>, created_at timestamp",
     "edges": "from_type string, from_id string, to_type string, to_id string, relation string",
     "events": "id string, event_type string, title string, description string, author string, impact string, related_ids array<string>, timestamp timestamp",
 }
@@ -54,6 +55,18 @@ def feature_records(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return found.withColumn("folder", F.regexp_extract("_metadata.file_path", "/features/([^/]+)/", 1))
 
 
+def conversation_records(spark: SparkSession, root: str, feature: str | None = None) -> DataFrame:
+    """The conversations of one feature or of all: a file each below root/features/FEATURE/conversations, with the
+    folder's name as folder; files that can't be read are left out."""
+    found = spark.read.schema(SCHEMAS["conversations"]).option("multiLine", True).option("mode", "DROPMALFORMED").json(f"{root}/features/{feature or '*'}/conversations/*.json")
+    return found.withColumn("folder", F.regexp_extract("_metadata.file_path", "/features/([^/]+)/", 1))
+
+
+def feature_summaries(features: DataFrame) -> DataFrame:
+    """What a list of features shows of each."""
+    return features.select("id", "status", "branch", "owner")
+
+
 def pruned(df: DataFrame, kind: str) -> DataFrame:
     """df with the columns of its kind only; missing ones are null."""
     fields = T._parse_datatype_string(SCHEMAS[kind]).fields

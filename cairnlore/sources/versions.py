@@ -151,19 +151,32 @@ class VersionedTable:
     def upsert(self, rows: DataFrame, order: str, stream: str | None = None, batch: int | None = None, deleted: str | None = None) -> int:
         """rows in place of those with the same keys, of several the last by `order`; rows whose column `deleted` is
         true take theirs away. A stream's batch that is in the table already changes nothing."""
+        columns = [c for c in rows.columns if c != deleted]
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        new = rows.select(*columns, gone.alias("__gone"), F.lit(1).alias("__new"))
+        last = W.partitionBy(BUCKET, *self.keys).orderBy(F.desc(order), F.desc("__new"), F.to_json(F.struct(*columns)))
+
+        def newest(merged: DataFrame) -> DataFrame:
+            return merged.withColumn("__r", F.row_number().over(last)).filter("__r = 1 AND NOT __gone").select(*columns, BUCKET)
+
+        return self._change(new, lambda old: old.select(*columns, F.lit(False).alias("__gone"), F.lit(0).alias("__new")), newest, stream, batch)
+
+    def merge(self, rows: DataFrame, how: dict[str, Callable[[str], Column]], stream: str | None = None, batch: int | None = None) -> int:
+        """rows added to those with the same keys, column by column: how gives each column's aggregate, F.sum, F.min or
+        F.max. A stream's batch that is in the table already changes nothing."""
+        columns = [*self.keys, *how]
+        added = lambda merged: merged.groupBy(BUCKET, *self.keys).agg(*[f(c).alias(c) for c, f in how.items()]).select(*columns, BUCKET)
+        return self._change(rows.select(*columns), lambda old: old.select(*columns), added, stream, batch)
+
+    def _change(self, new: DataFrame, as_new: Callable[[DataFrame], DataFrame], settled: Callable[[DataFrame], DataFrame], stream: str | None, batch: int | None) -> int:
+        """settled gives the rows that stay (with BUCKET) of the new ones and the old ones of the buckets touched."""
         before = self.manifest()
         if before is not None and stream is not None and before["streams"].get(stream, -1) >= batch:
             return before["version"]
         if before is not None and (before["keys"], before["buckets"]) != (self.keys, self.buckets):
             raise ValueError(f"the table has the keys {before['keys']} in {before['buckets']} buckets")
-        new = rows.withColumn(BUCKET, self._bucket())
-        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
-        columns = [c for c in rows.columns if c != deleted]
-        gone = F.col(deleted) if deleted else F.lit(False)
-        merged = new.select(*columns, BUCKET, F.coalesce(gone, F.lit(False)).alias("__gone"), F.lit(1).alias("__new"))
+        merged = new.withColumn(BUCKET, self._bucket())
+        touched = [r[0] for r in merged.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
         if before is not None and touched:
-            old = self._rows(before, touched)
-            merged = merged.unionByName(old.select(*columns).withColumn(BUCKET, self._bucket()).withColumn("__gone", F.lit(False)).withColumn("__new", F.lit(0)))
-        last = W.partitionBy(BUCKET, *self.keys).orderBy(F.desc(order), F.desc("__new"), F.to_json(F.struct(*columns)))
-        kept = merged.withColumn("__r", F.row_number().over(last)).filter("__r = 1 AND NOT __gone").select(*columns, BUCKET)
-        return self._write(kept, before, lambda _: {b: p for b, p in (before["parts"] if before else {}).items() if int(b) not in touched}, stream, batch)
+            merged = merged.unionByName(as_new(self._rows(before, touched)).withColumn(BUCKET, self._bucket()))
+        return self._write(settled(merged), before, lambda _: {b: p for b, p in (before["parts"] if before else {}).items() if int(b) not in touched}, stream, batch)
