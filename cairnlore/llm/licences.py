@@ -4,7 +4,11 @@ A template is aligned with a stretch of text by words unique to both: of these a
 subsequence is kept, and the gaps between them are aligned in the same way, down to equal words at their edges.
 Coverage is the number of aligned words over the template's words and the words inserted into the stretch: what is
 missing and what is too much both count against a match. A stretch with coverage of at least 0.8 is one, unless a
-telling word (a license's name, its version, ShareAlike and the like) is missing or inserted.
+telling word (a license's name, ShareAlike and the like) is missing or inserted, or the version: a number behind
+"version", "v" or a license's name, of which a template's first one must be aligned and no other may be inserted.
+
+SPDX identifiers are read as expressions: each license that OR, AND and parentheses join is one match of its own name;
+what WITH adds is left out, and -only, -or-later and + belong to the license.
 
 Stretches are found from all places where a template's own words stand: each votes for the start the template would
 have there, and where enough votes lie close together an alignment is made. Texts that lack too many of the words, or a
@@ -32,9 +36,6 @@ from .common import quoted
 
 WORDS = regex.compile(r"[\p{L}\p{N}]+")
 COVERAGE = 0.8
-#: Templates of up to so many words are notices: any number in them is telling.
-NOTICE = 30
-
 #: Notices, headers and texts of common licenses, as license/form.
 TEMPLATES = {
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
@@ -140,15 +141,25 @@ for _name, _long in _COMMONS.items():
         f"CC-{_name}-4.0/short": f"Licensed under CC {_name} 4.0.",
     }
 TEMPLATES |= {f"{_name}/notice": f"Released under the {_name} License." for _name in ("MIT", "BSD", "ISC")}
-TEMPLATES |= {
-    f"{_name}/spdx": f"SPDX-License-Identifier: {_name}"
-    for _name in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "MPL-2.0", "EPL-2.0", "CC0-1.0", *_GNU, *(f"CC-{_n}-4.0" for _n in _COMMONS))
-}
+#: SPDX names that are looked for.
+SPDX = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib", "BSL-1.0", "Unlicense", "MPL-2.0", "EPL-2.0", "CC0-1.0", "WTFPL", *_GNU, *(f"CC-{_n}-4.0" for _n in _COMMONS))
+_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+IDENTIFIER = regex.compile(rf"(?i:SPDX-License-Identifier):[ \t]*(\(*{_NAME}(?:\)*[ \t]+(?:OR|AND|WITH)[ \t]+\(*{_NAME})*)")
+PART = regex.compile(_NAME)
 
 #: Words that tell licenses apart: one that a template has must be aligned, one that it lacks must not be inserted.
 TELLING = set("mit bsd 0bsd isc apache gnu gpl lgpl agpl lesser affero mozilla mpl eclipse epl zlib bsl boost commons cc cc0 attribution sharealike noncommercial noderivatives unlicense wtfpl".split())
-#: Words that tell beside "cc" only, and the form of a version.
-BESIDE, VERSION = set("by sa nc nd".split()), regex.compile("v?[0-9]+").fullmatch
+#: Words that tell beside "cc" only, words that a version stands behind, and its form.
+BESIDE, BEFORE, VERSION = set("by sa nc nd".split()), set("version v license licence".split()), regex.compile("v?[0-9]+").fullmatch
+
+
+def versions(words: list[str]) -> list[int]:
+    """The places of numbers that are versions of licenses."""
+    out: list[int] = []
+    for j in range(1, len(words)):
+        if VERSION(words[j]) and (words[j - 1] in BEFORE or words[j - 1] in TELLING or words[j - 1] in BESIDE or (out and out[-1] == j - 1)):
+            out.append(j)
+    return out
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -199,11 +210,14 @@ class Template:
         self.words = [w.lower() for w in WORDS.findall(text)]
         self.counts = Counter(self.words)
         self.own = {w: self.words.index(w) for w, n in self.counts.items() if n == 1}
-        self.telling = {w for w in self.words if self.tells(w)}
+        numbers = versions(self.words)
+        #: Places of the first version.
+        self.version = {p for k, p in enumerate(numbers) if p - k == numbers[0]}
+        self.telling = {w for w in self.words if self.tells(w)} | {self.words[p] for p in self.version}
         self.rare_first = sorted(self.counts.items(), key=lambda x: (-len(x[0]), x[0]))
 
     def tells(self, word: str) -> bool:
-        return word in TELLING or (word in BESIDE and "cc" in self.counts) or (len(self.words) <= NOTICE and VERSION(word) is not None)
+        return word in TELLING or (word in BESIDE and "cc" in self.counts)
 
     def possible(self, words: set[str]) -> bool:
         """False if the words that are missing leave too few for the coverage, or one of them tells."""
@@ -239,7 +253,9 @@ class Template:
             return None
         first, last = pairs[a][1], pairs[b - 1][1] + 1
         aligned = {j for _, j in pairs[a:b]}
-        if not self.telling <= {words[lo + j] for j in aligned}:
+        if not self.telling <= {words[lo + j] for j in aligned} or not self.version <= {i for i, _ in pairs[a:b]}:
+            return None
+        if any(j not in aligned and first <= j < last for j in versions(words[lo : lo + last])):
             return None
         if any(self.tells(w) and w not in self.counts for j in range(first, last) if j not in aligned and (w := words[lo + j])):
             return None
@@ -277,8 +293,21 @@ def best(found: list[tuple[str, int, float, int, int]]) -> list[tuple[str, float
     return [(name, c, s, e) for s, e, name, c in taken]
 
 
+def identified(text: str | None, names: dict[str, str]) -> list[tuple[str, float, int, int]]:
+    """The same of SPDX identifiers; names: licenses by their names in lower case."""
+    out = []
+    for m in IDENTIFIER.finditer(text or ""):
+        skip = False
+        for part in PART.finditer(text, *m.span(1)):
+            if part[0] in ("OR", "AND", "WITH"):
+                skip = part[0] == "WITH"
+            elif not skip and (name := names.get(regex.sub(r"(?:-only|-or-later|\+)$", "", part[0].lower()))):
+                out.append((name, 1.0, *part.span()))
+    return out
+
+
 def scan_text(text: str | None, templates: dict[str, Template]) -> list[tuple[str, float, int, int]]:
-    """license, coverage, start and end (code points, end exclusive) of each match."""
+    """license, coverage, start and end (code points, end exclusive) of each stretch that matches a template."""
     words = WORDS.findall((text or "").lower())
     known = set(words)
     likely = {k: t for k, t in templates.items() if t.possible(known)}
@@ -314,10 +343,11 @@ def scan(df: DataFrame, keep: list[str], text: str = "text", templates: dict[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = {k: Template(v) for k, v in texts.items()}
+        own = {x.lower(): x for x in ([k.split("/")[0] for k in texts] if templates else SPDX)}
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                rows = [(i, *m) for i, x in enumerate(batch.column(n).to_pylist()) for m in scan_text(x, made)]
+                rows = [(i, *m) for i, x in enumerate(batch.column(n).to_pylist()) for m in scan_text(x, made) + identified(x, own)]
                 at = pa.array([r[0] for r in rows], type=pa.int64())
                 columns = [c.take(at) for c in batch.columns[:n]]
                 columns += [pa.array([r[c] for r in rows], type=t) for c, t in ((1, pa.string()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]

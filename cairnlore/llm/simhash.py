@@ -299,7 +299,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: i
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=classes, mark=fingerprint) -> DataFrame:
     """The documents that give their component its id, one row each, with all their columns.
 
-    Of rows that share this id the one with the smallest hash of all columns stays. Rows with a null id stay only
+    Of rows that share this id the one with the smallest hash of all columns as JSON stays. Rows with a null id stay only
     where a whole component has none. find gives doc_id, fingerprint and component_id; mark the fingerprints alone.
     Texts are not shuffled as long as the ids to leave out are few enough for a broadcast.
     """
@@ -319,5 +319,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fin
     again = rows.join(many, on(many), "left_semi").select("__row", F.col("__row." + quoted(text)).alias("__text"))
     again = mark(again, ["__row"], "__text").withColumn("__doc", F.col("__row." + quoted(doc_id)))
     again = again.join(kept, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("fingerprint") == F.col("__fp")), "left_semi")
-    best = again.groupBy("__doc").agg(F.min_by("__row", F.struct(F.xxhash64("__row"), F.to_json("__row"))).alias("__row"))
+    best = again.groupBy("__doc").agg(F.min_by("__row", F.struct(F.xxhash64(F.to_json("__row")), F.to_json("__row"))).alias("__row"))
     return single.unionByName(best.select("__row.*"))

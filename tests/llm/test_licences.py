@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 from cairnlore.llm import licences, queries
 
@@ -61,6 +62,27 @@ def test_telling_words_decide():
     assert licences.scan_text("İ Released under the MIT License", made())[0][2:] == (2, 32)
 
 
+def test_versions_tell_in_every_template():
+    mpl, gpl, apache = (licences.TEMPLATES[k] for k in ("MPL-2.0/header", "GPL-2.0/header", "Apache-2.0/header"))
+    assert found(mpl) == [("MPL-2.0", 1.0)] and found(mpl.replace("v. 2.0", "v. 1.1")) == []
+    assert found(gpl.replace("version\n            2", "version 4")) == [] != found(gpl)
+    assert found(gpl.replace("version\n            2", "version 3")) == [("GPL-3.0", 1.0)]
+    assert found(apache.replace("Version 2.0", "Version 1.1")) == []
+    # Numbers that are no versions don't.
+    assert [k for k, _ in found(licences.TEMPLATES["BSD-2-Clause/text"].replace("Redistributions in", "2. Redistributions in"))] == ["BSD-2-Clause"]
+
+
+def test_spdx_expressions():
+    names = {x.lower(): x for x in licences.SPDX}
+    told = lambda t: [m[0] for m in licences.identified(t, names)]
+    assert told("// SPDX-License-Identifier: MIT OR Apache-2.0\nMIT code") == ["MIT", "Apache-2.0"]
+    assert told("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND (bsd-3-clause OR ISC)") == ["GPL-2.0", "BSD-3-Clause", "ISC"]
+    assert told("# SPDX-License-Identifier: LGPL-2.1-or-later, SPDX-License-Identifier: GPL-3.0+") == ["LGPL-2.1", "GPL-3.0"]
+    assert told("SPDX-License-Identifier: Unknown-1.0 and more") == told("SPDX-License-Identifier:") == told(None) == []
+    text = "x SPDX-License-Identifier: MIT and more"
+    assert [text[s:e] for _, _, s, e in licences.identified(text, names)] == ["MIT"]
+
+
 def test_inserted_words_count():
     assert found("This work is hereby licensed under the GNU General Public License, version 3.") == [("GPL-3.0", 12 / 13)]
     assert found("This work is " + "surely and " * 3 + "licensed under the GNU General Public License, version 3.") == []
@@ -83,12 +105,16 @@ def common(a, b):
     return before[-1]
 
 
+#: Words of the longest template that the plain search tries.
+NOTICE = 30
+
+
 def plain_notices(text):
-    """The notices in a text by trying every stretch of about their length."""
-    words, out = licences.WORDS.findall((text or "").lower()), set()
+    """The notices in a text by trying every stretch of about their length, and plain SPDX identifiers."""
+    words, out = licences.WORDS.findall((text or "").lower()), set(re.findall(r"SPDX-License-Identifier: ([A-Za-z0-9.-]+[A-Za-z0-9])", text or ""))
     for name, t in made().items():
         n = len(t.words)
-        if n > licences.NOTICE or not t.telling <= set(words):
+        if n > NOTICE or not t.telling <= set(words):
             continue
         for size in range(n - 2, n + 4):
             for at in range(len(words) - size + 1):
@@ -96,14 +122,14 @@ def plain_notices(text):
                 if len(set(part) & set(t.words)) < 0.7 * len(set(t.words)):
                     continue
                 k = common(t.words, part)
-                if k >= licences.COVERAGE * (n + size - k) - 1e-9 and t.telling <= set(part) and not any(t.tells(w) and w not in t.words for w in part):
+                if k >= licences.COVERAGE * (n + size - k) - 1e-9 and t.telling <= set(part) and not any(t.tells(w) and w not in t.words for w in part) and not any(part[j] not in t.words for j in licences.versions(part)):
                     out.add(name.split("/")[0])
     return out
 
 
 def test_notices_against_brute_force():
     rng = random.Random(5)
-    notices = [t for k, t in licences.TEMPLATES.items() if len(licences.WORDS.findall(t)) <= licences.NOTICE and "spdx" not in k]
+    notices = [t for k, t in licences.TEMPLATES.items() if len(licences.WORDS.findall(t)) <= NOTICE]
     for _ in range(150):
         words = rng.choice(notices).rstrip(".").split()
         for _ in range(rng.randint(0, 3)):
