@@ -1,36 +1,41 @@
 """A positional inverted index in Parquet, and full-text queries that read postings instead of texts.
 
-Documents are dealt to blocks of about `BLOCK` by the hash of their key and numbered within them. A posting row holds
-one term's occurrences in one block, as a sorted array of number * 2^32 + position, so a term that is in every document
-is as many rows as there are blocks, none of them larger than its block's texts. Posting rows lie in Parquet folders by
-`bucket`, the hash of the term's first two letters, sorted by term; a query reads the folders of its words, and of
-those the row groups that can hold them.
+A task that reads texts numbers its documents in blocks of at most `BLOCK` and of about `WORDS` words, and writes each
+block's postings at once: neither texts nor single occurrences are shuffled. A posting row holds one term's occurrences
+in one block, as a sorted array of number * 2^32 + position, so a term that is in every document is as many rows as
+there are blocks, none of them larger than its block's texts. Posting rows lie in Parquet folders by `bucket`, the hash
+of the term's first two letters, sorted by term; a query reads the folders of its words, and of those the row groups
+that can hold them.
 
 A query is settled block by block: the occurrences of its words meet in one row, phrases are intersections of
 occurrences shifted by their place in the phrase, words and prefixes are sets of document numbers, and AND, OR and NOT
 are set operations on these. Nothing but numbers is shuffled, and texts aren't read.
 
 Defined results: a null text has no words; a query without words matches nothing; NOT alone matches every document
-without the word; keys name rows, so rows that share a key are one document of all their words; a null key can't be
-searched for and is left out.
+without the word; of rows that share a key each is searched by itself, and the key comes once for each that matches; a
+null key can't be searched for and is left out.
 """
 
 from __future__ import annotations
 
 import shlex
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from cairnlore.operators.text import normal_words, search_form
 from cairnlore.sources.versions import VersionedTable
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Documents of a block, and folders of terms.
-BLOCK, BUCKETS = 4096, 64
-#: Blocks of a file.
-FILE = 512
+#: Documents and words of a block, and folders of terms.
+BLOCK, WORDS, BUCKETS = 4096, 1 << 20, 64
+#: The folder of the blocks' keys.
+KEYS = -1
 #: Highest code point, behind all terms that begin with a prefix.
 LAST = "\U0010ffff"
 
@@ -44,21 +49,60 @@ def _number(at: Column) -> Column:
     return F.shiftright(at, 32)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """block, keys (of its documents, in order) and bucket, term, block, at, n (documents) of a table."""
-    named = docs.select(F.col(key).alias("key"), F.filter(F.split(search_form(F.col(text)), " "), lambda w: w != "").alias("words")).filter("key is not null")
-    # The only time that texts are shuffled: their words, to the blocks.
-    blocks = max(1, -(-docs.count() // block))
-    placed = named.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    numbered = placed.withColumn("number", (F.dense_rank().over(W.partitionBy("block").orderBy("key")) - 1).cast("bigint"))
-    documents = numbered.groupBy("block").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    rest = F.row_number().over(W.partitionBy("block", "number").orderBy(F.size("words"), F.xxhash64("words")))
-    # Texts that share a key follow each other at a distance that no phrase crosses.
-    offset = F.coalesce(F.sum(F.size("words") + 1).over(W.partitionBy("block", "number").orderBy("copy").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    words = numbered.withColumn("copy", rest).withColumn("offset", offset).select("block", "number", "offset", F.posexplode("words").alias("pos", "term"))
-    at = F.shiftleft("number", 32) + F.col("offset") + F.col("pos")
-    rows = words.select("term", "block", at.alias("at")).groupBy("term", "block").agg(F.array_sort(F.collect_list("at")).alias("at"))
-    return documents, rows.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "block", "at", F.size(F.array_distinct(F.transform("at", _number))).cast("bigint").alias("n"))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
+    """bucket, term, block, at (occurrences), n (documents) of each term in each block; and for each block a row of
+    bucket KEYS with its documents' keys, in the order of their numbers."""
+    named = docs.select(F.col(key).alias("key"), search_form(F.col(text)).cast("binary").alias("form")).filter("key is not null")
+    kind = to_arrow_type(named.schema["key"].dataType)
+    schema = f"term string, block bigint, at array<bigint>, n bigint, keys array<{named.schema['key'].dataType.simpleString()}>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        ids: dict[bytes, int] = {}
+        words: list[np.ndarray] = []
+        keys: list = []
+        held = made = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            number = np.repeat(np.arange(len(words), dtype=np.int64), [len(w) for w in words])
+            seq = np.concatenate(words)
+            first = np.cumsum([0, *(len(w) for w in words[:-1])])
+            at = number << 32 | np.arange(len(seq), dtype=np.int64) - first[number]
+            order = np.argsort(seq, kind="stable")
+            counts = np.bincount(seq, minlength=len(ids))
+            starts = np.concatenate([[0], np.cumsum(counts)])
+            number = number[order]
+            new = np.ones(len(number), dtype=np.int64)
+            new[1:] = (number[1:] != number[:-1]) | (seq[order][1:] != seq[order][:-1])
+            n = np.add.reduceat(new, starts[:-1]) if len(ids) else np.zeros(0, dtype=np.int64)
+            own = task << 32 | made
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(list(ids), type=pa.binary()).cast(pa.string()), pa.array(np.full(len(ids), own)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(at[order])), pa.array(n), pa.nulls(len(ids), pa.list_(kind))],
+                names=["term", "block", "at", "n", "keys"],
+            )
+            for lo in range(0, rows.num_rows, 4096):
+                yield rows.slice(lo, 4096)
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([own]), pa.array([None], pa.list_(pa.int64())), pa.array([len(keys)]), pa.array([keys], pa.list_(kind))], names=["term", "block", "at", "n", "keys"])
+
+        for batch in batches:
+            for k, form in zip(batch.column(0), batch.column(1)):
+                said = form.as_py().split(b" ")[1:-1]
+                said = [w for w in said if w]
+                for w in said:
+                    if w not in ids:
+                        ids[w] = len(ids)
+                words.append(np.fromiter(map(ids.__getitem__, said), dtype=np.int64, count=len(said)))
+                keys.append(k.as_py())
+                held += len(said)
+                if len(keys) == block or held >= WORDS:
+                    yield from closed()
+                    made += 1
+                    ids, words, keys, held = {}, [], [], 0
+        if keys:
+            yield from closed()
+
+    rows = named.mapInArrow(run, schema)
+    return rows.select(F.when(F.col("term").isNull(), F.lit(KEYS)).otherwise(_bucket(F.col("term"), buckets)).alias("bucket"), "term", "block", "at", "n", "keys")
 
 
 class InvertedIndex:
@@ -72,18 +116,22 @@ class InvertedIndex:
         """Indexes a table anew. Readers use the index before until the documents have changed over."""
         found = self.documents.manifest()
         version = 0 if found is None else found["version"] + 1
-        documents, rows = postings(docs, key, text, block, self.buckets)
-        # A task writes a folder's terms for so many blocks, so no folder and no term is left to one task.
-        dealt = rows.repartition("bucket", F.floor(F.col("block") / FILE)).sortWithinPartitions("bucket", "term", "block")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/{version}")
-        self.documents.replace(documents)
+        folder = f"{self.folder}/postings/{version}"
+        rows = postings(docs, key, text, block, self.buckets)
+        # A folder's terms are written in parts by block, as many as the table is large, so that no folder and no term
+        # is left to one task.
+        parts = max(16, docs.rdd.getNumPartitions() // 8)
+        dealt = rows.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(parts))).sortWithinPartitions("bucket", "term", "block")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        known = self.spark.read.schema(rows.schema).parquet(folder)
+        self.documents.replace(known.filter(F.col("bucket") == KEYS).select("block", "keys"))
         self.documents.files.remove(f"{self.folder}/postings/{version - 2}")
         return self
 
     def terms(self) -> DataFrame:
         """bucket, term, block, at, n."""
-        schema = "term string, block int, at array<bigint>, n bigint, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/postings/{self.documents.manifest()['version']}")
+        schema = "term string, block bigint, at array<bigint>, n bigint, bucket int"
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/postings/{self.documents.manifest()['version']}").filter(F.col("bucket") != KEYS)
 
     def search(self, query: str) -> DataFrame:
         """key: the documents that match a query of words, "phrases", prefix*, AND, OR and NOT."""

@@ -52,9 +52,9 @@ def test_random_queries(docs, index):
 
 def test_rows_are_bounded_by_their_blocks(index):
     rows = index.terms().collect()
-    blocks = {r.block: r.n for r in rows}
-    assert len(blocks) == 8 and len([r for r in rows if r.term == "the"]) == 8 and all(r.n <= 80 for r in rows)
-    assert all(list(r["at"]) == sorted(r["at"]) for r in rows)
+    blocks = {r.block for r in rows}
+    assert 8 <= len(blocks) <= 12 and len([r for r in rows if r.term == "the"]) == len(blocks) and all(r.n <= 40 for r in rows)
+    assert all(list(r["at"]) == sorted(r["at"]) and r.n == len({x >> 32 for x in r["at"]}) for r in rows)
 
 
 def test_queries_read_their_terms_only(index):
@@ -68,7 +68,7 @@ def test_keys_that_repeat_and_rebuilding(spark, tmp_path):
     index = inverted.InvertedIndex(spark, str(tmp_path / "i"))
     index.build(spark.createDataFrame([("k", "one two"), ("k", "three four"), (None, "one")], "doc_id string, text string"))
     keys = lambda q: [r.key for r in index.search(q).collect()]
-    assert keys("one four") == ["k"] and keys('"two three"') == [] and keys("five") == []
+    assert keys("one four") == [] and keys("one OR four") == ["k", "k"] and keys('"one two"') == ["k"] and keys("five") == []
     for word in ("five", "six", "seven"):
         index.build(spark.createDataFrame([("n", word)], "doc_id string, text string"))
         assert keys(word) == ["n"] and keys("one") == []
