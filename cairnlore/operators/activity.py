@@ -8,6 +8,7 @@ bounds the pairs of each.
 from __future__ import annotations
 
 from cairnlore.functions.columns import dirname, last_activity, ratio
+from cairnlore.functions.lineage import cut_lineage
 from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -195,6 +196,9 @@ class ActivityTables:
 
     def add(self, changes: DataFrame, stream: str, batch: int) -> None:
         """A batch of changes; one that is in the tables already changes nothing."""
+        if all(t.has(stream, batch) for t in (self.own, self.files, self.pairs)):
+            return
+        changes = cut_lineage(changes)  # read three times
         own = changes.groupBy("path", "author").agg(F.countDistinct("commit").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         self.own.merge(own, self.OWN, stream, batch)
         touched = changes.select("commit", "path").distinct()

@@ -18,6 +18,7 @@ import json
 import uuid
 from collections.abc import Callable
 
+from cairnlore.functions.lineage import cut_lineage
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +82,11 @@ class VersionedTable:
             return None
         return json.loads(self.files.text(f"{self.folder}/versions/{known[-1] if version is None else version}.json"))
 
+    def has(self, stream: str, batch: int) -> bool:
+        """Whether the newest version holds a stream's batch."""
+        found = self.manifest()
+        return found is not None and found["streams"].get(stream, -1) >= batch
+
     def _rows(self, found: dict, buckets: list[int] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(found["schema"])
         paths = sorted({f"{self.folder}/data/{place}" for b, place in found["parts"].items() if buckets is None or int(b) in buckets})
@@ -175,7 +181,7 @@ class VersionedTable:
             return before["version"]
         if before is not None and (before["keys"], before["buckets"]) != (self.keys, self.buckets):
             raise ValueError(f"the table has the keys {before['keys']} in {before['buckets']} buckets")
-        merged = new.withColumn(BUCKET, self._bucket())
+        merged = cut_lineage(new.withColumn(BUCKET, self._bucket()))  # read twice
         touched = [r[0] for r in merged.select(BUCKET).distinct().collect()]  # at most `buckets` numbers
         if before is not None and touched:
             merged = merged.unionByName(as_new(self._rows(before, touched)).withColumn(BUCKET, self._bucket()))
