@@ -154,7 +154,7 @@ def snippet_windows(docs: DataFrame, pattern: str, before: int = 5, most: int =
         hits = F.filter(F.transform(ls, lambda x, i: F.when(x.rlike(pattern), i + 1)), lambda i: i.isNotNull())
         return F.transform(hits, lambda i: let(F.struct(F.greatest(F.lit(1), i - before).alias("first"), F.least(F.size(ls), i + most - before).alias("last")), lambda w: F.struct(i.alias("line"), w.first.alias("first"), w.last.alias("last"), F.array_join(F.slice(ls, w.first, w.last - w.first + 1), "\n").alias("snippet"))))
 
-    out = docs.filter(F.col(text).rlike(pattern)).select(F.col(key), F.explode(let(F.split(text, "\n"), around)).alias("s")).select(key, "s.*")
+    out = docs.select(F.col(key), F.explode(let(F.split(text, "\n"), around)).alias("s")).select(key, "s.*")
     return out.withColumn("tokens", token_estimate(F.col("snippet")))
 
 

@@ -8,6 +8,7 @@ from cairnlore.functions.lineage import checkpoint_folder, cut_lineage
 from cairnlore.functions.words import ACCENTED, BASE, STOPWORDS, SUFFIXES, SYNONYMS
 from cairnlore.operators import text as ops
 from cairnlore.operators.inverted import InvertedIndex
+from cairnlore.operators.trigrams import TrigramIndex, snippets
 from cairnlore.sources.tables import table
 from pyspark.sql import functions as F
 
@@ -32,19 +33,49 @@ def _similar(s, d):
     return ops.similar_documents(vectors, richest.doc_id if richest else -1, least=0.0)
 
 
-def text_index(s, d) -> InvertedIndex:
-    """The full-text index of documents, built by the session's first query and again if the table is another one."""
+def _kept(s, d, kind: str) -> str:
+    """The folder of an index of documents; another one if the table is another one."""
     path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     fs = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
     state = f"{d} {fs.getFileStatus(path).getModificationTime()} {fs.getContentSummary(path).getLength()}"
-    index = InvertedIndex(s, f"{checkpoint_folder(s)}/fulltext-{hashlib.md5(state.encode()).hexdigest()}")
+    return f"{checkpoint_folder(s)}/{kind}-{hashlib.md5(state.encode()).hexdigest()}"
+
+
+def text_index(s, d) -> InvertedIndex:
+    """The full-text index of documents, built by the session's first query."""
+    index = InvertedIndex(s, _kept(s, d, "fulltext"))
     return index if index.documents.manifest() else index.build(_docs(s, d))
 
 
+def _files(s, d):
+    """Documents as files: path, language, text."""
+    return _docs(s, d).select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("lang").alias("language"), "text")
+
+
+def code_index(s, d) -> TrigramIndex:
+    """The trigram index of documents, built by the session's first query."""
+    index = TrigramIndex(s, _kept(s, d, "trigrams"))
+    return index if index.current.manifest() else index.build(_files(s, d), "path")
+
+
+def _code(pattern, glob, limit):
+    return lambda s, d: code_index(s, d).search(pattern, glob, limit).select(F.col("key").alias("path"), F.col("line").cast("bigint").alias("line"), "content")
+
+
+def _snippets(query, language="", glob="", most=50, limit=5):
+    def run(s, d):
+        chunks = ops.line_chunks(_files(s, d).withColumn("file", F.struct("path", "language")), 10, "file").select("file.*", F.lit("lines").alias("kind"), F.col("start").cast("string").alias("name"), F.col("start").alias("first"), F.col("end").alias("last"), "content")
+        return snippets(code_index(s, d), chunks, query, language, glob, most, limit).withColumn("digest", F.md5("content")).drop("content")
+
+    return run
+
+
 def _found(query):
     return lambda s, d: _docs(s, d).select("doc_id", "lang", "source").join(text_index(s, d).search(query).select(F.col("key").alias("doc_id")), "doc_id", "left_semi")
 
 
+_PATTERN = "(?i)(apache|mozilla|general) .*(version|licen[sc]e)|[0-9]@(mail|post)[0-9]+[.]example"
+
 QUERIES = {
     "tokenize": lambda s, d: ops.document_tokens(_docs(s, d)).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest")),
     "doc_freq": lambda s, d: ops.document_frequency(_tokens(s, d)).filter("df >= 2"),
@@ -60,6 +91,10 @@ QUERIES = {
     "regex_lines": lambda s, d: ops.grep(_docs(s, d), "(?i)licen[sc]e|[0-9]+@").select("doc_id", F.col("line").cast("bigint").alias("line"), "content"),
     "line_chunks": lambda s, d: ops.line_chunks(_docs(s, d), 10).select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.md5("content").alias("digest")),
     "snippet_windows": lambda s, d: ops.snippet_windows(_docs(s, d), "Licen[sc]e", 5, 10).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("line", "first", "last")], F.md5("snippet").alias("digest"), "tokens"),
+    "regex_indexed": lambda s, d: code_index(s, d).grep(_PATTERN).select(F.col("key").alias("path"), F.col("line").cast("bigint").alias("line"), "content"),
+    "code_search": _code("(?i)copyright|licen[sc]e", "*/en/*1.txt", 50),
+    "snippet_chunks": _snippets("license version", "en"),
+    "snippet_lines": _snippets("[a-z]+[.][0-9]+@mail[0-9][.](com|example)", "en", "**/en/*.txt", 12, 20),
     "fenced_blocks": lambda s, d: ops.compaction(_docs(s, d)),
 }
 
@@ -81,6 +116,20 @@ _FORM = rf"forms AS (SELECT *, ' ' || array_to_string(list_filter(regexp_split_t
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)"
 
 
+_FILES = "files AS (SELECT concat_ws('/', source, lang, doc_id || '.txt') AS path, lang AS language, text FROM documents), lines AS (SELECT path, language, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files)"
+
+
+def _snippet_sql(hit: str, query: str, pattern: str, glob: str, language: str, most: int, limit: int) -> str:
+    return rf"""WITH {_FILES}, cut AS (SELECT path, language, (line - 1) // 10 AS k, min(line) AS first, max(line) AS last, string_agg(content, chr(10) ORDER BY line) AS content FROM lines GROUP BY ALL),
+      chunks AS (SELECT *, ' ' || array_to_string(list_filter(regexp_split_to_array(translate(lower(content), '{ACCENTED}', '{BASE}'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), ' ') || ' ' AS f FROM cut WHERE trim(regexp_replace(content, '\s+', ' ', 'g')) <> '' AND language = '{language}'),
+      hits AS (SELECT path, first AS line, first, last, content, 'lines: ' || first AS context FROM chunks WHERE {hit}),
+      n AS (SELECT *, count(*) OVER (PARTITION BY path) AS total FROM lines),
+      found AS (SELECT path, line, greatest(1, line - 5) AS first, least(total, line + {most} - 5) AS last FROM n WHERE NOT EXISTS (FROM hits) AND regexp_matches(content, '{pattern}') AND regexp_matches(path, '{glob}')),
+      windows AS (SELECT w.path, w.line, first, last, string_agg(l.content, chr(10) ORDER BY l.line) AS content, 'Match for ''{query}'' at line ' || w.line AS context FROM found w JOIN lines l ON l.path = w.path AND l.line BETWEEN first AND last GROUP BY ALL),
+      best AS (SELECT *, row_number() OVER (ORDER BY path, line, context, content) AS rank FROM (FROM hits UNION ALL FROM windows) QUALIFY rank <= {limit})
+      SELECT path, first, last, context, CAST(strlen(content) // 4 AS BIGINT) AS tokens, rank, md5(content) AS digest FROM best"""
+
+
 def _where(condition: str) -> str:
     return f"WITH {_FORM} SELECT doc_id, lang, source FROM forms WHERE {condition}"
 
@@ -110,6 +159,11 @@ SQL = {
       hits AS (SELECT doc_id, line, greatest(1, line - 5) AS first, least(total, line + 5) AS last FROM n WHERE regexp_matches(content, 'Licen[sc]e')),
       w AS (SELECT h.doc_id, h.line, first, last, string_agg(l.content, chr(10) ORDER BY l.line) AS snippet FROM hits h JOIN lines l ON l.doc_id = h.doc_id AND l.line BETWEEN first AND last GROUP BY ALL)
       SELECT doc_id, line, first, last, md5(snippet) AS digest, CAST(strlen(snippet) // 4 AS BIGINT) AS tokens FROM w""",
+    "regex_indexed": f"WITH {_FILES} SELECT path, line, trim(content) AS content FROM lines WHERE regexp_matches(content, '{_PATTERN}')",
+    "code_search": f"""WITH {_FILES}, hits AS (SELECT path, line, trim(content) AS content FROM lines WHERE regexp_matches(content, '(?i)copyright|licen[sc]e') AND regexp_matches(path, '^[^/]*/en/[^/]*1[.]txt$') QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 50)
+      SELECT * FROM hits ORDER BY path, line LIMIT 50""",
+    "snippet_chunks": _snippet_sql("contains(f, ' license ') AND contains(f, ' version ')", "license version", "license version", ".", "en", 50, 5),
+    "snippet_lines": _snippet_sql("contains(f, ' a z 0 9 mail 0 9 com example ')", "[a-z]+[.][0-9]+@mail[0-9][.](com|example)", "[a-z]+[.][0-9]+@mail[0-9][.](com|example)", "^(.*/)?en/[^/]*[.]txt$", "en", 12, 20),
     "fenced_blocks": """WITH b AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '(?s)```.*?```') AS blocks FROM documents)
       SELECT doc_id, len(blocks) AS blocks, CAST(strlen(array_to_string(blocks, '')) // 4 AS BIGINT) AS block_tokens, CAST(strlen(t) // 4 AS BIGINT) AS tokens, CAST((length(t) - length(replace(t, chr(10), ''))) // 2 AS BIGINT) AS messages FROM b""",
 }
