@@ -62,6 +62,12 @@ def tfidf(tokenised: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.select("doc_id", "idx", (F.col("n") / F.col("size") * F.col("idf")).alias("weight"))
 
 
+def query_vector(asked: DataFrame, vocab: DataFrame, text: str = "text") -> dict[int, float]:
+    """The weights of one text's terms by their place in the vocabulary; at most the vocabulary."""
+    said = asked.select(F.lit(-1).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
+    return {r.idx: r.weight for r in tfidf(said, vocab).collect()}
+
+
 def similar_documents(vectors: DataFrame, doc_id: int, least: float = 0.15, k: int = 10) -> DataFrame:
     """doc_id, similarity: the k documents with the largest cosine to one document, above `least`."""
     query = vectors.filter(F.col("doc_id") == doc_id).select("idx", F.col("weight").alias("q"))

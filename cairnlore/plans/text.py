@@ -7,9 +7,11 @@ import hashlib
 from cairnlore.functions.lineage import checkpoint_folder, cut_lineage
 from cairnlore.functions.words import ACCENTED, BASE, STOPWORDS, SUFFIXES, SYNONYMS
 from cairnlore.operators import text as ops
+from cairnlore.operators.impacts import ImpactIndex, unit
 from cairnlore.operators.inverted import InvertedIndex
 from cairnlore.operators.trigrams import TrigramIndex, snippets
 from cairnlore.sources.tables import table
+from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import functions as F
 
 
@@ -58,6 +60,29 @@ def code_index(s, d) -> TrigramIndex:
     return index if index.current.manifest() else index.build(_files(s, d), "path")
 
 
+def semantic_index(s, d) -> tuple[ImpactIndex, VersionedTable]:
+    """The impact index of documents' terms by language, and its vocabulary; built by the session's first query."""
+    folder = _kept(s, d, "impacts")
+    index, vocab = ImpactIndex(s, folder), VersionedTable(s, f"{folder}/vocabulary")
+    if not index.current.manifest():
+        tokenised = cut_lineage(_tokens(s, d))
+        vocab.replace(ops.vocabulary(tokenised, _docs(s, d).count()))
+        index.build(ops.tfidf(tokenised, vocab.read()), _docs(s, d).select("doc_id", F.col("lang").alias("kind")))
+    return index, vocab
+
+
+def _semantic(typed=False, least=0.15, k=10):
+    """The text of the document with the most terms of the vocabulary, asked as a question; typed: of its language."""
+
+    def run(s, d):
+        index, vocab = semantic_index(s, d)
+        richest, kind = index.richest()
+        asked = _docs(s, d).filter(F.col("doc_id") == (-1 if richest is None else richest)).limit(1)
+        return index.search(unit(ops.query_vector(asked, vocab.read())), kind if typed else None, least, k)
+
+    return run
+
+
 def _code(pattern, glob, limit):
     return lambda s, d: code_index(s, d).search(pattern, glob, limit).select(F.col("key").alias("path"), F.col("line").cast("bigint").alias("line"), "content")
 
@@ -82,6 +107,8 @@ QUERIES = {
     "vocab_idf": lambda s, d: ops.vocabulary(_tokens(s, d), _docs(s, d).count()),
     "tfidf_vectors": lambda s, d: _vectors(s, d).select("doc_id", "idx", F.round("weight", 6).alias("weight")),
     "tfidf_search": _similar,
+    "semantic_search": _semantic(least=0.01),
+    "semantic_typed": _semantic(True, 0.005, 25),
     "embedding_topk": lambda s, d: ops.vector_topk(table(s, d, "embeddings"), 0),
     "fulltext_and": _found("the license version"),
     "fulltext_or": _found("license OR \"all rights reserved\""),
@@ -134,7 +161,17 @@ def _where(condition: str) -> str:
     return f"WITH {_FORM} SELECT doc_id, lang, source FROM forms WHERE {condition}"
 
 
+def _semantic_sql(kind: str, least: float, k: int) -> str:
+    return f"""WITH {_VECTORS}, norms AS (SELECT doc_id, sqrt(sum(weight * weight)) AS norm FROM vectors GROUP BY 1),
+      asked AS (SELECT idx, weight AS q FROM vectors WHERE doc_id = (SELECT doc_id FROM vectors GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
+      SELECT doc_id, round(sum(weight * q) / (any_value(norm) * (SELECT sqrt(sum(q * q)) FROM asked)), 6) AS similarity
+      FROM vectors JOIN asked USING (idx) JOIN norms USING (doc_id) JOIN documents USING (doc_id) WHERE {kind}
+      GROUP BY 1 HAVING similarity > {least} ORDER BY 2 DESC, 1 LIMIT {k}"""
+
+
 SQL = {
+    "semantic_search": _semantic_sql("true", 0.01, 10),
+    "semantic_typed": _semantic_sql("lang = (FROM documents SELECT lang WHERE doc_id = (SELECT doc_id FROM vectors GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))", 0.005, 25),
     "tokenize": f"WITH {_TOKENS} SELECT doc_id, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS digest FROM toks",
     "doc_freq": f"WITH {_COUNTS} SELECT term, count(*) AS df FROM counts GROUP BY 1 HAVING count(*) >= 2",
     "vocab_idf": f"WITH {_VOCAB} SELECT * FROM vocab",
