@@ -48,7 +48,7 @@ class ImpactIndex:
         norm = F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e.weight * e.weight))
         unit = docs.withColumn("norm", norm).filter("norm > 0").select("doc_id", "kind", F.transform("entries", lambda e: F.struct(e.idx.alias("idx"), (e.weight / F.col("norm")).alias("impact"))).alias("entries"))
         heaviest = F.array_max(F.transform("entries", lambda e: F.struct(e.impact, -e.idx)))["col2"]
-        parts = max(8, vectors.rdd.getNumPartitions())
+        parts = max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         ordered = unit.withColumn("top", -heaviest).repartitionByRange(parts, "kind", "top", "doc_id").sortWithinPartitions("kind", "top", "doc_id")
         n = F.monotonically_increasing_id()
         ordered.withColumn("n", n).select("doc_id", "kind", F.expr(f"n div {block}").alias("block"), F.shiftright("n", 33).alias("task"), "entries").write.parquet(f"{self.folder}/documents/{made}")

@@ -24,18 +24,23 @@ def stem(w: Column) -> Column:
     return out
 
 
-def tokens(text: Column) -> Column:
+def words(text: Column) -> Column:
     """Lower-case words of 2 bytes or more that are no stopwords, each followed by its stem and its synonym where
-    they differ; then all pairs of neighbours in that list, joined by `_`."""
+    they differ."""
     known = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}_]+"), lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOPWORDS))
-    each = F.transform(words, lambda w: F.array_compact(F.array(w, F.when(stem(w) != w, stem(w)), F.when(w.isin(list(SYNONYMS)), F.try_element_at(known, w)))))
+    plain = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}_]+"), lambda w: (F.octet_length(w) >= 2) & ~w.isin(STOPWORDS))
+    return F.flatten(F.transform(plain, lambda w: let(stem(w), lambda s: F.array_compact(F.array(w, F.when(s != w, s), F.when(w.isin(list(SYNONYMS)), F.try_element_at(known, w)))))))
+
 
-    def with_pairs(e):
-        pairs = F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
-        return F.concat(e, pairs)
+def with_pairs(e: Column) -> Column:
+    """A list of words, then all pairs of neighbours in it, joined by `_`."""
+    pairs = F.zip_with(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), F.slice(e, F.lit(2), F.greatest(F.size(e) - 1, F.lit(0))), lambda a, b: F.concat_ws("_", a, b))
+    return F.concat(e, pairs)
 
-    return let(F.flatten(each), with_pairs)
+
+def tokens(text: Column) -> Column:
+    """The words of a text with their stems and synonyms, and the pairs of neighbours."""
+    return let(words(text), with_pairs)
 
 
 def document_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,9 +65,13 @@ def semantic_index(s, d) -> tuple[ImpactIndex, VersionedTable]:
     folder = _kept(s, d, "impacts")
     index, vocab = ImpactIndex(s, folder), VersionedTable(s, f"{folder}/vocabulary")
     if not index.current.manifest():
-        tokenised = cut_lineage(_tokens(s, d))
-        vocab.replace(ops.vocabulary(tokenised, _docs(s, d).count()))
+        # Words are written once; pairs of them cost more to keep than to make again.
+        said = _docs(s, d).select("doc_id", ops.words(F.col("text")).alias("words"))
+        said.write.mode("overwrite").parquet(f"{folder}/words")
+        tokenised = s.read.schema(said.schema).parquet(f"{folder}/words").select("doc_id", ops.with_pairs(F.col("words")).alias("tokens"))
+        vocab.replace(ops.vocabulary(tokenised, tokenised.count()))
         index.build(ops.tfidf(tokenised, vocab.read()), _docs(s, d).select("doc_id", F.col("lang").alias("kind")))
+        vocab.files.remove(f"{folder}/words")
     return index, vocab
 
 
