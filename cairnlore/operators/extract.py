@@ -1,32 +1,70 @@
-"""Structure of source files by line patterns, in built-in functions.
+"""Structure of source files.
 
-Rows of path, language, content become rows of what is declared in them. Patterns are tables of (kind, expression with
-the name as its first group) for each language; a member belongs to the nearest type above it that is indented less.
+Rows of path, language, content become rows of what is declared in them. Declarations are read from statements (see
+`lexer`), so that strings, comments and breaks within brackets don't count: patterns are tables of (kind, expression
+with the name as its first group) for each language, and a member belongs to the type whose block it stands in. Routes,
+topics, settings and model fields go by line patterns in built-in functions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
+from cairnlore.operators.lexer import SCRIPT, each_file, statements
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_VIS = r"(?:(?:public|private|protected|internal|static|final|abstract|override|open|sealed|virtual|async|export|default|inline|suspend|data|case|partial|readonly|unsafe|pub(?:\([a-z]+\))?)\s+)*"
-#: language: (kind, pattern). Only types can contain members.
-PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "typescript": [("class", rf"^\s*{_VIS}class\s+(\w+)"), ("interface", rf"^\s*{_VIS}interface\s+(\w+)"), ("enum", rf"^\s*{_VIS}(?:const\s+)?enum\s+(\w+)"), ("type", rf"^\s*{_VIS}type\s+(\w+)[^=]*="), ("function", rf"^\s*{_VIS}function\s*\*?\s*(\w+)"), ("function", rf"^\s*{_VIS}(?:const|let)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), ("method", rf"^\s+{_VIS}(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::[^{{]+)?\{{")],
-    "go": [("struct", r"^type\s+(\w+)\s+struct\b"), ("interface", r"^type\s+(\w+)\s+interface\b"), ("type", r"^type\s+(\w+)\s+(?!struct\b|interface\b)\S"), ("function", r"^func\s+(\w+)\s*[\[(]"), ("method", r"^func\s+\([^)]*\)\s+(\w+)\s*\("), ("constant", r"^const\s+(\w+)")],
-    "python": [("class", r"^\s*class\s+(\w+)"), ("method", r"^\s+(?:async\s+)?def\s+(\w+)"), ("function", r"^(?:async\s+)?def\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=")],
-    "rust": [("struct", rf"^\s*{_VIS}struct\s+(\w+)"), ("enum", rf"^\s*{_VIS}enum\s+(\w+)"), ("interface", rf"^\s*{_VIS}trait\s+(\w+)"), ("class", r"^impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(\w+)"), ("method", rf"^\s+{_VIS}fn\s+(\w+)"), ("function", rf"^{_VIS}(?:async\s+)?fn\s+(\w+)"), ("constant", rf"^{_VIS}const\s+(\w+)")],
-    "java": [("class", rf"^\s*{_VIS}(?:class|record)\s+(\w+)"), ("interface", rf"^\s*{_VIS}interface\s+(\w+)"), ("enum", rf"^\s*{_VIS}enum\s+(\w+)"), ("method", rf"^\s+{_VIS}(?!return\b|new\b|else\b|throw\b)(?:[\w<>\[\], .?]+\s+)?(\w+)\s*\([^;]*\)\s*(?:throws [\w, ]+)?\{{")],
-    "kotlin": [("class", rf"^\s*{_VIS}(?:class|object)\s+(\w+)"), ("interface", rf"^\s*{_VIS}interface\s+(\w+)"), ("method", rf"^\s+{_VIS}fun\s+(?:<[^>]*>\s*)?(\w+)"), ("function", rf"^{_VIS}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)")],
-    "ruby": [("class", r"^\s*class\s+([\w:]+)"), ("module", r"^\s*module\s+([\w:]+)"), ("method", r"^\s+def\s+(?:self\.)?(\w+[?!]?)"), ("function", r"^def\s+(\w+[?!]?)")],
-    "php": [("class", rf"^\s*{_VIS}class\s+(\w+)"), ("interface", r"^\s*interface\s+(\w+)"), ("method", rf"^\s+{_VIS}function\s+(\w+)"), ("function", r"^function\s+(\w+)")],
-    "cpp": [("class", r"^\s*class\s+(\w+)[^;]*$"), ("struct", r"^\s*struct\s+(\w+)[^;]*$"), ("enum", r"^\s*enum\s+(?:class\s+)?(\w+)"), ("method", r"^\s+(?!return\b|else\b)[\w:<>*&, ]+\s+\*?(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{"), ("function", r"^(?!return\b|else\b)[\w:<>*&, ]+\s+\*?(\w+)\s*\([^;]*\)\s*\{")],
-    "swift": [("class", rf"^\s*{_VIS}class\s+(\w+)"), ("struct", rf"^\s*{_VIS}struct\s+(\w+)"), ("interface", rf"^\s*{_VIS}protocol\s+(\w+)"), ("enum", rf"^\s*{_VIS}enum\s+(\w+)"), ("method", rf"^\s+{_VIS}func\s+(\w+)"), ("function", rf"^{_VIS}func\s+(\w+)")],
-    "scala": [("class", rf"^\s*{_VIS}class\s+(\w+)"), ("object", rf"^\s*{_VIS}object\s+(\w+)"), ("interface", rf"^\s*{_VIS}trait\s+(\w+)"), ("method", rf"^\s+{_VIS}def\s+(\w+)"), ("function", rf"^{_VIS}def\s+(\w+)")],
+_VIS = r"(?:(?:public|private|protected|internal|fileprivate|static|final|abstract|override|open|sealed|virtual|async|export|default|declare|inline|suspend|data|case|partial|readonly|unsafe|const|constexpr|explicit|synchronized|volatile|transient|native|required|convenience|mutating|lateinit|operator|implicit|lazy|weak|pub(?:\([a-z]+\))?)\s+)*"
+#: What may stand before a declaration: annotations, attributes, template heads, access labels; then modifiers.
+_H = r"^(?:@(?!interface\b)[\w.]+(?:\((?:[^()]|\([^()]*\))*\))?\s+|\#?\[[^\]]*\]\s*|template\s*<[^{}]*?>\s*(?=class|struct|\w+[\w:<>*& ]*\()|(?:public|private|protected)\s*:\s*)*" + _VIS
+_TYPED = r"(?!(?:return|new|else|throw|using|typedef|package|import|goto|delete)\b)[\w:.<>\[\],?*& \\]*[\w>\]?*&]"
+#: language: (kind, pattern) of types, of what stands directly in them, and of what stands at the top or in a namespace.
+TYPES: dict[str, list[tuple[str, str]]] = {
+    "typescript": [("class", rf"{_H}class\s+(\w+)"), ("interface", rf"{_H}interface\s+(\w+)"), ("enum", rf"{_H}enum\s+(\w+)"), ("type", rf"{_H}type\s+(\w+)[^=]*="), ("namespace", rf"{_H}(?:namespace|module)\s+([\w.]+)\s*\{{")],
+    "go": [("struct", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\b"), ("type", r"^type\s+(\w+)\s+\S")],
+    "python": [("class", r"^class\s+(\w+)")],
+    "rust": [("struct", rf"{_H}struct\s+(\w+)"), ("enum", rf"{_H}enum\s+(\w+)"), ("interface", rf"{_H}trait\s+(\w+)"), ("class", rf"{_H}impl(?:\s*<[^>]*>)?\s+(?:[\w:<>', ]+\s+for\s+)?&?(\w+)"), ("type", rf"{_H}type\s+(\w+)[^=]*="), ("namespace", rf"{_H}mod\s+(\w+)\s*\{{")],
+    "java": [("class", rf"{_H}(?:class|record)\s+(\w+)"), ("interface", rf"{_H}@?interface\s+(\w+)"), ("enum", rf"{_H}enum\s+(\w+)")],
+    "kotlin": [("class", rf"{_H}(?:enum\s+|annotation\s+|inner\s+|companion\s+)*(?:class|object)\s+(\w+)"), ("interface", rf"{_H}(?:fun\s+)?interface\s+(\w+)")],
+    "ruby": [("class", r"^class\s+([\w:]+)"), ("module", r"^module\s+([\w:]+)")],
+    "php": [("class", rf"{_H}class\s+(\w+)"), ("interface", r"^interface\s+(\w+)"), ("class", r"^trait\s+(\w+)"), ("enum", r"^enum\s+(\w+)"), ("namespace", r"^namespace\s+([\w\\]+)\s*\{")],
+    "cpp": [("class", rf"{_H}class\s+(\w+)[^;]*$"), ("struct", rf"{_H}(?:typedef\s+)?struct\s+(\w+)[^;()]*$"), ("enum", rf"{_H}enum\s+(?:class\s+|struct\s+)?(\w+)"), ("namespace", r"^(?:inline\s+)?(?:namespace\s*([\w:]*)|extern\s+\"[^\"]*\")\s*\{")],
+    "swift": [("class", rf"{_H}(?:class|actor)\s+(?!func\b|var\b)(\w+)"), ("struct", rf"{_H}struct\s+(\w+)"), ("interface", rf"{_H}protocol\s+(\w+)"), ("enum", rf"{_H}(?:indirect\s+)?enum\s+(\w+)"), ("class", rf"{_H}extension\s+(\w+)")],
+    "scala": [("class", rf"{_H}class\s+(\w+)"), ("object", rf"{_H}object\s+(\w+)"), ("interface", rf"{_H}trait\s+(\w+)")],
+}
+MEMBERS: dict[str, list[tuple[str, str]]] = {
+    "typescript": [("constructor", rf"{_H}(constructor)\s*\("), ("method", rf"{_H}(?:get\s+|set\s+)?\*?(#?[\w$]+)\??\s*(?:<[^()]*>)?\s*\("), ("property", rf"{_H}(?:accessor\s+)?(#?[\w$]+)[?!]?\s*(?:[:=;]|$)")],
+    "python": [("constructor", r"^def\s+(__init__)\b"), ("method", r"^(?:async\s+)?def\s+(\w+)")],
+    "rust": [("method", rf"{_H}(?:extern\s+\S+\s+)?fn\s+(\w+)")],
+    "java": [("constructor", rf"{_H}(?:<[^()]*>\s*)?([A-Z]\w*)\s*\("), ("method", rf"{_H}{_TYPED}\s+(\w+)\s*\("), ("property", rf"{_H}{_TYPED}\s+(\w+)\s*(?:[;=,{{]|$)")],
+    "kotlin": [("constructor", rf"{_H}(constructor)\s*\("), ("method", rf"{_H}fun\s+(?:<[^>]*>\s*)?(\w+)"), ("property", rf"{_H}va[lr]\s+(\w+)")],
+    "ruby": [("constructor", r"^def\s+(initialize)\b"), ("method", r"^def\s+(?:self\.)?(\w+[?!=]?)"), ("property", r"^attr_\w+\s+:(\w+)")],
+    "php": [("constructor", rf"{_H}function\s+(__construct)\b"), ("method", rf"{_H}function\s+&?(\w+)"), ("property", rf"{_H}(?:var\s+)?(?:[?\w\\|]+\s+)?\$(\w+)")],
+    "cpp": [("constructor", rf"{_H}(~?[A-Z]\w*)\s*\("), ("method", rf"{_H}{_TYPED}[\s*&]+(\w+)\s*\("), ("property", rf"{_H}{_TYPED}[\s*&]+(\w+)\s*(?:\[[^\]]*\]\s*)*[;={{]")],
+    "swift": [("constructor", rf"{_H}(init)[?!]?\s*[(<]"), ("method", rf"{_H}(?:class\s+)?func\s+(\w+)"), ("property", rf"{_H}(?:class\s+)?(?:let|var)\s+(\w+)")],
+    "scala": [("method", rf"{_H}def\s+(\w+)"), ("property", rf"{_H}va[lr]\s+(\w+)")],
+}
+FREE: dict[str, list[tuple[str, str]]] = {
+    "typescript": [("function", rf"{_H}function\s*\*?\s*(\w+)"), ("function", rf"{_H}(?:const\s+|let\s+|var\s+)?(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\(.*\)|\w+)\s*(?::[^=]+)?=>")],
+    "go": [("function", r"^func\s+(\w+)\s*[\[(]"), ("method", r"^func\s+\([^)]*\)\s+(\w+)\s*\("), ("constant", r"^const\s+(\w+)")],
+    "python": [("function", r"^(?:async\s+)?def\s+(\w+)"), ("constant", r"^([A-Z][A-Z0-9_]+)\s*(?::[^=]+)?=(?!=)")],
+    "rust": [("function", rf"{_H}(?:extern\s+\S+\s+)?fn\s+(\w+)"), ("constant", rf"{_H}(?:static\s+)?(\w+)\s*:[^=]+=")],
+    "kotlin": [("function", rf"{_H}fun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?(\w+)")],
+    "ruby": [("function", r"^def\s+(\w+[?!]?)")],
+    "php": [("function", r"^function\s+&?(\w+)")],
+    "cpp": [("method", rf"{_H}{_TYPED}[\s*&]+\w+::(~?\w+)\s*\(.*\{{$"), ("method", r"^\w+::(~?\w+)\s*\(.*\{$"), ("function", rf"{_H}{_TYPED}[\s*&]+(\w+)\s*\(.*\{{$")],
+    "swift": [("function", rf"{_H}func\s+(\w+)")],
+    "scala": [("function", rf"{_H}def\s+(\w+)")],
 }
-PATTERNS |= {"javascript": PATTERNS["typescript"], "csharp": PATTERNS["java"] + [("struct", rf"^\s*{_VIS}struct\s+(\w+)")], "c": PATTERNS["cpp"]}
+#: Languages that are read by another one's patterns, and what C# has besides.
+_STRUCT, _NAMESPACE = ("struct", rf"{_H}(?:record\s+)?struct\s+(\w+)"), ("namespace", r"^namespace\s+([\w.]+)\s*\{")
+for patterns in (TYPES, MEMBERS, FREE):
+    patterns["javascript"], patterns["c"] = patterns["typescript"], patterns["cpp"]
+TYPES["csharp"], MEMBERS["csharp"] = [_STRUCT, _NAMESPACE, *TYPES["java"]], MEMBERS["java"]
+#: Types whose methods stand outside of them: where the type's name is.
+RECEIVERS = {"go": r"^func\s+\(\s*\w*\s*\*?(\w+)", "cpp": r"(\w+)::~?\w+\s*\(", "c": r"(\w+)::~?\w+\s*\("}
 HOLDERS = ["class", "interface", "enum", "struct", "object", "module"]
 
 
@@ -34,31 +72,39 @@ def source_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "language", F.posexplode(F.split("content", "\n")).alias("line", "text")).withColumn("line", (F.col("line") + 1).cast("bigint"))
 
 
+def _first(patterns: list[tuple[str, re.Pattern]], code: str) -> tuple[str, str]:
+    """Kind and name by the first pattern that code meets."""
+    for kind, pattern in patterns:
+        if m := pattern.match(code):
+            return kind, m.group(1) or ""
+    return "", ""
+
+
 def skeleton(files: DataFrame) -> DataFrame:
-    """path, language, line, kind, name, container, signature: first matching pattern of each line."""
-    hit = F.lit(None).cast("struct<kind:string,name:string>")
-    for lang, patterns in PATTERNS.items():
-        for kind, pattern in reversed(patterns):
-            hit = F.when((F.col("language") == lang) & F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", pattern, 1).alias("name"))).otherwise(hit)
-    found = source_lines(files).withColumn("h", hit).filter("h IS NOT NULL").select("path", "language", "line", "text", "h.kind", "h.name", F.length(F.regexp_extract("text", r"^(\s*)", 1)).alias("indent"))
-    receiver = F.when((F.col("language") == "go") & (F.col("kind") == "method"), F.regexp_extract("text", r"^func\s+\(\s*\w*\s*\*?(\w+)", 1))
-    signature = F.trim(F.regexp_replace("text", r"\s*\{\s*$", ""))
-    rows = found.select("path", "language", "line", "kind", "name", receiver.alias("container"), signature.alias("signature"), "indent")
-    return rows.groupBy("path").applyInPandas(_contained, "path string, language string, line bigint, kind string, name string, container string, signature string")
-
-
-def _contained(declarations: pd.DataFrame) -> pd.DataFrame:
-    """One file's declarations with the nearest type above that is indented less as their container: a stack of the open
-    types, so that a file costs as much as it has lines."""
-    rows, stack, containers = declarations.sort_values("line"), [], []
-    for indent, kind, name in zip(rows["indent"], rows["kind"], rows["name"]):
-        while stack and stack[-1][0] >= indent:
-            stack.pop()
-        containers.append(stack[-1][1] if stack else "")
-        if kind in HOLDERS:
-            stack.append((indent, name))
-    rows = rows.assign(container=rows["container"].where(rows["container"].notna(), pd.Series(containers, index=rows.index)))
-    return rows.drop(columns="indent")
+    """path, language, line, kind, name, container, signature, end_line (of the block, if it opens one): types wherever
+    they stand, members directly in a type, functions and constants at the top or in a namespace. Functions within
+    functions are left out. Members of TypeScript interfaces are in `ts_types`. One pass over the files, no shuffle."""
+
+    def rows_of(language: str, rows: list[list]) -> Iterator[tuple]:
+        of = lambda patterns: [(kind, re.compile(p)) for kind, p in patterns.get(language, [])]
+        types, members, free = of(TYPES), of(MEMBERS), of(FREE)
+        heads = []
+        for line, end, block, code, text, owner, _ in rows:
+            heads.append(_first(types, code))
+            kind, name = heads[-1]
+            held, holder = ("", "") if owner is None else heads[owner]
+            if not kind and (owner is None or held == "namespace"):
+                kind, name = _first(free, code)
+            elif not kind and held in HOLDERS and not (held == "interface" and language in SCRIPT):
+                kind, name = _first(members, code)
+                kind = "" if kind == "property" and held in ("enum", "interface") else kind
+            if kind in ("", "namespace"):
+                continue
+            outside = re.search(RECEIVERS[language], code) if language in RECEIVERS and kind == "method" and held not in HOLDERS else None
+            signature = re.sub(r"\s*[{;]\s*$", "", re.sub(r"\s+", " ", text)).strip()
+            yield line, kind, name, outside.group(1) if outside else holder if held in HOLDERS else "", signature, max(block, end)
+
+    return each_file(files, rows_of, "path string, language string, line bigint, kind string, name string, container string, signature string, end_line bigint")
 
 
 def skeleton_savings(original: Column, skeleton_size: Column) -> Column:
@@ -146,11 +192,27 @@ def schema_fields(files: DataFrame) -> DataFrame:
 
 
 def ts_types(files: DataFrame) -> DataFrame:
-    """path, name, kind, members of TypeScript interfaces, types with a body and enums (bodies without inner braces)."""
-    found = F.regexp_extract_all("content", F.lit(r"(?:^|\n)\s*(?:export\s+)?((?:interface|type|(?:const\s+)?enum)\s+\w+[^{;\n]*\{[^{}]*\})"), F.lit(1))
-    each = files.filter(F.col("language") == "typescript").select("path", F.explode(found).alias("t"))
-    members = F.filter(F.transform(F.split(F.regexp_extract("t", r"(?s)\{(.*)\}", 1), r"[;,\n]"), lambda m: F.regexp_extract(F.trim(m), r"^(?:readonly\s+)?(\w+)", 1)), lambda m: m != "")
-    return each.select("path", F.regexp_extract("t", r"(?:interface|type|enum)\s+(\w+)", 1).alias("name"), F.regexp_extract("t", r"(interface|type|enum)\s", 1).alias("kind"), members.alias("members"))
+    """path, name, kind, members, fields of TypeScript interfaces, types with a body and enums, by place: names of the
+    members, and name, optional, type (of an enum: value) of each. A type within a type is text of its field; index
+    signatures have no name and are left out."""
+    kinds = [p for p in TYPES["typescript"] if p[0] in ("interface", "type", "enum")]
+
+    def kind_of(code: Column) -> Column:
+        out = F.lit(None).cast("struct<kind:string,name:string>")
+        for kind, pattern in reversed(kinds):
+            out = F.when(code.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(code, pattern, 1).alias("name"))).otherwise(out)
+        return out
+
+    s = statements(files.filter(F.col("language").isin(*SCRIPT))).withColumns({"a": kind_of(F.col("code")), "o": kind_of(F.col("owner"))})
+    bare = F.regexp_replace(F.regexp_replace("text", r"\s+", " "), r"[;, ]+$", "")
+    pattern = r"^(?:readonly )?(?:[-+]readonly )?['\"]?([\w$]+)['\"]?(\??) ?(.*)$"
+    rest = F.regexp_extract(bare, pattern, 3)
+    field = F.struct("seq", F.regexp_extract(bare, pattern, 1).alias("name"), (F.regexp_extract(bare, pattern, 2) == "?").alias("optional"), F.trim(F.regexp_replace(rest, "^[:=] ?", "")).alias("type"))
+    heads = s.filter(F.col("a").isNotNull() & F.col("code").endswith("{")).select("path", F.col("seq").alias("at"), "a.*", F.lit(None).cast("struct<seq:bigint,name:string,optional:boolean,type:string>").alias("f"))
+    inside = s.filter(F.col("o").isNotNull()).select("path", F.col("owner_seq").alias("at"), "o.*", field.alias("f")).filter("f.name != ''")
+    by = heads.unionByName(inside).groupBy("path", "at", "kind", "name").agg(F.array_sort(F.collect_list("f")).alias("f"))
+    fields = F.transform("f", lambda x: F.struct(x["name"].alias("name"), x["optional"].alias("optional"), x["type"].alias("type")))
+    return by.select("path", "name", "kind", F.col("f.name").alias("members"), fields.alias("fields"))
 
 
 def parameters(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cairnlore.functions.columns import basename, dirname, token_estimate
 from cairnlore.operators import extract
-from cairnlore.operators.composite import block_ends, file_summary, union_all
+from cairnlore.operators.composite import file_summary, union_all
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +19,10 @@ MONOREPO = {"nx.json": "nx", "turbo.json": "turborepo", "lerna.json": "lerna", "
 def semantic_chunks(files: DataFrame) -> DataFrame:
     """path, kind, name, start, end, content: the block of each function, method and class, up to its most lines."""
     found = extract.skeleton(files).filter(F.col("kind").isin(list(CHUNK_LINES)))
-    ends = union_all([block_ends(files, found.filter(F.col("kind") == kind).select("path", "line"), most) for kind, most in CHUNK_LINES.items()])
-    placed = found.join(ends.withColumnRenamed("start", "line"), ["path", "line"]).join(files.select("path", F.split("content", "\n").alias("ls")), "path")
+    most = F.lit(0)
+    for kind, n in CHUNK_LINES.items():
+        most = F.when(F.col("kind") == kind, n).otherwise(most)
+    placed = found.withColumn("end", F.least("end_line", F.col("line") + most - 1)).join(files.select("path", F.split("content", "\n").alias("ls")), "path")
     content = F.array_join(F.slice("ls", F.col("line").cast("int"), (F.col("end") - F.col("line") + 1).cast("int")), "\n")
     return placed.select("path", "kind", "name", F.col("line").alias("start"), "end", content.alias("content")).distinct()
 
