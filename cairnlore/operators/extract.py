@@ -250,3 +250,11 @@ def script_variables(pages: DataFrame, key: str = "page_id", html: str = "html")
     bodies = F.array_join(F.regexp_extract_all(F.col(html), F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1)), "\n")
     names = F.regexp_extract_all(bodies, F.lit(r"\b(?:var|let|const)\s+(\w+)\s*="), F.lit(1))
     return pages.select(F.col(key), F.explode(names).alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))
+
+
+def script_statements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, text, n: statements of a page's scripts, without comments."""
+    bodies = F.regexp_extract_all(F.col(html), F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
+    scripts = pages.select(F.col(key).cast("string").alias("path"), F.lit("javascript").alias("language"), F.explode(bodies).alias("content"))
+    kind = pages.schema[key].dataType
+    return statements(scripts).groupBy(F.col("path").cast(kind).alias(key), "text").agg(F.count("*").alias("n"))

@@ -237,6 +237,7 @@ QUERIES = {
     "page_links": lambda s, d: extract.page_links(_pages(s, d)),
     "page_outline": lambda s, d: extract.page_outline(_pages(s, d)).select("page_id", "tag", F.md5("content").alias("digest")).groupBy("page_id", "tag", "digest").agg(F.count("*").alias("n")),
     "script_variables": lambda s, d: extract.script_variables(_pages(s, d)),
+    "script_statements": lambda s, d: extract.script_statements(_pages(s, d)),
     "event_properties": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("total"), F.count("*").alias("n")),
     "documents_within_characters": lambda s, d: ops.within_characters(_docs(s, d).filter("text IS NOT NULL").select("doc_id", "text"), "text", [F.col("doc_id")], 50_000).select("doc_id"),
 }
@@ -385,6 +386,9 @@ SQL = {
     "page_outline": "WITH " + ", ".join(f"{t} AS (SELECT page_id, '{t}' AS tag, unnest(regexp_extract_all(html, '<{t}(?:\\s[^>]*)?>([^<]*)</{t}>', 1)) AS content FROM pages)" for t in ("title", "h1", "h2", "h3")) + " SELECT page_id, tag, md5(trim(content)) AS digest, count(*) AS n FROM (SELECT * FROM title UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) GROUP BY 1, 2, 3",
     "script_variables": """WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages)
       SELECT page_id, regexp_extract(v, '^(?:var|let|const)\\s+(\\w+)', 1) AS name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(body, '\\b(?:var|let|const)\\s+\\w+\\s*=')) AS v FROM s) GROUP BY 1, 2""",
+    "script_statements": """WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages),
+      t AS (SELECT page_id, unnest(regexp_extract_all(body, '(?:"[^"]*"|[^";])+;?')) AS text FROM s)
+      SELECT page_id, trim(text) AS text, count(*) AS n FROM t WHERE trim(text) <> '' GROUP BY 1, 2""",
     "event_properties": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1",
     "documents_within_characters": "SELECT doc_id FROM (SELECT doc_id, sum(length(text)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents WHERE text IS NOT NULL) WHERE used <= 50000",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from cairnlore.operators import graph as ops
 from cairnlore.operators.project import ranked_trace
 from cairnlore.sources.tables import EDGES_SQL, edges, table
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,16 @@ def _records(s, d):
     return orders.join(lines, orders.id == lines.l_orderkey).drop("l_orderkey")
 
 
+def _earlier(s, d):
+    """Each order's parent is the order of its customer before it."""
+    before = F.lag("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return table(s, d, "orders").filter("o_custkey IS NOT NULL").select(F.col("o_orderkey").alias("id"), before.alias("parent"))
+
+
+def _nations(s, d):
+    return table(s, d, "nation").select(F.lit("nation").alias("type"), F.col("n_nationkey").cast("string").alias("id"))
+
+
 QUERIES = {
     "edges_of": lambda s, d: ops.edges_of(edges(s, d), "part", "7"),
     "bfs_related": lambda s, d: ops.bfs(edges(s, d), "supplier", "3", 2),
@@ -33,6 +44,11 @@ QUERIES = {
     "flow_trace": lambda s, d: ops.flow_trace(edges(s, d), "order", "1", 5),
     "ranked_trace": lambda s, d: ranked_trace(ops.flow_trace(edges(s, d), "order", "1", 4), ["nation", "supplier:1"]),
     "ancestors": lambda s, d: ops.ancestors(_parents(s, d)),
+    "all_ancestors": lambda s, d: ops.all_ancestors(_earlier(s, d)),
+    "related_ids": lambda s, d: ops.related_ids(edges(s, d), "order", "1", 2),
+    "trace_backward": lambda s, d: ops.flow_trace(ops.reversed_edges(edges(s, d)), "supplier", "3", 3),
+    "trace_relation": lambda s, d: ops.flow_trace(edges(s, d), "order", "1", 5, ["belongs_to"]),
+    "reached_backward": lambda s, d: ops.reached(ops.reversed_edges(edges(s, d)), _nations(s, d), 2),
     "edge_derivation": lambda s, d: ops.derive_edges(_records(s, d), "decision"),
 }
 
@@ -65,6 +81,19 @@ SQL = {
         UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation),
       up AS (SELECT id, parent AS ancestor, 1 AS depth FROM parents UNION ALL SELECT u.id, p.parent, u.depth + 1 FROM up u JOIN parents p ON p.id = u.ancestor WHERE u.depth < 5)
       SELECT id, ancestor, CAST(depth AS BIGINT) AS depth FROM up""",
+    "all_ancestors": """WITH o AS (SELECT o_orderkey AS id, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey IS NOT NULL)
+      SELECT a.id, b.id AS ancestor, a.n - b.n AS depth FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.n < a.n""",
+    "related_ids": f"""WITH RECURSIVE {EDGES_SQL}, {_STEPS}, {_reach('order', '1', 2)}, found AS (SELECT DISTINCT {_EDGE} FROM steps JOIN (SELECT DISTINCT t, i FROM reach) USING (t, i)),
+      ends AS (SELECT from_type AS node_type, from_id AS id FROM found UNION SELECT to_type, to_id FROM found) SELECT node_type, id FROM ends WHERE NOT (node_type = 'order' AND id = '1')""",
+    "trace_backward": f"""WITH RECURSIVE {EDGES_SQL}, reach AS (SELECT 'supplier' AS t, '3' AS i, 0 AS d
+        UNION SELECT e.from_type, e.from_id, r.d + 1 FROM reach r JOIN edges e ON e.to_type = r.t AND e.to_id = r.i WHERE r.d < 3)
+      SELECT t || ':' || i AS node, CAST(min(d) AS BIGINT) AS depth FROM reach GROUP BY 1 HAVING min(d) > 0""",
+    "trace_relation": f"""WITH RECURSIVE {EDGES_SQL}, reach AS (SELECT 'order' AS t, '1' AS i, 0 AS d
+        UNION SELECT e.to_type, e.to_id, r.d + 1 FROM reach r JOIN edges e ON e.from_type = r.t AND e.from_id = r.i WHERE r.d < 5 AND e.relation = 'belongs_to')
+      SELECT t || ':' || i AS node, CAST(min(d) AS BIGINT) AS depth FROM reach GROUP BY 1 HAVING min(d) > 0""",
+    "reached_backward": f"""WITH RECURSIVE {EDGES_SQL}, reach AS (SELECT 'nation' AS s, CAST(n_nationkey AS VARCHAR) AS k, 'nation' AS t, CAST(n_nationkey AS VARCHAR) AS i, 0 AS d FROM nation
+        UNION SELECT r.s, r.k, e.from_type, e.from_id, r.d + 1 FROM reach r JOIN edges e ON e.to_type = r.t AND e.to_id = r.i WHERE r.d < 2)
+      SELECT s AS source_type, k AS source_id, t AS node_type, i AS node_id, CAST(min(d) AS BIGINT) AS depth FROM reach GROUP BY 1, 2, 3, 4 HAVING min(d) > 0""",
     "edge_derivation": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
       SELECT DISTINCT 'decision' AS from_type, CAST(l_orderkey AS VARCHAR) AS from_id, 'file' AS to_type, CAST(l_partkey AS VARCHAR) AS to_id, 'affects' AS relation FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
       UNION ALL SELECT 'decision', id, 'decision', CAST(o_custkey AS VARCHAR), 'related_to' FROM o
