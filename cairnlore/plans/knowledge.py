@@ -6,7 +6,7 @@ from cairnlore.functions.columns import age_label, contains_any, token_estimate
 from cairnlore.functions.words import COMMON, PROHIBITIONS
 from cairnlore.operators import knowledge as ops
 from cairnlore.sources.tables import EVENTS_AS_OF, table
-from cairnlore.streaming import sessions
+from cairnlore.streaming import sessions, tracker
 from pyspark.sql import functions as F
 
 QUERY, BUDGET = "license trash", 20_000
@@ -41,9 +41,12 @@ def _paths(s, d):
     return table(s, d, "pages").select(F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"))
 
 
+def _tool():
+    return F.when(F.col("event_type") == "purchase", "add_decision").when(F.col("event_type") == "signup", "start_feature").otherwise(F.col("event_type"))
+
+
 def _calls(s, d):
-    tool = F.when(F.col("event_type") == "purchase", "add_decision").when(F.col("event_type") == "signup", "start_feature").otherwise(F.col("event_type"))
-    return _events(s, d).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), tool.alias("tool"))
+    return _events(s, d).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), _tool().alias("tool"))
 
 
 def _config(s, d):
@@ -52,6 +55,12 @@ def _config(s, d):
     return ops.latest(found, ["name"], [F.col("doc_id"), F.col("line")])
 
 
+def _tracked_calls(s, d):
+    """The calls with their time, a file named by the event's property, the event's type as feature, its id as result."""
+    args = F.to_json(F.struct(F.concat(F.lit("k/"), F.get_json_object("props", "$.k")).alias("path"), F.col("event_type").alias("feature")))
+    return _events(s, d).select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), "ts", _tool().alias("tool"), args.alias("args"), F.col("event_id").cast("string").alias("result_id"))
+
+
 QUERIES = {
     "dedup_latest": lambda s, d: ops.latest(_events(s, d), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type"),
     "not_indexed_anti": lambda s, d: ops.missing(_docs(s, d).select("doc_id", "source"), _labels(s, d), "doc_id"),
@@ -75,6 +84,7 @@ QUERIES = {
     "age_labels": lambda s, d: _events(s, d).groupBy(age_label(F.col("ts"), F.to_timestamp(F.lit(EVENTS_AS_OF))).alias("age")).agg(F.count("*").alias("n")),
     "session_checkpoints": lambda s, d: sessions.captures(_calls(s, d)),
     "session_ends": lambda s, d: sessions.ends(_calls(s, d)),
+    "session_tracks": lambda s, d: tracker.tracked(_tracked_calls(s, d)),
     "session_summary": lambda s, d: sessions.session_summary(_calls(s, d)),
     "activity_windows": lambda s, d: sessions.activity_windows(_events(s, d)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n"),
     "gap_sessions": lambda s, d: sessions.gap_sessions(_events(s, d)),
@@ -144,6 +154,13 @@ SQL = {
           SELECT c.session, c.k, c.seq, c.tool, r.n + 1 AS calls, CASE WHEN c.tool = 'start_feature' AND r.n + 1 >= 3 THEN 'lifecycle' WHEN c.tool = 'add_decision' AND r.n + 1 >= 5 THEN 'knowledge_created' WHEN r.n + 1 >= 25 THEN 'checkpoint' END AS reason
           FROM run r JOIN calls c ON c.session = r.session AND c.k = r.k + 1))
       SELECT session, seq, tool, 'end' AS reason, n AS calls FROM (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY session ORDER BY k DESC) = 1) WHERE n >= 5""",
+    "session_tracks": f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS session, ts, event_id AS seq, {_TOOL} AS tool, 'k/' || json_extract_string(props, '$.k') AS file, event_type AS feature FROM events),
+      h AS (SELECT session, min(ts) AS began, max(ts) AS ended, count(*) AS n, arg_max(feature, (ts, seq)) AS feature FROM c GROUP BY 1),
+      p AS (SELECT session, 'tool' AS kind, seq AS pos, tool AS value FROM c QUALIFY row_number() OVER (PARTITION BY session ORDER BY ts, seq) <= 50
+        UNION ALL SELECT DISTINCT session, 'file', 0, file FROM c WHERE file IS NOT NULL
+        UNION ALL SELECT session, 'made', seq, tool || ':' || seq FROM c WHERE tool IN ('add_decision', 'start_feature', 'add_warning', 'archive_feature', 'add_insight', 'add_pattern')
+        UNION ALL SELECT session, 'session', n, feature FROM h)
+      SELECT session, began, ended, kind, CAST(pos AS BIGINT) AS pos, value FROM p JOIN h USING (session)""",
     "session_summary": f"""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS session, {_TOOL} AS tool, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT session, sum(n)::BIGINT AS calls, count(*) AS tools, first(tool ORDER BY n DESC, tool) AS most_used FROM c GROUP BY 1""",
     "activity_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
