@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from cairnlore.operators.lexer import SCRIPT, each_file, statements
+from cairnlore.operators.lexer import GROUPS, SCRIPT, each_file, statements
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,6 +90,9 @@ def skeleton(files: DataFrame) -> DataFrame:
         types, members, free = of(TYPES), of(MEMBERS), of(FREE)
         heads = []
         for line, end, block, code, text, owner, _ in rows:
+            group = "" if owner is None or language != "go" else rows[owner][3].removesuffix("(").strip()
+            if group in GROUPS:
+                code, owner = f"{group} {code}", None
             heads.append(_first(types, code))
             kind, name = heads[-1]
             held, holder = ("", "") if owner is None else heads[owner]

@@ -23,6 +23,8 @@ INDENTED = ("python", "ruby")
 #: Languages whose statements go on after a line break until `;`, `{` or `}`.
 FREE_FORM = ("java", "csharp", "cpp", "c", "php")
 SCRIPT = ("typescript", "javascript")
+#: Words before a group of Go's declarations.
+GROUPS = ("type", "const", "var")
 NESTED_COMMENTS = ("rust", "kotlin", "scala", "swift")
 _CONTINUES = re.compile(r"\s*(?:\{|(?:extends|implements|where|throws)\b|=>|[|&?:]|\.(?!\.))")
 #: Code so far that may be annotations alone.
@@ -96,6 +98,10 @@ class _Reader:
         inside = bool(self.stack) and not self.stack[-1][2]
         return self.last.endswith((")", "=>")) or (not inside and not self.last.endswith((":", ",", "?", "|", "&", "<")))
 
+    def opens_group(self) -> bool:
+        """Go's declarations in parentheses are a block."""
+        return self.language == "go" and "".join(self.code).strip() in GROUPS
+
     def template(self, pos: int) -> int:
         """A template string from pos to its end or to its next embedded expression."""
         stop = _TEMPLATE.match(self.content, pos).end()
@@ -144,11 +150,11 @@ class _Reader:
             self.broken(pos)
         elif t in ")}]":
             return self.close(t, pos)
-        elif t == "{" and self.opens_block():
+        elif (t == "{" and self.opens_block()) or (t == "(" and self.opens_group()):
             self.add(t, t, pos - 1)
-            listed = _LISTS.search("".join(self.code)) is not None
+            listed = t == "{" and _LISTS.search("".join(self.code)) is not None
             owner, number = self.owner(), self.end()
-            self.stack.append(("}", owner if number is None else number, True, number, listed))
+            self.stack.append(("}" if t == "{" else ")", owner if number is None else number, True, number, listed))
         else:
             self.add(t, t, pos - 1)
             if t in "({[":

@@ -150,6 +150,13 @@ def test_odd_files(spark):
     assert extract.skeleton(df.limit(0)).count() == extract.ts_types(df.limit(0)).count() == 0
 
 
+def test_groups_of_go(spark):
+    text = "package m\n\ntype (\n\tA struct {\n\t\tX int\n\t}\n\tB interface {\n\t\tDo(a int)\n\t}\n\tC = string\n)\n\nconst (\n\tK = iota // (\n\tL\n)\n\nvar (\n\tv = f(1)\n)\n\nfunc Last() {\n}\n"
+    df = spark.createDataFrame([("a.go", "go", text)], "path string, language string, content string")
+    got = [(r.kind, r.name, r.container, r.line, r.end_line) for r in extract.skeleton(df).collect()]
+    assert got == [("struct", "A", "", 4, 6), ("interface", "B", "", 7, 9), ("type", "C", "", 10, 10), ("constant", "K", "", 14, 14), ("constant", "L", "", 15, 15), ("function", "Last", "", 22, 23)]
+
+
 def test_any_text_is_read_in_order():
     """Random pieces never fail; statements come in order, lie in the file, and blocks hold what they own."""
     dice = random.Random(5)
