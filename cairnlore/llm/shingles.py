@@ -1,13 +1,16 @@
-"""Near-duplicates by Jaccard similarity of five-word shingles: MinHash bands propose links, exact sets confirm them.
+"""Near-duplicates by Jaccard similarity of five-word shingles: SimHash, compared by bits, proposes the close pairs,
+MinHash bands those beyond its radius; exact sets confirm all of them.
 
-Two texts are linked if their sets of shingles (64-bit hashes) have a similarity of 0.8 or more. Texts meet where all
-`ROWS` minima of one of `BANDS` bands agree; a pair of similarity s is missed with probability (1 - s^ROWS)^BANDS,
-5e-5 at 0.8, and never linked wrongly.
+Two texts are linked if their sets of shingles (64-bit hashes) have a similarity of 0.8 or more. Each set has a SimHash;
+those within `RADIUS` bits are found by simhash.links (pigeonhole buckets, bit planes, carry-save counters). At 0.8
+about ten bits differ, too many for blocks of bits to agree. So texts that these links leave apart also meet where all
+`ROWS` minima of one of `BANDS` bands agree; a pair of similarity s is missed there with probability
+(1 - s^ROWS)^BANDS, 5e-5 at 0.8, and never linked wrongly.
 
-Texts with equal sets are one node. Each bucket first links its members to its smallest one, in a join of as many pairs
-as members. Buckets whose members are still in different components go to tasks with their sets, in blocks: there the
-pairs that could join two components are compared, each in its first common bucket only, and a forest of the links
-found comes back. So no pairs are written for a group, and no pair that could join two components is left out.
+Texts with equal sets are one node. Each bucket of a band first links its members to its smallest one, unless this is
+the root of their component already, in a join of at most as many pairs as members. Buckets whose members are still in
+different components go to tasks with their sets, in blocks: there the pairs that could join two components are
+compared, each in its first common bucket only, and a forest of the links found comes back. So no pairs are written for a group, and no pair that could join two components is left out.
 
 Defined results: texts without words (null, empty, blank) form one component; texts shorter than a shingle are hashed
 whole; repeated rows and repeated ids each get their row; a component of null ids only has a null component id; an
@@ -25,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import simhash
+from . import phrases, simhash
 from .common import cut_lineage, mapped, meet, quoted
 
 WORDS, SEED = 5, 42
+#: Bits in which the SimHashes of a close pair differ at most.
+RADIUS = 4
 BANDS, ROWS = 25, 5
 #: Members of a bucket in one part.
 BLOCK = 256
@@ -75,6 +80,32 @@ def fingerprint(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame
     return _sets(df, keep, text, {"fingerprint": T.LongType()}, lambda h: (node(h),))
 
 
+def close(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: pairs of nodes (fp, n, sim) whose SimHashes are within the radius and whose sizes are near enough. Nodes of
+    one SimHash are paired with the smallest of them, which stands for it in pairs with others."""
+    heads = cut_lineage(nodes.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("head"), F.count("*").alias("rows")))
+    pair = lambda a, m, b, n: (_near_sizes(F.col(m), F.col(n)), F.col(a).alias("u"), F.col(b).alias("v"))
+    near, *ends = pair("head.fp", "head.n", "fp", "n")
+    same = meet(nodes.select("sim", "fp", "n"), heads, "sim", "rows", nodes.count()).filter((F.col("fp") != F.col("head.fp")) & near).select(*ends)
+    found = simhash.links(heads.select(F.col("sim").alias("fp")), radius, direct=True).distinct()
+    a, b = (heads.select(F.col("sim").alias(end), F.col("head").alias(name)) for end, name in (("u", "a"), ("v", "b")))
+    near, *ends = pair("a.fp", "a.n", "b.fp", "b.n")
+    return same.union(found.join(a, "u").join(b, "v").filter(near).select(*ends))
+
+
+def _asked(named: DataFrame, hashes: DataFrame, rows: int) -> DataFrame:
+    """The texts of named (doc_id, text) whose hashed doc_id is among the rows of hashes (h), with a few others."""
+    known = phrases._filter(hashes, rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = phrases.Filter(*known.value)
+        for batch in batches:
+            found = held.has(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(found))], names=["text"])
+
+    return named.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "text string")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs u, v of nodes whose sets have a similarity of 0.8 or more."""
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
@@ -150,26 +181,35 @@ def _within(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (the node), component_id (the smallest doc_id reachable over links) of each row."""
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, bands: bool = True) -> DataFrame:
+    """doc_id, fingerprint (the node), component_id (the smallest doc_id reachable over links) of each row. Without
+    bands, over the links that SimHash proposes only."""
     named = df.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))
-    made = {"fingerprint": T.LongType(), "n": T.IntegerType(), "bands": T.ArrayType(T.LongType())}
-    docs = cut_lineage(_sets(named, ["doc_id"], "text", made, lambda h: (node(h), len(h), band_keys(h))))
-    nodes = cut_lineage(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    made = {"fingerprint": T.LongType(), "n": T.IntegerType(), "sim": T.LongType(), "bands": T.ArrayType(T.LongType())}
+    docs = cut_lineage(_sets(named, ["doc_id"], "text", made, lambda h: (node(h), len(h), simhash.of_set(h), band_keys(h) if bands else [])))
+    nodes = cut_lineage(docs.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("n", "sim", "bands"))))
+    near = cut_lineage(close(nodes.filter("n > 0")))
     placed = nodes.select("fp", "n", F.explode("bands").alias("key"))
     heads = placed.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("fp", "n")).alias("head")).filter("count > 1")
     shared = cut_lineage(meet(placed, heads, "key", "count", BANDS * nodes.count()))
 
-    # The sets of the nodes that meet others, from one text each.
-    met = nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "first")
-    texts = named.join(met.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    # The sets of the nodes that meet others, from one text each. Other texts stay where they are read.
+    others = shared.select("fp").union(near.select("u")).union(near.select("v")).distinct()
+    met = cut_lineage(nodes.join(others, "fp", "left_semi").select("fp", "first"))
+    texts = _asked(named, met.select(F.xxhash64("first").alias("h")), met.count())
     sets = _sets(texts, [], "text", {"fp": T.LongType(), "hashes": T.ArrayType(T.LongType())}, lambda h: (node(h), h.view(np.int64)))
     sets = cut_lineage(sets.join(met.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
-    tried = shared.filter((F.col("fp") != F.col("head.fp")) & _near_sizes(F.col("n"), F.col("head.n"))).select(F.col("head.fp").alias("u"), F.col("fp").alias("v")).distinct()
-    star = simhash.stars(confirmed(tried, sets))
-    roots = star.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    now = shared.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    def rooted(star: DataFrame) -> DataFrame:
+        roots = star.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+        return shared.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    star = simhash.stars(confirmed(near, sets))
+    if not bands:
+        return simhash.labelled(docs, nodes, star)
+    tried = rooted(star).filter((F.col("root") != F.col("head.fp")) & _near_sizes(F.col("n"), F.col("head.n"))).select(F.col("head.fp").alias("u"), F.col("fp").alias("v"))
+    star = simhash.stars(star.union(confirmed(tried.filter("u <> v").distinct(), sets)))
+    now = rooted(star).select("key", "fp", "root")
     mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("count")).filter("low < high").select("key", F.ceil(F.col("count") / block).cast("int").alias("parts"))
     star = simhash.stars(star.union(_within(cut_lineage(now.join(mixed, "key")), sets.join(nodes.select("fp", "bands"), "fp"))))
     return simhash.labelled(docs, nodes, star)

@@ -56,6 +56,15 @@ def _bit_counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(lanes, starts, axis=0).view(np.uint8)
 
 
+def of_set(hashes: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes as a signed integer."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), STEP):
+        some = hashes[at : at + STEP]
+        total += _bit_counts(some, np.arange(0, len(some), 255)).astype(np.int64).sum(axis=0)
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(texts: list[str | None], n: int = 4, seed: int = 42) -> np.ndarray:
     """The SimHash of each text as a signed 64-bit integer."""
     counts, totals = np.zeros((len(texts), 64), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
@@ -98,11 +107,11 @@ def _pack(lanes: np.ndarray, words: int) -> np.ndarray:
     return out.view("<u8")
 
 
-def vertical_links(f: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
+def vertical_links(f: np.ndarray, group: np.ndarray, radius: int, pairs: list | None = None) -> np.ndarray:
     """For rows sorted by group: the smallest row index linked to each row within its group, directly or not.
 
     f: unsigned fingerprints. All pairs (i, i + s) of a group are compared for s = 1, 2, ..., unless they are
-    already in one class.
+    already in one class. pairs, if given, gets the row indexes of the pairs that were found to be within the radius.
     """
     n = len(f)
     root = np.arange(n)
@@ -145,6 +154,8 @@ def vertical_links(f: np.ndarray, group: np.ndarray, radius: int) -> np.ndarray:
             w, lane = np.nonzero(lanes)
             i = at[w] * 64 + lane
             _join(root, i, i + s)
+            if pairs is not None:
+                pairs.append((i, i + s))
     return root
 
 
@@ -198,8 +209,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """u, v: a forest of the links between distinct fingerprints (column fp) within the radius, bucket by bucket."""
+def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK, direct: bool = False) -> DataFrame:
+    """u, v: a forest of the links between distinct fingerprints (column fp) within the radius, bucket by bucket.
+    direct: every pair is itself within the radius, for checks of pairs that follow."""
     masks = [_signed(m) for m in _choices(nodes.count(), radius)]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("c", "mask")).select("c", F.col("fp").bitwiseAND(F.col("mask")).alias("m"), "fp")
     large = cut_lineage(keyed.groupBy("c", "m").count().filter(F.col("count") > block).select("c", "m", F.ceil(F.col("count") / block).cast("int").alias("parts")))
@@ -213,7 +225,7 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
     unsigned = np.array(masks, dtype=np.int64).view(np.uint64)
 
     def forest(c: np.ndarray, ab: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        """Star links of complete buckets in sorted rows."""
+        """Links of complete buckets in sorted rows: stars, or pairs as they were met."""
         m = f & unsigned[c]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (m[1:] != m[:-1]) | (ab[1:] != ab[:-1])])
         group = np.cumsum(new)
@@ -224,7 +236,12 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
         for pick in [several & (sizes[group] <= 256), *(group == k for k in big)]:
             if pick.any():
                 rows = f[pick]
-                root = vertical_links(rows, group[pick], radius)
+                met: list | None = [] if direct else None
+                root = vertical_links(rows, group[pick], radius, met)
+                if direct:
+                    us += [rows[i] for i, _ in met]
+                    vs += [rows[j] for _, j in met]
+                    continue
                 linked = root != np.arange(len(rows))
                 us.append(rows[linked])
                 vs.append(rows[root[linked]])
@@ -249,7 +266,9 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
         if rest and len(rest[0]):
             yield forest(*rest)
 
-    dealt = dealt.repartition("c", "m", "a", "b").sortWithinPartitions("c", "m", "a", "b")
+    # What equals in a bucket follows from the fingerprint and isn't shuffled beside it.
+    m = F.get(F.array(*[F.lit(m) for m in masks]), F.col("c")).bitwiseAND(F.col("fp"))
+    dealt = dealt.drop("m").repartition("c", m, "a", "b").withColumn("m", m).sortWithinPartitions("c", "m", "a", "b")
     return dealt.select("c", "a", "b", "fp").mapInArrow(run, "u bigint, v bigint")
 
 

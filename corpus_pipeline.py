@@ -26,7 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked by 0.8 or more of their five-word shingles stays: the one with the smallest doc_id."""
+    """One document of each group of texts linked by 0.8 or more of their five-word shingles stays: the one with the
+    smallest doc_id. SimHash, compared by bits, proposes the close links, MinHash bands those beyond its radius."""
     return shingles.one_of_each(docs)
 
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from cairnlore.llm import shingles
+from cairnlore.llm import shingles, simhash
 
 
 def slow_set(t):
@@ -83,3 +83,32 @@ def test_map_columns_and_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
     kept = shingles.one_of_each(df).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2] and all(r.extra in ({"k": 1}, {"k": 2}, None) for r in kept)
+
+
+def test_simhash_links_without_bands(spark):
+    """Close copies are linked by SimHash alone: one word of 800 changed at 0, 1, 2 places, links never wrong."""
+    rng, texts = random.Random(12), ["", "a b"]
+    for _ in range(20):
+        words = [f"w{rng.randrange(9000)}" for _ in range(800)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]), " ".join([*words[:400], "middle", *words[401:]])]
+    ids = list(range(len(texts)))
+    want, near = slow_components(ids, texts)
+    sims = [simhash.of_set(shingles.shingle_set(t)) for t in texts]
+    assert sims == [sum((2 * sum(h >> b & 1 for h in s) > len(s)) << b for b in range(64)) - (2**64 if 2 * sum(h >> 63 for h in s) > len(s) else 0) for s in (shingles.shingle_set(t).tolist() for t in texts)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.classes(df, bands=False).collect()}
+    reached = {(i, j) for i, j in near if bin((sims[i] ^ sims[j]) % 2**64).count("1") <= shingles.RADIUS}
+    assert len(reached) > 20 and all(got[i] == got[j] for i, j in reached)
+    assert all(want[i] == want[got[i]] for i in ids) and got[0] == 0 and got[1] == 1
+    assert {r.doc_id: r.component_id for r in shingles.classes(df).collect()} == dict(zip(ids, want))
+
+
+def test_pairs_of_links_are_links_themselves(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(10)})
+    df = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    pairs = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(df, direct=True).collect()]
+    assert len(pairs) > 200 and all(u != v and bin(u ^ v).count("1") <= 4 for u, v in pairs)
+    stars = lambda e: {tuple(r) for r in simhash.stars(e).collect()}
+    assert stars(simhash.links(df, direct=True)) == stars(simhash.links(df))
