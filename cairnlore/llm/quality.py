@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, mapped, quoted, row_of, small, stored
+from .common import BROADCAST, cut_lineage, mapped, quoted, row_of, small, stored
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
@@ -224,13 +224,25 @@ def _of_level(rows: DataFrame, level: int) -> DataFrame:
     return rows.select(F.lit(level).alias("level"), name("lang"), name("source"), "w", *X)
 
 
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many summary rows, in no more partitions than these need. What lies in one is grouped further
+    without a shuffle, so that steps over few groups don't wait for hundreds of empty tasks."""
+    return df.coalesce(math.ceil(max(rows, 1) / BROADCAST))
+
+
+def _joined_parts(rows: DataFrame) -> DataFrame:
+    """rows in fewer partitions, as they are numbers only: up to 16 to one, but enough for all cores."""
+    parts = rows.rdd.getNumPartitions()
+    return rows.coalesce(max(4 * rows.sparkSession.sparkContext.defaultParallelism, parts // 16, 1))
+
+
 def _meet(rows: DataFrame, params: DataFrame, sizes: list[int]) -> DataFrame:
     """Every row with each estimate of each of its groups, in one pass over the rows. The estimates of a group are
     packed into one row; these are broadcast where the counted groups of a level are few."""
     out = rows
     for level, names in enumerate(LEVELS):
         key = [F.col(c).alias(f"p_{c}") for c in names]
-        packed = params.filter(F.col("level") == level).groupBy(*key).agg(F.collect_list(F.struct("level", F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "start", "mu", "lower")).alias(f"e{level}"))
+        packed = _packed(params.filter(F.col("level") == level), STARTS * sizes[level]).groupBy(*key).agg(F.collect_list(F.struct("level", F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "start", "mu", "lower")).alias(f"e{level}"))
         if not names:
             out = out.crossJoin(F.broadcast(packed))  # one row
             continue
@@ -242,8 +254,8 @@ def _meet(rows: DataFrame, params: DataFrame, sizes: list[int]) -> DataFrame:
     return each.select("e.level", F.col("e.g_lang").alias("lang"), F.col("e.g_source").alias("source"), "e.start", "w", *X, "e.mu", "e.lower")
 
 
-#: Bins of log1p(distance).
-BINS = 16
+#: Bins of log1p(distance), and how many of them a group has at about most.
+BINS, MOST_BINS = 16, 256
 
 
 def _step(rows: DataFrame, params: DataFrame, sizes: list[int], origin: np.ndarray, final: bool = False) -> DataFrame:
@@ -253,6 +265,7 @@ def _step(rows: DataFrame, params: DataFrame, sizes: list[int], origin: np.ndarr
     moments = {"m": F.count("*").cast("double"), "w": F.sum("w").cast("double")}
     moments |= {f"s{i}": F.sum(F.col("w") * at[i]) for i in range(P)} | {f"q{i}{j}": F.sum(F.col("w") * at[i] * at[j]) for i, j in _PAIRS}
     binned = _meet(rows, params, sizes).withColumn("bin", bin_of).groupBy(*_KEY, "start", "bin").agg(*(c.alias(k) for k, c in moments.items()))
+    binned = _packed(binned, STARTS * sum(sizes) * MOST_BINS)
     group = W.partitionBy(*_KEY, "start")
     if final:
         edge, factor = BINS * math.log1p(chi2_quantile(0.975, P)), _kept_variance(0.975)
@@ -272,11 +285,11 @@ def _step(rows: DataFrame, params: DataFrame, sizes: list[int], origin: np.ndarr
             cov = (_matrices(g, "q") - mean[:, :, None] * s[:, None, :]) / (m * WEIGHT * UNIT**2 * factor)[:, None, None]
             yield _params(g, g["start"].to_numpy(), (origin + mean) / UNIT, cov)
 
-    return cut_lineage(summed.mapInPandas(step, _PARAMS))
+    return cut_lineage(_packed(summed, STARTS * sum(sizes)).mapInPandas(step, _PARAMS))
 
 
-def _started(rows: DataFrame) -> DataFrame:
-    """Starts of all groups: medians with (0) independent spreads by quartiles, (1) the correlations of tanh-bounded
+def _started(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Starts of all groups, and how many groups each level has: medians with (0) independent spreads by quartiles, (1) the correlations of tanh-bounded
     statistics and (2) those of directions from the median (spatial signs)."""
     bins = None
     for level in range(len(LEVELS)):
@@ -297,7 +310,8 @@ def _started(rows: DataFrame) -> DataFrame:
     unit = lambda v: F.sum(F.round(v * (1 << 20)).cast("bigint")).cast("double")
     bounded = [[F.tanh(c) for c in z], [c / norm for c in z]]
     sums = [unit(b[i] * b[j]).alias(f"b{k}_{i}{j}") for k, b in enumerate(bounded) for i, j in _PAIRS]
-    met = _meet(rows, found.withColumn("start", F.lit(0)).withColumn("lower", F.col("spread")), group_sizes(found)).withColumnRenamed("lower", "spread")
+    sizes = group_sizes(found)
+    met = _meet(rows, found.withColumn("start", F.lit(0)).withColumn("lower", F.col("spread")), sizes).withColumnRenamed("lower", "spread")
     both = met.groupBy(*_KEY).agg(F.first("mu").alias("mu"), F.first("spread").alias("spread"), F.count("*").alias("n"), *sums)
 
     def starts(batches):
@@ -312,7 +326,7 @@ def _started(rows: DataFrame) -> DataFrame:
                 np.einsum("nii->ni", correlation)[:] = 1.0
                 yield _params(g, k + 1, mu, scale * (0.999 * correlation + 0.001 * np.eye(P)))
 
-    return cut_lineage(both.mapInPandas(starts, _PARAMS))
+    return cut_lineage(_packed(both, sum(sizes)).mapInPandas(starts, _PARAMS)), sizes
 
 
 def group_sizes(params: DataFrame) -> list[int]:
@@ -324,20 +338,20 @@ def group_sizes(params: DataFrame) -> list[int]:
 def robust_estimates(rows: DataFrame) -> DataFrame:
     """level, lang, source, start, n, logdet, mu, cov, lower by MCD over rows of lang, source, w and the statistics,
     for groups of any size on all levels. n counts a group's rows."""
-    rows = rows.select("lang", "source", "w", *X)
-    found = _started(rows)
+    rows = _joined_parts(rows.select("lang", "source", "w", *X))
+    found, sizes = _started(rows)
     top = found.filter("level = 0").select("mu").first()
     if top is None:
         return found
-    origin, sizes = np.round(np.array(top.mu) * UNIT), group_sizes(found.filter("start = 0"))
+    origin, every = np.round(np.array(top.mu) * UNIT), sum(sizes)
     for _ in range(2):
         found = _step(rows, found, sizes, origin)
     best = F.min_by(F.struct("start", "n", "logdet", "mu", "cov", "lower"), F.struct("logdet", "start")).alias("b")
-    found = cut_lineage(found.groupBy(*_KEY).agg(best).select(*_KEY, "b.*"))
+    found = cut_lineage(_packed(found, STARTS * every).groupBy(*_KEY).agg(best).select(*_KEY, "b.*"))
     for _ in range(MOST_STEPS):
         now = _step(rows, found, sizes, origin)
         same = [now[c].eqNullSafe(found[c]) for c in _KEY]
-        fell = found.join(now, same[0] & same[1] & same[2]).select(F.max(F.abs(found["logdet"] - now["logdet"]))).first()[0]
+        fell = _packed(found, every).join(_packed(now, every), same[0] & same[1] & same[2]).select(F.max(F.abs(found["logdet"] - now["logdet"]))).first()[0]
         found = now
         if fell is None or fell < CONVERGED:
             break

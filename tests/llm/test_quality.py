@@ -147,3 +147,27 @@ def test_query(spark, sf_dir):
     rows = queries.op4_quality(spark, sf_dir).join(labels, "doc_id").filter("NOT base_failed").collect()
     bad, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1]
     assert bad and sum(not r.kept for r in bad) >= 0.9 * len(bad) and sum(r.kept for r in good) >= 0.97 * len(good)
+
+
+def test_steps_over_few_groups_run_few_tasks(spark):
+    """However many partitions rows and shuffles have, a step over a few groups isn't as many tasks."""
+    rows = corpus(random.Random(9))
+    df = spark.createDataFrame(rows, SCHEMA)
+    made = quality.with_features(quality.with_counts(df, ["lang", "source"]).filter(~quality.base_failed()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        wide = quality.cut_lineage(made.repartition(60))
+        rows = quality._joined_parts(wide.select("lang", "source", "w", *quality.X))
+        assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        found, sizes = quality._started(rows)
+        step = quality._step(rows, found, sizes, np.zeros(4))
+        assert found.rdd.getNumPartitions() == step.rdd.getNumPartitions() == 1 and step.count() == quality.STARTS * sum(sizes)
+        got = {(r.level, r.lang, r.source): (r.n, r.mu, r.cov) for r in quality.robust_estimates(wide).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(r.level, r.lang, r.source): (r.n, r.mu, r.cov) for r in quality.robust_estimates(made).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == n and np.allclose(got[k][1], mu) and np.allclose(got[k][2], cov) for k, (n, mu, cov) in want.items())
