@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import mapped
 
 #: Bound of the per-worker memory of encoded pre-tokens, and the longest pre-token (in characters) kept there.
-CACHE_ENTRIES, CACHE_LENGTH = 1 << 18, 48
+CACHE_ENTRIES, CACHE_LENGTH = 1 << 16, 48
 #: Rows handled at once inside an Arrow batch; bounds the Python memory of long documents.
 SLICE_ROWS = 256
 #: Bytes up to which a fragment is merged, and cut, by plain loops.

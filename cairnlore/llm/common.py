@@ -58,19 +58,22 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
-def mapped(df: DataFrame, keep: list[str], column: str, fields: dict[str, T.DataType], made: Callable[[list], list], rows: int = 256) -> DataFrame:
+def mapped(df: DataFrame, keep: list[str], column: str, fields: dict[str, T.DataType], made: Callable[[list], list], rows: int = 256, field: int | None = None) -> DataFrame:
     """keep and new fields: made gets the values of `column` of at most `rows` rows and gives a list of values, or an
-    array, for each field. Columns are told apart by place, so that names may clash."""
-    kept = df.select(*[F.col(quoted(k)) for k in keep], F.col(quoted(column)).alias("__value"))
-    schema = T.StructType([*kept.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields.items())])
-    types = [to_arrow_type(t) for t in fields.values()]
+    array, for each field. Columns are told apart by place, so that names may clash. field: the values are this field,
+    by place, of the structs in `column`; those that are kept are sent to Python once."""
+    kept = df.select(*[F.col(quoted(k)) for k in keep], *([] if field is not None and column in keep else [F.col(quoted(column)).alias("__value")]))
     n, names = len(keep), [*keep, *fields]
+    schema = T.StructType([*kept.schema.fields[:n], *(T.StructField(n, t) for n, t in fields.items())])
+    types = [to_arrow_type(t) for t in fields.values()]
+    at = keep.index(column) if len(kept.columns) == n else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 batch = whole.slice(start, rows)
-                found = [pa.array(x, type=t) for x, t in zip(made(batch.column(n).to_pylist()), types)]
+                values = batch.column(at) if field is None else batch.column(at).field(field)
+                found = [pa.array(x, type=t) for x, t in zip(made(values.to_pylist()), types)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], *found], names=names)
 
     return kept.mapInArrow(run, schema)

@@ -114,14 +114,14 @@ def counts(text: str | None) -> tuple[int, ...]:
     )
 
 
-def with_counts(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """keep and the counts (COUNTS and MORE) of every whole text."""
+def with_counts(df: DataFrame, keep: list[str], text: str = "text", field: int | None = None) -> DataFrame:
+    """keep and the counts (COUNTS and MORE) of every whole text; field: of this field, by place, of structs."""
 
     def made(texts: list) -> list:
         found = np.array([counts(t) for t in texts], dtype=np.int64).reshape(-1, len(COUNTS) + len(MORE))
         return list(found.T)
 
-    return mapped(df, keep, text, {c: T.LongType() for c in (*COUNTS, *MORE)}, made, 512)
+    return mapped(df, keep, text, {c: T.LongType() for c in (*COUNTS, *MORE)}, made, 512, field)
 
 
 def base_failed() -> Column:
@@ -407,7 +407,7 @@ def verdicts(df: DataFrame, keep: list[str], text: str = "text", lang: str = "la
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", level: float = 1e-6) -> DataFrame:
     """The documents that pass, with their own columns only. Texts are counted once: what passes the base rules is
     stored with its statistics, and only these are read for the estimates."""
-    whole = docs.select(row_of(docs).alias("__row"), F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(source)).cast("string").alias("source"), F.col(quoted(text)).alias("__t"))
-    rows = with_features(with_counts(whole, ["__row", "lang", "source"], "__t").filter(~base_failed()))
+    whole = docs.select(row_of(docs).alias("__row"), F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(source)).cast("string").alias("source"))
+    rows = with_features(with_counts(whole, ["__row", "lang", "source"], "__row", docs.columns.index(text)).filter(~base_failed()))
     rows = stored(rows.select("__row", "lang", "source", "w", *X))
     return _tested(rows, rows).filter(F.col("distance") <= chi2_quantile(1 - level, P)).select("__row.*")

@@ -94,16 +94,19 @@ def close(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _asked(named: DataFrame, hashes: DataFrame, rows: int) -> DataFrame:
-    """The texts of named (doc_id, text) whose hashed doc_id is among the rows of hashes (h), with a few others."""
+    """fp and hashes (the node and the set) of the texts of named (doc_id, text) whose hashed doc_id is among the rows of
+    hashes (h), with a few others. One pass finds the texts and makes their sets, so that a task has one Python worker."""
     known = phrases._filter(hashes, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = phrases.Filter(*known.value)
         for batch in batches:
-            found = held.has(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(found))], names=["text"])
+            texts = batch.column(1).filter(pa.array(held.has(batch.column(0).to_numpy().view(np.uint64))))
+            for start in range(0, len(texts), BLOCK):
+                sets = [shingle_set(t.as_py()) for t in texts.slice(start, BLOCK)]
+                yield pa.RecordBatch.from_arrays([pa.array([node(x) for x in sets], type=pa.int64()), pa.array([x.view(np.int64) for x in sets], type=pa.list_(pa.int64()))], names=["fp", "hashes"])
 
-    return named.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "text string")
+    return named.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "fp bigint, hashes array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,8 +199,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: in
     # The sets of the nodes that meet others, from one text each. Other texts stay where they are read.
     others = shared.select("fp").union(near.select("u")).union(near.select("v")).distinct()
     met = cut_lineage(nodes.join(others, "fp", "left_semi").select("fp", "first"))
-    texts = _asked(named, met.select(F.xxhash64("first").alias("h")), met.count())
-    sets = _sets(texts, [], "text", {"fp": T.LongType(), "hashes": T.ArrayType(T.LongType())}, lambda h: (node(h), h.view(np.int64)))
+    sets = _asked(named, met.select(F.xxhash64("first").alias("h")), met.count())
     sets = cut_lineage(sets.join(met.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
 
     def rooted(star: DataFrame) -> DataFrame:

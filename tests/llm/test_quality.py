@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 from cairnlore.llm import quality, queries
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -171,3 +172,15 @@ def test_steps_over_few_groups_run_few_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = {(r.level, r.lang, r.source): (r.n, r.mu, r.cov) for r in quality.robust_estimates(made).collect()}
     assert got.keys() == want.keys() and all(got[k][0] == n and np.allclose(got[k][1], mu) and np.allclose(got[k][2], cov) for k, (n, mu, cov) in want.items())
+
+
+def test_rows_are_sent_to_python_with_one_text(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(quality, "stored", lambda df: sent.append(df) or df)
+    docs = spark.createDataFrame([(1, "en", "s", "one two " * 30), (2, None, None, None)], "doc_id long, lang string, source string, text string")
+    quality.keep_good(docs)
+    plan = sent[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "__value" not in plan and "__t" not in plan
+    rows = docs.select(F.struct("doc_id", "text").alias("row"))
+    got = {r.row.doc_id: tuple(r)[1:] for r in quality.with_counts(rows, ["row"], "row", 1).collect()}
+    assert got == {1: quality.counts("one two " * 30), 2: quality.counts(None)}

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from cairnlore.llm import shingles, simhash
+from pyspark.sql import functions as F
 
 
 def slow_set(t):
@@ -112,3 +113,14 @@ def test_pairs_of_links_are_links_themselves(spark):
     assert len(pairs) > 200 and all(u != v and bin(u ^ v).count("1") <= 4 for u, v in pairs)
     stars = lambda e: {tuple(r) for r in simhash.stars(e).collect()}
     assert stars(simhash.links(df, direct=True)) == stars(simhash.links(df))
+
+
+def test_sets_are_made_where_texts_are_found(spark):
+    texts = {1: "a b c d e f", 2: "a b c d e g", 3: None, 4: "x"}
+    named = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = named.filter("doc_id <> 2").select(F.xxhash64("doc_id").alias("h"))
+    got = shingles._asked(named, asked, 3)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one Python worker in a task
+    want = {shingles.node(s): s.view("int64").tolist() for s in map(shingles.shingle_set, (texts[1], None, "x"))}
+    found = {r.fp: r.hashes for r in got.collect()}
+    assert want.items() <= found.items() and len(found) <= 4
