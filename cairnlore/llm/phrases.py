@@ -7,8 +7,8 @@ in: no phrase across it can be frequent. Buckets are packed by blocks, two to th
 them has at most 64 MB, whatever the corpus. A wrong "yes" of it costs work, never a count.
 
 The last scan deals the suffixes out by prefix: by their first word, by two words where more occurrences than a
-group's memory budget begin with that word, else by all their words. Each group sorts its own suffixes and builds their
-subtrees, one branch at a time, from what neighbouring suffixes share; the total of the leaves below a node counts its
+group's memory budget begin with that word, else by all their words. A task packs its suffixes by blocks of such groups. Each block
+sorts its own suffixes and builds their subtrees, one branch at a time, from what neighbouring suffixes share; the total of the leaves below a node counts its
 phrase. Nodes that several groups share (a prefix beyond the budget, of which there are few) are added up.
 
 Every scan adds equal words, pairs and suffixes up in numpy within a task before anything is shuffled.
@@ -44,6 +44,10 @@ GROUPS = 2048
 FEWEST_BITS, MOST_BITS, PROBES = 1 << 18, 1 << 29, 4
 #: Buckets of a block.
 BLOCK = 1 << 16
+#: Words of all texts for each block of groups, and the fewest and most bits that name a block.
+PER_BLOCK, BLOCK_BITS = 1 << 18, (7, 20)
+#: What a block of groups holds: suffixes with the words of the prefix that names their group, and their counts.
+_SUFFIX = pa.struct([("lang", pa.string()), ("cut", pa.int32()), ("words", pa.list_(pa.binary())), ("n", pa.int64())])
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -117,6 +121,7 @@ class _Texts:
         """All ids, and the hash of each word."""
         seq = np.concatenate(self.parts)
         hashes = np.fromiter((_hash(self.lang, w) for w in self.words), dtype=np.uint64, count=len(self.words)) if self.known else np.zeros(0, dtype=np.uint64)
+        self.hashes = hashes
         if len(hashes):
             lives = np.append(self.known.has(hashes), False)  # the last one is that of -1
             seq = np.where(lives[seq], seq, -1)
@@ -235,12 +240,14 @@ def _buckets(texts: DataFrame, known, levels: list, rows: int, at_least: int, bu
     return texts.sparkSession.sparkContext.broadcast((bits, bytes(data), frozenset(heavy)))
 
 
-def _count_suffixes(longest: int, levels: list, heavy) -> Callable[[_Texts], Iterator[pa.RecordBatch]]:
-    """lang, cut (words of the prefix that names the group), words, n of the distinct suffixes of two words or more."""
+def _count_suffixes(longest: int, levels: list, heavy, bits: int) -> Callable[[_Texts], Iterator[pa.RecordBatch]]:
+    """block, suffixes (lang, cut, words, n) of the distinct suffixes of two words or more, those of one length and block
+    in a row. cut: words of the prefix that names the group; a group lies in one of 2^bits blocks."""
 
     def counted(t: _Texts) -> Iterator[pa.RecordBatch]:
         # The last list of chains has no buckets: it says where one word more than the levels follows at all.
         seq, chains = _chains(t, [Buckets(*x.value) for x in levels])
+        hashes = t.hashes
         length = np.ones(len(seq) + longest, dtype=np.int8)
         for k, (at, _) in enumerate(chains[:-1], 2):
             length[at] = k
@@ -264,16 +271,46 @@ def _count_suffixes(longest: int, levels: list, heavy) -> Callable[[_Texts], Ite
                 key = np.unique(key, return_inverse=True)[1].astype(np.int64) << 32 | seq[at + j]
                 parts.append(seq[at + j])
             _, where, n = np.unique(key, return_index=True, return_counts=True)
+            first_ids = parts[0][where]
+            cut = np.where(is_heavy[first_ids], np.where(beyond[at[where]], longest, 2), 1).astype(np.int32)
+            h = hashes[first_ids]
+            for j in range(1, k):
+                h = np.where(cut > j, _joined(h, hashes[parts[j][where]]), h)
+            block = (h >> np.uint64(64 - bits)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
             for lo in range(0, len(where), STEP // 16):
-                some = where[lo : lo + STEP // 16]
-                ids = np.stack([p[some] for p in parts], axis=1)
-                cut = np.where(is_heavy[ids[:, 0]], np.where(beyond[at[some]], longest, 2), 1).astype(np.int32)
+                rows = order[lo : lo + STEP // 16]
+                ids = np.stack([p[where[rows]] for p in parts], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, k, dtype=np.int32)), words.take(pa.array(ids.ravel())))
-                yield pa.RecordBatch.from_arrays([pa.array([t.lang] * len(some)), pa.array(cut), lists, pa.array(n[lo : lo + STEP // 16])], names=["lang", "cut", "words", "n"])
+                suffixes = pa.StructArray.from_arrays([pa.array([t.lang] * len(rows)), pa.array(cut[rows]), lists, pa.array(n[rows])], fields=list(_SUFFIX))
+                blocks, starts = np.unique(block[rows], return_index=True)
+                packed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)).astype(np.int32)), suffixes)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), packed], names=["block", "suffixes"])
 
     return counted
 
 
+def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes (lang, cut, words, n) of rows that come sorted by block: a block at a time, sorted by lang and words."""
+
+    def opened() -> pa.RecordBatch:
+        whole = pa.concat_arrays(held)
+        lang, words = whole.field(0).to_pylist(), whole.field(2).to_pylist()
+        order = pa.array(sorted(range(len(whole)), key=lambda i: (lang[i], words[i])), type=pa.int64())
+        return pa.RecordBatch.from_arrays([whole.field(i).take(order) for i in range(4)], names=_SUFFIX.names)
+
+    block, held = None, []
+    for batch in batches:
+        for i, b in enumerate(batch.column(0).to_pylist()):
+            if b != block and held:
+                yield opened()
+                held = []
+            block = b
+            held.append(batch.column(1)[i].values.cast(_SUFFIX))
+    if held:
+        yield opened()
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """lang, phrase (array of two words or more), n of the nodes of a task's suffixes (lang, cut, words, n), which come sorted. Only the branch
     to the last leaf is held: a node is done when the next suffix leaves it."""
@@ -335,9 +372,10 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", longest: i
         heavy.setdefault(r.lang, set()).add(bytes(r.word))
     beyond = docs.sparkSession.sparkContext.broadcast(heavy)
 
-    suffixes = _scan(texts, "lang string, cut int, words array<binary>, n bigint", known, _count_suffixes(longest, levels, beyond))
-    dealt = suffixes.repartition("lang", F.slice("words", F.lit(1), F.col("cut"))).sortWithinPartitions("lang", "words")
-    nodes = dealt.mapInArrow(lambda batches: _subtrees(batches, at_least), "lang string, phrase array<binary>, n bigint")
+    bits = min(max((everything // PER_BLOCK).bit_length() - 1, BLOCK_BITS[0]), BLOCK_BITS[1])
+    packed = "block int, suffixes array<struct<lang: string, cut: int, words: array<binary>, n: bigint>>"
+    dealt = _scan(texts, packed, known, _count_suffixes(longest, levels, beyond, bits)).repartition("block").sortWithinPartitions("block")
+    nodes = dealt.mapInArrow(lambda batches: _subtrees(_sorted_blocks(batches), at_least), "lang string, phrase array<binary>, n bigint")
     several = nodes.groupBy("lang", F.col("phrase").alias("words")).agg(F.sum("n").alias("a")).filter(F.col("a") >= at_least)
     found = cut_lineage(several.unionByName(often.select("lang", F.array("word").alias("words"), F.col("n").alias("a"))))
     per = found.groupBy("lang").agg(F.count("*").alias("phrases"))

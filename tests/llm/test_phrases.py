@@ -79,3 +79,18 @@ def test_division_is_exact(spark):
     pairs = [(rng.randrange(10 ** rng.randrange(30, 37)), rng.randrange(10**17, 10 ** rng.randrange(18, 36))) for _ in range(300)]
     df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string").selectExpr("cast(a as decimal(38,0)) div cast(b as decimal(37,0)) q")
     assert [r.q for r in df.collect() if r.q is not None] == [a // b for a, b in pairs if a // b < 2**63]
+
+
+@pytest.mark.parametrize("step", [1 << 10, phrases.STEP])
+def test_suffixes_are_packed_by_blocks(spark, monkeypatch, step):
+    scans, scan = [], phrases._scan
+    monkeypatch.setattr(phrases, "_scan", lambda *a: scans.append(scan(*a)) or scans[-1])
+    monkeypatch.setattr(phrases, "BLOCK_BITS", (1, 1))  # many groups in a block, blocks in several rows
+    monkeypatch.setattr(phrases, "GROUPS", 5)  # so that words and pairs are beyond the budget
+    monkeypatch.setattr(phrases, "STEP", step)
+    rows = cases()
+    assert fast(spark, rows, longest=4, at_least=2, subsumed=100) == slow(rows, 4, 2, 100)
+    suffixes = scans[-1].select("block", phrases.F.size("suffixes").alias("n")).collect()
+    tasks, langs, lengths, blocks = 5, 5, 3, 2
+    assert {r.block for r in suffixes} == {0, 1} and len(suffixes) < sum(r.n for r in suffixes)
+    assert step < phrases.BLOCK or len(suffixes) <= tasks * langs * lengths * blocks
