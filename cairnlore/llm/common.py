@@ -28,10 +28,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Spark's setting that a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+ENDS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df materialised in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """df materialised in the shared checkpoint folder, so that a lost executor costs no recomputation. The shuffle files
+    behind it are of no use then and go at once."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    before = spark.conf.get(ENDS_SHUFFLES)
+    spark.conf.set(ENDS_SHUFFLES, "true")
+    try:
+        return df.select("*").checkpoint()  # a query made now, as each keeps the setting it was made under
+    finally:
+        spark.conf.set(ENDS_SHUFFLES, before)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -93,6 +104,12 @@ def small(df: DataFrame, rows: int, bound: int = BROADCAST) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many small rows, in no more partitions than these need. What lies in one is grouped further
+    without a shuffle, so that steps over few rows don't run, log and write files for hundreds of empty tasks."""
+    return df.coalesce(-(-max(rows, 1) // BROADCAST))
+
+
 #: A key is heavy if it has more than one of so many rows; there are never more heavy keys than this.
 HEAVY = 1000
 

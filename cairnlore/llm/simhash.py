@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST, cut_lineage, mapped, meet, quoted, row_of
+from .common import BROADCAST, cut_lineage, mapped, meet, packed, quoted, row_of
 
 #: Rows of a bucket block; a larger bucket is split.
 BLOCK = 4096
@@ -275,22 +275,26 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK, direct: bool =
 def stars(edges: DataFrame) -> DataFrame:
     """u, v: every node u of the edges but the smallest of its component, with that smallest node v.
 
-    Alternates large and small stars; each round is checkpointed. The rounds grow with the logarithm of the size.
+    Alternates large and small stars; each round is checkpointed, in as few partitions as its counted edges need. The
+    rounds grow with the logarithm of the size.
     """
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    least_of = lambda df: df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     e = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(e)
     while True:
         # A node of many edges is a hot key of these joins.
-        both = e.union(e.select("v", "u"))
+        n = before[0]
+        least_of = lambda df, n=n: packed(df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), n)
+        e = packed(e, n)
+        both = packed(e.union(e.select("v", "u")), 2 * n)
         least = least_of(both).select("u", F.least("u", "m").alias("m"), "n")
-        large = cut_lineage(meet(both, least, "u", "n", 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        small = meet(large, least_of(large), "u", "n", before[0]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = cut_lineage(small.select("e.u", "e.v").filter("u <> v").distinct())
+        large = meet(both, least, "u", "n", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = packed(cut_lineage(packed(large.distinct(), n)), n)
+        small = meet(large, least_of(large), "u", "n", n).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        e = cut_lineage(packed(small.select("e.u", "e.v").filter("u <> v").distinct(), n))
         now = state(e)
         if now == before:
             return e

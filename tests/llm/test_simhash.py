@@ -1,8 +1,11 @@
+import pathlib
 import random
+import time
 
 import numpy as np
 import xxhash
-from cairnlore.llm import simhash
+from cairnlore.llm import common, simhash
+from pyspark.sql import functions as F
 
 
 def slow_fingerprint(text):
@@ -101,3 +104,35 @@ def test_very_long_texts(spark):
     rows = [(3, long), (2, long + "end"), (9, "short one")]
     got = {r.doc_id: (np.uint64(np.int64(r.fingerprint)), r.component_id) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: c for i, (_, c) in got.items()} == {3: 2, 2: 2, 9: 9} and int(got[3][0]) == slow_fingerprint(long)
+
+
+def test_cutting_the_lineage_leaves_no_shuffle_files(spark):
+    local = pathlib.Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {p.name for p in local.rglob("shuffle_*")}
+    df = spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 10).alias("k")).count()
+    before, kept = files(), spark.conf.get(common.ENDS_SHUFFLES)
+    assert sorted(r.k for r in common.cut_lineage(df).collect()) == list(range(10))
+    for _ in range(50):  # executors delete them soon after
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.ENDS_SHUFFLES) == kept
+
+
+def test_stars_of_few_edges_in_few_partitions(spark):
+    rng = random.Random(15)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(400)]
+    least = list(range(900))
+    for _ in least:
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        stars = simhash.stars(spark.createDataFrame(edges, "u long, v long").repartition(30))
+        assert stars.rdd.getNumPartitions() == 1
+        assert {tuple(r) for r in stars.collect()} == {(i, x) for i, x in enumerate(least) if i != x}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
