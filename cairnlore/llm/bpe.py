@@ -14,6 +14,7 @@ import functools
 import heapq
 import json
 import struct
+from operator import getitem
 
 import numpy as np
 import regex
@@ -22,7 +23,8 @@ from pyspark.sql import types as T
 
 from .common import mapped
 
-#: Bound of the per-worker memory of encoded pre-tokens, and the longest pre-token (in characters) kept there.
+#: Bound of the per-worker memory of encoded pre-tokens, which is held in two halves, and the longest pre-token (in
+#: characters) kept there.
 CACHE_ENTRIES, CACHE_LENGTH = 1 << 16, 48
 #: Rows handled at once inside an Arrow batch; bounds the Python memory of long documents.
 SLICE_ROWS = 256
@@ -74,15 +76,18 @@ class Codec:
                 self.single[b[0]] = i
             inside[list(b[:-1]), list(b[1:])] = True
         self.joined = inside
-        self.joins = inside.astype(np.uint8).tobytes()
-        # Of each pair of ids: its rank, then the id it becomes, in one number that sorts by rank.
-        self.merges: dict[tuple[int, int], int] = {}
+        # Of each byte, for each byte behind it: whether they are side by side in a token.
+        self.joins = [row.tobytes() for row in inside.astype(np.uint8)]
+        # Of each id, by the id behind it: the rank of the pair, then the id it becomes, in one number that sorts by rank.
+        self.merges: list[dict[int, int]] = [{}] * size  # one empty row is shared
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), rank << ID_BITS | vocab[left + right])
+            row = self.merges[vocab[left]] = self.merges[vocab[left]] or {}
+            row.setdefault(vocab[right], rank << ID_BITS | vocab[left + right])
         self.find = regex.compile(self.PATTERN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         lengths = np.fromiter(map(len, self.token_bytes), dtype=np.int64)
         self.lengths, self.starts = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(self.token_bytes), dtype=np.uint8)
@@ -90,9 +95,11 @@ class Codec:
     def cuts(self, piece: bytes) -> list[bytes]:
         """The fragments of a pre-token between certain cuts."""
         if len(piece) <= SHORT:
-            joins = self.joins
-            at = [i + 1 for i, (a, b) in enumerate(zip(piece, piece[1:])) if not joins[a << 8 | b]]
-            return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])] if at else [piece]
+            joined = bytes(map(getitem, map(self.joins.__getitem__, piece), piece[1:]))
+            if 0 not in joined:
+                return [piece]
+            at = [i for i, x in enumerate(joined, 1) if not x]
+            return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])]
         b = np.frombuffer(piece, dtype=np.uint8)
         at = (np.flatnonzero(~self.joined[b[:-1], b[1:]]) + 1).tolist()
         return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)])]
@@ -104,7 +111,7 @@ class Codec:
         if n <= SHORT:
             return self._few(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges[ids[i]].get(ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             m, i, left, right = heapq.heappop(heap)
@@ -115,32 +122,36 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (m := merges.get((new, ids[k]))) is not None:
+                if (m := merges[new].get(ids[k])) is not None:
                     heapq.heappush(heap, (m, i, new, ids[k]))
-            if (h := before[i]) >= 0 and (m := merges.get((ids[h], new))) is not None:
+            if (h := before[i]) >= 0 and (m := merges[ids[h]].get(new)) is not None:
                 heapq.heappush(heap, (m, h, ids[h], new))
         return [x for x in ids if x is not None]
 
     def _few(self, ids: list[int]) -> list[int]:
         """The same for few ids: each merge looks at all pairs again, which is cheaper than a heap here."""
-        rank = self.merges.get
-        found = [rank(p, NONE) for p in zip(ids, ids[1:])]
+        merges = self.merges
+        found = [merges[a].get(b, NONE) for a, b in zip(ids, ids[1:])]
         while found and (best := min(found)) != NONE:
             i = found.index(best)
-            ids[i : i + 2] = [best & ID_MASK]
-            del found[i]
+            ids[i] = new = best & ID_MASK
+            del ids[i + 1], found[i]
             if i < len(found):
-                found[i] = rank((ids[i], ids[i + 1]), NONE)
+                found[i] = merges[new].get(ids[i + 1], NONE)
             if i:
-                found[i - 1] = rank((ids[i - 1], ids[i]), NONE)
+                found[i - 1] = merges[ids[i - 1]].get(new, NONE)
         return ids
 
     def pre_token(self, word: str) -> bytes:
-        ids = [i for part in self.cuts(word.encode()) for i in self.fragment(part)]
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        """Packed ids of a pre-token that isn't in the cache. When this is full, it becomes the older half, so that what
+        is met again stays."""
+        if (packed := self.older.get(word)) is None:
+            ids = [i for part in self.cuts(word.encode()) for i in self.fragment(part)]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_LENGTH:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+            if len(self.cache) >= CACHE_ENTRIES // 2:
+                self.older = self.cache.copy()
+                self.cache.clear()  # encode holds on to this dictionary
             self.cache[word] = packed
         return packed
 

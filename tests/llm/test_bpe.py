@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -41,6 +43,18 @@ def test_both_ways_of_merging_agree():
         assert ours.fragment(piece) == ours._few([ours.single[b] for b in piece])
 
 
+def test_words_met_again_stay_in_a_full_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 64)
+    ours, asked = bpe.Codec(bpe.default_tokenizer()), collections.Counter()
+    cuts = ours.cuts
+    ours.cuts = lambda piece: (asked.update([piece]), cuts(piece))[1]
+    text = "".join(f" often {''.join(w)}" for w in itertools.product("abcdefgh", repeat=3))
+    want = library().encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        assert np.frombuffer(ours.encode(text), "<u4").tolist() == want
+    assert len(asked) == 513 and asked[b" often"] == 1 and len(ours.cache) + len(ours.older) <= 64
+
+
 def test_operator_on_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "b <|endoftext|> c", None), (3, "w " * 200_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
