@@ -2,7 +2,8 @@
 
 A merge only ever builds a token of the vocabulary, so two neighbouring bytes that occur side by side inside no
 token can never be merged over: every such place is a certain cut. Each pre-token is cut there, the fragments are
-encoded independently, and their ids are concatenated. Fragments between cuts are short, whatever the text is.
+encoded independently, and their ids are concatenated. Fragments between cuts are short, whatever the text is. So those
+of all new pre-tokens of a group of texts are merged at once, one merge of each fragment in a round.
 
 Defined results: a null text is an empty text (no ids, decoded to ''); the text of an added token is that token,
 as the tokenizers library has it by default; repeated rows and ties are encoded alike, row by row.
@@ -10,8 +11,10 @@ as the tokenizers library has it by default; repeated rows and ties are encoded
 
 from __future__ import annotations
 
+import collections
 import functools
 import heapq
+import itertools
 import json
 import struct
 from operator import getitem
@@ -28,11 +31,46 @@ from .common import mapped
 CACHE_ENTRIES, CACHE_LENGTH = 1 << 16, 48
 #: Rows handled at once inside an Arrow batch; bounds the Python memory of long documents.
 SLICE_ROWS = 256
-#: Bytes up to which a fragment is merged, and cut, by plain loops.
+#: Characters after which a group of texts, whose pre-tokens are held and merged together, is closed.
+GROUP = 1 << 19
+#: Bytes up to which a fragment is merged together with others, and cut by a plain loop.
 SHORT = 40
 #: Packing of merges; NONE sorts behind all of them.
 ID_BITS, NONE = 24, 1 << 60
 ID_MASK = (1 << ID_BITS) - 1
+#: Packing of a rank and the place of its pair among the bytes of a group.
+PLACE_BITS = 32
+PLACE_MASK = (1 << PLACE_BITS) - 1
+
+
+class Ranks:
+    """Ranks of pairs of ids, looked up for whole arrays: a table with open addressing, a quarter full at most."""
+
+    def __init__(self, pairs: np.ndarray):
+        """pairs: by rank, without repeats."""
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.ranks = np.full(1 << bits, -1), np.full(1 << bits, NONE)
+        todo, at = np.arange(len(pairs)), self._slot(pairs)
+        while len(todo):
+            free = self.pairs[at] < 0
+            self.pairs[at[free]], self.ranks[at[free]] = pairs[todo[free]], todo[free] << PLACE_BITS
+            left = self.pairs[at] != pairs[todo]
+            todo, at = todo[left], at[left] + 1 & self.mask
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks, shifted by PLACE_BITS; NONE where a pair becomes no token."""
+        pairs = left << ID_BITS | right
+        at = self._slot(pairs)
+        more = np.flatnonzero((self.pairs[at] != pairs) & (self.pairs[at] >= 0))
+        while len(more):
+            at[more] = at[more] + 1 & self.mask
+            there = self.pairs[at[more]]
+            more = more[(there != pairs[more]) & (there >= 0)]
+        return np.where(self.pairs[at] == pairs, self.ranks[at], NONE)
 
 
 def default_tokenizer() -> str:
@@ -84,8 +122,15 @@ class Codec:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             row = self.merges[vocab[left]] = self.merges[vocab[left]] or {}
             row.setdefault(vocab[right], rank << ID_BITS | vocab[left + right])
+        # The same for arrays: pairs by rank, what they become, and the ranks of pairs of bytes.
+        found = sorted((m, left << ID_BITS | right) for left, row in enumerate(self.merges) for right, m in row.items())
+        self.made = np.array([m & ID_MASK for m, _ in found], dtype=np.int64)
+        self.ranks = Ranks(np.array([pair for _, pair in found], dtype=np.int64))
+        self.singles, self.outside = np.array(self.single, dtype=np.int64), size
+        self.first = self.ranks.of(np.repeat(self.singles, 256), np.tile(self.singles, 256)).reshape(256, 256)
         self.find = regex.compile(self.PATTERN).findall
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
+        self.special = {token: struct.pack("<I", i) for token, i in self.added.items()}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         lengths = np.fromiter(map(len, self.token_bytes), dtype=np.int64)
@@ -142,29 +187,100 @@ class Codec:
                 found[i - 1] = merges[ids[i - 1]].get(new, NONE)
         return ids
 
-    def pre_token(self, word: str) -> bytes:
-        """Packed ids of a pre-token that isn't in the cache. When this is full, it becomes the older half, so that what
-        is met again stays."""
-        if (packed := self.older.get(word)) is None:
-            ids = [i for part in self.cuts(word.encode()) for i in self.fragment(part)]
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+    def _apart(self, word: str) -> bytes:
+        """Packed ids of a pre-token by itself."""
+        ids = [i for part in self.cuts(word.encode()) for i in self.fragment(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Packed ids of pre-tokens. In a round, each fragment has one merge: of its lowest-ranked pair, the leftmost
+        among equals. Pre-tokens with a long fragment are left to _apart, so that rounds are few."""
+        if not words:
+            return []
+        flat = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+        n, places = len(flat), np.arange(len(flat))
+        characters = np.append(np.flatnonzero(flat & 0xC0 != 0x80), n)
+        ends = characters[np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))]
+        begins = np.append(True, ~self.joined[flat[:-1], flat[1:]])
+        begins[ends[:-1]] = True
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(starts, append=n)
+        ids = np.append(self.singles[flat], self.outside)  # place n is next to both ends of each fragment
+        after, before = np.append(places + 1, n), np.append(places - 1, n)
+        after[starts[1:] - 1] = before[starts] = n
+        best = np.full(n + 1, NONE)
+        best[: n - 1] = self.first[flat[:-1], flat[1:]] + places[:-1]
+        best[starts[1:] - 1] = NONE
+        best[:n][np.repeat(lengths > SHORT, lengths)] = NONE
+        while True:
+            now = np.minimum.reduceat(best[:n], starts)
+            now = now[now < NONE]
+            if not len(now):
+                break
+            i = now & PLACE_MASK
+            j, h = after[i], before[i]
+            k = after[j]
+            ids[i] = new = self.made[now >> PLACE_BITS]
+            ids[j], best[j] = -1, NONE
+            after[i], before[k] = k, i
+            best[i] = self.ranks.of(new, ids[k]) + i
+            best[h] = self.ranks.of(ids[h], new) + h
+        kept = ids[:n] >= 0
+        packed, to = ids[:n][kept].astype("<u4").tobytes(), (4 * np.cumsum(kept)[ends - 1]).tolist()
+        out = [packed[a:b] for a, b in zip([0, *to], to)]
+        for w in np.unique(np.searchsorted(ends, starts[lengths > SHORT], side="right")).tolist():
+            out[w] = self._apart(words[w])
+        return out
+
+    def _keep(self, word: str, packed: bytes) -> None:
+        """Puts a pre-token into the cache. When this is full, it becomes the older half, so that what is met again stays."""
         if len(word) <= CACHE_LENGTH:
             if len(self.cache) >= CACHE_ENTRIES // 2:
                 self.older = self.cache.copy()
                 self.cache.clear()  # encode holds on to this dictionary
             self.cache[word] = packed
+
+    def _pre_token(self, word: str) -> bytes:
+        packed = self.older.get(word) or self._apart(word)
+        self._keep(word, packed)
         return packed
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text as little-endian unsigned 32-bit integers."""
+        """Ids of one text as little-endian unsigned 32-bit integers, pre-token by pre-token."""
         known, out = self.cache.get, []
         for part in self.split_added(text) if self.split_added else [text]:
-            if part in self.added:
-                out.append(np.array([self.added[part]], dtype="<u4").tobytes())
+            if part in self.special:
+                out.append(self.special[part])
             else:
-                out += [known(w) or self.pre_token(w) for w in self.find(part)]
+                out += [known(w) or self._pre_token(w) for w in self.find(part)]
         return b"".join(out)
 
+    def _group(self, texts: list[str]) -> list[bytes]:
+        words: list[list[str]] = []
+        for text in texts:
+            words.append(of := [])
+            for part in self.split_added(text) if self.split_added else [text]:
+                of += [part] if part in self.special else self.find(part)
+        counts = collections.Counter(itertools.chain.from_iterable(words))
+        ids = self.older | self.cache | self.special
+        new = list(counts.keys() - ids.keys())
+        ids.update(zip(new, self._together(new)))
+        for w in counts.keys() - self.cache.keys():
+            if counts[w] > 1 or w in self.older:  # what is met once isn't worth its place
+                self._keep(w, ids[w])
+        return [b"".join(map(ids.__getitem__, of)) for of in words]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The same for many texts, with the new pre-tokens of a group of texts merged together."""
+        out, group, size = [], [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
     def decode(self, packed: bytes) -> str:
         ids = np.frombuffer(packed, dtype="<u4")
         if not len(ids):
@@ -182,19 +298,15 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _columns(rows, n: int) -> list:
-    return [list(c) for c in zip(*rows)] or [[]] * n
-
-
 def encode(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """keep, n_tokens and ids (packed little-endian unsigned 32-bit integers) of every whole text."""
     path = path or default_tokenizer()
 
-    def of(x):
-        ids = codec(path).encode(x or "")
-        return len(ids) // 4, ids
+    def made(xs):
+        ids = codec(path).encode_all([x or "" for x in xs])
+        return [[len(x) // 4 for x in ids], ids]
 
-    return mapped(df, keep, text, {"n_tokens": T.LongType(), "ids": T.BinaryType()}, lambda xs: _columns(map(of, xs), 2), SLICE_ROWS)
+    return mapped(df, keep, text, {"n_tokens": T.LongType(), "ids": T.BinaryType()}, made, SLICE_ROWS)
 
 
 def decode(df: DataFrame, keep: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -207,8 +319,8 @@ def round_trip(df: DataFrame, keep: list[str], text: str = "text", path: str | N
     """keep, n_tokens, ids and the text decoded again from those ids, in one pass over the texts."""
     path = path or default_tokenizer()
 
-    def of(x):
-        ids = codec(path).encode(x or "")
-        return len(ids) // 4, ids, codec(path).decode(ids)
+    def made(xs):
+        ids = codec(path).encode_all([x or "" for x in xs])
+        return [[len(x) // 4 for x in ids], ids, [codec(path).decode(x) for x in ids]]
 
-    return mapped(df, keep, text, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType()}, lambda xs: _columns(map(of, xs), 3), SLICE_ROWS)
+    return mapped(df, keep, text, {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType()}, made, SLICE_ROWS)

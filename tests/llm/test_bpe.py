@@ -55,6 +55,37 @@ def test_words_met_again_stay_in_a_full_cache(monkeypatch):
     assert len(asked) == 513 and asked[b" often"] == 1 and len(ours.cache) + len(ours.older) <= 64
 
 
+def test_new_words_of_many_texts_are_merged_together(monkeypatch):
+    """One by one they cost more than 900 CPU seconds a GB."""
+    asked, fragment, theirs = [], bpe.Codec.fragment, library()
+    monkeypatch.setattr(bpe, "mapped", lambda df, keep, text, fields, made, rows: made)
+    monkeypatch.setattr(bpe.Codec, "fragment", lambda self, piece: (asked.append(piece), fragment(self, piece))[1])
+    bpe.codec.cache_clear()
+    words = ["".join(w) for w in itertools.product(["ti", "on", "er", "qz", "é", "Th", "日"], repeat=4)]
+    texts = [None, "", *(" ".join(words[i : i + 100]) for i in range(0, len(words), 100)), "a" * 90]
+    n_tokens, ids, decoded = bpe.round_trip(None, [])(texts)
+    want = [theirs.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want and n_tokens == [len(x) for x in want] and decoded == [t or "" for t in texts]
+    assert asked == [b"a" * 90]  # the only long fragment
+    bpe.codec.cache_clear()
+
+
+def test_groups_of_texts_are_encoded_as_single_texts(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 64)
+    rng, theirs = random.Random(6), library()
+    pieces = [*PIECES, "e", "n", "é日", "qu", "ab" * 30, "\U0010ffff"]
+    texts = ["", "é" * 900, "日本" * 300, " " * 500] + ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(1500)]
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    for group in (1, 500, 1 << 19):
+        monkeypatch.setattr(bpe, "GROUP", group)
+        ours = bpe.Codec(bpe.default_tokenizer())
+        for _ in range(2):
+            assert [np.frombuffer(x, "<u4").tolist() for x in ours.encode_all(texts)] == want
+            assert len(ours.cache) + len(ours.older) <= 64
+        assert [ours.encode(t) for t in texts[:300]] == ours.encode_all(texts[:300])
+    assert ours.encode_all([]) == [] and ours.encode_all(["", ""]) == [b"", b""]
+
+
 def test_operator_on_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "b <|endoftext|> c", None), (3, "w " * 200_000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
