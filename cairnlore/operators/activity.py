@@ -8,7 +8,7 @@ bounds the pairs of each.
 from __future__ import annotations
 
 from cairnlore.functions.columns import dirname, last_activity, ratio
-from cairnlore.functions.lineage import cut_lineage
+from cairnlore.functions.lineage import staged
 from cairnlore.sources.versions import VersionedTable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -184,7 +184,7 @@ def linked_activity(own: DataFrame, linked: list[tuple[str, DataFrame]], as_of:
 
 class ActivityTables:
     """Shares of files and pairs of files, kept up by batches of new commits: what is stored adds up, so a batch is
-    aggregated alone and merged into the buckets it touches. A commit's changes come in one batch."""
+    aggregated alone and becomes a part of the tables. A commit's changes come in one batch."""
 
     OWN = {"commits": F.sum, "added": F.sum, "removed": F.sum, "first_ts": F.min, "last_ts": F.max}
 
@@ -198,19 +198,26 @@ class ActivityTables:
         """A batch of changes; one that is in the tables already changes nothing."""
         if all(t.has(stream, batch) for t in (self.own, self.files, self.pairs)):
             return
-        changes = cut_lineage(changes)  # read three times
-        own = changes.groupBy("path", "author").agg(F.countDistinct("commit").alias("commits"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-        self.own.merge(own, self.OWN, stream, batch)
-        touched = changes.select("commit", "path").distinct()
-        usable = touched.groupBy("commit").agg(F.count("*").alias("files")).filter(F.col("files") <= self.most_files)
-        kept = touched.join(usable, "commit", "left_semi")
-        self.files.merge(kept.groupBy("path").agg(F.count("*").alias("n")), {"n": F.sum}, stream, batch)
-        a, b = kept.select("commit", F.col("path").alias("path_a")), kept.select("commit", F.col("path").alias("path_b"))
-        self.pairs.merge(a.join(b, "commit").filter("path_a < path_b").groupBy("path_a", "path_b").agg(F.count("*").alias("together")), {"together": F.sum}, stream, batch)
+        ts = [F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+        with staged(changes.groupBy("commit", "path", "author").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), *ts)) as touched:
+            self.own.merge(touched.withColumn("commits", F.when(F.col("commit").isNull(), 0).otherwise(1).cast("bigint")), self.OWN, stream, batch)
+            with staged(self._usable(touched)) as usable:
+                one = F.lit(1).cast("bigint")
+                self.files.merge(usable.select(F.explode("paths").alias("path"), one.alias("n")), {"n": F.sum}, stream, batch)
+                a = usable.select("paths", F.posexplode("paths").alias("i", "path_a"))
+                later = F.slice("paths", F.col("i") + 2, F.size("paths"))
+                self.pairs.merge(a.select("path_a", F.explode(later).alias("path_b"), one.alias("together")), {"together": F.sum}, stream, batch)
+
+    def _usable(self, touched: DataFrame) -> DataFrame:
+        """paths: the sorted files of each commit of at most most_files. A commit of more gives no more than one file
+        too many, so that none is gathered whole."""
+        ranked = touched.filter("commit IS NOT NULL").select("commit", "path").withColumn("file", F.dense_rank().over(W.partitionBy("commit").orderBy("path")))
+        few = ranked.filter(F.col("file") <= self.most_files + 1).groupBy("commit").agg(F.max("file").alias("files"), F.array_sort(F.collect_set("path")).alias("paths"))
+        return few.filter(F.col("files") <= self.most_files).select("paths")
 
     def expertise(self, as_of: str) -> DataFrame:
         """As file_expertise of all changes."""
-        return expertise_of(self.own.read(), as_of)
+        return expertise_of(self.own.read(dealt_by=["path"]), as_of)
 
     def cochange(self, least_together: int = 9, least_share: float = 0.5) -> DataFrame:
         """As cochange of all changes, without its limit."""
