@@ -198,20 +198,20 @@ class ActivityTables:
         """A batch of changes; one that is in the tables already changes nothing."""
         if all(t.has(stream, batch) for t in (self.own, self.files, self.pairs)):
             return
-        ts = [F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
-        with staged(changes.groupBy("commit", "path", "author").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), *ts)) as touched:
+        with staged(changes) as log:
+            touched = log.groupBy("commit", "path", "author").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
             self.own.merge(touched.withColumn("commits", F.when(F.col("commit").isNull(), 0).otherwise(1).cast("bigint")), self.OWN, stream, batch)
-            with staged(self._usable(touched)) as usable:
+            with staged(self._usable(log)) as usable:
                 one = F.lit(1).cast("bigint")
                 self.files.merge(usable.select(F.explode("paths").alias("path"), one.alias("n")), {"n": F.sum}, stream, batch)
                 a = usable.select("paths", F.posexplode("paths").alias("i", "path_a"))
                 later = F.slice("paths", F.col("i") + 2, F.size("paths"))
                 self.pairs.merge(a.select("path_a", F.explode(later).alias("path_b"), one.alias("together")), {"together": F.sum}, stream, batch)
 
-    def _usable(self, touched: DataFrame) -> DataFrame:
+    def _usable(self, log: DataFrame) -> DataFrame:
         """paths: the sorted files of each commit of at most most_files. A commit of more gives no more than one file
         too many, so that none is gathered whole."""
-        ranked = touched.filter("commit IS NOT NULL").select("commit", "path").withColumn("file", F.dense_rank().over(W.partitionBy("commit").orderBy("path")))
+        ranked = log.filter("commit IS NOT NULL").select("commit", "path").withColumn("file", F.dense_rank().over(W.partitionBy("commit").orderBy("path")))
         few = ranked.filter(F.col("file") <= self.most_files + 1).groupBy("commit").agg(F.max("file").alias("files"), F.array_sort(F.collect_set("path")).alias("paths"))
         return few.filter(F.col("files") <= self.most_files).select("paths")
 
