@@ -211,7 +211,7 @@ class VersionedTable:
             joined += [parts.pop(k) for k in same]
             level += 1
         if before is not None:
-            schema = T.StructType.fromJson(before["schema"])
+            schema = T.StructType([f for f in T.StructType.fromJson(before["schema"]) if f.name in added.columns])
             if joined:
                 added = self._added(rows.select(*added.columns).unionByName(self._read(schema, joined)), names)
             added = added.select(*[F.col(f.name).cast(f.dataType) for f in schema])

@@ -66,6 +66,10 @@ def test_added_tables_are_changed_and_read_otherwise(spark, tmp_path):
     table.merge(one(), how)
     table.replace(one((4, 1, 1)))
     assert rows(table.read()) == [(4, 1, 1)]
+    wide = spark.createDataFrame([(4, "x", 1, 1), (5, "y", 1, 1)], "id long, text string, n long, at long")
+    table.replace(wide)
+    table.merge(one((4, 2, 3)), how)  # columns that don't add up go
+    assert rows(table.read()) == [(4, 3, 3), (5, 1, 1)]
 
 
 def test_odd_rows_and_large_commits(spark, tmp_path):
